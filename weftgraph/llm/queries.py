@@ -8,10 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op5_bpe
 from .decontaminate import op10_decontaminate
+from .html_text import op2_html
+from .interpolation import op1_interpolation
+from .toxicity import op6_toxicity
+from .url_filter import op8_url_filter
+from .vector_search import ORACLE as TOPK_SQL
+from .vector_search import op7_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_interpolation": op1_interpolation,
+    "op2_html": op2_html,
     "op5_bpe": op5_bpe,
+    "op6_toxicity": op6_toxicity,
+    "op7_topk": op7_topk,
+    "op8_url_filter": op8_url_filter,
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_topk": TOPK_SQL,
+}
