@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op5_bpe
 from .decontaminate import op10_decontaminate
 from .html_text import op2_html
+from .importance import op4_importance
 from .interpolation import op1_interpolation
+from .jaccard_join import op3_jaccard
+from .suffix_dedup import op9_suffix_dedup
 from .toxicity import op6_toxicity
 from .url_filter import op8_url_filter
 from .vector_search import ORACLE as TOPK_SQL
@@ -18,10 +21,13 @@ from .vector_search import op7_topk
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_interpolation": op1_interpolation,
     "op2_html": op2_html,
+    "op3_jaccard": op3_jaccard,
+    "op4_importance": op4_importance,
     "op5_bpe": op5_bpe,
     "op6_toxicity": op6_toxicity,
     "op7_topk": op7_topk,
     "op8_url_filter": op8_url_filter,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
 
