@@ -58,6 +58,24 @@ def chunked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int
     return d.withColumn("__chunk", (F.col("__c") * fine + part).cast("int")).drop("__c"), (len(cuts) + 1) * fine, total
 
 
+def _squeeze(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences: five raw bytes each, the three high ones compressed."""
+    d = np.diff(keys).astype("<u8").view(np.uint8).reshape(-1, 8)
+    return len(keys).to_bytes(4, "little") + int(keys[0]).to_bytes(8, "little") + d[:, :5].tobytes() + zlib.compress(d[:, 5:].T.tobytes(), 1)
+
+
+def _stretch(raw: bytes) -> np.ndarray:
+    n, first = int.from_bytes(raw[:4], "little"), int.from_bytes(raw[4:12], "little")
+    d = np.zeros((n - 1, 8), np.uint8)
+    end = 12 + 5 * (n - 1)
+    d[:, :5] = np.frombuffer(raw, np.uint8, 5 * (n - 1), 12).reshape(-1, 5)
+    d[:, 5:] = np.frombuffer(zlib.decompress(raw[end:]), np.uint8).reshape(3, -1).T
+    out = np.empty(n, np.uint64)
+    out[0] = first
+    out[1:] = d.reshape(-1).view("<u8")
+    return np.cumsum(out, dtype=np.uint64)
+
+
 def pack(chunk: int, keys: np.ndarray, data: Iterable[np.ndarray], buckets: int) -> pa.Table:
     """The question of a chunk: ``keys`` sorted and distinct, ``data`` one array per fact known of each key."""
     data = list(data)
@@ -68,7 +86,7 @@ def pack(chunk: int, keys: np.ndarray, data: Iterable[np.ndarray], buckets: int)
         {
             "chunk": pa.array(np.full(len(has), chunk, np.int32)),
             "bucket": pa.array(has.astype(np.int32)),
-            "keys": pa.array([keys[edge[i] : edge[i + 1]].tobytes() for i in has], pa.binary()),
+            "keys": pa.array([_squeeze(keys[edge[i] : edge[i + 1]]) for i in has], pa.binary()),
             "data": pa.array([zlib.compress(b"".join(x[edge[i] : edge[i + 1]].tobytes() for x in data), 1) for i in has], pa.binary()),
         }
     )
@@ -88,7 +106,7 @@ def answered(asked: DataFrame, types: list[str], answer: Callable, name: str) ->
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("chunk")
-        keys = [np.frombuffer(x, np.uint64) for x in t["keys"].to_pylist()]
+        keys = [_stretch(x) for x in t["keys"].to_pylist()]
         sizes = np.array([len(k) for k in keys])
         cols: list[list[np.ndarray]] = [[] for _ in types]
         for raw, n in zip(t["data"].to_pylist(), sizes):
