@@ -154,13 +154,13 @@ def sequence_ratio(a: Column, b: Column) -> Column:
     """Matching-blocks similarity of two strings; the one text measure without a built-in, hence a vectorised UDF."""
     import pandas as pd
 
-    @F.pandas_udf("double")
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+    def ratio(x, y):
         from difflib import SequenceMatcher
 
         return pd.Series([SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y)])
 
-    return ratio(a, b)
+    ratio.__annotations__ = {"x": pd.Series, "y": pd.Series, "return": pd.Series}
+    return F.pandas_udf(ratio, "double")(a, b)
 
 
 def ordered_distinct(c: Column) -> Column:
