@@ -190,11 +190,11 @@ def _segments(texts: list[bytes], length: int):
         yield Segment(pieces, length)
 
 
-def _ordered(t: pa.Table) -> tuple[pa.Table, list[bytes]]:
+def _ordered(t: pa.Table, id_col: str, text_col: str) -> tuple[pa.Table, list[bytes]]:
     """The chunk in the order that says which copy is the first."""
-    t = t.append_column("__null", pa.array([x is not None for x in t["__i"].to_pylist()], pa.bool_()))
-    t = t.sort_by([("__null", "ascending"), ("__i", "ascending"), ("__t", "ascending")]).drop_columns(["__null"])
-    return t, [(x or "").encode() for x in t["__t"].to_pylist()]
+    t = t.append_column("__null", pa.array([x is not None for x in t[id_col].to_pylist()], pa.bool_()))
+    t = t.sort_by([("__null", "ascending"), (id_col, "ascending"), (text_col, "ascending")]).drop_columns(["__null"])
+    return t, [(x or "").encode() for x in t[text_col].to_pylist()]
 
 
 def _codes(keys: np.ndarray, told: np.ndarray, distinct: np.ndarray) -> np.ndarray:
@@ -295,15 +295,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
     ``keep_first``: the first copy of a repeated string stays; otherwise every copy goes.
     """
-    new = {"n_bytes", "removed", "kept", "__i", "__t", "__chunk"}
-    stay = [c for c in docs.columns if c.lower() not in new]
-    d = docs.select(*[F.col(f"`{c}`") for c in stay], F.col(f"`{id_col}`").alias("__i"), F.col(f"`{text_col}`").alias("__t"))
-    d, n_chunks, total = chunked(d, "__i", "__t")
-    lean = d.select("__chunk", "__i", "__t")
+    stay = [c for c in docs.columns if c.lower() not in {"n_bytes", "removed", "kept", "__chunk"}]
+    d, n_chunks, total = chunked(docs.select(*[F.col(f"`{c}`") for c in stay]), id_col, text_col)
+    lean = d.select("__chunk", F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     buckets = buckets_for(total // 20)
 
     def ask(key: tuple, t: pa.Table) -> pa.Table:
-        _, texts = _ordered(t)
+        _, texts = _ordered(t, id_col, text_col)
         k, n = _Chunk(texts, length, keep_first).ask_anchors()
         return pack(key[0].as_py(), k, [n], buckets)
 
@@ -315,7 +313,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
         return unpack(told, distinct, ["u1", "u1"]), distinct
 
     def ask2(key: tuple, t: pa.Table, told: pa.Table) -> pa.Table:
-        _, texts = _ordered(t)
+        _, texts = _ordered(t, id_col, text_col)
         c = _Chunk(texts, length, keep_first)
         k, n = c.ask_windows(*both(c, told))
         return pack(key[0].as_py(), k, [n], buckets)
@@ -327,7 +325,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     run_type = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
 
     def final(key: tuple, t: pa.Table, told: pa.Table) -> pa.Table:
-        t, texts = _ordered(t)
+        t, texts = _ordered(t, id_col, text_col)
         c = _Chunk(texts, length, keep_first)
         first = told.filter(pa.compute.equal(told["which"], 1))
         second = told.filter(pa.compute.equal(told["which"], 2))
