@@ -644,8 +644,8 @@ def _predictions(spark: SparkSession, sf: str) -> DataFrame:
 _EVAL = """
 WITH a AS (SELECT n_regionkey AS qid, list(lower(n_name)) AS gold, coalesce(list(lower(n_name) ORDER BY n_name) FILTER (n_nationkey % 2 = 0), []) AS part FROM nation GROUP BY 1),
 b AS (SELECT qid, gold, list_append(part, 'elsewhere') AS p FROM a),
-c AS (SELECT qid, len(list_intersect(p, gold)) AS both, len(p) AS np, len(gold) AS ng, list_contains(gold, p[1]) AS h FROM b),
-s AS (SELECT qid, CAST(both = np AND both = ng AS INTEGER)::DOUBLE AS exact_match, CAST(h AS INTEGER)::DOUBLE AS hit_at_1, both / np::DOUBLE AS precision, both / ng::DOUBLE AS recall FROM c),
+c AS (SELECT qid, len(list_intersect(p, gold)) AS hits, len(p) AS np, len(gold) AS ng, list_contains(gold, p[1]) AS h FROM b),
+s AS (SELECT qid, CAST(hits = np AND hits = ng AS INTEGER)::DOUBLE AS exact_match, CAST(h AS INTEGER)::DOUBLE AS hit_at_1, hits / np::DOUBLE AS precision, hits / ng::DOUBLE AS recall FROM c),
 e AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM s)
 """
 
@@ -662,7 +662,7 @@ def eval_aggregate(spark, sf):
     return d.select("samples", "exact_match", "hit_at_1", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query("eval_coverage", _EVAL + "SELECT c.qid, CAST(ng AS INTEGER) AS gold_count, CAST(ng AS INTEGER) AS graph_hits, CAST(both AS INTEGER) AS path_hits, both = ng AS full_hit, both = 0 AS zero_hit FROM c", graph=False)
+@query("eval_coverage", _EVAL + "SELECT c.qid, CAST(ng AS INTEGER) AS gold_count, CAST(ng AS INTEGER) AS graph_hits, CAST(hits AS INTEGER) AS path_hits, hits = ng AS full_hit, hits = 0 AS zero_hit FROM c", graph=False)
 def eval_coverage(spark, sf):
     d = evaluate.coverage(_predictions(spark, sf), "gold", "gold", "predicted")
     return d.select("qid", "gold_count", "graph_hits", "path_hits", "full_hit", "zero_hit")
