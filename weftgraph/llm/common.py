@@ -127,12 +127,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = table(e, "cc")
     for _ in range(max_rounds):
-        # Large star: each node's larger neighbours hang on its smallest neighbour (or itself).
+        # Large star: each node's larger neighbours hang on its smallest neighbour (or itself). The minima are written
+        # first, so that the join's both sides are dealt anew and the part of a hub can be split.
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = e.join(low.withColumnRenamed("u", "v"), "v").select("u", F.col("m").alias("v"))
+        low = table(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m")), "cc")
+        large = table(e.join(low, "v").select("u", F.col("m").alias("v")).distinct(), "cc")
         # Small star: a node and its smaller neighbours hang on the smallest of them.
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
+        low2 = table(large.groupBy("u").agg(F.min("v").alias("m")), "cc")
         small = large.join(low2, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("x")).select("x.u", F.col("x.m").alias("v")).where("u <> v").distinct()
         new = table(small, "cc")
         # A forest of stars: nobody is both a child and a root, and each child has one root.

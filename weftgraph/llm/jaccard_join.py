@@ -1,24 +1,26 @@
-"""Groups of near-duplicate documents by a parity-sketch join over word shingles.
+"""Groups of near-duplicate documents: a join over rare word shingles with parity sketches as filter.
 
 The parity sketch of a set flips one bit per element; the Hamming distance of two sketches is at most the size of the
-sets' symmetric difference, which for a Jaccard similarity of J is at most ``(1 - J) / (1 + J) * (|A| + |B|)``. The
-sketch of a document is cut into parts by the elements' hashes, more parts than elements may differ in its size
-band; by the pigeonhole principle, linked documents agree in at least one whole part, and in one that is not empty
-for either (documents with more empty parts than spare ones also offer those). Documents that share a part are
-candidates.
-
-1. Equal sets are one class; its smallest id stands for it from here on.
-2. Parts are packed into one row per (batch, bucket of keys), and each bucket ties the documents of a key to one of
-   them: a star per key, never the pairs.
-3. Connected stars are families. Within a family, in blocks of ``BLOCK`` documents, pairs whose sketches (of a finer
-   kind, over the whole set) pass the bound and which are not connected yet are verified exactly; each pair of
-   blocks is a task of its own and gives at most one link per document it joins.
-4. Connected links are the groups.
-
-Scale: what is shuffled is about ten bytes for every three shingles, then the families' texts. A bucket gets at most
-one entry per document and key. Work within a family grows with the square of its *different* texts divided by the
-block, spread over as many tasks; blocks hold neighbours by distance from the family's first document, and pairs of
-blocks that the triangle inequality rules out are not formed.
+sets' symmetric difference, which for a Jaccard similarity of J is at most ``(1 - J) / (1 + J) * (|A| + |B|)``. Pairs
+whose sketches are further apart are not linked; the others are verified exactly.
+
+Which pairs are compared: equal parts of sketches, as the pigeonhole principle offers them, tie documents together
+that only share frequent passages (measured: nearly all documents of a corpus become one family). So the pigeonhole
+is taken over shingles in order of their frequency instead: of the ``n - ceil(J n) + 1`` rarest shingles of a set, a
+linked partner must hold one.
+
+1. Chunks of documents ask how many sets hold each shingle (see ``exchange``). A set with more shingles of its own
+   than its size allows is linked with none but its equals; the other sets go on, and ask again among themselves.
+2. Each offers its rarest shingles; documents that offer the same one are tied to one of them: a star per shingle,
+   never the pairs. Connected stars are families.
+3. Within a family, in blocks of ``BLOCK`` documents, pairs whose sketches pass the bound and which are not connected
+   yet are verified; each pair of blocks is a task's group of its own and gives at most one link per document it joins.
+4. Connected links are the groups; equal sets, of which only the smallest id took part, follow it.
+
+Scale: what is shuffled is the text twice, about six bytes per shingle, and the sets of step 2. A shingle costs a
+bucket one entry per chunk, however frequent. Work within a family grows with the square of its *different* sets
+divided by the block, spread over as many groups; blocks hold neighbours by distance from the family's first document,
+and pairs of blocks that the triangle inequality rules out are not formed.
 
 Defined cases: null, empty or blank text: no shingles, linked with nothing. Fewer words than a shingle has: the whole
 sequence is the only one. Rows with a null id are linked with nothing, their component is null. Rows with one id are
@@ -27,20 +29,16 @@ one document.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, mix64, read, space_words, table, text_bytes
-from .exchange import release
+from .common import components, mix64, read, space_words, table
+from .exchange import ASK, answered, buckets_for, chunked, pack, release, unpack
 
 WIDTH, NUM, DEN = 4, 85, 100
-BLOCK = 256
-SPARE = 3
-_BAND = 1.4
+BLOCK = 128
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -85,50 +83,6 @@ def most_apart(a, b, num: int = NUM, den: int = DEN):
     return (den - num) * (a + b) // (den + num)
 
 
-def _bands(n: int, num: int, den: int) -> list[int]:
-    """The size bands in which a set of n elements looks for partners: its own, and the one below if it reaches there."""
-    b = int(math.log(n) / math.log(_BAND) + 1e-9)
-    while _low(b + 1) <= n:
-        b += 1
-    while _low(b) > n:
-        b -= 1
-    return [b, b - 1] if b and num * n <= den * (_low(b) - 1) else [b]
-
-
-def _low(b: int) -> int:
-    """The smallest size of band b."""
-    return max(1, math.ceil(_BAND**b - 1e-9))
-
-
-def _parts(b: int, num: int, den: int) -> int:
-    """Parts in band b: more than any two linked sets, the smaller of them in the band, differ."""
-    small = max(_low(b), _low(b + 1) - 1)
-    apart = (den - num) * small // num  # as the union has at most den / num times the smaller set's elements
-    return 1 if not apart else apart + 1 + SPARE
-
-
-def part_keys(s: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
-    """The keys under which a set looks for partners."""
-    keys = []
-    for b in _bands(len(s), num, den):
-        p = _parts(b, num, den)
-        mixed = mix64(s + np.uint64(b))
-        part = ((mixed >> np.uint64(32)) * np.uint64(p) >> np.uint64(32)).astype(np.int64)
-        # 128 parity bits per part: each element flips one.
-        bit = mixed & np.uint64(127)
-        halves = np.zeros((2, p), np.uint64)
-        for k in (0, 1):
-            mine = (bit >> np.uint64(6)) == k
-            np.bitwise_xor.at(halves[k], part[mine], np.uint64(1) << (bit[mine] & np.uint64(63)))
-        held = np.bincount(part, minlength=p) > 0
-        if p > 1 and p - held.sum() <= SPARE:
-            use = np.flatnonzero(held)
-        else:
-            use = np.arange(p)
-        keys.append(mix64(mix64(halves[0][use] + np.uint64(b * 2 + 1)) ^ mix64(halves[1][use] * _C[1] + use.astype(np.uint64) * _C[2])))
-    return np.unique(np.concatenate(keys))
-
-
 def sketches(sets: list[np.ndarray], bits: int) -> np.ndarray:
     """One parity sketch per row."""
     out = np.zeros((len(sets), bits // 64), np.uint64)
@@ -175,121 +129,190 @@ def join_block(sets: list[np.ndarray], side: list[int], num: int = NUM, den: int
     return out
 
 
+def _most_unique(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The most elements a linked set may have that its partner lacks: the union is at most den / num times either."""
+    return (den - num) * n // num
+
+
+def _survey(chunk: pa.Table, width: int) -> tuple[list, list[np.ndarray], list[bytes], np.ndarray]:
+    """Ids, sets, digests of the sets, and which rows stand for their set within the chunk (smallest id first)."""
+    import xxhash
+
+    t = chunk.sort_by("i")
+    ids = t["i"].to_pylist()
+    sets = shingle_sets(t["t"].to_pylist(), width)
+    digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+    seen: set[bytes] = set()
+    stands = np.zeros(len(ids), bool)
+    for k, (i, s, x) in enumerate(zip(ids, sets, digests)):
+        if i is not None and len(s) and x not in seen:
+            seen.add(x)
+            stands[k] = True
+    return ids, sets, digests, stands
+
+
+def _held(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct elements of several sets and how many hold each (255: or more)."""
+    k, n = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
+    return k, np.minimum(n, 255).astype(np.uint8)
+
+
+def _total(chunk_of, distinct, number, n):
+    return (np.minimum(np.bincount(number, n, len(distinct)), 255).astype(np.uint8)[number],), 0, 0
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
     """``(id, n_shingles, component_id)`` per row: links are pairs with ``den * |A and B| >= num * |A or B|``."""
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").alias("t"))
-    spark = d.sparkSession
-    buckets = max(8, text_bytes(d, "t") // (24 << 20))
+    d, n_chunks, total = chunked(d, "i", "t")
 
-    def measure(batches):
-        import xxhash
-
-        for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
-                sets = shingle_sets(part.column(1).to_pylist(), width)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([part_keys(s, num, den).tobytes() if len(s) else b"" for s in sets], pa.binary())], ["i", "n", "fp", "keys"])
+    def ask(key: tuple, t: pa.Table) -> pa.Table:
+        _, sets, _, stands = _survey(t, width)
+        k, n = _held([s for s, x in zip(sets, stands) if x])
+        return pack(key[0].as_py(), k, [n], buckets_for(total // 8))
 
-    seen = table(d.mapInArrow(measure, "i long, n long, fp binary, keys binary"), "sets")
+    told = answered(d.groupBy("__chunk").applyInArrow(ask, ASK), ["u1"], _total, "shingles")
+    release(d)
+    by = lambda x: x.withColumnRenamed("chunk", "__chunk").groupBy("__chunk")
+
+    def sift(key: tuple, t: pa.Table, told: pa.Table) -> pa.Table:
+        ids, sets, digests, stands = _survey(t, width)
+        keys, _ = _held([s for s, x in zip(sets, stands) if x])
+        many = unpack(told, keys, ["u1"])[0]
+        out = []
+        for s, x in zip(sets, stands):
+            alone = int((many[np.searchsorted(keys, s)] == 1).sum()) if x else 0
+            out.append(s.tobytes() if x and alone <= _most_unique(len(s), num, den) else None)
+        return pa.table({"i": pa.array(ids, pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "fp": pa.array(digests, pa.binary()), "s": pa.array(out, pa.binary())})
+
+    seen = table(d.groupBy("__chunk").cogroup(by(told)).applyInArrow(sift, "i long, n long, fp binary, s binary"), "sets")
+    release(d)
     rep = table(seen.where("n > 0 AND i IS NOT NULL").groupBy("fp").agg(F.min("i").alias("rep")), "classes")
-    firsts = seen.where("n > 0").select("i", "fp", "keys").join(rep.select(F.col("rep").alias("i"), "fp"), ["i", "fp"], "left_semi")
-
-    def emit(batches):
-        for b in batches:
-            for lo in range(0, b.num_rows, 4000):
-                part = b.slice(lo, 4000)
-                ids = part.column(0).to_numpy().tobytes()
-                keys = [np.frombuffer(x, np.uint64) for x in part.column(1).to_pylist()]
-                doc = np.repeat(np.arange(len(keys), dtype=np.uint16), [len(k) for k in keys])
-                every = np.concatenate(keys)
-                o = np.argsort(every)
-                every, doc = every[o], doc[o]
-                to = ((every >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-                edge = np.searchsorted(to, np.arange(buckets + 1))
-                has = np.flatnonzero(np.diff(edge))
-                yield pa.RecordBatch.from_arrays([pa.array(has.astype(np.int32)), pa.array([ids] * len(has), pa.binary()), pa.array([every[edge[k] : edge[k + 1]].tobytes() for k in has], pa.binary()), pa.array([doc[edge[k] : edge[k + 1]].tobytes() for k in has], pa.binary())], ["bucket", "ids", "keys", "doc"])
-
-    def stars(t: pa.Table) -> pa.Table:
-        """The documents of each key, tied to the one with the smallest id."""
-        keys, ids = [], []
-        for a, k, x in zip(t["ids"].to_pylist(), t["keys"].to_pylist(), t["doc"].to_pylist()):
-            keys.append(np.frombuffer(k, np.uint64))
-            ids.append(np.frombuffer(a, np.int64)[np.frombuffer(x, np.uint16)])
-        k, i = np.concatenate(keys), np.concatenate(ids)
-        o = np.lexsort((i, k))
-        k, i = k[o], i[o]
+    sets = table(seen.where("s IS NOT NULL").join(rep.select(F.col("rep").alias("i"), "fp"), ["i", "fp"], "left_semi").select("i", "s"), "survivors")
+    size = int(sets.agg(F.sum(F.length("s"))).first()[0] or 0)
+    if not size:
+        return _result(seen, rep, None, id_col)
+    parts = max(8, size // (8 << 20))
+    buckets = buckets_for(size // 8)
+    sets_by = sets.withColumn("__chunk", F.pmod(F.xxhash64("i"), F.lit(parts)).cast("int"))
+    arrays = lambda t: [np.frombuffer(x, np.uint64) for x in t["s"].to_pylist()]
+
+    def ask2(key: tuple, t: pa.Table) -> pa.Table:
+        k, n = _held(arrays(t))
+        return pack(key[0].as_py(), k, [n], buckets)
+
+    told2 = answered(sets_by.groupBy("__chunk").applyInArrow(ask2, ASK), ["u1"], _total, "shared")
+
+    def offer(key: tuple, t: pa.Table, told: pa.Table) -> pa.Table:
+        """The rarest shingles of each set, by bucket: a linked partner holds one of them."""
+        t = t.sort_by("i")
+        every = arrays(t)
+        keys, _ = _held(every)
+        many = unpack(told, keys, ["u1"])[0]
+        got, doc = [], []
+        for k, s in enumerate(every):
+            m = many[np.searchsorted(keys, s)]
+            if (m == 1).sum() > _most_unique(len(s), num, den):
+                continue
+            first = np.lexsort((s, m))[: len(s) - -(-num * len(s) // den) + 1]
+            first = first[m[first] > 1]
+            got.append(s[first])
+            doc.append(np.full(len(first), k, np.uint32))
+        k, x = (np.concatenate(got), np.concatenate(doc)) if got else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+        o = np.lexsort((x, k))
+        k, x = k[o], x[o]
+        # A document of this chunk is tied here to the first that offers the same key; the first one speaks for both.
         new = np.ones(len(k), bool)
         new[1:] = k[1:] != k[:-1]
-        lead = i[np.flatnonzero(new)][np.cumsum(new) - 1]
-        e = np.unique(np.column_stack([lead, i])[lead != i], axis=0)
+        ids = np.array(t["i"].to_pylist(), np.int64)
+        lead = x[new][np.cumsum(new) - 1] if len(x) else x
+        e = np.unique(np.column_stack([ids[lead], ids[x]])[lead != x], axis=0) if len(x) else np.zeros((0, 2), np.int64)
+        k, x = k[new], x[new]
+        to = ((k >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+        edge = np.searchsorted(to, np.arange(buckets + 1))
+        has = np.flatnonzero(np.diff(edge))
+        rows = [(int(h), k[edge[h] : edge[h + 1]].tobytes(), ids[x[edge[h] : edge[h + 1]]].tobytes()) for h in has]
+        rows += [(-1 - key[0].as_py() % buckets, e[:, 0].astype(np.int64).tobytes(), e[:, 1].astype(np.int64).tobytes())] if len(e) else []
+        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "a": pa.array([r[1] for r in rows], pa.binary()), "b": pa.array([r[2] for r in rows], pa.binary())})
+
+    def stars(key: tuple, t: pa.Table) -> pa.Table:
+        """The documents of each key, tied to the one with the smallest id."""
+        a, b = t["a"].to_pylist(), t["b"].to_pylist()
+        if key[0].as_py() < 0:
+            e = np.column_stack([np.concatenate([np.frombuffer(x, np.int64) for x in c]) for c in (a, b)])
+        else:
+            k, i = np.concatenate([np.frombuffer(x, np.uint64) for x in a]), np.concatenate([np.frombuffer(x, np.int64) for x in b])
+            o = np.lexsort((i, k))
+            k, i = k[o], i[o]
+            new = np.ones(len(k), bool)
+            new[1:] = k[1:] != k[:-1]
+            lead = i[np.flatnonzero(new)][np.cumsum(new) - 1]
+            e = np.unique(np.column_stack([lead, i])[lead != i], axis=0)
         return pa.table({"a": pa.array(e[:, 0], pa.int64()), "b": pa.array(e[:, 1], pa.int64())})
 
-    tied = table(firsts.select("i", "keys").mapInArrow(emit, "bucket int, ids binary, keys binary, doc binary").groupBy("bucket").applyInArrow(stars, "a long, b long").distinct(), "stars")
-    release(d)
-    family = table(components(tied), "families")
-    # The families' texts, with the first document of each beside every member for the distance from it.
-    members = family.select(F.col("id").alias("i"), F.col("component").alias("family"))
-    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
-    # At most (members / BLOCK) families are large.
-    large = sizes.where(F.col("size") > BLOCK)
-    texts = members.join(d, "i")
-    small = texts.join(sizes.where(F.col("size") <= BLOCK), "family").select("family", "i", "t")
+    offered = sets_by.groupBy("__chunk").cogroup(by(told2)).applyInArrow(offer, "bucket int, a binary, b binary")
+    tied = table(offered.groupBy("bucket").applyInArrow(stars, "a long, b long").distinct(), "stars")
+    members = table(components(tied).select(F.col("id").alias("i"), F.col("component").alias("family")), "families")
+    large = table(members.groupBy("family").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK), "large")
+    mine = table(members.join(sets, "i").select("family", "i", "s"), "members")
+    # There are at most (members / BLOCK) large families.
+    small_ones = mine.join(F.broadcast(large), "family", "left_anti")
 
     def link(t: pa.Table) -> pa.Table:
         ids, sides = t["i"].to_pylist(), t["side"].to_pylist() if "side" in t.column_names else [0] * t.num_rows
-        e = join_block(shingle_sets(t["t"].to_pylist(), width), sides, num, den)
+        e = join_block(arrays(t), sides, num, den)
         return pa.table({"a": pa.array([ids[x] for x, _ in e], pa.int64()), "b": pa.array([ids[y] for _, y in e], pa.int64())})
 
-    links = small.groupBy("family").applyInArrow(link, "a long, b long")
+    links = small_ones.groupBy("family").applyInArrow(link, "a long, b long")
     if large.limit(1).count():
-        links = links.union(_large(texts.join(F.broadcast(large), "family"), width, num, den, link))
+        links = links.union(_large(mine.join(F.broadcast(large.select("family")), "family"), num, den, link))
     joined = components(table(links, "links"))
     release(d)
-    group = rep.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    return _result(seen, rep, joined, id_col)
+
+
+def _result(seen: DataFrame, rep: DataFrame, joined: DataFrame | None, id_col: str) -> DataFrame:
+    group = rep.select("fp", F.col("rep").alias("component"))
+    if joined is not None:
+        group = rep.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
     out = seen.select("i", "n", "fp").join(table(group, "groups"), "fp", "left")
     own = F.when(F.col("i").isNull(), F.lit(None).cast("long")).when(F.col("n") == 0, F.col("i")).otherwise(F.col("component"))
     return out.select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
-def _large(texts: DataFrame, width: int, num: int, den: int, link) -> DataFrame:
+def _large(mine: DataFrame, num: int, den: int, link) -> DataFrame:
     """Links of families of more than ``BLOCK`` documents, by pairs of blocks."""
-    first = texts.groupBy("family").agg(F.min_by("t", "i").alias("t0"))
+    from pyspark.sql import Window
+
+    first = table(mine.groupBy("family").agg(F.min_by("s", "i").alias("s0")), "first")
 
     def far(batches):
         for b in batches:
-            sets, zero = shingle_sets(b.column(2).to_pylist(), width), {}
-            d = []
-            for s, t0 in zip(sets, b.column(3).to_pylist()):
-                if t0 not in zero:
-                    if len(zero) > 8:
-                        zero.clear()
-                    zero[t0] = shingle_sets([t0], width)[0]
-                d.append(len(np.setxor1d(s, zero[t0], assume_unique=True)))
-            n = [len(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(d, pa.int64()), pa.array(n, pa.int64())], ["family", "i", "t", "far", "n"])
-
-    d = texts.join(first, "family").select("family", "i", "t", "t0").mapInArrow(far, "family long, i long, t string, far long, n long")
-    d = table(d, "distances")
-    # Blocks: about BLOCK documents each, in order of the distance.
-    slim = d.select("family", "i", "far", "n")
-    counts = slim.groupBy("family", "far").agg(F.count(F.lit(1)).alias("c"))
-    from pyspark.sql import Window
-
+            d, n = [], []
+            for x, x0 in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                s = np.frombuffer(x, np.uint64)
+                d.append(len(np.setxor1d(s, np.frombuffer(x0, np.uint64), assume_unique=True)))
+                n.append(len(s))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(d, pa.int64()), pa.array(n, pa.int64())], ["family", "i", "s", "far", "n"])
+
+    d = table(mine.join(first, "family").select("family", "i", "s", "s0").mapInArrow(far, "family long, i long, s binary, far long, n long"), "distances")
+    counts = d.groupBy("family", "far").agg(F.count(F.lit(1)).alias("c"))
+    # One row per family and distance: as many as distances, not as documents.
     w = Window.partitionBy("family").orderBy("far")
-    before = counts.withColumn("before", F.sum("c").over(w) - F.col("c"))
+    before = table(counts.withColumn("before", F.sum("c").over(w) - F.col("c")), "before")
     d = d.join(before, ["family", "far"])
     # Documents at one distance that overflow a block are dealt over several by their id's hash.
     deal = F.when(F.col("c") > BLOCK, F.pmod(F.xxhash64("i"), F.ceil(F.col("c") / BLOCK))).otherwise(F.lit(0))
-    d = d.withColumn("block", (F.floor(F.col("before") / BLOCK) + deal).cast("long"))
+    d = table(d.select("family", "i", "s", "far", "n", (F.floor(F.col("before") / BLOCK) + deal).cast("long").alias("block")), "blocks")
     blocks = d.groupBy("family", "block").agg(F.min("far").alias("lo"), F.max("far").alias("hi"), F.max("n").alias("n"))
     x, y = blocks.alias("x"), blocks.alias("y")
-    apart = (F.col("y.lo") - F.col("x.hi"))
-    other = (F.col("x.lo") - F.col("y.hi"))
     reach = (F.col("x.n") + F.col("y.n")) * F.lit((den - num) / (den + num)) + 1
-    pairs = x.join(y, (F.col("x.family") == F.col("y.family")) & (F.col("x.block") <= F.col("y.block")) & (apart <= reach) & (other <= reach))
-    pairs = pairs.select(F.col("x.family").alias("family"), F.explode(F.array(F.struct(F.col("x.block").alias("block"), F.lit(0).alias("side")), F.struct(F.col("y.block").alias("block"), F.lit(1).alias("side")))).alias("s"), F.concat_ws("-", F.col("x.block"), F.col("y.block")).alias("pair"), (F.col("x.block") == F.col("y.block")).alias("same"))
-    pairs = pairs.select("family", "s.block", "s.side", "pair", "same").where("NOT (same AND side = 1)")
-    return d.join(pairs, ["family", "block"]).select("family", "pair", "side", "i", "t").groupBy("family", "pair").applyInArrow(link, "a long, b long")
+    near = (F.col("y.lo") - F.col("x.hi") <= reach) & (F.col("x.lo") - F.col("y.hi") <= reach)
+    pairs = x.join(y, (F.col("x.family") == F.col("y.family")) & (F.col("x.block") <= F.col("y.block")) & near)
+    side = lambda b, k: F.struct(F.col(f"{b}.block").alias("block"), F.lit(k).alias("side"))
+    pairs = pairs.select(F.col("x.family").alias("family"), F.concat_ws("-", F.col("x.block"), F.col("y.block")).alias("pair"), F.explode(F.when(F.col("x.block") == F.col("y.block"), F.array(side("x", 0))).otherwise(F.array(side("x", 0), side("y", 1)))).alias("e"))
+    pairs = table(pairs.select("family", "pair", "e.block", "e.side"), "pairs")
+    return d.join(pairs, ["family", "block"]).select("family", "pair", "side", "i", "s").groupBy("family", "pair").applyInArrow(link, "a long, b long")
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
