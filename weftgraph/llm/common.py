@@ -10,9 +10,13 @@ Conventions of every operator in this subpackage:
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +28,20 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 _TABLES: list[str] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the workers, unless they find it where the driver does."""
+    root = Path(__file__).resolve().parents[2]
+    paths = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    sc = spark.sparkContext
+    if any(p and Path(p).resolve() == root for p in paths) or getattr(sc, "_weftgraph_sent", False):
+        return
+    base = Path(tempfile.mkdtemp(prefix="weftgraph-")).resolve()
+    sc.addPyFile(shutil.make_archive(str(base / "weftgraph"), "zip", root, "weftgraph"))
+    sc._weftgraph_sent = True
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -50,6 +67,7 @@ def add_columns(df: DataFrame, inputs: Sequence[str], outputs: str, make: Callab
     a list (or Arrow array) for each field of the DDL string ``outputs``. ``keep``: the input columns that stay
     (default: all). Nothing is shuffled.
     """
+    ship(df.sparkSession)
     new = T._parse_datatype_string(outputs)
     taken = {f.name.lower() for f in new}
     stay = [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]
@@ -86,8 +104,6 @@ def shared_dir(spark: SparkSession) -> str:
     if not got:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weftgraph-"))
         got = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return got
@@ -96,6 +112,7 @@ def shared_dir(spark: SparkSession) -> str:
 def table(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Writes a table to the shared folder and reads it: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/weftgraph-{name}-{uuid.uuid4().hex}"
     out = df.write
     if partition_by:
