@@ -32,6 +32,8 @@ BUCKETS = 1 << 14
 SMOOTHING = 1.0
 SHARE = 0.5
 SEED = 17
+#: Good ids that may be sent to every task (64 MB); beyond it, they are joined.
+MOST_IDS = 8_000_000
 _SLICES = 16
 _WORDS = bytes(LOWER[i] if i >= 0x80 or chr(i).isalnum() else 0x20 for i in range(256))
 
@@ -56,9 +58,13 @@ def ngram_counts(texts: list[str | None], buckets: int) -> tuple[np.ndarray, np.
     return b.astype(np.int64), np.concatenate([doc, doc[1:][same]])
 
 
-def bucket_totals(docs: DataFrame, text_col: str, weight: str, buckets: int = BUCKETS) -> np.ndarray:
-    """Per bucket, the n-grams of all rows and those of rows where the column ``weight`` counts (as often as it says)."""
-    d = docs.select(F.col(f"`{text_col}`").alias("t"), F.col(f"`{weight}`").cast("double").alias("w"))
+def bucket_totals(docs: DataFrame, text_col: str, good, buckets: int = BUCKETS) -> np.ndarray:
+    """Per bucket, the n-grams of all rows and those of the good rows.
+
+    ``good``: a boolean column, or (an id column, a broadcast sorted array of the good ids).
+    """
+    ids = None if isinstance(good, str) else good[1]
+    d = docs.select(F.col(f"`{text_col}`").alias("t"), F.col(f"`{good if ids is None else good[0]}`").alias("g"))
 
     def run(batches):
         total = np.zeros((2, buckets))
@@ -66,7 +72,13 @@ def bucket_totals(docs: DataFrame, text_col: str, weight: str, buckets: int = BU
             for lo in range(0, b.num_rows, 2000):
                 part = b.slice(lo, 2000)
                 k, doc = ngram_counts(part.column(0).to_pylist(), buckets)
-                w = part.column(1).to_numpy(zero_copy_only=False)
+                g = part.column(1)
+                if ids is None:
+                    w = np.array(g.fill_null(False).to_pylist(), float)
+                else:
+                    x, known = g.fill_null(0).to_numpy(zero_copy_only=False), ids.value
+                    at = np.minimum(np.searchsorted(known, x), max(0, len(known) - 1))
+                    w = ((known[at] == x) & g.is_valid().to_numpy(zero_copy_only=False)).astype(float) if len(known) else np.zeros(len(x))
                 total[0] += np.bincount(k, minlength=buckets)
                 total[1] += np.bincount(k, w[doc], minlength=buckets)
         step = buckets // _SLICES
@@ -133,11 +145,15 @@ def kth_largest(df: DataFrame, col: str, k: int, bins: int = 4096) -> float:
 
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", share: float = SHARE, seed: int = SEED) -> DataFrame:
     """``(id, log_weight, sample_key, selected)`` per row; the share ``share`` of the rows is selected, exactly."""
-    good = labels.where((F.col(f"`{label_col}`") == 1) & F.col(f"`{id_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("i")).agg(F.lit(1.0).alias("w"))
+    good = labels.where((F.col(f"`{label_col}`") == 1) & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("i")).distinct()
     d = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t"))
-    raw = bucket_totals(d.withColumn("w", F.lit(0.0)), "t", "w")[0]
-    target = bucket_totals(d.join(good, "i").withColumn("w", F.lit(1.0)), "t", "w")[1]
-    w = table(weigh(d, log_ratios(np.stack([raw, target])), "i", "t", seed).drop("t"), "weights")
+    if dict(good.dtypes)["i"] in ("int", "bigint") and good.count() <= MOST_IDS:
+        # At most eight bytes for each of MOST_IDS ids: the texts stay where they are.
+        ids = np.sort(good.select(F.col("i").cast("long")).toArrow()["i"].to_numpy())
+        totals = bucket_totals(d.withColumn("k", F.col("i").cast("long")), "t", ("k", d.sparkSession.sparkContext.broadcast(ids)))
+    else:
+        totals = bucket_totals(d.join(good.withColumn("g", F.lit(True)), "i", "left"), "t", "g")
+    w = table(weigh(d, log_ratios(totals), "i", "t", seed).drop("t"), "weights")
     n = w.count()
     k = math.floor(share * n)
     if k <= 0 or k >= n:

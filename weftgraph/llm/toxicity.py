@@ -2,9 +2,9 @@
 
 A sparse logistic regression over the presence of words and word beginnings in a text. Besides the labelled texts,
 training looks at counterfactuals: a labelled sentence that names a group, with the group's name swapped for another
-of its set. The penalty ``swap_weight * (logit(x) - logit(x'))**2`` pulls their scores together, so naming a group
-does not itself raise a score; the built-in neutral sentences about every group, labelled 0, keep mentions harmless
-even where the labelled texts name nobody.
+of its set, and with the name left out. The penalty ``swap_weight * (logit(x) - logit(x'))**2`` pulls their scores
+together, so naming a group neither raises nor lowers a score; built-in neutral sentences about every group, without
+a label, put all names under the penalty even where the labelled texts name nobody.
 
 Scale: training reads the labels of all rows, then fits on at most ``SAMPLE_ROWS`` labelled texts (lowest hashes of
 their ids) of at most ``SAMPLE_BYTES`` in all: both bounds are parameters. Scoring needs a dictionary of at most
@@ -44,7 +44,7 @@ GROUPS: list[list[str]] = [
     ["femmes", "hommes"], ["juifs", "musulmans", "chrétiens"], ["immigrés", "réfugiés"],
     ["mujeres", "hombres"], ["judíos", "musulmanes", "cristianos"], ["inmigrantes", "refugiados"],
 ]
-#: Neutral frames for every name, labelled 0.
+#: Neutral frames for every name.
 NEUTRAL = ["many {} people live in this town", "the {} met friends at the market", "she wrote a book about {} families"]
 _LETTERS = bytes(LOWER[i] if i >= 0x80 or chr(i).isalpha() else 0x20 for i in range(256))
 
@@ -92,7 +92,7 @@ def swaps() -> dict[bytes, bytes]:
 def fit(labelled: Callable[[], Iterable[tuple[str | None, int]]], most: int = MOST_FEATURES, swap_weight: float = 1.0, l1: float = 2e-5, rounds: int = 300) -> Model:
     """Fits the model on (text, 0 or 1) rows, which ``labelled()`` must give in the same order each time it is called."""
     swap = swaps()
-    neutral = [(f.format(n), 0) for g in GROUPS for n in g for f in NEUTRAL]
+    neutral = [(f.format(n), None) for g in GROUPS for n in g for f in NEUTRAL]
     seen, n = (Counter(), Counter()), [0, 0]
     for text, y in labelled():
         seen[y].update(present(parts(text)))
@@ -101,15 +101,18 @@ def fit(labelled: Callable[[], Iterable[tuple[str | None, int]]], most: int = MO
         p = (n[1] + 0.5) / (sum(n) + 1) if sum(n) else 0.5
         p = min(max(p, 1e-6), 1 - 1e-6)
         return Model({}, math.log(p / (1 - p)))
-    # The features whose presence differs most between the labels, by the log-odds in units of its standard error.
-    z = {}
+    # The features whose presence tells most about the label: the root of the G statistic of the 2 x 2 table.
+    z, m_all = {}, sum(n)
     for k in seen[0].keys() | seen[1].keys():
         a, b = seen[1][k], seen[0][k]
-        if a + b >= 3:
-            p, q = (a + 0.5) / (n[1] + 1), (b + 0.5) / (n[0] + 1)
-            v = abs(math.log(p / q)) / math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-            if v > 4:
-                z[k] = v
+        if a + b < 3:
+            continue
+        g = 0.0
+        for have, of in ((a, n[1]), (b, n[0])):
+            for o, e in ((have, of * (a + b) / m_all), (of - have, of * (m_all - a - b) / m_all)):
+                g += 2 * o * math.log(o / e) if o else 0.0
+        if g > 20:
+            z[k] = g
     names = sorted(z, key=lambda k: (-z[k], k))[:most]
     names += sorted({k for w in swap for k in present([w])} - set(names))
     at = {k: i for i, k in enumerate(names)}
@@ -117,18 +120,21 @@ def fit(labelled: Callable[[], Iterable[tuple[str | None, int]]], most: int = MO
     n_rows = 0
     for text, y in [*labelled(), *neutral]:
         words = parts(text)
-        x = [at[k] for k in present(words) if k in at]
-        rows += [n_rows] * len(x)
-        cols += x
-        ys.append(y)
-        n_rows += 1
+        x = {at[k] for k in present(words) if k in at}
+        if y is not None:
+            rows += [n_rows] * len(x)
+            cols += list(x)
+            ys.append(y)
+            n_rows += 1
         if not swap.keys().isdisjoint(words):
-            other = {at[k] for k in present([swap.get(w, w) for w in words]) if k in at}
-            for sign, ks in ((1.0, set(x) - other), (-1.0, other - set(x))):
-                pair_rows += [pairs] * len(ks)
-                pair_cols += list(ks)
-                pair_sign += [sign] * len(ks)
-            pairs += 1
+            # The same sentence about another group, and about nobody in particular.
+            for changed in ([swap.get(w, w) for w in words], [w for w in words if w not in swap]):
+                other = {at[k] for k in present(changed) if k in at}
+                for sign, ks in ((1.0, x - other), (-1.0, other - x)):
+                    pair_rows += [pairs] * len(ks)
+                    pair_cols += list(ks)
+                    pair_sign += [sign] * len(ks)
+                pairs += 1
     rows, cols, y = np.array(rows, int), np.array(cols, int), np.array(ys, float)
     pair_rows, pair_cols, pair_sign = np.array(pair_rows, int), np.array(pair_cols, int), np.array(pair_sign)
     d, m = len(names), len(y)
