@@ -14,7 +14,10 @@ HIGH_DEGREE = 500
 
 def small(df: DataFrame, most: int = 64 << 20) -> DataFrame:
     """Marks a side for broadcast only if the planner's own estimate of it is below ``most`` bytes."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except ValueError:  # an estimate of thousands of digits, from joins of joins
+        return df
     return F.broadcast(df) if size <= most else df
 
 
