@@ -119,15 +119,27 @@ def table(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFra
         out = out.partitionBy(*partition_by)
     out.parquet(path)
     _TABLES.append(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    got = spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    got._weftgraph_path = path
+    return got
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of this module that nothing unfinished reads any more."""
+    for t in tables:
+        _TABLES.remove(t._weftgraph_path)
+        _delete(t.sparkSession, t._weftgraph_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def drop_tables(spark: SparkSession) -> None:
     """Deletes the tables written so far. Call it only when no unfinished DataFrame reads them."""
-    jvm = spark.sparkContext._jvm
     while _TABLES:
-        p = jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(spark, _TABLES.pop())
 
 
 def spread(df: DataFrame, n: int, *keys: Column | str) -> DataFrame:
@@ -155,6 +167,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         new = table(small, "cc")
         # A forest of stars: nobody is both a child and a root, and each child has one root.
         open_ = new.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() or new.join(new.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
+        discard(e, low, large, low2)
         e = new
         if not open_:
             break

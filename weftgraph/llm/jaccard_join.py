@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, mix64, read, space_words, table
+from .common import components, discard, mix64, read, space_words, table
 from .exchange import ASK, answered, buckets_for, chunked, pack, release, unpack
 
 WIDTH, NUM, DEN = 4, 85, 100
@@ -189,9 +189,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     release(d)
     rep = table(seen.where("n > 0 AND i IS NOT NULL").groupBy("fp").agg(F.min("i").alias("rep")), "classes")
     sets = table(seen.where("s IS NOT NULL").join(rep.select(F.col("rep").alias("i"), "fp"), ["i", "fp"], "left_semi").select("i", "s"), "survivors")
+    # What later steps need is written apart, and the rest deleted.
+    slim = table(seen.select("i", "n", "fp"), "digests")
+    discard(told, seen)
     size = int(sets.agg(F.sum(F.length("s"))).first()[0] or 0)
     if not size:
-        return _result(seen, rep, None, id_col)
+        return _result(slim, rep, None, id_col)
     parts = max(8, size // (8 << 20))
     buckets = buckets_for(size // 8)
     sets_by = sets.withColumn("__chunk", F.pmod(F.xxhash64("i"), F.lit(parts)).cast("int"))
@@ -255,6 +258,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = table(components(tied).select(F.col("id").alias("i"), F.col("component").alias("family")), "families")
     large = table(members.groupBy("family").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK), "large")
     mine = table(members.join(sets, "i").select("family", "i", "s"), "members")
+    discard(told2, sets)
+    release(d)
     # There are at most (members / BLOCK) large families.
     small_ones = mine.join(F.broadcast(large), "family", "left_anti")
 
@@ -268,7 +273,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         links = links.union(_large(mine.join(F.broadcast(large.select("family")), "family"), num, den, link))
     joined = components(table(links, "links"))
     release(d)
-    return _result(seen, rep, joined, id_col)
+    discard(mine)
+    return _result(slim, rep, joined, id_col)
 
 
 def _result(seen: DataFrame, rep: DataFrame, joined: DataFrame | None, id_col: str) -> DataFrame:
