@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import aggregate as ag
 from ..operators import beam as bm
-from ..operators import etl, evaluate, lookup, rank, solve, traverse
+from ..operators import etl, evaluate, lookup, rank, resolve, solve, traverse
 from ..operators.store import GraphStore, node_stats
 from ..sources import star
 
@@ -532,6 +532,40 @@ def kg_cvt_bundle(spark, sf):
     return bm.cvt_bundles(li, g, ["supplier", "part", "quantity"], "supplier")
 
 
+@query("kg_expansion_rerank", f"""
+WITH t AS (SELECT tail AS qid, head AS node, row_number() OVER (PARTITION BY tail ORDER BY head) AS pos FROM kg_triples WHERE relation = 'geo.nation.region'),
+z AS (SELECT t.*, CAST(8.0 + CASE WHEN t.node IN (SELECT tail FROM kg_triples WHERE relation = 'geo.supplier.nation') THEN 6.0 ELSE 0.0 END + CASE WHEN contains({_cat("e.name || ' ' || e.types")}, '1') THEN 2.0 ELSE 0.0 END AS DOUBLE) AS rerank_score FROM t JOIN kg_entities e ON e.mid = t.node)
+SELECT qid, node, CAST(pos AS INTEGER) AS pos, rerank_score, CAST(row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, pos) AS INTEGER) AS rerank_pos FROM z
+""")
+def kg_expansion_rerank(spark, sf):
+    from pyspark.sql import Window
+
+    g = graph(spark, sf)
+    t = g.edges.where("relation = 'geo.nation.region'").select(F.col("tail").alias("qid"), F.col("head").alias("node"))
+    t = t.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy("node")))
+    return resolve.rerank_expansion(t, g, ["country"], ["geo.supplier.nation"], ["1"], [], ["qid"])
+
+
+@query("kg_entity_rerank")
+def kg_entity_rerank(spark, sf):
+    g = graph(spark, sf)
+    m = g.entities.where("mid LIKE 'm.nation.%'").select(F.col("name").alias("mention"))
+    return resolve.rerank_entities(lookup.resolve_entities(m, g).select("mention", "mid", "score"), g, "country", "nation with suppliers")
+
+
+@query("kg_constrained_solver")
+def kg_constrained_solver(spark, sf):
+    g = graph(spark, sf)
+    return solve.constrained(mids(g, "region"), g, ["crm.customer.nation", "geo.nation.region"], "country", [], 5)
+
+
+@query("kg_node_expansion")
+def kg_node_expansion(spark, sf):
+    g = graph(spark, sf)
+    p = traverse.simple_paths(mids(g, "region"), geo(g), 1)
+    return traverse.expand_endpoints(p, geo(g), 1).select("seed", "terminal", "hops")
+
+
 # --- building the graph ----------------------------------------------------------------------------------------------
 
 
