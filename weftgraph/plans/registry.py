@@ -556,7 +556,7 @@ def kg_entity_rerank(spark, sf):
 @query("kg_constrained_solver")
 def kg_constrained_solver(spark, sf):
     g = graph(spark, sf)
-    return solve.constrained(mids(g, "region"), g, ["crm.customer.nation", "geo.nation.region"], "country", [], 5)
+    return solve.constrained(mids(g, "nation"), g, ["geo.nation.region"], "region", ["1"], 5)
 
 
 @query("kg_node_expansion")
