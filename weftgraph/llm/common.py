@@ -142,10 +142,6 @@ def drop_tables(spark: SparkSession) -> None:
         _delete(spark, _TABLES.pop())
 
 
-def spread(df: DataFrame, n: int, *keys: Column | str) -> DataFrame:
-    return df.repartition(max(1, n), *keys)
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge table of long ids: ``(id, component)``, component the smallest id.
 

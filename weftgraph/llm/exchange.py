@@ -11,6 +11,8 @@ Everything a chunk asks is a function of its set of rows, so a lost executor's w
 
 from __future__ import annotations
 
+import gc
+import time
 import zlib
 from collections.abc import Callable, Iterable
 
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-CHUNK = 10 << 20
+CHUNK = 8 << 20
 #: Keys of a bucket, roughly, over all chunks.
 BUCKET = 2_000_000
 
@@ -148,5 +150,11 @@ def buckets_for(keys: int) -> int:
 
 
 def release(df: DataFrame) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished jobs."""
-    df.sparkSession.sparkContext._jvm.System.gc()
+    """Lets Spark's cleaner drop the shuffle files of finished jobs.
+
+    The last query stays reachable until its end has gone through the listeners, hence the pause and the second call.
+    """
+    for pause in (0.7, 0.3):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(pause)

@@ -44,6 +44,18 @@ _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19
 
 def shingle_sets(texts: list[str | None], width: int = WIDTH) -> list[np.ndarray]:
     """The sorted 64-bit hashes of the distinct shingles of each text."""
+    out, lo = [], 0
+    while lo < len(texts):  # about a megabyte of words at a time
+        hi, size = lo, 0
+        while hi < len(texts) and (hi == lo or size < 1 << 20):
+            size += len(texts[hi] or "")
+            hi += 1
+        out += _shingle_sets(texts[lo:hi], width)
+        lo = hi
+    return out
+
+
+def _shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     import xxhash
 
     number: dict[bytes, int] = {}

@@ -32,7 +32,7 @@ from .common import mix64, read
 from .exchange import ASK, answered, buckets_for, chunked, pack, release, unpack
 
 LENGTH = 400
-SEGMENT = 1 << 19
+SEGMENT = 1 << 17
 _R = 0xD1342543DE82EF95
 _RINV = pow(_R, -1, 1 << 64)
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
