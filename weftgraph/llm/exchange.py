@@ -11,6 +11,7 @@ Everything a chunk asks is a function of its set of rows, so a lost executor's w
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
 import zlib
@@ -25,7 +26,7 @@ from .common import table
 
 CHUNK = 8 << 20
 #: Keys of a bucket, roughly, over all chunks.
-BUCKET = 2_000_000
+BUCKET = 500_000
 
 
 def chunked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, int]:
@@ -60,6 +61,15 @@ def chunked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int
     return d.withColumn("__chunk", (F.col("__c") * fine + part).cast("int")).drop("__c"), (len(cuts) + 1) * fine, total
 
 
+def trim() -> None:
+    """Gives memory that a worker has freed back to the system: workers are reused, and their peaks would add up."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def _squeeze(keys: np.ndarray) -> bytes:
     """Sorted keys as differences: five raw bytes each, the three high ones compressed."""
     d = np.diff(keys).astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -81,6 +91,7 @@ def _stretch(raw: bytes) -> np.ndarray:
 def pack(chunk: int, keys: np.ndarray, data: Iterable[np.ndarray], buckets: int) -> pa.Table:
     """The question of a chunk: ``keys`` sorted and distinct, ``data`` one array per fact known of each key."""
     data = list(data)
+    trim()
     b = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
     edge = np.searchsorted(b, np.arange(buckets + 1))
     has = np.flatnonzero(np.diff(edge))
@@ -121,8 +132,10 @@ def answered(asked: DataFrame, types: list[str], answer: Callable, name: str) ->
         distinct, number = np.unique(every, return_inverse=True)
         out, one, two = answer(chunk_of, distinct, number, *[np.concatenate(c) for c in cols])
         ends = np.cumsum(sizes)
-        replies = [zlib.compress(b"".join(x[a:z].tobytes() for x in out), 1) for a, z in zip(ends - sizes, ends)]
+        replies = [zlib.compress(b"".join([x[a:z].tobytes() for x in out]), 1) for a, z in zip(ends - sizes, ends)]
         zero = [0] * (len(sizes) - 1)
+        del every, distinct, number, out, cols, keys
+        trim()
         return pa.table({"chunk": t["chunk"].cast(pa.int32()), "bucket": t["bucket"].cast(pa.int32()), "reply": pa.array(replies, pa.binary()), "fact1": pa.array([int(one), *zero], pa.int64()), "fact2": pa.array([int(two), *zero], pa.int64())})
 
     return table(asked.groupBy("bucket").applyInArrow(run, TOLD), name)

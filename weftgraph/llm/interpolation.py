@@ -113,7 +113,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     d, n_chunks, total = chunked(d, "i", "t")
     # The deleted documents have chunks of their own, so that EM reads them alone.
     d = d.withColumn("__chunk", (F.col("__chunk") * 2 + (remainder_col("i", MOD) == DELETED).cast("int")).cast("int"))
-    buckets = buckets_for(total // 8)
+    buckets = buckets_for(total // 12)
 
     def ask(key: tuple, t: pa.Table) -> pa.Table:
         ids, sizes, keys, uni, bi, _ = _read_chunk(t, "i", "t")

@@ -181,7 +181,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def ask(key: tuple, t: pa.Table) -> pa.Table:
         _, sets, _, stands = _survey(t, width)
         k, n = _held([s for s, x in zip(sets, stands) if x])
-        return pack(key[0].as_py(), k, [n], buckets_for(total // 8))
+        return pack(key[0].as_py(), k, [n], buckets_for(total // 24))
 
     told = answered(d.groupBy("__chunk").applyInArrow(ask, ASK), ["u1"], _total, "shingles")
     release(d)
@@ -208,7 +208,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not size:
         return _result(slim, rep, None, id_col)
     parts = max(8, size // (8 << 20))
-    buckets = buckets_for(size // 8)
+    buckets = buckets_for(size // 16)
     sets_by = sets.withColumn("__chunk", F.pmod(F.xxhash64("i"), F.lit(parts)).cast("int"))
     arrays = lambda t: [np.frombuffer(x, np.uint64) for x in t["s"].to_pylist()]
 

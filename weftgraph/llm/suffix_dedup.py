@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mix64, read
-from .exchange import ASK, answered, buckets_for, chunked, pack, release, unpack
+from .exchange import ASK, answered, buckets_for, chunked, pack, release, trim, unpack
 
 LENGTH = 400
 SEGMENT = 1 << 17
@@ -298,7 +298,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     stay = [c for c in docs.columns if c.lower() not in {"n_bytes", "removed", "kept", "__chunk"}]
     d, n_chunks, total = chunked(docs.select(*[F.col(f"`{c}`") for c in stay]), id_col, text_col)
     lean = d.select("__chunk", F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
-    buckets = buckets_for(total // 20)
+    buckets = buckets_for(total * 16 // length)
 
     def ask(key: tuple, t: pa.Table) -> pa.Table:
         _, texts = _ordered(t, id_col, text_col)
@@ -332,6 +332,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
         a = both(c, first)
         keys, _ = c.ask_windows(*a)
         runs = c.removed(*a, unpack(second, keys, ["u1", "u1"])[0], keys)
+        trim()
         kept = []
         for x, rs in zip(texts, runs):
             edge = [0, *(e for r in rs for e in r), len(x)]
