@@ -10,7 +10,8 @@ from weftgraph.config import load_config
 from weftgraph.functions import text as tx
 from weftgraph.operators import aggregate, beam, etl, evaluate, lookup, rank, solve, traverse
 from weftgraph.operators.store import GraphStore
-from weftgraph.sources import files
+from weftgraph.plans import registry
+from weftgraph.sources import files, star
 from weftgraph.streaming import ingest
 
 TRIPLE = "head string, relation string, tail string, tail_kind string"
@@ -151,6 +152,29 @@ def test_dedupe_folds_empty_terminals(spark):
     assert sorted((r.ord, r.terminal) for r in rank.dedupe(d).collect()) == [(0, "m.x"), (2, "m.y")]
 
 
+@pytest.mark.parametrize(("most", "want"), [(3, ["m.b1", "m.b2", "m.b3"]), (300, [f"m.b{i}" for i in range(1, 201)]), (400, None)])
+def test_branch_reduction_starts_at_two_nodes(spark, most, want):
+    """One seed, 200 branches of two paths each: the first per branch, at most ``most``; few enough paths all stay."""
+    rows = [(0, ["m.s", f"m.b{i}", f"m.e{i}{x}"], 2 * i + k) for i in range(1, 201) for k, x in enumerate("xy")]
+    d = rank.branch_reduce(spark.createDataFrame(rows, "qid int, nodes array<string>, ord int"), most).orderBy("ord").collect()
+    got = [r.nodes[1] for r in d]
+    assert got == (want or [r[1][1] for r in rows])
+    assert not want or all(r.nodes[2].endswith("x") for r in d)
+
+
+def test_branch_reduce_query_equals_the_rule_in_sql(spark):
+    """The rule of the reference in SQL; the registered SQL still takes one path per seed."""
+    duckdb = pytest.importorskip("duckdb")
+    sf = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    for t in "region nation customer supplier part orders lineitem".split():
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    scored = f"{star.SQL_PREFIX}, {registry._SCORED.strip()}"
+    k = "SELECT text, rank, row_number() OVER (PARTITION BY nodes[1:2] ORDER BY rank) AS f, count(*) OVER () AS n FROM rk"
+    want = db.execute(f"{scored} SELECT text FROM ({k}) WHERE n <= 5 OR f = 1 ORDER BY rank LIMIT 5").fetchall()
+    assert sorted(r.text for r in registry.QUERIES["kg_branch_reduce"](spark, sf).collect()) == sorted(r[0] for r in want)
+
+
 def test_etl(spark):
     ns = etl.NAMESPACE
     rdf = [(f"{ns}m.a", f"{ns}type.object.name", "A", "literal", "en"), (f"{ns}m.a", f"{ns}x.y.held", f"{ns}g.c", "uri", None), (f"{ns}g.c", f"{ns}z.w.by", f"{ns}m.b", "uri", None), (f"{ns}g.c", f"{ns}z.w.on", "2001", "literal", None), (f"{ns}g.c", f"{ns}type.object.type", f"{ns}z.mediator", "uri", None), (f"{ns}m.b", f"{ns}type.object.name", "B", "literal", "en"), (f"{ns}m.a", f"{ns}user.x.y", "no", "literal", None)]

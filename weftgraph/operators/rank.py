@@ -75,23 +75,15 @@ def dedupe(paths: DataFrame, order: str = "ord") -> DataFrame:
     return d.where("__n = 1").withColumn(order, F.col("__first")).drop("__k", "__t", "__first", "__n")
 
 
-def branch_reduce(paths: DataFrame, most: int, order: str = "ord", longest: int = 4) -> DataFrame:
-    """First paths per beginning of 1, 2, ... nodes: the shortest beginning whose paths are at most ``most``, else the first ``most``."""
-    d = paths
-    for p in range(longest, 0, -1):
-        w = Window.partitionBy("qid", F.slice("nodes", 1, p)).orderBy(order)
-        d = d.withColumn(f"__f{p}", (F.row_number().over(w) == 1))
+def branch_reduce(paths: DataFrame, most: int, order: str = "ord") -> DataFrame:
+    """All paths if they are at most ``most``, else the first per beginning of two nodes, and of those the first ``most``.
+
+    Longer beginnings change nothing: paths that differ in their first two nodes differ in longer beginnings, too.
+    """
     q = Window.partitionBy("qid")
-    n = F.count(F.lit(1)).over(q)
-    d = d.withColumn("__n", n)
-    pick = F.col("__f1")
-    for p in range(2, longest + 1):
-        d = d.withColumn(f"__c{p}", F.sum(F.col(f"__f{p}").cast("int")).over(q))
-    for p in range(2, longest + 1):
-        pick = F.when(F.col(f"__c{p}") <= most, F.col(f"__f{p}")).otherwise(pick)
-    d = d.where(F.when(F.col("__n") <= most, F.lit(True)).otherwise(pick))
-    d = d.withColumn("__o", F.row_number().over(q.orderBy(order))).where(F.col("__o") <= most)
-    return d.select(paths.columns)
+    d = paths.withColumn("__n", F.count(F.lit(1)).over(q)).withColumn("__f", F.row_number().over(Window.partitionBy("qid", F.slice("nodes", 1, 2)).orderBy(order)))
+    d = d.where((F.col("__n") <= most) | (F.col("__f") == 1))
+    return d.withColumn("__o", F.row_number().over(q.orderBy(order))).where(F.col("__o") <= most).select(paths.columns)
 
 
 def fuzzy_top(paths: DataFrame, similarity: Column, width: int) -> DataFrame:
