@@ -175,6 +175,29 @@ def test_branch_reduce_query_equals_the_rule_in_sql(spark):
     assert sorted(r.text for r in registry.QUERIES["kg_branch_reduce"](spark, sf).collect()) == sorted(r[0] for r in want)
 
 
+def hub(spark, n=80):
+    """A hub with n neighbours; the 56th by id is of another type, has another name and an edge to another node."""
+    e = [("m.hub", "Hub", ["geo.nation"], False), ("m.near", "Near", ["geo.place"], False)]
+    e += [(f"m.x{i:03}", "Wanted" if i == 55 else f"X{i}", ["org.supplier" if i == 55 else "crm.customer"], False) for i in range(n)]
+    t = [(f"m.x{i:03}", "r.in", "m.hub", "id") for i in range(n)] + [("m.x055", "r.by", "m.near", "id")]
+    return GraphStore(spark.createDataFrame(t, TRIPLE), spark.createDataFrame(e, "mid string, name string, types array<string>, is_cvt boolean"))
+
+
+def test_beam_search_ranks_before_it_cuts(spark):
+    """A typed target beyond the first 20 ids of a hub wins a place among the first 50."""
+    seeds = spark.createDataFrame([(1, "who is in", "m.hub")], "qid int, query string, node string")
+    _, f = beam.search(seeds, hub(spark), beam.BeamConfig(max_hops=1, expected_type="supplier"))
+    assert [r.node for r in f.orderBy("ord").collect()] == ["m.x055", *[f"m.x{i:03}" for i in range(49)]]
+
+
+@pytest.mark.parametrize(("config", "kept"), [({"constraint_terms": ("wanted",)}, 50), ({"constraint_targets": ("m.near",)}, 50), ({"expected_type": "supplier", "min_candidates": 81}, 20)])
+def test_expansion_overfetches_where_something_is_cut(spark, config, kept):
+    actions = spark.createDataFrame([(1, "", "r.in", "reverse")], "qid int, state_id string, relation string, direction string")
+    front = spark.createDataFrame([(1, "", "m.hub", 1)], "qid int, state_id string, node string, ord int")
+    got = [r.target for r in beam.expand(actions, front, hub(spark), beam.BeamConfig(**config)).where("first = 1 AND place <= 50").orderBy("place").collect()]
+    assert len(got) == kept and (got[0] == "m.x055") == (kept == 50)
+
+
 def test_etl(spark):
     ns = etl.NAMESPACE
     rdf = [(f"{ns}m.a", f"{ns}type.object.name", "A", "literal", "en"), (f"{ns}m.a", f"{ns}x.y.held", f"{ns}g.c", "uri", None), (f"{ns}g.c", f"{ns}z.w.by", f"{ns}m.b", "uri", None), (f"{ns}g.c", f"{ns}z.w.on", "2001", "literal", None), (f"{ns}g.c", f"{ns}type.object.type", f"{ns}z.mediator", "uri", None), (f"{ns}m.b", f"{ns}type.object.name", "B", "literal", "en"), (f"{ns}m.a", f"{ns}user.x.y", "no", "literal", None)]

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.text import jaccard, norm_beam, norm_catalog, tokens, type_match, type_names
 from .aggregate import frontier_relations
 from .lookup import metadata
+from .resolve import rerank_expansion
 from .store import GraphStore
 
 # Relations never followed, and the words that tell relations of mediators.
@@ -41,6 +42,14 @@ class BeamConfig:
     hint_text: str = ""
     anchor_text: str = ""
     dependency_text: str = ""
+    # Ranking of an expansion's targets before its limits: hints by name, terms and ids of dependencies, wider limits.
+    hint_names: tuple[str, ...] = ()
+    constraint_terms: tuple[str, ...] = ()
+    constraint_targets: tuple[str, ...] = ()
+    rerank: bool = True
+    overfetch_factor: int = 3
+    max_overfetch: int = 200
+    min_candidates: int = 50
 
 
 def filter_candidates(c: DataFrame) -> DataFrame:
@@ -92,25 +101,67 @@ def candidates(states: DataFrame, frontier: DataFrame, store: GraphStore, config
     return c.withColumn("candidate_rank", F.row_number().over(w)).where(F.col("candidate_rank") <= config.top_k)
 
 
-def expand(actions: DataFrame, frontier: DataFrame, store: GraphStore, config: BeamConfig) -> DataFrame:
-    """Budgeted expansion of all (state, action) pairs at once: the rows used up, in order."""
+def rerank_hints(actions: DataFrame, ranked: DataFrame, store: GraphStore, config: BeamConfig) -> DataFrame:
+    """Relations that speak for a target, per action (``qid, state_id, relation, direction, hint``).
+
+    The other relations among the state's first 12 candidates, and those that the hints' and these candidates' names
+    (12 names, three relations each) stand for.
+    """
+    keys = ["qid", "state_id", "relation", "direction"]
+    top = ranked.where("candidate_rank <= 12").select("qid", "state_id", F.col("relation").alias("hint"), "relation_name", "candidate_rank")
+    a = actions.select(*keys)
+    other = a.join(top, ["qid", "state_id"]).where("hint <> relation").select(*keys, "hint")
+    given = config.hint_names or ((config.hint_text,) if config.hint_text else ())
+    names = top.groupBy("qid", "state_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("candidate_rank", "relation_name"))), lambda x: x["relation_name"]).alias("names"))
+    names = names.select("qid", "state_id", F.filter(F.concat(F.array(*[F.lit(g) for g in given]).cast("array<string>"), "names"), lambda x: norm_catalog(x) != "").alias("names"))
+    names = names.select("qid", "state_id", F.explode(F.slice(F.array_distinct("names"), 1, 12)).alias("name")).withColumn("lookup_norm", norm_catalog(F.col("name")))
+    w = Window.partitionBy("lookup_norm").orderBy("relation", "lookup_source")
+    known = store.relation_lookup.withColumn("n", F.row_number().over(w)).where("n <= 3").select("lookup_norm", F.col("relation").alias("hint")).distinct()
+    return other.union(a.join(names.join(known, "lookup_norm"), ["qid", "state_id"]).select(*keys, "hint")).distinct()
+
+
+def expand(actions: DataFrame, frontier: DataFrame, store: GraphStore, config: BeamConfig, ranked: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    """Budgeted expansion of all (state, action) pairs at once: the rows used up, in order; ``place`` orders the targets.
+
+    Where an action has ``min_candidates`` targets or more and a limit would cut some, the limits are wider by
+    ``overfetch_factor``, and the targets found are ranked (``rerank_expansion``; ``ranked``: the states' candidates) before
+    ``max_nodes`` of them are kept: those with ``place <= max_nodes``.
+    """
     keys = ["qid", "state_id", "relation", "direction"]
     a = actions.select(*keys).join(frontier, ["qid", "state_id"])
     fwd = store.edges.select(F.col("head").alias("node"), "relation", F.col("tail").alias("target"), F.lit("forward").alias("direction"))
     back = store.edges.where("tail_kind = 'id'").select(F.col("tail").alias("node"), "relation", F.col("head").alias("target"), F.lit("reverse").alias("direction"))
     d = a.join(fwd.unionByName(back).distinct(), ["node", "relation", "direction"])
-    per = Window.partitionBy(*keys, "node")
-    d = d.withColumn("rn", F.row_number().over(per.orderBy("target"))).withColumn("over", F.count(F.lit(1)).over(per) > config.per_source).where(F.col("rn") <= config.per_source)
+    signal = config.rerank and (ranked is not None or bool(type_names(config.expected_type) or config.hint_names or config.constraint_terms or config.constraint_targets))
+    cap = max(config.max_nodes, config.max_overfetch)
+    wider = lambda n: min(max(n * config.overfetch_factor, n), cap) if signal else n
+    per, every = Window.partitionBy(*keys, "node"), Window.partitionBy(*keys)
+    d = d.withColumn("rn", F.row_number().over(per.orderBy("target"))).withColumn("total", F.count(F.lit(1)).over(per)).where(F.col("rn") <= max(wider(config.per_source), config.per_source))
+    total = F.sum(F.when(F.col("rn") == 1, F.col("total"))).over(every)
+    risk = (total > config.max_nodes) | (F.max("total").over(every) > config.per_source)
+    d = d.withColumn("wide", F.lit(bool(signal)) & risk & (total >= max(1, config.min_candidates)))
+    limit = lambda n: F.when(F.col("wide"), wider(n)).otherwise(n)
+    d = d.where(F.col("rn") <= limit(config.per_source))
     d = d.withColumn("first", (F.row_number().over(Window.partitionBy(*keys, "target").orderBy("ord", "rn")) == 1).cast("int"))
     d = d.withColumn("seen", F.sum("first").over(Window.partitionBy(*keys).orderBy("ord", "rn")))
-    return d.where(F.col("seen") - F.col("first") < config.max_nodes)
+    d = d.where(F.col("seen") - F.col("first") < limit(config.max_nodes))
+    d = d.withColumn("over", F.max((F.col("total") > limit(config.per_source)) | (F.col("seen") >= limit(config.max_nodes))).over(every)).drop("total")
+    if not signal:
+        return d.withColumn("place", F.col("seen")).drop("wide")
+    d = keep(d)
+    found = d.where("wide AND first = 1").select(*keys, F.col("target").alias("node"), F.col("seen").alias("pos"))
+    hints = keep(rerank_hints(actions, ranked, store, config)) if ranked is not None else []
+    t = [config.expected_type] if config.expected_type else []
+    found = rerank_expansion(found, store, t, hints, list(config.constraint_terms), list(config.constraint_targets), keys)
+    d = d.join(found.select(*keys, F.col("node").alias("target"), "rerank_pos"), [*keys, "target"], "left")
+    return d.withColumn("place", F.coalesce("rerank_pos", "seen")).drop("wide", "rerank_pos")
 
 
 def children(actions: DataFrame, used: DataFrame, parents: DataFrame, store: GraphStore, config: BeamConfig, hop: int) -> tuple[DataFrame, DataFrame]:
     """Child states with their scores, and their frontiers."""
     keys = ["qid", "state_id", "relation", "direction"]
     edge = F.struct("node", "relation", "direction", "target")
-    nodes = used.where("first = 1").select(*keys, "target", "seen", F.concat("evidence", F.array(edge)).alias("evidence"))
+    nodes = used.where((F.col("first") == 1) & (F.col("place") <= config.max_nodes)).select(*keys, "target", F.col("place").alias("seen"), F.concat("evidence", F.array(edge)).alias("evidence"))
     meta = metadata(nodes.select(F.col("target").alias("node")), store).withColumnRenamed("node", "target")
     n = nodes.join(meta, "target")
     typ = type_match(config.expected_type, F.col("name"), F.col("types"))
@@ -133,8 +184,7 @@ def children(actions: DataFrame, used: DataFrame, parents: DataFrame, store: Gra
     base = F.when(F.col("role") == "answer", 0.55).otherwise(0.2)
     plain = F.when((F.col("plain") == 1) & (F.col("type_score") > 0), 0.55 + 0.35 * F.col("type_score")).otherwise(0.0)
     sure = F.when((F.col("sure") == 1) & (F.col("role") == "intermediate"), 0.84).otherwise(0.0)
-    trunc = F.col("over") | (F.col("size") >= config.max_nodes)
-    pay = F.least(F.lit(0.4), F.col("size") / config.max_nodes * 0.15 + F.col("edge_count") / config.max_nodes * 0.1 + F.when(trunc, 0.1).otherwise(0.0) + F.least(F.lit(0.15), F.col("avg_degree") / 5000.0))
+    pay = F.least(F.lit(0.4), F.col("size") / config.max_nodes * 0.15 + F.col("edge_count") / config.max_nodes * 0.1 + F.when(F.col("over"), 0.1).otherwise(0.0) + F.least(F.lit(0.15), F.col("avg_degree") / 5000.0))
     c = c.withColumns({
         "semantic_score": F.least(F.lit(1.0), 0.6 * F.col("semantic_score") + 0.4 * F.col("confidence")),
         "answer_score": F.least(F.lit(1.0), F.greatest(base, plain, sure, F.coalesce("lit_score", F.lit(0.0)))),
@@ -188,8 +238,9 @@ def search(seeds: DataFrame, store: GraphStore, config: BeamConfig | None = None
     frontier = seeds.select("qid", F.lit("").alias("state_id"), "node", F.array().cast(evidence).alias("evidence")).withColumn("ord", F.row_number().over(Window.partitionBy("qid").orderBy("node")))
     done_s, done_f = [], []
     for hop in range(1, config.max_hops + 1):
-        acts = keep(policy(candidates(states, frontier.drop("evidence"), store, config), config))
-        used = keep(expand(acts, frontier, store, config))
+        ranked = keep(candidates(states, frontier.drop("evidence"), store, config))
+        acts = keep(policy(ranked, config))
+        used = keep(expand(acts, frontier, store, config, ranked, keep))
         new, front = children(acts, used, states, store, config, hop)
         new = keep(prune(new, hop, config.beam_width)).withColumn("state_id", F.col("signature"))
         front = keep(front.join(new.select("qid", "state_id"), ["qid", "state_id"], "left_semi"))

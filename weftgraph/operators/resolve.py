@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import norm_catalog, overlap_left, tokens, type_names
 from .aggregate import frontier_relations
 from .lookup import having_relation, metadata, touching
-from .store import GraphStore
+from .store import GraphStore, small
 
 # Words put before and after a name to find entities of a type, and the ends of a place's qualifier.
 TYPE_WORDS: dict[str, list[str]] = {
@@ -40,23 +40,30 @@ def _any(names: list[str], test) -> Column:
     return F.exists(F.array(*[F.lit(n) for n in names]), test) if names else F.lit(False)
 
 
-def rerank_expansion(targets: DataFrame, store: GraphStore, expected_types: list[str], relations: list[str], terms: list[str], constraint_targets: list[str], keys: list[str]) -> DataFrame:
+def rerank_expansion(targets: DataFrame, store: GraphStore, expected_types: list[str], relations: list[str] | DataFrame, terms: list[str], constraint_targets: list[str], keys: list[str]) -> DataFrame:
     """Adds ``rerank_score`` and ``rerank_pos`` to targets (``keys, node, pos``).
 
     8 for a type name in name or types (else 2 for a shared word), 6 for an edge of a hinted relation, 2 per term, 3 for
     an edge to a constraint's target, -2 for mediators and for literals where no date is expected. All zero: as it was.
+    ``relations``: the hinted ones, for all targets or as rows (``keys, hint``).
     """
     names = sorted({n for t in expected_types for n in type_names(t)})
     m = metadata(targets.select("node"), store)
     d = targets.join(m, "node", "left")
     ids = targets.select("node").distinct()
-    if relations:
+    hinted = isinstance(relations, DataFrame) or bool(relations)
+    if isinstance(relations, DataFrame):
+        ends = store.edges.select(F.col("head").alias("node"), F.col("relation").alias("hint")).union(store.edges.where("tail_kind = 'id'").select(F.col("tail").alias("node"), F.col("relation").alias("hint")))
+        ends = ends.join(small(ids), "node", "left_semi").distinct()
+        hit = targets.select(*keys, "node").join(ends, "node").join(small(relations), [*keys, "hint"], "left_semi").select(*keys, "node").distinct()
+        d = d.join(hit.withColumn("__r", F.lit(True)), [*keys, "node"], "left")
+    elif relations:
         d = d.join(having_relation(ids, store.edges, relations).withColumn("__r", F.lit(True)), "node", "left")
     if constraint_targets:
         d = d.join(touching(ids, store.edges, constraint_targets).withColumn("__c", F.lit(True)), "node", "left")
     hay = norm_catalog(F.concat_ws(" ", "name", F.concat_ws(" ", "types")))
     s = F.when(_any(names, lambda n: F.contains(hay, n)), 8.0).when(_any(names, lambda n: F.arrays_overlap(tokens(n), tokens(hay))), 2.0).otherwise(0.0)
-    s = s + (F.when(F.col("__r"), 6.0).otherwise(0.0) if relations else 0.0) + (F.when(F.col("__c"), 3.0).otherwise(0.0) if constraint_targets else 0.0)
+    s = s + (F.when(F.col("__r"), 6.0).otherwise(0.0) if hinted else 0.0) + (F.when(F.col("__c"), 3.0).otherwise(0.0) if constraint_targets else 0.0)
     for t in terms:
         s = s + F.when(F.contains(hay, norm_catalog(F.lit(t))), 2.0).otherwise(0.0)
     s = s - F.when(F.col("is_probable_cvt"), 2.0).otherwise(0.0)
