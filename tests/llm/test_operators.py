@@ -239,6 +239,12 @@ def test_toxicity_operator(spark, docs, none):
     assert all(0 <= r.score <= 1 for r in toxicity.classify(docs, toxicity.train(none, labels)).collect())
 
 
+@pytest.mark.parametrize("labels", [[], [(0, 1), (1, 1)]])
+def test_toxicity_stage_without_both_labels_keeps_all(spark, docs, tmp_path, labels):
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert by_id(toxicity.stage(spark, docs, str(tmp_path))) == by_id(docs)
+
+
 # --- vector search ---
 
 

@@ -61,8 +61,10 @@ def present(words: Iterable[bytes]) -> set[bytes]:
 
 
 class Model:
-    def __init__(self, weights: dict[bytes, float], intercept: float):
-        self.intercept = intercept
+    """Weights and intercept; ``both``: whether there were texts of both labels to learn from."""
+
+    def __init__(self, weights: dict[bytes, float], intercept: float, both: bool = True):
+        self.intercept, self.both = intercept, both
         self.word = {k: v for k, v in weights.items() if k[:1] not in (b"4", b"5")}
         self.four = {k[1:]: v for k, v in weights.items() if k[:1] == b"4"}
         self.five = {k[1:]: v for k, v in weights.items() if k[:1] == b"5"}
@@ -100,7 +102,7 @@ def fit(labelled: Callable[[], Iterable[tuple[str | None, int]]], most: int = MO
     if not all(n):
         p = (n[1] + 0.5) / (sum(n) + 1) if sum(n) else 0.5
         p = min(max(p, 1e-6), 1 - 1e-6)
-        return Model({}, math.log(p / (1 - p)))
+        return Model({}, math.log(p / (1 - p)), both=False)
     # The features whose presence tells most about the label: the root of the G statistic of the 2 x 2 table.
     z, m_all = {}, sum(n)
     for k in seen[0].keys() | seen[1].keys():
@@ -214,6 +216,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are not judged toxic."""
+    """The documents that are not judged toxic; all of them if there are no texts of both labels to learn from."""
     model = train(docs, read(spark, sf_dir, "labels"))
+    if not model.both:
+        return docs
     return classify(docs, model).where("predicted = 0").select(*docs.columns)
