@@ -16,6 +16,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_TABLES: list[str] = []
+_TABLES: dict[str, str | None] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -92,12 +93,6 @@ def add_columns(df: DataFrame, inputs: Sequence[str], outputs: str, make: Callab
     return src.mapInArrow(run, schema)
 
 
-def text_bytes(df: DataFrame, *cols: str) -> int:
-    """Bytes of text in a DataFrame; sizes partitions and buckets."""
-    total = sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c in cols), F.lit(16)).cast("long")
-    return int(df.agg(F.sum(total).alias("n")).first()["n"] or 0)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, else (a single machine) a temporary one."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
@@ -109,37 +104,56 @@ def shared_dir(spark: SparkSession) -> str:
     return got
 
 
-def table(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffle files of a query are deleted as soon as the query ends."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def remember(df: DataFrame, path: str, name: str | None = None) -> DataFrame:
+    """Notes the folder (and the catalog's name) of a table, for ``discard`` and ``drop_tables``."""
+    _TABLES[path] = name
+    df._weftgraph_path = path
+    return df
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     ship(spark)
     path = f"{shared_dir(spark)}/weftgraph-{name}-{uuid.uuid4().hex}"
-    out = df.write
-    if partition_by:
-        out = out.partitionBy(*partition_by)
-    out.parquet(path)
-    _TABLES.append(path)
-    got = spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
-    got._weftgraph_path = path
-    return got
+    with cleaned(spark):
+        df.write.parquet(path)
+    return remember(spark.read.schema(df.schema).parquet(path), path)
 
 
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of this module that nothing unfinished reads any more."""
     for t in tables:
-        _TABLES.remove(t._weftgraph_path)
         _delete(t.sparkSession, t._weftgraph_path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+    if path not in _TABLES:
+        return
+    name = _TABLES.pop(path)
+    if name:
+        spark.sql(f"DROP TABLE IF EXISTS `{name}`")
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def drop_tables(spark: SparkSession) -> None:
-    """Deletes the tables written so far. Call it only when no unfinished DataFrame reads them."""
-    while _TABLES:
-        _delete(spark, _TABLES.pop())
+def drop_tables(spark: SparkSession, *but: DataFrame) -> None:
+    """Deletes all tables written so far but these. Call it only when no unfinished DataFrame reads the others."""
+    keep = {t._weftgraph_path for t in but}
+    for path in [p for p in _TABLES if p not in keep]:
+        _delete(spark, path)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:

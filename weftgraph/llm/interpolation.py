@@ -6,23 +6,30 @@ and are learned by expectation-maximisation: a part of the training documents (`
 from the counts and predicted with what remains; the expected shares of the components become the weights. For
 scoring, the counts are those of all training documents.
 
-Scale: counts of words and word pairs are exchanged between chunks of documents and buckets of keys (see
-``exchange``), combined per chunk before any shuffle. EM reads a histogram of the deleted events, bounded by the
-number of buckets and the quantisation of the two estimates (half octaves), not by the corpus.
+A context that was never seen has no bigram estimate; its bucket mixes the other two components only, so that each
+context's probabilities sum to one.
+
+Scale: the text is shuffled once, into chunks that later passes read in place; counts of words and word pairs are
+exchanged between chunks and ranges of keys (see ``exchange``), combined per chunk before any shuffle. EM reads a
+histogram of the deleted events, bounded by the number of buckets and the quantisation of the two estimates (half
+octaves), not by the corpus.
 
 Defined cases: null or empty text: only the end token. A null id counts as training, never deleted or held out.
-No training tokens: all counts are 0. Repeated rows each count and are scored each.
+No training tokens: all counts are 0. Repeated rows each count and are scored each. Ids may be of any type that can be
+ordered; other columns than id and text are left out, whatever their names.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mix64, read, remainder, remainder_col, space_words
-from .exchange import ASK, answered, buckets_for, chunked, pack, release, unpack
+from .exchange import ASK, Exchange, by_chunk, dealt, trim
 
 MOD, HELD_OUT, DELETED = 7, 2, 3
 LEVELS = 24
@@ -88,7 +95,7 @@ def _estimates(keys, uni, bi, ctx, train, deleted, model, without: bool):
 
 
 def expectation_maximisation(cells: np.ndarray, v: int, rounds: int = 60) -> np.ndarray:
-    """Weights (bigram, unigram, uniform) per bucket, from rows (bucket, events, p2, p1)."""
+    """Weights (bigram, unigram, uniform) per bucket, from rows (bucket, events, p2, p1); no bigrams in bucket 0."""
     out = np.zeros((LEVELS, 3))
     fit = lambda n, p, w: [w := (n[:, None] * (w * p) / np.maximum((w * p).sum(1), 1e-300)[:, None]).sum(0) / max(n.sum(), 1e-300) for _ in range(rounds)][-1]
     p = np.column_stack([cells[:, 2], cells[:, 3], np.full(len(cells), 1 / (v + 1))]) if len(cells) else np.zeros((0, 3))
@@ -102,18 +109,33 @@ def expectation_maximisation(cells: np.ndarray, v: int, rounds: int = 60) -> np.
         w = fit(cells[rows, 1], p[rows], every) if rows.any() else every
         n = cells[rows, 1].sum() if rows.any() else 0.0
         w = (n * w + 100 * every) / (n + 100)
+        if b == 0:  # contexts that were not seen
+            w[0] = 0
         out[b] = w / w.sum()
     return out
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, ``held_out, n_tokens, n_known, train_tokens, base_score, score``."""
+class Scored(NamedTuple):
+    rows: DataFrame
+    weights: np.ndarray
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: bool = False, chunk: int | None = None, exchange: dict | None = None) -> DataFrame | Scored:
+    """Per row: id, ``held_out, n_tokens, n_known, train_tokens, base_score, score``; ``weights``: the learned ones, too.
+
+    ``chunk`` (bytes of a chunk) and ``exchange`` (``bucket`` and ``fan`` of an Exchange) are for tests.
+    """
     d = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t"))
     id_type = dict(d.dtypes)["i"]
-    d, n_chunks, total = chunked(d, "i", "t")
     # The deleted documents have chunks of their own, so that EM reads them alone.
-    d = d.withColumn("__chunk", (F.col("__chunk") * 2 + (remainder_col("i", MOD) == DELETED).cast("int")).cast("int"))
-    buckets = buckets_for(total // 12)
+    d, total = dealt(d, "i", "t", flag=remainder_col("i", MOD) == DELETED, chunk=chunk)
+    d = d.select("__flag", "__chunk", "i", "t")
+
+    def summary(distinct, train, deleted):
+        uni = (distinct & _ONE) == 0
+        return [int(train[uni].sum(dtype=np.int64)), int((train[uni] > 0).sum()), int(deleted[uni].sum(dtype=np.int64))]
+
+    ex = Exchange(total // 12, [("u4", "sum"), ("u4", "sum")], summary, **exchange or {})
 
     def ask(key: tuple, t: pa.Table) -> pa.Table:
         ids, sizes, keys, uni, bi, _ = _read_chunk(t, "i", "t")
@@ -121,21 +143,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         counts = []
         for flag in (train, deleted):
             w = np.repeat(flag, sizes).astype(float)
-            counts.append((np.bincount(uni, w, len(keys)) + np.bincount(bi, w, len(keys))).astype(np.uint32))
-        return pack(key[0].as_py(), keys, counts, buckets)
-
-    def answer(chunk_of, distinct, number, train, deleted):
-        a = np.bincount(number, train, len(distinct))
-        b = np.bincount(number, deleted, len(distinct))
-        uni = (distinct & _ONE) == 0
-        return (a[number].astype(np.uint32), b[number].astype(np.uint32)), a[uni].sum(), (a[uni] > 0).sum()
+            counts.append(np.bincount(uni, w, len(keys)) + np.bincount(bi, w, len(keys)))
+        trim()
+        return ex.pack(key[0].as_py(), keys, counts)
 
-    told = answered(d.groupBy("__chunk").applyInArrow(ask, ASK), ["u4", "u4"], answer, "counts")
-    release(docs)
-    f = told.agg(F.sum("fact1").alias("n"), F.sum("fact2").alias("v")).first()
+    told = ex.answers(d.groupBy("__chunk").applyInArrow(ask, ASK), "counts")
     r = remainder_col("i", MOD)
     g = d.agg(F.sum((r != HELD_OUT).cast("long")).alias("docs"), F.sum((r == DELETED).cast("long")).alias("deleted")).first()
-    model = Model(f["n"] or 0, f["v"] or 0, g["docs"] or 0, 0, g["deleted"] or 0)
+    n, v, deleted_tokens = ex.totals
+    model = Model(n, v, g["docs"] or 0, deleted_tokens, g["deleted"] or 0)
     small = "bucket int, q2 int, q1 int, n double, l2 double, l1 double"
 
     def events(m: Model):
@@ -143,7 +159,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             if not t.num_rows:
                 return pa.table({k: pa.array([], ty) for k, ty in zip(("bucket", "q2", "q1", "n", "l2", "l1"), (pa.int32(),) * 3 + (pa.float64(),) * 3)})
             ids, sizes, keys, uni, bi, ctx = _read_chunk(t, "i", "t")
-            train, deleted = unpack(told, keys, ["u4", "u4"])
+            train, deleted = ex.unpack(told, keys)
             bucket, p2, p1 = _estimates(keys, uni, bi, ctx, train.astype(np.int64), deleted.astype(np.int64), m, True)
             with np.errstate(divide="ignore"):
                 l2, l1 = np.log2(p2), np.log2(p1)
@@ -157,21 +173,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         return run
 
     def part(rows: DataFrame, told: DataFrame, fn, ddl: str) -> DataFrame:
-        return rows.groupBy("__chunk").cogroup(told.withColumnRenamed("chunk", "__chunk").groupBy("__chunk")).applyInArrow(fn, ddl)
+        return rows.groupBy("__chunk").cogroup(by_chunk(told)).applyInArrow(fn, ddl)
 
-    # Tokens of the deleted part: 1 per end and what its chunks hold.
-    gone = d.where(F.col("__chunk") % 2 == 1)
-    size = F.when(F.col("t").isNull() | (F.col("t") == ""), F.lit(0)).otherwise(F.size(F.filter(F.split("t", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")))
-    model.deleted_tokens = int(gone.agg(F.sum(size + 1).alias("n")).first()["n"] or 0)
-    cells = part(gone, told.where(F.col("chunk") % 2 == 1), events(model), small).groupBy("bucket", "q2", "q1").agg(*[F.sum(c).alias(c) for c in ("n", "l2", "l1")]).collect()
+    flagged = lambda c: F.shiftright(c, 61) == 1
+    gone = part(d.where("__flag = 1"), told.where(flagged("chunk")), events(model), small)
+    cells = gone.groupBy("bucket", "q2", "q1").agg(*[F.sum(c).alias(c) for c in ("n", "l2", "l1")]).collect()
     x = np.array([(c.bucket, c.n, 2 ** (c.l2 / c.n) if c.q2 > _UNSEEN else 0.0, 2 ** (c.l1 / c.n) if c.q1 > _UNSEEN else 0.0) for c in cells]).reshape(-1, 4)
     model.weights = expectation_maximisation(x, model.v)
-    release(docs)
     ddl = f"i {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def final(key: tuple, t: pa.Table, told: pa.Table) -> pa.Table:
         ids, sizes, keys, uni, bi, ctx = _read_chunk(t, "i", "t")
-        train = unpack(told, keys, ["u4", "u4"])[0].astype(np.int64)
+        train = ex.unpack(told, keys)[0].astype(np.int64)
         bucket, p2, p1 = _estimates(keys, uni, bi, ctx, train, train, model, False)
         w = model.weights[bucket]
         p = w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (model.v + 1)
@@ -181,9 +194,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         base = np.log10((c + 1) / (model.n + model.v + 1))
         held = [remainder(i, MOD) == HELD_OUT for i in ids]
         cols = [t["i"], pa.array(held), pa.array(sizes), pa.array(add((c > 0).astype(np.int64)), pa.int64()), pa.array(np.full(len(ids), model.n)), pa.array(add(base), pa.float64()), pa.array(add(np.log10(p)), pa.float64())]
+        trim()
         return pa.table(cols, ["i", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return part(d, told, final, ddl).withColumnRenamed("i", id_col)
+    out = part(d, told, final, ddl).withColumnRenamed("i", id_col)
+    return Scored(out, model.weights) if weights else out
 
 
 def op1_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:

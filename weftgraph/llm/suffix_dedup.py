@@ -6,32 +6,37 @@ computes the array of one string that way. Over a corpus only one thing is asked
 counterpart with later positions) reaches ``length``. Suffix order may therefore be cut off at that depth, and the
 order among unequal beginnings is free: positions are ordered by the 64-bit fingerprint of their next ``length``
 bytes, equal strings lie next to each other, and the smallest position of such a run is the first copy. That needs
-no suffix array over the whole corpus in one place, which no machine could hold.
+no suffix array over the whole corpus in one place, which no machine could hold (see the README for figures).
 
-Not every position is sorted. Of the ``3/4 length``-grams in each window of ``length`` bytes the one with the least
-hash is its anchor; equal windows have equal anchors. In a first exchange, chunks of documents ask how often their
-anchors, and the spans between anchors that cover whole runs of windows, occur. A window whose anchor occurs once
+Not every position is sorted. Among each ``WIN`` neighbouring ``GRAM``-byte strings the one with the least hash is an
+anchor; equal texts have equal anchors. Chunks of documents ask (see ``exchange``) how often their anchors, and the
+spans of consecutive anchors that cover whole runs of windows, occur. A window with an anchor that occurs once
 occurs once; windows inside a repeated span are repeated. Only the windows left over are asked about one by one, in
-a second exchange. Keys are combined per chunk before they are shuffled, so a passage in a third of all documents
-costs each bucket one entry per chunk.
+a second exchange. The text is shuffled once, into chunks that all passes read in place; keys are combined per chunk
+before they are shuffled, so a passage in a third of all documents costs one entry per chunk.
+
+The anchors also tell, at no further cost, where shorter strings repeat: ``shared`` are the bytes within repeated
+anchors, ``longest_shared`` the longest run of them. Every string of ``GRAM + WIN - 1`` bytes (200) that repeats holds
+an anchor that does.
 
 Defined cases: null or empty text: no bytes. Documents shorter than ``length`` bytes lose nothing. Matches do not
 cross documents; overlapping matches in one document count. "First" is the smallest id (null ids before all), then
-the smallest position. Repeated rows are copies of each other.
+an arbitrary but fixed order of the rows of one id, then the smallest position. Repeated rows are copies of each
+other. Ids may be of any type that can be ordered.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mix64, read
-from .exchange import ASK, answered, buckets_for, chunked, pack, release, trim, unpack
+from .exchange import ASK, Exchange, by_chunk, dealt, trim
 
-LENGTH = 400
+LENGTH, GRAM, WIN = 400, 150, 51
 SEGMENT = 1 << 17
 _R = 0xD1342543DE82EF95
 _RINV = pow(_R, -1, 1 << 64)
@@ -99,90 +104,128 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(y[: len(x) - w + 1], y[w - have : w - have + len(x) - w + 1]) if w > have else y[: len(x) - w + 1]
 
 
+def scale(length: int) -> tuple[int, int]:
+    """Bytes of an anchor, and the number of neighbouring places among which one is chosen."""
+    gram = max(1, min(GRAM, length * 3 // 4))
+    return gram, min(WIN, length - gram + 1)
+
+
 class Segment:
-    """Windows of several pieces of text (whole documents, or overlapping parts of a long one), hashed at once."""
+    """Several pieces of text (whole documents, or parts of a long one with what lies around them), hashed at once."""
 
-    def __init__(self, pieces: list[tuple[int, int, bytes]], length: int):
-        """pieces: (document, offset, bytes); each of at least ``length`` bytes."""
+    def __init__(self, pieces: list[tuple[int, int, int, int, bool, bool, bytes]], length: int):
+        """pieces: (document, offset of the bytes, first and last + 1 place they own, whether they reach the document's
+        beginning and its end, bytes); each has room for an anchor."""
+        gram, win = scale(length)
         self.length = length
-        gram = max(1, length * 3 // 4)
-        win = length - gram + 1
-        raw = np.frombuffer(b"".join(p[2] for p in pieces), np.uint8)
+        raw = np.frombuffer(b"".join(p[-1] for p in pieces), np.uint8)
         n = len(raw)
         power, inverse = _powers(n + 1)
         s = np.zeros(n + 1, np.uint64)
         np.cumsum(_TABLE[raw] * power[:n], out=s[1:])
         self.prefix, self.inverse = s, inverse
-        h = (s[gram:] - s[:-gram]) * inverse[: n - gram + 1]
+        h = mix64((s[gram:] - s[:-gram]) * inverse[: n - gram + 1])
         at = np.arange(len(h), dtype=np.uint64)
-        anchor = (_sliding_min((mix64(h) & ~_LOW) | at, win) & _LOW).astype(np.int64)
-        sizes = np.array([len(p[2]) for p in pieces])
+        chosen = (_sliding_min((mix64(h) & ~_LOW) | at, win) & _LOW).astype(np.int64)
+        sizes = np.array([len(p[-1]) for p in pieces])
         first = np.cumsum(sizes) - sizes
-        windows = sizes - length + 1
-        self.piece = np.repeat(np.arange(len(pieces)), windows)
-        self.start = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(first, windows)
-        a = anchor[self.start]
-        # Groups of neighbouring windows with one anchor.
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (self.piece[1:] != self.piece[:-1])
-        g = np.flatnonzero(new)
-        self.group = np.cumsum(new) - 1
-        p, piece = a[g], self.piece[g]
-        begin = self.start[g]
-        last = self.start[np.append(g[1:], len(a)) - 1]
-        mark = mix64(h[p])
-        self.anchor = mark & ~_ONE
-        # The anchors from the last one at or before a group's first window to the first one that reaches the end of
-        # its last window; their grams cover what lies between.
-        i = np.searchsorted(p, begin, "right") - 1
-        j = np.searchsorted(p, last + length - gram, "left")
-        m = len(p)
-        ok = (i >= 0) & (j < m)
-        i, j = np.where(ok, i, 0), np.where(ok, j, 0)
-        ok &= (piece[i] == piece) & (piece[j] == piece)
-        step = np.diff(p, prepend=0).astype(np.uint64)
-        item = mix64(mark ^ mix64(step + np.uint64(0x632BE59BD9B4E019)))
+        self.first, self.of = first, [(d, o) for d, o, *_ in pieces]
+        own = np.array([(a - o, z - o) for _, o, a, z, *_ in pieces]) + first[:, None]
+        # The places at which a choice was made within one piece, and the anchors.
+        rooms = sizes - (gram + win - 1) + 1
+        room = _ranges(first, rooms)
+        anchor = np.unique(chosen[room])
+        self.anchor_at = anchor
+        self.piece = np.searchsorted(first, anchor, "right") - 1
+        self.gram = gram
+        self.mark = h[anchor] & ~_ONE
+        self.owned = (anchor >= own[self.piece, 0]) & (anchor < own[self.piece, 1])
+        # The windows that the pieces own.
+        low, high = own[:, 0], np.minimum(own[:, 1], first + sizes - length + 1)
+        self.start = _ranges(low, np.maximum(0, high - low))
+        self.room, self.chosen, self.n, self.win = room, np.searchsorted(anchor, chosen[room]), n, win
+        # Spans: from an anchor to the first one whose bytes end where the last window before the next anchor ends.
+        m = len(anchor)
+        i = np.arange(max(0, m - 1))
+        j = np.searchsorted(anchor, anchor[1:] - 1 + length - gram, "left")
+        ok = (j < m) & (self.piece[1:] == self.piece[:-1])
+        i, j = i[ok], j[ok]
+        # Near a cut, anchors may be missing: chains there are left to the neighbouring piece.
+        begin = np.array([p[4] for p in pieces])
+        end = np.array([p[5] for p in pieces])
+        q = self.piece[i]
+        ok = (self.piece[j] == q) & (begin[q] | (anchor[i] >= first[q] + win - 1)) & (end[q] | (anchor[j] + gram + win - 1 <= first[q] + sizes[q]))
+        i, j = i[ok], j[ok]
+        step = np.diff(anchor, prepend=0).astype(np.uint64)
+        item = mix64(self.mark ^ mix64(step + np.uint64(0x632BE59BD9B4E019)))
         pm, im = _powers(m + 1)
         acc = np.zeros(m + 1, np.uint64)
         np.cumsum(item * pm[:m], out=acc[1:])
         body = (acc[j + 1] - acc[i + 1]) * im[np.minimum(i + 1, m)]
-        span = mix64(body ^ mix64(mark[i] + _ONE)) | _ONE
-        # One place is one occurrence, whichever groups it serves. Its windows are those within its grams.
-        pair, use = np.unique(np.where(ok, i * (m + 1) + j, -1), return_index=True)
-        use = use[pair >= 0]
-        self.span = span[use]
-        self.low = np.searchsorted(self.start, p[i[use]], "left")
-        self.high = np.searchsorted(self.start, p[j[use]] + gram - length, "right")
-        self.of = [(d, o, int(f)) for (d, o, _), f in zip(pieces, first)]
+        self.span = mix64(body ^ mix64(self.mark[i] + _ONE)) | _ONE
+        self.span_owned = self.owned[i]
+        self.low, self.high = anchor[i], anchor[j] + gram - length + 1
+
+    def keys(self) -> list[np.ndarray]:
+        """The anchors and spans that count here."""
+        return [self.mark[self.owned], self.span[self.span_owned]]
 
     def covered(self, which: np.ndarray) -> np.ndarray:
         """The windows within any of the marked spans."""
-        n = len(self.start) + 1
-        return np.cumsum(np.bincount(self.low[which], minlength=n) - np.bincount(self.high[which], minlength=n))[:-1] > 0
+        d = np.zeros(self.n + 2, np.int32)
+        np.add.at(d, self.low[which], 1)
+        np.add.at(d, self.high[which], -1)
+        return np.cumsum(d)[self.start] > 0
+
+    def least(self, many: np.ndarray) -> np.ndarray:
+        """The least number of occurrences among the anchors chosen inside each window."""
+        x = np.full(self.n, 255, np.uint8)
+        x[self.room] = many[self.chosen]
+        got = _sliding_min(x, self.length - (self.gram + self.win - 1) + 1)
+        return got[np.minimum(self.start, max(0, len(got) - 1))] if len(got) else np.zeros(0, np.uint8)
 
     def whole(self, which: np.ndarray) -> np.ndarray:
         """Fingerprints of whole windows."""
         s = self.start[which]
         return mix64((self.prefix[s + self.length] - self.prefix[s]) * self.inverse[s])
 
-    def spans(self, hit: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """(document, starts in it) of the marked windows."""
-        w = np.flatnonzero(hit)
+    def place(self, at: int) -> tuple[int, int]:
+        """The document of a place in the joined bytes, and the place in it."""
+        p = int(np.searchsorted(self.first, at, "right")) - 1
+        d, offset = self.of[p]
+        return d, int(at - self.first[p]) + offset
+
+    def places(self, at: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(document, places in it) of sorted places in the joined bytes."""
         out = []
-        if len(w):
-            for part in np.split(w, np.flatnonzero(np.diff(self.piece[w])) + 1):
-                d, offset, first = self.of[self.piece[part[0]]]
-                out.append((d, self.start[part] - first + offset))
+        if len(at):
+            piece = np.searchsorted(self.first, at, "right") - 1
+            for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(piece)) + 1):
+                p = int(piece[part[0]])
+                d, offset = self.of[p]
+                out.append((d, at[part] - self.first[p] + offset))
         return out
 
 
+def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (sizes[0] of them), first[1], ..."""
+    n = np.maximum(sizes, 0)
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+
+
 def _segments(texts: list[bytes], length: int):
+    gram, win = scale(length)
+    before, after = 3 * win, length + 3 * win + gram
     pieces, size = [], 0
     for d, t in enumerate(texts):
-        for lo in range(0, max(0, len(t) - length + 1), SEGMENT):
-            part = t[lo : lo + SEGMENT + length - 1]
-            pieces.append((d, lo, part))
-            size += len(part)
+        if len(t) < gram + win - 1:
+            continue
+        for lo in range(0, len(t), SEGMENT):
+            a, z = max(0, lo - before), min(len(t), lo + SEGMENT + after)
+            if z - a < gram + win - 1:
+                a = max(0, z - (gram + win - 1))
+            pieces.append((d, a, lo, min(len(t), lo + SEGMENT), a == 0, z == len(t), t[a:z]))
+            size += z - a
             if size >= SEGMENT:
                 yield Segment(pieces, length)
                 pieces, size = [], 0
@@ -192,13 +235,13 @@ def _segments(texts: list[bytes], length: int):
 
 def _ordered(t: pa.Table, id_col: str, text_col: str) -> tuple[pa.Table, list[bytes]]:
     """The chunk in the order that says which copy is the first."""
-    t = t.append_column("__null", pa.array([x is not None for x in t[id_col].to_pylist()], pa.bool_()))
+    t = t.append_column("__null", pc.is_valid(t[id_col]))
     t = t.sort_by([("__null", "ascending"), (id_col, "ascending"), (text_col, "ascending")]).drop_columns(["__null"])
     return t, [(x or "").encode() for x in t[text_col].to_pylist()]
 
 
-def _codes(keys: np.ndarray, told: np.ndarray, distinct: np.ndarray) -> np.ndarray:
-    return told[np.searchsorted(distinct, keys)] if len(distinct) else np.zeros(len(keys), np.uint8)
+def _at(keys: np.ndarray, told: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+    return told[np.searchsorted(distinct, keys)] if len(distinct) else np.zeros(len(keys), told.dtype)
 
 
 def _later(keys: np.ndarray, code: np.ndarray, first: bool) -> np.ndarray:
@@ -216,139 +259,169 @@ def _count(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return k, np.minimum(n, 255).astype(np.uint8)
 
 
-def _answer(chunk_of, distinct, number, n):
-    """The number of occurrences (255: or more), and 0: one in all; 1: several, the first in this chunk; 2: several, one
-    in an earlier chunk."""
-    total = np.bincount(number, n, len(distinct))
-    low = np.full(len(distinct), np.iinfo(np.int32).max, np.int32)
-    np.minimum.at(low, number, chunk_of)
-    several = total[number] > 1
-    code = np.where(several, np.where(low[number] == chunk_of, 1, 2), 0).astype(np.uint8)
-    return (code, np.minimum(total[number], 255).astype(np.uint8)), 0, 0
+#: What is known of a key: occurrences (255: or more), and the first chunk that holds it.
+FACTS = [("u1", "sum"), ("i8", "min")]
 
 
 class _Chunk:
     """The passes over a chunk: each starts from its rows again."""
 
-    def __init__(self, texts: list[bytes], length: int, first: bool):
-        self.texts, self.length, self.first = texts, length, first
+    def __init__(self, number: int, texts: list[bytes], length: int, first: bool):
+        self.number, self.texts, self.length, self.first = number, texts, length, first
+
+    def _facts(self, keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        return keys, [n, np.full(len(keys), self.number, np.int64)]
 
-    def ask_anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        return _count([k for s in _segments(self.texts, self.length) for k in (s.anchor, s.span)])
+    def ask_anchors(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        return self._facts(*_count([k for s in _segments(self.texts, self.length) for k in s.keys()]))
 
-    def windows(self, told: tuple[np.ndarray, np.ndarray], distinct: np.ndarray):
-        """(segment, windows known to go, windows to be asked about) in order.
+    def codes(self, told: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """0: one occurrence in all; 1: several, the first in this chunk; 2: several, one in an earlier chunk. And how many."""
+        many, low = told
+        return np.where(many > 1, np.where(low == self.number, 1, 2), 0).astype(np.uint8), many
+
+    def windows(self, told: list[np.ndarray], distinct: np.ndarray):
+        """(segment, occurrences of its anchors, windows known to go, windows to be asked about) in order.
 
         Windows within a repeated span are known to repeat. Of all places of the span one, the first, stands for it:
         its windows are asked about all the same, so that an equal window outside such spans meets them. Where each
-        occurrence of a window's anchor lies in an occurrence of the span, there is no such window.
+        occurrence of an anchor of the window lies in an occurrence of the span, there is no such window.
         """
-        seen: set[int] = set()
+        seen: dict[int, tuple[int, int]] = {}
+        every = self.codes(told)
         for s in _segments(self.texts, self.length):
-            anchor, many = (_codes(s.anchor, x, distinct) for x in told)
-            code, often = (_codes(s.span, x, distinct) for x in told)
+            many = _at(s.mark, every[1], distinct)
+            code, often = (_at(s.span, x, distinct) for x in every)
             stands = np.zeros(len(code), bool)
             for t in np.flatnonzero(code == 1).tolist():
-                k = int(s.span[t])
-                stands[t] = k not in seen
-                seen.add(k)
+                here = s.place(s.low[t])  # neighbouring pieces both see places near their border
+                stands[t] = seen.setdefault(int(s.span[t]), here) == here
             known = s.covered((code > 0) & ~stands if self.first else code > 0)
-            ask = ~known & (anchor > 0)[s.group]
+            least = s.least(many)
+            ask = ~known & (least > 1)
             if not self.first:
                 for t in np.flatnonzero(stands).tolist():
-                    w = slice(s.low[t], s.high[t])
-                    ask[w] |= (many[s.group[w]] != often[t]) | (often[t] == 255)
-            yield s, known, ask
+                    w = slice(*np.searchsorted(s.start, (s.low[t], s.high[t])))
+                    ask[w] |= (least[w] != often[t]) | (often[t] == 255)
+            yield s, many, known, ask
 
-    def ask_windows(self, told: tuple[np.ndarray, np.ndarray], distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return _count([s.whole(np.flatnonzero(ask)) for s, _, ask in self.windows(told, distinct)])
+    def ask_windows(self, told: list[np.ndarray], distinct: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        return self._facts(*_count([s.whole(np.flatnonzero(ask)) for s, _, _, ask in self.windows(told, distinct)]))
 
-    def removed(self, told: tuple[np.ndarray, np.ndarray], distinct: np.ndarray, told2: np.ndarray, distinct2: np.ndarray) -> list[list[tuple[int, int]]]:
-        """The maximal removed runs of each document."""
-        starts: list[list[np.ndarray]] = [[] for _ in self.texts]
+    def removed(self, told: list[np.ndarray], distinct: np.ndarray, told2: list[np.ndarray], distinct2: np.ndarray) -> tuple[list, list]:
+        """The maximal removed runs of each document, and the runs of shared bytes."""
+        gone: list[list[np.ndarray]] = [[] for _ in self.texts]
+        shared: list[list[np.ndarray]] = [[] for _ in self.texts]
         seen = np.zeros(0, np.uint64)
-        for s, known, ask in self.windows(told, distinct):
+        codes2, _ = self.codes(told2)
+        for s, many, known, ask in self.windows(told, distinct):
             which = np.flatnonzero(ask)
             keys = s.whole(which)
-            code = _codes(keys, told2, distinct2)
+            code = _at(keys, codes2, distinct2)
             go = _later(keys, code, self.first)
             if self.first:
                 go |= (code == 1) & np.isin(keys, seen)
                 seen = np.union1d(seen, keys[code == 1])
             hit = known
             hit[which[go]] = True
-            for d, at in s.spans(hit):
-                starts[d].append(at)
-        out = []
-        for each in starts:
-            at = np.concatenate(each) if each else np.zeros(0, np.int64)
-            if not len(at):
-                out.append([])
-                continue
-            cut = np.flatnonzero(np.diff(at) > self.length)
-            out.append(list(zip(at[np.append(0, cut + 1)].tolist(), (at[np.append(cut, len(at) - 1)] + self.length).tolist())))
-        return out
+            for out, at in ((gone, s.start[hit]), (shared, s.anchor_at[s.owned & (many > 1)])):
+                for d, x in s.places(at):
+                    out[d].append(x)
+        gram, _ = scale(self.length)
+        return [_runs(x, self.length) for x in gone], [_runs(x, gram) for x in shared]
+
 
+def _runs(starts: list[np.ndarray], length: int) -> list[tuple[int, int]]:
+    """The maximal runs of bytes covered by strings of this length."""
+    at = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+    if not len(at):
+        return []
+    cut = np.flatnonzero(np.diff(at) > length)
+    return list(zip(at[np.append(0, cut + 1)].tolist(), (at[np.append(cut, len(at) - 1)] + length).tolist()))
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_first: bool = True) -> DataFrame:
-    """Adds ``n_bytes``, ``removed`` (runs of bytes, from and to) and ``kept`` (the remaining bytes) to each row.
 
-    ``keep_first``: the first copy of a repeated string stays; otherwise every copy goes.
+def _characters(x: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The runs without the characters that they only cut into."""
+    out = []
+    for lo, hi in runs:
+        while lo < hi and x[lo] & 0xC0 == 0x80:
+            lo += 1
+        while hi < len(x) and hi > lo and x[hi] & 0xC0 == 0x80:
+            hi -= 1
+        if hi > lo:
+            out.append((lo, hi))
+    return out
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_first: bool = True, characters: bool = False, keep_text: bool = True, chunk: int | None = None, exchange: dict | None = None) -> DataFrame:
+    """Adds ``n_bytes``, ``removed`` (runs of bytes, from and to), ``kept`` (the remaining bytes), ``n_shared`` and
+    ``longest_shared`` to each row.
+
+    ``keep_first``: the first copy of a repeated string stays; otherwise every copy goes. ``characters``: characters
+    that a run only cuts into stay. ``keep_text``: whether the text itself is returned, too. ``chunk`` (bytes of a
+    chunk) and ``exchange`` (``bucket`` and ``fan`` of an Exchange) are for tests.
     """
-    stay = [c for c in docs.columns if c.lower() not in {"n_bytes", "removed", "kept", "__chunk"}]
-    d, n_chunks, total = chunked(docs.select(*[F.col(f"`{c}`") for c in stay]), id_col, text_col)
+    new = {"n_bytes", "removed", "kept", "n_shared", "longest_shared"}
+    stay = [c for c in docs.columns if c.lower() not in new | {"__chunk", "__flag"}]
+    d, total = dealt(docs.select(*[F.col(f"`{c}`") for c in stay]), id_col, text_col, chunk=chunk)
     lean = d.select("__chunk", F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
-    buckets = buckets_for(total * 16 // length)
+    gram, win = scale(length)
+    anchors = Exchange(total * 4 // (win + 1), FACTS, **exchange or {})
+    single = Exchange(total * 4 // (win + 1), FACTS, **exchange or {})
+
+    def chunk_of(key: tuple, t: pa.Table) -> tuple[pa.Table, _Chunk]:
+        t, texts = _ordered(t, id_col, text_col)
+        return t, _Chunk(key[0].as_py(), texts, length, keep_first)
 
     def ask(key: tuple, t: pa.Table) -> pa.Table:
-        _, texts = _ordered(t, id_col, text_col)
-        k, n = _Chunk(texts, length, keep_first).ask_anchors()
-        return pack(key[0].as_py(), k, [n], buckets)
+        _, c = chunk_of(key, t)
+        got = anchors.pack(c.number, *c.ask_anchors())
+        trim()
+        return got
 
-    told = answered(lean.groupBy("__chunk").applyInArrow(ask, ASK), ["u1"], _answer, "anchors")
-    release(docs)
+    told = anchors.answers(lean.groupBy("__chunk").applyInArrow(ask, ASK), "anchors")
 
-    def both(c: _Chunk, told: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    def known(c: _Chunk, told: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
         distinct, _ = c.ask_anchors()
-        return unpack(told, distinct, ["u1", "u1"]), distinct
+        return anchors.unpack(told, distinct), distinct
 
     def ask2(key: tuple, t: pa.Table, told: pa.Table) -> pa.Table:
-        _, texts = _ordered(t, id_col, text_col)
-        c = _Chunk(texts, length, keep_first)
-        k, n = c.ask_windows(*both(c, told))
-        return pack(key[0].as_py(), k, [n], buckets)
-
-    by = lambda x: x.withColumnRenamed("chunk", "__chunk").groupBy("__chunk")
-    told2 = answered(lean.groupBy("__chunk").cogroup(by(told)).applyInArrow(ask2, ASK), ["u1"], _answer, "windows")
-    release(docs)
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name in stay), "n_bytes long, removed array<struct<from:int,to:int>>, kept binary"])
+        _, c = chunk_of(key, t)
+        got = single.pack(c.number, *c.ask_windows(*known(c, told)))
+        trim()
+        return got
+
+    told2 = single.answers(lean.groupBy("__chunk").cogroup(by_chunk(told)).applyInArrow(ask2, ASK), "windows")
+    stay = [c for c in stay if keep_text or c != text_col]
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name in stay), "n_bytes long, removed array<struct<from:int,to:int>>, kept binary, n_shared long, longest_shared long"])
     run_type = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
 
     def final(key: tuple, t: pa.Table, told: pa.Table) -> pa.Table:
-        t, texts = _ordered(t, id_col, text_col)
-        c = _Chunk(texts, length, keep_first)
-        first = told.filter(pa.compute.equal(told["which"], 1))
-        second = told.filter(pa.compute.equal(told["which"], 2))
-        a = both(c, first)
+        t, c = chunk_of(key, t)
+        a = known(c, told.filter(pc.equal(told["which"], 1)))
         keys, _ = c.ask_windows(*a)
-        runs = c.removed(*a, unpack(second, keys, ["u1", "u1"])[0], keys)
-        trim()
+        runs, shared = c.removed(*a, single.unpack(told.filter(pc.equal(told["which"], 2)), keys), keys)
+        if characters:
+            runs = [_characters(x, r) for x, r in zip(c.texts, runs)]
         kept = []
-        for x, rs in zip(texts, runs):
+        for x, rs in zip(c.texts, runs):
             edge = [0, *(e for r in rs for e in r), len(x)]
             kept.append(b"".join(x[a:b] for a, b in zip(edge[::2], edge[1::2])))
         cols = [t[c] for c in stay]
-        cols += [pa.array([len(x) for x in texts], pa.int64()), pa.array([[{"from": a, "to": b} for a, b in r] for r in runs], run_type), pa.array(kept, pa.binary())]
-        return pa.table(cols, [*stay, "n_bytes", "removed", "kept"])
+        cols += [pa.array([len(x) for x in c.texts], pa.int64()), pa.array([[{"from": a, "to": b} for a, b in r] for r in runs], run_type), pa.array(kept, pa.binary())]
+        sizes = [[z - a for a, z in r] for r in shared]
+        cols += [pa.array([sum(x) for x in sizes], pa.int64()), pa.array([max(x, default=0) for x in sizes], pa.int64())]
+        trim()
+        return pa.table(cols, [*stay, "n_bytes", "removed", "kept", "n_shared", "longest_shared"])
 
-    every = told.withColumn("which", F.lit(1)).union(told2.withColumn("which", F.lit(2)))
-    return d.groupBy("__chunk").cogroup(by(every)).applyInArrow(final, ddl)
+    every = told.select("chunk", "bucket", "reply", F.lit(1).alias("which")).union(told2.select("chunk", "bucket", "reply", F.lit(2)))
+    return d.groupBy("__chunk").cogroup(by_chunk(every)).applyInArrow(final, ddl)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), keep_first=False)
+    d = dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), keep_first=False, keep_text=False)
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["to"] - r["from"])
-    return d.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return d.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_shared", "longest_shared")
 
 
 #: Bytes of a repeated passage that the pipeline removes: well under 50 words.
@@ -356,34 +429,15 @@ STAGE_LENGTH = 200
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, length: int = STAGE_LENGTH) -> DataFrame:
-    """Later copies of passages go, whole characters only; ``n_chars`` follows. Emptied documents stay, empty."""
-    d = dedup(docs, length=length)
-
-    def whole(batches):
-        for b in batches:
-            texts, runs = b.column("text").to_pylist(), b.column("removed").to_pylist()
-            out = []
-            for t, rs in zip(texts, runs):
-                if not rs:
-                    out.append(t)
-                    continue
-                x, at, keep = t.encode(), 0, []
-                for r in rs:
-                    lo, hi = r["from"], r["to"]
-                    while lo < hi and x[lo] & 0xC0 == 0x80:
-                        lo += 1
-                    while hi < len(x) and hi > lo and x[hi] & 0xC0 == 0x80:
-                        hi -= 1
-                    keep.append(x[at:lo])
-                    at = hi
-                out.append(b"".join([*keep, x[at:]]).decode())
-            cols = {c: b.column(c) for c in b.schema.names if c not in ("removed", "text")}
-            cols["text"] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays([cols[c] for c in names], names)
-
+    """Later copies of passages go, whole characters only; ``n_chars`` follows. Emptied documents stay, empty; a null
+    text stays null."""
     names = list(docs.columns)
-    got = d.select(*names, "removed").mapInArrow(whole, docs.schema)
-    return got.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))) if "n_chars" in names else got
+    d = dedup(docs.withColumn("__null", F.col("text").isNull()), length=length, characters=True, keep_text=False)
+    text = F.when(~F.col("__null"), F.col("kept").cast("string"))
+    out = d.withColumn("text", text)
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.when(F.col("__null"), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*[F.col(f"`{c}`") for c in names])
 
 
 def brute(texts: list[bytes], length: int, keep_first: bool) -> list[list[tuple[int, int]]]:
