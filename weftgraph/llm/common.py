@@ -149,9 +149,14 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def drop_tables(spark: SparkSession, *but: DataFrame) -> None:
-    """Deletes all tables written so far but these. Call it only when no unfinished DataFrame reads the others."""
-    keep = {t._weftgraph_path for t in but}
+def tables() -> set[str]:
+    """The folders of the tables that exist now."""
+    return set(_TABLES)
+
+
+def drop_tables(spark: SparkSession, *but: DataFrame, older: set[str] = frozenset()) -> None:
+    """Deletes all tables written so far but these and the ``older`` ones. No unfinished DataFrame may read the others."""
+    keep = {t._weftgraph_path for t in but} | older
     for path in [p for p in _TABLES if p not in keep]:
         _delete(spark, path)
 

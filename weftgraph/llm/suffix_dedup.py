@@ -235,8 +235,8 @@ def _segments(texts: list[bytes], length: int):
 
 def _ordered(t: pa.Table, id_col: str, text_col: str) -> tuple[pa.Table, list[bytes]]:
     """The chunk in the order that says which copy is the first."""
-    t = t.append_column("__null", pc.is_valid(t[id_col]))
-    t = t.sort_by([("__null", "ascending"), (id_col, "ascending"), (text_col, "ascending")]).drop_columns(["__null"])
+    keys = pa.table([pc.is_valid(t[id_col]), t[id_col], t[text_col]], ["known", "id", "text"])
+    t = t.take(pc.sort_indices(keys, [("known", "ascending"), ("id", "ascending"), ("text", "ascending")]))
     return t, [(x or "").encode() for x in t[text_col].to_pylist()]
 
 
@@ -432,11 +432,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, length: int = STAGE
     """Later copies of passages go, whole characters only; ``n_chars`` follows. Emptied documents stay, empty; a null
     text stays null."""
     names = list(docs.columns)
-    d = dedup(docs.withColumn("__null", F.col("text").isNull()), length=length, characters=True, keep_text=False)
-    text = F.when(~F.col("__null"), F.col("kept").cast("string"))
+    d = dedup(docs.withColumn("__absent", F.col("text").isNull()), length=length, characters=True, keep_text=False)
+    text = F.when(~F.col("__absent"), F.col("kept").cast("string"))
     out = d.withColumn("text", text)
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("__null"), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col("__absent"), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*[F.col(f"`{c}`") for c in names])
 
 
