@@ -120,30 +120,29 @@ class Segment:
         self.length = length
         raw = np.frombuffer(b"".join(p[-1] for p in pieces), np.uint8)
         n = len(raw)
-        power, inverse = _powers(n + 1)
-        s = np.zeros(n + 1, np.uint64)
-        np.cumsum(_TABLE[raw] * power[:n], out=s[1:])
-        self.prefix, self.inverse = s, inverse
+        self.raw, self.n = raw, n
+        s, inverse = self._prefix()
         h = mix64((s[gram:] - s[:-gram]) * inverse[: n - gram + 1])
         at = np.arange(len(h), dtype=np.uint64)
         chosen = (_sliding_min((mix64(h) & ~_LOW) | at, win) & _LOW).astype(np.int64)
+        del s, at
         sizes = np.array([len(p[-1]) for p in pieces])
         first = np.cumsum(sizes) - sizes
         self.first, self.of = first, [(d, o) for d, o, *_ in pieces]
         own = np.array([(a - o, z - o) for _, o, a, z, *_ in pieces]) + first[:, None]
-        # The places at which a choice was made within one piece, and the anchors.
         rooms = sizes - (gram + win - 1) + 1
-        room = _ranges(first, rooms)
-        anchor = np.unique(chosen[room])
+        self.rooms, self.gram, self.win = rooms, gram, win
+        chosen = chosen[self.room]
+        anchor = np.unique(chosen)
         self.anchor_at = anchor
         self.piece = np.searchsorted(first, anchor, "right") - 1
-        self.gram = gram
         self.mark = h[anchor] & ~_ONE
         self.owned = (anchor >= own[self.piece, 0]) & (anchor < own[self.piece, 1])
-        # The windows that the pieces own.
         low, high = own[:, 0], np.minimum(own[:, 1], first + sizes - length + 1)
-        self.start = _ranges(low, np.maximum(0, high - low))
-        self.room, self.chosen, self.n, self.win = room, np.searchsorted(anchor, chosen[room]), n, win
+        self.windows = low, np.maximum(0, high - low)
+        number = np.zeros(len(h), np.int32)
+        number[anchor] = np.arange(len(anchor))
+        self.chosen = number[chosen]
         # Spans: from an anchor to the first one whose bytes end where the last window before the next anchor ends.
         m = len(anchor)
         i = np.arange(max(0, m - 1))
@@ -166,6 +165,22 @@ class Segment:
         self.span_owned = self.owned[i]
         self.low, self.high = anchor[i], anchor[j] + gram - length + 1
 
+    def _prefix(self) -> tuple[np.ndarray, np.ndarray]:
+        power, inverse = _powers(self.n + 1)
+        s = np.zeros(self.n + 1, np.uint64)
+        np.cumsum(_TABLE[self.raw] * power[: self.n], out=s[1:])
+        return s, inverse
+
+    @property
+    def room(self) -> np.ndarray:
+        """The places at which an anchor was chosen within one piece."""
+        return _ranges(self.first, self.rooms)
+
+    @property
+    def start(self) -> np.ndarray:
+        """The windows that the pieces own."""
+        return _ranges(*self.windows)
+
     def keys(self) -> list[np.ndarray]:
         """The anchors and spans that count here."""
         return [self.mark[self.owned], self.span[self.span_owned]]
@@ -182,12 +197,15 @@ class Segment:
         x = np.full(self.n, 255, np.uint8)
         x[self.room] = many[self.chosen]
         got = _sliding_min(x, self.length - (self.gram + self.win - 1) + 1)
-        return got[np.minimum(self.start, max(0, len(got) - 1))] if len(got) else np.zeros(0, np.uint8)
+        return got[self.start] if len(got) else np.zeros(0, np.uint8)
 
     def whole(self, which: np.ndarray) -> np.ndarray:
         """Fingerprints of whole windows."""
-        s = self.start[which]
-        return mix64((self.prefix[s + self.length] - self.prefix[s]) * self.inverse[s])
+        if not len(which):
+            return np.zeros(0, np.uint64)
+        at = self.start[which]
+        s, inverse = self._prefix()
+        return mix64((s[at + self.length] - s[at]) * inverse[at])
 
     def place(self, at: int) -> tuple[int, int]:
         """The document of a place in the joined bytes, and the place in it."""
@@ -264,16 +282,17 @@ FACTS = [("u1", "sum"), ("i8", "min")]
 
 
 class _Chunk:
-    """The passes over a chunk: each starts from its rows again."""
+    """The passes over a chunk: each starts from its rows again, and holds some eight bytes for each byte of them."""
 
     def __init__(self, number: int, texts: list[bytes], length: int, first: bool):
         self.number, self.texts, self.length, self.first = number, texts, length, first
+        self.segments = list(_segments(texts, length))
 
     def _facts(self, keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         return keys, [n, np.full(len(keys), self.number, np.int64)]
 
     def ask_anchors(self) -> tuple[np.ndarray, list[np.ndarray]]:
-        return self._facts(*_count([k for s in _segments(self.texts, self.length) for k in s.keys()]))
+        return self._facts(*_count([k for s in self.segments for k in s.keys()]))
 
     def codes(self, told: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """0: one occurrence in all; 1: several, the first in this chunk; 2: several, one in an earlier chunk. And how many."""
@@ -281,7 +300,7 @@ class _Chunk:
         return np.where(many > 1, np.where(low == self.number, 1, 2), 0).astype(np.uint8), many
 
     def windows(self, told: list[np.ndarray], distinct: np.ndarray):
-        """(segment, occurrences of its anchors, windows known to go, windows to be asked about) in order.
+        """(segment, which anchors repeat, windows known to go, places and keys of windows to be asked about) in order.
 
         Windows within a repeated span are known to repeat. Of all places of the span one, the first, stands for it:
         its windows are asked about all the same, so that an equal window outside such spans meets them. Where each
@@ -289,7 +308,7 @@ class _Chunk:
         """
         seen: dict[int, tuple[int, int]] = {}
         every = self.codes(told)
-        for s in _segments(self.texts, self.length):
+        for s in self.segments:
             many = _at(s.mark, every[1], distinct)
             code, often = (_at(s.span, x, distinct) for x in every)
             stands = np.zeros(len(code), bool)
@@ -300,31 +319,32 @@ class _Chunk:
             least = s.least(many)
             ask = ~known & (least > 1)
             if not self.first:
-                for t in np.flatnonzero(stands).tolist():
-                    w = slice(*np.searchsorted(s.start, (s.low[t], s.high[t])))
+                which = np.flatnonzero(stands)
+                edges = np.searchsorted(s.start, [s.low[which], s.high[which]])
+                for t, a, z in zip(which.tolist(), *edges.tolist()):
+                    w = slice(a, z)
                     ask[w] |= (least[w] != often[t]) | (often[t] == 255)
-            yield s, many, known, ask
+            which = np.flatnonzero(ask)
+            yield s, many > 1, known, which, s.whole(which)
 
     def ask_windows(self, told: list[np.ndarray], distinct: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        return self._facts(*_count([s.whole(np.flatnonzero(ask)) for s, _, _, ask in self.windows(told, distinct)]))
+        self.found = list(self.windows(told, distinct))
+        return self._facts(*_count([keys for *_, keys in self.found]))
 
-    def removed(self, told: list[np.ndarray], distinct: np.ndarray, told2: list[np.ndarray], distinct2: np.ndarray) -> tuple[list, list]:
-        """The maximal removed runs of each document, and the runs of shared bytes."""
+    def removed(self, told2: list[np.ndarray], distinct2: np.ndarray) -> tuple[list, list]:
+        """The maximal removed runs of each document, and the runs of shared bytes; after ``ask_windows``."""
         gone: list[list[np.ndarray]] = [[] for _ in self.texts]
         shared: list[list[np.ndarray]] = [[] for _ in self.texts]
         seen = np.zeros(0, np.uint64)
         codes2, _ = self.codes(told2)
-        for s, many, known, ask in self.windows(told, distinct):
-            which = np.flatnonzero(ask)
-            keys = s.whole(which)
+        for s, repeats, hit, which, keys in self.found:
             code = _at(keys, codes2, distinct2)
             go = _later(keys, code, self.first)
             if self.first:
                 go |= (code == 1) & np.isin(keys, seen)
                 seen = np.union1d(seen, keys[code == 1])
-            hit = known
             hit[which[go]] = True
-            for out, at in ((gone, s.start[hit]), (shared, s.anchor_at[s.owned & (many > 1)])):
+            for out, at in ((gone, s.start[hit]), (shared, s.anchor_at[s.owned & repeats])):
                 for d, x in s.places(at):
                     out[d].append(x)
         gram, _ = scale(self.length)
@@ -400,7 +420,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
         t, c = chunk_of(key, t)
         a = known(c, told.filter(pc.equal(told["which"], 1)))
         keys, _ = c.ask_windows(*a)
-        runs, shared = c.removed(*a, single.unpack(told.filter(pc.equal(told["which"], 2)), keys), keys)
+        runs, shared = c.removed(single.unpack(told.filter(pc.equal(told["which"], 2)), keys), keys)
         if characters:
             runs = [_characters(x, r) for x, r in zip(c.texts, runs)]
         kept = []
