@@ -5,9 +5,9 @@ window). The windows are the patterns. For each pattern length, a shift table ov
 far the search may jump; where the shift is zero, the suffix block selects a bucket, the first block of the window
 selects the test strings in it, and direct comparison confirms an occurrence.
 
-Scale: documents are scanned once, in place, without a shuffle. The patterns are sent to the tasks only in shards
-of at most ``shard_bytes`` of benchmark text, one scan step per shard, so what is broadcast at once is bounded
-however large the benchmark is.
+Scale: documents are scanned in place, without a shuffle. A benchmark of up to ``shard_bytes`` of text is one scan; a
+larger one is dealt into shards by hash, each collected, sent and scanned in a pass of its own whose marks are written
+to the shared folder, so that the driver and the tasks hold one shard at a time however large the benchmark is.
 
 Defined cases: null or empty text: no words, no hits. Null or empty items have no windows. Items without an id
 mark words but are not listed. Repeated items and rows count as themselves. Extra columns pass through.
@@ -16,13 +16,13 @@ mark words but are not listed. Repeated items and rows count as themselves. Extr
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, add_columns, read
+from .common import LOWER, add_columns, discard, read, table
 
 WIDTH = 10
 SHARD_BYTES = 16 << 20
@@ -101,29 +101,24 @@ def scan(t: list[bytes], finders: list[WuManber]) -> tuple[np.ndarray, set]:
     return np.cumsum(delta[:-1]) > 0, items
 
 
-def _shards(benchmark: DataFrame, item_col: str, text_col: str, shard_bytes: int) -> list[list[tuple]]:
-    """The benchmark in lists of at most ``shard_bytes`` of text each (or one item, if longer)."""
+def _shards(benchmark: DataFrame, item_col: str, text_col: str, shard_bytes: int) -> Iterator[tuple[list[tuple], bool]]:
+    """The benchmark in lists of about ``shard_bytes`` of text, one at a time, and whether it is the last."""
     b = benchmark.select(F.col(f"`{item_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")).where("t is not null")
-    shards, size = [[]], 0
-    for r in b.toLocalIterator():
-        n = len(r.t.encode()) + 16
-        if size + n > shard_bytes and shards[-1]:
-            shards.append([])
-            size = 0
-        shards[-1].append((r.i, r.t))
-        size += n
-    return shards
+    total = b.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
+    n = -(-total // shard_bytes) if total > shard_bytes else 1
+    shard = F.pmod(F.xxhash64("i", "t"), F.lit(n))
+    for k in range(n):
+        yield [(r.i, r.t) for r in (b.where(shard == k) if n > 1 else b).collect()], k == n - 1
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Adds ``n_words``, ``n_hit``, ``items`` (sorted as strings) and ``contaminated`` to each row of ``docs``."""
     sc = docs.sparkSession.sparkContext
-    shards = _shards(benchmark, item_col, item_text_col, shard_bytes)
     cols = [c for c in docs.columns if c.lower() not in {"__mask", "__items"}]
-    df = docs
-    for k, shard in enumerate(shards):
+    df, before = docs, None
+    for k, (shard, last) in enumerate(_shards(benchmark, item_col, item_text_col, shard_bytes)):
         sent = sc.broadcast((shard, width))
-        first, last = k == 0, k == len(shards) - 1
+        first = k == 0
 
         def make(sent=sent, first=first, last=last):
             finders = searchers(*sent.value)
@@ -151,6 +146,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         ins = [text_col] if first else [text_col, "__mask", "__items"]
         outs = "n_words long, n_hit long, items array<string>, contaminated boolean" if last else "__mask binary, __items array<string>"
         df = add_columns(df, ins, outs, make, keep=cols)
+        if not last:
+            df = table(df, "marks")
+            if before is not None:
+                discard(before)
+            before = df
+            sent.destroy()
     return df
 
 

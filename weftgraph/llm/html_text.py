@@ -1,9 +1,12 @@
 """Main text of HTML pages: flat text blocks classified by a decision tree.
 
 A page is cut at block-level tags into flat blocks of text. The features of a block are its words, its link density
-(share of its words inside ``a``), those of its two neighbours, and whether the elements around it are named like
-page furniture or like an article. A decision tree (CART, Gini impurity), trained on the small labelled table
-``LABELLED`` when the operator starts, keeps or drops each block.
+(share of its words inside ``a``), those of its two neighbours, and three weak ones of its surroundings: whether it is
+inside an element that is page furniture by its tag (``nav``, ``footer``, ``form``, ...); what the nearest element with
+a telling class, id or role says, furniture or article; and whether it is inside an article at all. A name is a hint
+only: names like ``has-sidebar`` tell nothing, and an article inside a wrapper that is named like furniture is an
+article again. A decision tree (CART, Gini impurity), trained on the small labelled table ``LABELLED`` when the
+operator starts, keeps or drops each block; the table holds blocks whose names mislead.
 
 Scale: each page is processed on its own, nothing is shuffled; time is linear in the page's length.
 
@@ -23,34 +26,64 @@ from pyspark.sql import functions as F
 
 from .common import add_columns, read
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "article")
-#: words, link density, the same of the block before and after, in furniture, in article; 1: main text.
-LABELLED: list[tuple[float, float, float, float, float, float, int, int, int]] = [
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0), (1, 1.0, 1, 1.0, 8, 0.0, 1, 0, 0),
-    (2, 1.0, 2, 1.0, 3, 1.0, 1, 0, 0), (8, 0.0, 1, 1.0, 9, 0.0, 1, 0, 0), (9, 0.0, 1, 1.0, 40, 0.0, 1, 0, 0),
-    (30, 0.0, 8, 0.0, 60, 0.0, 1, 0, 0), (60, 0.0, 30, 0.0, 80, 0.0, 1, 0, 0), (12, 0.3, 90, 0.0, 0, 0.0, 1, 0, 0),
-    (7, 0.0, 70, 0.0, 0, 0.0, 1, 0, 0), (25, 0.1, 50, 0.0, 3, 1.0, 1, 0, 0), (14, 0.0, 60, 0.0, 20, 0.0, 1, 1, 0),
-    (45, 0.0, 60, 0.0, 45, 0.0, 1, 1, 0), (3, 1.0, 40, 0.0, 3, 1.0, 1, 1, 0), (9, 0.0, 9, 0.0, 9, 0.0, 1, 1, 0),
-    (120, 0.0, 8, 0.0, 90, 0.0, 1, 0, 0), (5, 0.0, 0, 0.0, 5, 0.0, 1, 0, 0), (2, 0.0, 30, 0.0, 30, 0.0, 1, 1, 0),
-    (9, 0.0, 8, 0.0, 9, 0.0, 0, 1, 1), (40, 0.0, 9, 0.0, 50, 0.0, 0, 1, 1), (1, 0.0, 90, 0.0, 1, 0.0, 0, 1, 1),
-    (1, 0.0, 1, 0.0, 60, 0.0, 0, 1, 1), (2, 0.0, 2, 0.0, 2, 0.0, 0, 1, 1), (70, 0.05, 40, 0.0, 7, 0.0, 0, 1, 1),
-    (25, 0.2, 60, 0.0, 50, 0.0, 0, 1, 1), (12, 0.4, 60, 0.0, 50, 0.0, 0, 1, 1), (200, 0.0, 30, 0.0, 10, 0.1, 0, 1, 1),
-    (4, 0.0, 80, 0.0, 30, 0.0, 0, 1, 1), (1, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1), (16, 0.0, 0, 0.0, 7, 0.0, 0, 1, 1),
-    (3, 1.0, 40, 0.0, 3, 1.0, 0, 1, 0), (4, 1.0, 3, 1.0, 4, 1.0, 0, 1, 0), (2, 1.0, 60, 0.0, 9, 0.2, 0, 1, 0),
-    (6, 0.9, 3, 1.0, 20, 0.0, 0, 1, 0), (8, 1.0, 8, 1.0, 8, 1.0, 0, 1, 0), (5, 1.0, 5, 1.0, 0, 0.0, 0, 1, 0),
-    (3, 0.0, 8, 0.0, 2, 0.0, 0, 1, 1), (5, 0.0, 7, 0.0, 5, 0.0, 0, 1, 1), (2, 0.0, 6, 0.0, 1, 0.0, 0, 1, 1),
-    (7, 0.0, 1, 1.0, 4, 0.0, 0, 1, 1), (6, 0.0, 4, 0.5, 0, 0.0, 0, 1, 1), (1, 0.0, 3, 0.0, 6, 1.0, 0, 1, 1),
-    (3, 0.0, 5, 0.0, 3, 1.0, 0, 1, 1), (2, 0.0, 2, 1.0, 2, 1.0, 0, 1, 1), (4, 0.0, 1, 1.0, 2, 0.0, 0, 1, 1),
-    (5, 0.2, 3, 0.0, 1, 0.0, 0, 1, 1), (4, 0.25, 2, 0.0, 6, 0.0, 0, 1, 1), (6, 0.5, 5, 0.0, 3, 0.0, 0, 1, 1),
-    (3, 0.33, 4, 1.0, 5, 0.5, 0, 1, 1), (1, 0.0, 0, 0.0, 4, 0.0, 0, 1, 1), (5, 0.0, 9, 0.3, 0, 0.0, 0, 1, 1),
-    (40, 0.0, 30, 0.0, 50, 0.0, 0, 0, 1), (60, 0.1, 5, 0.0, 70, 0.0, 0, 0, 1), (25, 0.0, 40, 0.0, 30, 0.0, 0, 0, 1),
-    (6, 0.0, 50, 0.0, 60, 0.0, 0, 0, 1), (8, 0.0, 6, 0.5, 70, 0.0, 0, 0, 1), (18, 0.1, 60, 0.0, 20, 0.0, 0, 0, 1),
-    (90, 0.02, 2, 1.0, 100, 0.0, 0, 0, 1), (20, 0.0, 45, 0.0, 4, 1.0, 0, 0, 1), (35, 0.0, 9, 0.0, 8, 0.0, 0, 0, 1),
-    (5, 0.0, 35, 0.0, 5, 0.0, 0, 0, 1), (3, 0.0, 45, 0.0, 40, 0.0, 0, 0, 1), (150, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1),
-    (2, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0), (3, 1.0, 3, 1.0, 3, 1.0, 0, 0, 0), (1, 1.0, 1, 1.0, 40, 0.0, 0, 0, 0),
-    (9, 0.7, 4, 1.0, 12, 0.6, 0, 0, 0), (20, 0.8, 3, 1.0, 30, 0.7, 0, 0, 0), (4, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0),
-    (3, 0.0, 2, 0.0, 2, 0.0, 0, 0, 0), (5, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0), (6, 0.0, 4, 0.5, 0, 0.0, 0, 0, 0),
-    (2, 0.0, 4, 1.0, 4, 0.0, 0, 0, 0), (7, 0.3, 5, 1.0, 6, 0.4, 0, 0, 0), (4, 0.0, 5, 0.0, 0, 0.0, 0, 0, 0),
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture_tag", "furniture_name", "article")
+#: words, link density, the same of the block before and after, in furniture by tag and by name, in article; 1: main text.
+LABELLED: list[tuple] = [
+    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0), (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 0),
+    (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0), (1, 1.0, 1, 1.0, 8, 0.0, 1, 0, 0, 0), (1, 1.0, 1, 1.0, 8, 0.0, 0, 1, 0, 0),
+    (2, 1.0, 2, 1.0, 3, 1.0, 1, 0, 0, 0), (2, 1.0, 2, 1.0, 3, 1.0, 0, 1, 0, 0), (8, 0.0, 1, 1.0, 9, 0.0, 1, 0, 0, 0),
+    (8, 0.0, 1, 1.0, 9, 0.0, 0, 1, 0, 0), (9, 0.0, 1, 1.0, 40, 0.0, 1, 0, 0, 0),
+    (9, 0.0, 1, 1.0, 40, 0.0, 0, 1, 0, 0), (30, 0.0, 8, 0.0, 60, 0.0, 1, 0, 0, 0),
+    (30, 0.0, 8, 0.0, 60, 0.0, 0, 1, 0, 0), (60, 0.0, 30, 0.0, 80, 0.0, 1, 0, 0, 0),
+    (60, 0.0, 30, 0.0, 80, 0.0, 0, 1, 0, 0), (12, 0.3, 90, 0.0, 0, 0.0, 1, 0, 0, 0),
+    (12, 0.3, 90, 0.0, 0, 0.0, 0, 1, 0, 0), (7, 0.0, 70, 0.0, 0, 0.0, 1, 0, 0, 0),
+    (7, 0.0, 70, 0.0, 0, 0.0, 0, 1, 0, 0), (25, 0.1, 50, 0.0, 3, 1.0, 1, 0, 0, 0),
+    (25, 0.1, 50, 0.0, 3, 1.0, 0, 1, 0, 0), (14, 0.0, 60, 0.0, 20, 0.0, 1, 0, 1, 0),
+    (14, 0.0, 60, 0.0, 20, 0.0, 0, 1, 1, 0), (45, 0.0, 60, 0.0, 45, 0.0, 1, 0, 1, 0),
+    (45, 0.0, 60, 0.0, 45, 0.0, 0, 1, 1, 0), (3, 1.0, 40, 0.0, 3, 1.0, 1, 0, 1, 0),
+    (3, 1.0, 40, 0.0, 3, 1.0, 0, 1, 1, 0), (9, 0.0, 9, 0.0, 9, 0.0, 1, 0, 1, 0), (9, 0.0, 9, 0.0, 9, 0.0, 0, 1, 1, 0),
+    (120, 0.0, 8, 0.0, 90, 0.0, 0, 1, 0, 0), (5, 0.0, 0, 0.0, 5, 0.0, 1, 0, 0, 0),
+    (5, 0.0, 0, 0.0, 5, 0.0, 0, 1, 0, 0), (2, 0.0, 30, 0.0, 30, 0.0, 1, 0, 1, 0),
+    (2, 0.0, 30, 0.0, 30, 0.0, 0, 1, 1, 0), (9, 0.0, 8, 0.0, 9, 0.0, 0, 0, 1, 1),
+    (40, 0.0, 9, 0.0, 50, 0.0, 0, 0, 1, 1), (1, 0.0, 90, 0.0, 1, 0.0, 0, 0, 1, 1),
+    (1, 0.0, 1, 0.0, 60, 0.0, 0, 0, 1, 1), (2, 0.0, 2, 0.0, 2, 0.0, 0, 0, 1, 1),
+    (70, 0.05, 40, 0.0, 7, 0.0, 0, 0, 1, 1), (25, 0.2, 60, 0.0, 50, 0.0, 0, 0, 1, 1),
+    (12, 0.4, 60, 0.0, 50, 0.0, 0, 0, 1, 1), (200, 0.0, 30, 0.0, 10, 0.1, 0, 0, 1, 1),
+    (4, 0.0, 80, 0.0, 30, 0.0, 0, 0, 1, 1), (1, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1, 1),
+    (16, 0.0, 0, 0.0, 7, 0.0, 0, 0, 1, 1), (3, 1.0, 40, 0.0, 3, 1.0, 0, 0, 1, 0),
+    (4, 1.0, 3, 1.0, 4, 1.0, 0, 0, 1, 0), (2, 1.0, 60, 0.0, 9, 0.2, 0, 0, 1, 0),
+    (6, 0.9, 3, 1.0, 20, 0.0, 0, 0, 1, 0), (8, 1.0, 8, 1.0, 8, 1.0, 0, 0, 1, 0), (5, 1.0, 5, 1.0, 0, 0.0, 0, 0, 1, 0),
+    (3, 0.0, 8, 0.0, 2, 0.0, 0, 0, 1, 1), (5, 0.0, 7, 0.0, 5, 0.0, 0, 0, 1, 1), (2, 0.0, 6, 0.0, 1, 0.0, 0, 0, 1, 1),
+    (7, 0.0, 1, 1.0, 4, 0.0, 0, 0, 1, 1), (6, 0.0, 4, 0.5, 0, 0.0, 0, 0, 1, 1), (1, 0.0, 3, 0.0, 6, 1.0, 0, 0, 1, 1),
+    (3, 0.0, 5, 0.0, 3, 1.0, 0, 0, 1, 1), (2, 0.0, 2, 1.0, 2, 1.0, 0, 0, 1, 1), (4, 0.0, 1, 1.0, 2, 0.0, 0, 0, 1, 1),
+    (5, 0.2, 3, 0.0, 1, 0.0, 0, 0, 1, 1), (4, 0.25, 2, 0.0, 6, 0.0, 0, 0, 1, 1), (6, 0.5, 5, 0.0, 3, 0.0, 0, 0, 1, 1),
+    (3, 0.33, 4, 1.0, 5, 0.5, 0, 0, 1, 1), (1, 0.0, 0, 0.0, 4, 0.0, 0, 0, 1, 1), (5, 0.0, 9, 0.3, 0, 0.0, 0, 0, 1, 1),
+    (40, 0.0, 30, 0.0, 50, 0.0, 0, 0, 0, 1), (60, 0.1, 5, 0.0, 70, 0.0, 0, 0, 0, 1),
+    (25, 0.0, 40, 0.0, 30, 0.0, 0, 0, 0, 1), (6, 0.0, 50, 0.0, 60, 0.0, 0, 0, 0, 1),
+    (8, 0.0, 6, 0.5, 70, 0.0, 0, 0, 0, 1), (18, 0.1, 60, 0.0, 20, 0.0, 0, 0, 0, 1),
+    (90, 0.02, 2, 1.0, 100, 0.0, 0, 0, 0, 1), (20, 0.0, 45, 0.0, 4, 1.0, 0, 0, 0, 1),
+    (35, 0.0, 9, 0.0, 8, 0.0, 0, 0, 0, 1), (5, 0.0, 35, 0.0, 5, 0.0, 0, 0, 0, 1),
+    (3, 0.0, 45, 0.0, 40, 0.0, 0, 0, 0, 1), (150, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
+    (2, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0), (3, 1.0, 3, 1.0, 3, 1.0, 0, 0, 0, 0), (1, 1.0, 1, 1.0, 40, 0.0, 0, 0, 0, 0),
+    (9, 0.7, 4, 1.0, 12, 0.6, 0, 0, 0, 0), (20, 0.8, 3, 1.0, 30, 0.7, 0, 0, 0, 0),
+    (4, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0), (3, 0.0, 2, 0.0, 2, 0.0, 0, 0, 0, 0), (5, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0, 0),
+    (6, 0.0, 4, 0.5, 0, 0.0, 0, 0, 0, 0), (2, 0.0, 4, 1.0, 4, 0.0, 0, 0, 0, 0), (7, 0.3, 5, 1.0, 6, 0.4, 0, 0, 0, 0),
+    (4, 0.0, 5, 0.0, 0, 0.0, 0, 0, 0, 0), (140, 0.0, 120, 0.0, 160, 0.0, 0, 1, 0, 1),
+    (180, 0.02, 90, 0.0, 130, 0.0, 0, 1, 0, 1), (95, 0.0, 110, 0.0, 150, 0.0, 0, 1, 0, 1),
+    (220, 0.01, 60, 0.0, 75, 0.0, 0, 1, 0, 1), (160, 0.0, 140, 0.0, 0, 0.0, 0, 1, 0, 1),
+    (130, 0.0, 0, 0.0, 170, 0.0, 0, 1, 0, 1), (60, 0.0, 30, 0.0, 35, 0.0, 0, 1, 0, 0),
+    (75, 0.0, 20, 0.0, 25, 0.0, 0, 1, 0, 0), (90, 0.0, 12, 0.0, 18, 0.0, 0, 1, 0, 0),
+    (110, 0.0, 8, 0.0, 9, 0.0, 0, 1, 0, 0), (50, 0.0, 45, 0.0, 55, 0.0, 0, 1, 0, 0),
+    (150, 0.9, 120, 0.8, 90, 0.9, 0, 1, 0, 0), (130, 0.0, 120, 0.0, 140, 0.0, 0, 1, 1, 0),
+    (140, 0.0, 120, 0.0, 160, 0.0, 1, 0, 0, 0), (120, 0.0, 8, 0.0, 90, 0.0, 1, 0, 0, 0),
+    (30, 0.95, 28, 0.9, 31, 1.0, 0, 0, 1, 0), (12, 0.9, 10, 1.0, 14, 0.8, 0, 0, 0, 0),
+    (22, 0.9, 60, 0.0, 20, 0.9, 0, 0, 1, 0),
+    (10, 0.0, 200, 0.0, 12, 0.0, 0, 1, 0, 0), (10, 0.0, 200, 0.0, 12, 0.0, 0, 1, 1, 0),
+    (40, 0.0, 150, 0.0, 30, 0.0, 0, 1, 0, 0), (60, 0.0, 300, 0.0, 0, 0.0, 0, 1, 0, 0),
+    (5, 0.0, 400, 0.0, 120, 0.0, 0, 1, 0, 0), (90, 0.0, 250, 0.0, 20, 0.0, 0, 1, 0, 0),
+    (85, 0.0, 180, 0.0, 150, 0.0, 0, 1, 1, 0), (20, 0.0, 110, 0.0, 200, 0.0, 0, 1, 0, 0),
+    (88, 0.0, 130, 0.0, 140, 0.0, 0, 1, 0, 0), (9, 0.0, 0, 0.0, 300, 0.0, 0, 1, 0, 0),
+    (150, 0.0, 10, 0.0, 8, 0.0, 0, 1, 0, 0), (200, 0.0, 30, 0.0, 20, 0.0, 0, 1, 0, 0),
 ]
 
 _SKIP = ("script", "style", "noscript", "template", "title", "iframe", "object", "svg", "math", "textarea", "select", "button", "option", "head", "canvas", "audio", "video", "datalist")
@@ -66,23 +99,36 @@ _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 _NAMES = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
+#: What these come before does not say what an element is, but what it has (``has-sidebar``, ``no-header``).
+_ABOUT = {"has", "have", "with", "without", "no", "not", "show", "hide", "hidden", "is"}
+
+
 def _named(attrs: str) -> tuple[bool, bool]:
+    """Whether the class, id or role names furniture, or else an article."""
     furniture = article = False
     for m in _ATTR.finditer(attrs):
-        names = {x.lower() for x in _NAMES.findall(m[2] or m[3] or m[4] or "")}
-        furniture |= bool(names & _FURNITURE)
-        article |= bool(names & _ARTICLE)
+        for one in (m[2] or m[3] or m[4] or "").split():
+            names = [x.lower() for x in _NAMES.findall(one)]
+            if names and names[0] not in _ABOUT:
+                furniture |= not _FURNITURE.isdisjoint(names)
+                article |= not _ARTICLE.isdisjoint(names)
     return furniture, article and not furniture
 
 
-def blocks(page: str | None) -> list[tuple[str, int, int, int, int]]:
-    """(text, words, words in links, in furniture, in article) of each non-empty flat block, in page order."""
+Block = tuple[str, int, int, int, int, int]
+
+
+def blocks(page: str | None) -> list[Block]:
+    """(text, words, words in links, in furniture by tag, by the nearest name, in article) of each non-empty flat block,
+    in page order."""
     if not page:
         return []
-    out: list[tuple[str, int, int, int, int]] = []
+    out: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, furniture, article
+    # Name, whether furniture by tag, whether article, and what the nearest name said outside of the element.
+    stack: list[tuple[str, bool, bool, bool]] = []
     furniture = article = links = skipped = breaks = 0
+    named = False
 
     def close() -> None:
         nonlocal breaks
@@ -90,12 +136,12 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int, int]]:
         if parts:
             text = " ".join("".join(x for x, _ in parts).split())
             if text:
-                out.append((text, len(text.split()), sum(len(x.split()) for x, in_a in parts if in_a), int(furniture > 0), int(article > 0)))
+                out.append((text, len(text.split()), sum(len(x.split()) for x, in_a in parts if in_a), int(furniture > 0), int(named), int(article > 0)))
             parts.clear()
 
     def pop() -> None:
-        nonlocal furniture, article, links, skipped
-        name, f, a = stack.pop()
+        nonlocal furniture, article, links, skipped, named
+        name, f, a, named = stack.pop()
         furniture -= f
         article -= a
         links -= name == "a"
@@ -147,16 +193,17 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int, int]]:
                 leave("td", {"tr", "table"})
                 leave("th", {"tr", "table"})
             leave("p", _BLOCK - {"p"})
-        if name in ("img", "input", "wbr") or name in _VOID or m[3].endswith("/"):
+        # A slash before the end means nothing in HTML but for drawings, of which no text is taken anyway.
+        if name in _VOID or (skipped and m[3].endswith("/")):
             continue
-        f, a = _named(m[3]) if m[3] else (False, False)
-        f |= name in _FURNITURE_TAGS
-        a |= name in _ARTICLE_TAGS
+        says_f, says_a = _named(m[3]) if m[3] else (False, False)
+        f, a = name in _FURNITURE_TAGS, says_a or name in _ARTICLE_TAGS
         if name in ("body", "html"):
-            f = a = False
+            f = a = says_f = False
         if name == "body":
             leave("head")
-        stack.append((name, f, a))
+        stack.append((name, f, a, named))
+        named = (named or says_f) and not (a and not says_f)
         furniture += f
         article += a
         links += name == "a"
@@ -171,7 +218,7 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int, int]]:
 class Tree:
     """A binary decision tree: grown by Gini impurity until leaves are pure or ``depth`` is reached."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 1):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 1):
         self.nodes: list[tuple[int, float, int, int, int]] = []  # feature, threshold, left, right, label
         self._grow(x, y, depth, least)
 
@@ -210,11 +257,11 @@ def train(table: list[tuple] = LABELLED) -> Tree:
     return Tree(t[:, :-1], t[:, -1].astype(int))
 
 
-def features(found: list[tuple[str, int, int, int, int]]) -> np.ndarray:
+def features(found: list[Block]) -> np.ndarray:
     n = len(found)
     words = np.array([0, *[b[1] for b in found], 0], float)
     links = np.array([0, *[min(1.0, b[2] / max(1, b[1])) for b in found], 0], float)
-    ctx = np.array([b[3:] for b in found], float).reshape(n, 2)
+    ctx = np.array([b[3:] for b in found], float).reshape(n, 3)
     return np.column_stack([words[1:-1], links[1:-1], words[:-2], links[:-2], words[2:], links[2:], ctx])
 
 

@@ -7,13 +7,14 @@ which is sampling k documents without replacement in proportion to their weights
 its id and the seed only, so selections are repeatable.
 
 Scale: both models are vectors of fixed length. Tasks sum them over all their documents before one small exchange
-(one row per task and slice of the vector). The k-th largest key is found by narrowing histograms of fixed size, ties
-at the boundary by id; nothing is sorted in one place, and no document is left out of the statistics.
+(one row per task and slice of the vector). The k-th largest key is found by narrowing histograms of fixed size, and
+so is the last place among the rows that tie with it; nothing is sorted in one place, and no document is left out of
+the statistics. Which documents are good is known by the hashes of their ids: up to ``MOST_IDS`` of them go to every
+task, so the texts stay where they are; a larger set is joined, at the cost of one shuffle of the texts.
 
 Defined cases: null or empty text: no n-grams, weight 0. Rows with a null id have noise of a fixed id and rank by
-key alone; repeated rows have equal keys, and where only some of them fit into the k, the first in an arbitrary but
-fixed order of their contents do (rows equal in everything are selected together or not at all, so a few more than k
-may be kept then). No labelled rows: all weights are 0. k of 0 selects nothing; k beyond the number of rows, all.
+key alone; repeated rows have equal keys, and where only some of them fit into the k, the first by their place in the
+written table do: k rows are selected, exactly. No labelled rows: all weights are 0. k of 0 selects nothing; k beyond the number of rows, all.
 """
 
 from __future__ import annotations
@@ -145,21 +146,27 @@ def kth_largest(df: DataFrame, col: str, k: int, bins: int = 4096) -> float:
 
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", share: float = SHARE, seed: int = SEED) -> DataFrame:
     """``(id, log_weight, sample_key, selected)`` per row; the share ``share`` of the rows is selected, exactly."""
-    good = labels.where((F.col(f"`{label_col}`") == 1) & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("i")).distinct()
+    good = labels.where((F.col(f"`{label_col}`") == 1) & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("i"))
     d = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t"))
-    if dict(good.dtypes)["i"] in ("int", "bigint") and good.count() <= MOST_IDS:
-        # At most eight bytes for each of MOST_IDS ids: the texts stay where they are.
-        ids = np.sort(good.select(F.col("i").cast("long")).toArrow()["i"].to_numpy())
-        totals = bucket_totals(d.withColumn("k", F.col("i").cast("long")), "t", ("k", d.sparkSession.sparkContext.broadcast(ids)))
+    good = good.select(F.xxhash64("i").alias("k")).distinct()
+    d = d.withColumn("k", F.xxhash64("i"))
+    if good.limit(MOST_IDS + 1).count() <= MOST_IDS:
+        ids = np.sort(good.toArrow()["k"].to_numpy())
+        totals = bucket_totals(d.withColumn("k", F.when(F.col("i").isNotNull(), F.col("k"))), "t", ("k", d.sparkSession.sparkContext.broadcast(ids)))
     else:
-        totals = bucket_totals(d.join(good.withColumn("g", F.lit(True)), "i", "left"), "t", "g")
-    w = table(weigh(d, log_ratios(totals), "i", "t", seed).drop("t"), "weights")
+        totals = bucket_totals(d.join(good.withColumn("g", F.lit(True)), "k", "left"), "t", "g")
+    d = d.drop("k")
+    w = table(weigh(d, log_ratios(totals), "i", "t", seed).drop("t").withColumn("place", F.monotonically_increasing_id()), "weights")
     n = w.count()
     k = math.floor(share * n)
     if k <= 0 or k >= n:
         return w.select(F.col("i").alias(id_col), "log_weight", "sample_key", F.lit(k > 0).alias("selected"))
     cut = kth_largest(w, "sample_key", k)
-    return w.select(F.col("i").alias(id_col), "log_weight", "sample_key", (F.col("sample_key") >= cut).alias("selected"))
+    above = w.where(F.col("sample_key") > cut).count()
+    ties = w.where(F.col("sample_key") == cut).select((-F.col("place")).cast("double").alias("late"))
+    last = -kth_largest(ties, "late", k - above)
+    chosen = (F.col("sample_key") > cut) | ((F.col("sample_key") == cut) & (F.col("place").cast("double") <= last))
+    return w.select(F.col("i").alias(id_col), "log_weight", "sample_key", chosen.alias("selected"))
 
 
 def op4_importance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ together, so naming a group neither raises nor lowers a score; built-in neutral
 a label, put all names under the penalty even where the labelled texts name nobody.
 
 Scale: training reads the labels of all rows, then fits on at most ``SAMPLE_ROWS`` labelled texts (lowest hashes of
-their ids) of at most ``SAMPLE_BYTES`` in all: both bounds are parameters. Scoring needs a dictionary of at most
+their ids) of at most ``SAMPLE_BYTES`` in all, each row counting ``ROW_BYTES`` besides its text: both bounds are
+parameters. Scoring needs a dictionary of at most
 ``MOST_FEATURES`` strings, sent to the tasks, and one pass over each text; nothing is shuffled.
 
 Defined cases: null and empty texts get the score of the intercept. Labels that are null, or of rows without an id,
@@ -29,6 +30,8 @@ from .common import LOWER, add_columns, read, remainder_col
 
 SAMPLE_ROWS = 8000
 SAMPLE_BYTES = 48 << 20
+#: What a row counts besides its text, so that empty texts of repeated ids are bounded, too.
+ROW_BYTES = 64
 MOST_FEATURES = 4000
 #: Names of groups; a name may be swapped for another of its line.
 GROUPS: list[list[str]] = [
@@ -180,7 +183,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     """The labelled texts to learn from: lowest hashes of the ids first, within both bounds."""
     few = labels.where(F.col(f"`{label_col}`").isin(0, 1) & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{label_col}`").alias("y")).withColumn("h", F.xxhash64("i")).orderBy("h", "i", "y").limit(rows)
     # At most ``rows`` labels are sent to the tasks.
-    got = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")).join(F.broadcast(few), "i").withColumn("n", F.coalesce(F.octet_length("t"), F.lit(0)))
+    got = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")).join(F.broadcast(few), "i").withColumn("n", F.coalesce(F.octet_length("t"), F.lit(0)) + ROW_BYTES)
     from pyspark.sql import Window
 
     w = Window.orderBy("h", "i", "y", "t").rowsBetween(Window.unboundedPreceding, 0)

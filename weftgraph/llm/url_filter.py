@@ -23,12 +23,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import discard, read
+from .common import table as shared
 
 RULES: list[tuple[str, str, str]] = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-BINS, TREES, DEPTH, RATE, L2 = 16, 8, 3, 0.5, 1.0
-_GOOD = "news blog wiki docs garden museum library school weather recipes travel history science music city health open forum daily river mountain bakery village journal tea-garden".split()
-_BAD = "cheap-pills casino-win free-bets spam-farm ads-track win-cash-now best-loans24 hot-singles click-4-bonus replica-watches77 fast-credit crypto-x10 lottery-prize adult-cams seo-links99 buy-meds-online pillz4u99 freebets777".split()
+BINS, TREES, DEPTH, RATE, L2, SUFFIXES = 16, 8, 3, 0.5, 1.0, 200
+#: Training rows of a task: small tables are one partition, so that their many short jobs are one task each.
+ROWS = 200_000
+_GOOD = "almanac diary atlas manuals garden museum library school weather recipes travel history science music city health cycling forum daily river mountain bakery village journal tea-garden".split()
+_BAD = "diet-tricks slots-4-you bonus-poker mass-mailer7 popup-click win-cash-now best-loans24 hot-singles click-4-bonus replica-watches77 fast-credit crypto-x10 lottery-prize adult-cams seo-links99 buy-meds-online pillz4u99 freebets777".split()
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
@@ -98,15 +101,17 @@ def suffix_col(host: Column) -> Column:
     return F.substring_index(host, ".", -2)
 
 
-def fit(table: DataFrame, url_col: str = "url", label_col: str = "label", bins: int = BINS, trees: int = TREES, depth: int = DEPTH, rate: float = RATE) -> dict:
-    """The model: cut points, suffix statistics (the 200 most frequent) and trees, all of bounded size."""
+def fit(table: DataFrame, url_col: str = "url", label_col: str = "label", bins: int = BINS, trees: int = TREES, depth: int = DEPTH, rate: float = RATE, suffixes: int = SUFFIXES) -> dict:
+    """The model: cut points, statistics of the ``suffixes`` most frequent suffixes and trees, all of bounded size.
+
+    A URL of any other suffix has the training table's share of blocked URLs, and support 0."""
     t = table.where(F.col(label_col).isin(0, 1)).select(F.col(url_col).alias("u"), F.col(label_col).cast("double").alias("y"))
     t = t.withColumns({"h": host_col(F.col("u")), "p": path_col(F.col("u"))})
     base = t.agg(F.avg("y").alias("p"), F.count(F.lit(1)).alias("n")).first()
     if not base["n"] or base["p"] in (0.0, 1.0):
         p = min(max(base["p"] or 0.0, 0.01), 0.99)
         return {"start": math.log(p / (1 - p)), "trees": [], "suffix": []}
-    few = t.groupBy(suffix_col(F.col("h")).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k")).orderBy(F.desc("n"), "s").limit(200).collect()
+    few = t.groupBy(suffix_col(F.col("h")).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k")).orderBy(F.desc("n"), "s").limit(suffixes).collect()
     suffix = [(r["s"], (r["k"] + 5 * base["p"]) / (r["n"] + 5), math.log1p(r["n"])) for r in few]
     x = _all_features(F.col("u"), F.col("h"), F.col("p"), suffix, base["p"])
     names = list(x)
@@ -114,7 +119,8 @@ def fit(table: DataFrame, url_col: str = "url", label_col: str = "label", bins:
     cuts = t.agg(*[F.percentile_approx(n, [i / bins for i in range(1, bins)], 10000).alias(n) for n in names]).first()
     cuts = {n: sorted(set(cuts[n])) for n in names}
     # One small code per feature: the number of cut points below the value.
-    t = t.select("y", *[reduce(lambda a, b: a + b, [(F.col(n) > c).cast("int") for c in cuts[n]], F.lit(0)).alias(n) for n in names]).persist()
+    t = t.select("y", *[reduce(lambda a, b: a + b, [(F.col(n) > c).cast("int") for c in cuts[n]], F.lit(0)).alias(n) for n in names])
+    t = shared(t.coalesce(base["n"] // ROWS + 1), "url-codes")
     start = math.log(base["p"] / (1 - base["p"]))
     grown: list[dict] = []
     coded = lambda name, i: F.col(name) > i
@@ -151,7 +157,7 @@ def fit(table: DataFrame, url_col: str = "url", label_col: str = "label", bins:
                     f, b, gl, wl = best[1]
                     leaf.update(name=names[f], bin=b, cut=cuts[names[f]][b], yes={"leaf": rate * (total_g - gl) / (total_w - wl + L2)}, no={"leaf": rate * gl / (wl + L2)})
         grown.append(tree)
-    t.unpersist()
+    discard(t)
     return {"start": start, "trees": grown, "suffix": suffix, "share": base["p"]}
 
 

@@ -7,21 +7,26 @@ A query expands the annuli in order of their lower bounds ``max(0, near - d, d -
 pivot, and stops at the first bound beyond its k-th best distance so far: no later annulus can hold a better one.
 
 Pivots are chosen (farthest first) from a sample of at most ``SAMPLE`` vectors; the index holds every vector, and
-results are exact whatever the pivots are. Components are floor(256 x), so scores are integers.
+results are exact whatever the pivots are. Components are floor(256 x), so scores are integers; they are kept as
+doubles, which hold them exactly whatever their size, and multiplied as doubles, longs or Python's integers, whichever
+is exact. Distances are taken of vectors scaled to components of at most 1, and bounds allow for their rounding.
 
 Scale: the key order comes from one range-partitioned sort with the row's id as the last key, so neither a popular
 pivot nor many copies of a vector meet in one task. Queries travel in blocks: first each to the annuli next to its
 own key, which bounds its k-th distance; then to those annuli whose bound passes, in one pass per annulus over the
-queries that still need it. The directory of annuli (pivot, near, far) is the only thing sent to every task: one
-short row per ``BLOCK`` vectors, checked against ``DIRECTORY_ROWS`` (beyond it the annuli are made longer).
+queries that still need it. The directory of annuli (pivot, near, far) is the only thing sent to every task. It has
+about ``DIRECTORY_ROWS`` short rows at most: where there are more vectors than that many annuli of ``BLOCK`` rows, an
+entry stands for several neighbouring annuli of a pivot, each still a row of the table and a step of its own.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components take no part; nor do those whose
-length differs from the most frequent one's. Rows without an id take no part. Repeated ids are separate candidates,
+length differs from the most frequent one's (between unequal lengths there is no inner product). Scores beyond a
+long's range stop at its ends. Rows without an id take no part. Repeated ids are separate candidates,
 and none of them is a candidate of a query of the same id. Fewer candidates than k: all are returned.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,18 +36,22 @@ from pyspark.sql import functions as F
 
 from .common import read, table
 
+_MOST = 1.7976931348623157e308
 K, PIVOTS, SAMPLE, BLOCK, DIRECTORY_ROWS = 5, 48, 2048, 1024, 200_000
 
 
 def quantized(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id long, v array<int>) of the rows that take part."""
+    """(id long, v array<double> of whole numbers) of the rows that take part."""
     x = F.col(f"`{vec_col}`")
     ok = F.col(f"`{id_col}`").isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) < float("inf")))
-    q = F.transform(x, lambda e: F.floor(F.lit(256.0) * e.cast("double")).cast("long"))
+    # floor() gives a long; from 2**52 on a double is whole anyway, and what overflows stops at the largest double.
+    big = lambda e: F.least(F.greatest(F.lit(256.0) * e, F.lit(-_MOST)), F.lit(_MOST))
+    q = F.transform(x, lambda e: F.when(F.abs(e.cast("double")) < 2.0**44, F.floor(F.lit(256.0) * e.cast("double")).cast("double")).otherwise(big(e.cast("double"))))
     return df.where(ok).select(F.col(f"`{id_col}`").cast("long").alias("id"), q.alias("v"))
 
 
 def _lift(v: np.ndarray, m2: float) -> np.ndarray:
+    """``v``: scaled vectors, none longer than the root of ``m2``."""
     return np.column_stack([v, np.sqrt(np.maximum(m2 - (v * v).sum(1), 0))])
 
 
@@ -57,8 +66,19 @@ def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
-    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    return flat.reshape(len(col), -1)
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
+
+
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers in doubles, exactly; beyond a long's range, its ends."""
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
+    if most < 2**52:
+        return (q @ x.T).astype(np.int64)
+    if most < 2**62:
+        return q.astype(np.int64) @ x.T.astype(np.int64)
+    whole = lambda m: [[int(e) for e in row] for row in m]
+    lo, hi, xs = -(2**63), 2**63 - 1, whole(x)
+    return np.array([[max(lo, min(hi, sum(a * b for a, b in zip(r, c)))) for c in xs] for r in whole(q)], np.int64)
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,56 +101,75 @@ def top_k(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str =
     if dims is None:
         return spark.createDataFrame([], result)
     v = v.where(F.size("v") == dims["d"])
-    norm2 = F.aggregate("v", F.lit(0).cast("long"), lambda a, e: a + e * e)
-    stats = v.agg(F.max(norm2).alias("m"), F.count(F.lit(1)).alias("n"), F.sum(queries.cast("long")).alias("q")).first()
-    n, m2 = stats["n"], float(stats["m"])
+    stats = v.agg(F.max(F.array_max(F.transform("v", F.abs))).alias("m"), F.count(F.lit(1)).alias("n"), F.sum(queries.cast("long")).alias("q")).first()
     if not stats["q"]:
         return spark.createDataFrame([], result)
-    block = max(block, -(-n // DIRECTORY_ROWS))
+    n, scale = stats["n"], 2.0 ** -max(0, math.frexp(stats["m"])[1])
+    m2 = float(v.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, e: a + (e * scale) * (e * scale)))).first()[0]) * (1 + 1e-12)
+    per = max(1, -(-n // (block * DIRECTORY_ROWS)))  # annuli of a directory entry
     few = v.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
-    piv = choose_pivots(_lift(np.array([r.v for r in few], float), m2), pivots)
-    sent = sc.broadcast((piv, m2, k, block))
+    piv = choose_pivots(_lift(np.array([r.v for r in few], float) * scale, m2), pivots)
+    sent = sc.broadcast((piv, m2, k, scale))
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piv, m2, _, _ = sent.value
+        piv, m2, _, scale = sent.value
         for b in batches:
             if not b.num_rows:
                 continue
-            x = _lift(_matrix(b.column(1)).astype(float), m2)
+            x = _lift(_matrix(b.column(1)) * scale, m2)
             d2 = (x * x).sum(1)[:, None] - 2 * x @ piv.T + (piv * piv).sum(1)
             p = d2.argmin(1)
             d = np.linalg.norm(x - piv[p], axis=1)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p, pa.int32()), pa.array(d)], ["id", "v", "pivot", "dist"])
 
-    keyed = v.mapInArrow(key, "id long, v array<long>, pivot int, dist double")
+    keyed = v.mapInArrow(key, "id long, v array<double>, pivot int, dist double")
     parts = max(1, min(2000, n // 8192 + 1))
     keyed = keyed.repartitionByRange(parts, "pivot", "dist", "id").sortWithinPartitions("pivot", "dist", "id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Annuli: rows of one pivot, next to each other in distance."""
-        _, _, _, block = sent.value
+        """Annuli: rows of one pivot, next to each other in distance; ``per`` of them share a directory entry."""
+        from pyspark import TaskContext
+
+        part, entry, used, pivot = TaskContext.get().partitionId() << 40, -1, 0, None
+        held: list[tuple] = []
+
+        def row() -> pa.RecordBatch:
+            nonlocal entry, used, pivot, held
+            ids, x, d = (np.concatenate(c) for c in zip(*held))
+            held = []
+            if used == 0 or used == per:
+                entry, used = entry + 1, 0
+            used += 1
+            cols = [[part + entry], [pivot], [float(d[0])], [float(d[-1])], [ids.tobytes()], [x.tobytes()]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.binary(), pa.binary()))], ["ring", "pivot", "near", "far", "ids", "rows"])
+
         for b in batches:
-            p, d = b.column(2).to_numpy(), b.column(3).to_numpy()
-            ids, x = b.column(0).to_numpy(), _matrix(b.column(1)) if b.num_rows else None
-            edges = [0, *(np.flatnonzero(np.diff(p)) + 1).tolist(), len(p)] if len(p) else [0]
-            out = []
+            if not b.num_rows:
+                continue
+            ids, x, p, d = b.column(0).to_numpy(), _matrix(b.column(1)), b.column(2).to_numpy(), b.column(3).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(p)) + 1).tolist(), len(p)]
             for lo, hi in zip(edges, edges[1:]):
-                for a in range(lo, hi, block):
-                    z = min(a + block, hi)
-                    out.append((int(p[a]), float(d[a]), float(d[z - 1]), ids[a:z].tobytes(), x[a:z].astype(np.int64).tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.float64(), pa.float64(), pa.binary(), pa.binary()))], ["pivot", "near", "far", "ids", "rows"])
-
-    ring = table(keyed.mapInArrow(cut, "pivot int, near double, far double, ids binary, rows binary"), "annuli")
-    # An annulus is known by its pivot, its near edge and its first id: the same however the table is read.
-    ring = ring.withColumn("ring", F.xxhash64("pivot", "near", "far", "ids"))
-    directory = ring.select("ring", "pivot", "near", "far").collect()
+                if p[lo] != pivot:
+                    if held:
+                        yield row()
+                    pivot, used = int(p[lo]), 0
+                while lo < hi:
+                    z = min(hi, lo + block - sum(len(h[0]) for h in held))
+                    held.append((ids[lo:z], x[lo:z], d[lo:z]))
+                    lo = z
+                    if sum(len(h[0]) for h in held) == block:
+                        yield row()
+        if held:
+            yield row()
+
+    ring = table(keyed.mapInArrow(cut, "ring long, pivot int, near double, far double, ids binary, rows binary"), "annuli")
+    directory = ring.groupBy("ring", "pivot").agg(F.min("near").alias("near"), F.max("far").alias("far")).orderBy("ring").collect()
     book = sc.broadcast((np.array([r.ring for r in directory]), np.array([r.pivot for r in directory]), np.array([r.near for r in directory]), np.array([r.far for r in directory])))
     asked = v.where(queries)
 
     def bounds(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower bounds of the distances from queries to annuli."""
-        piv, m2, _, _ = sent.value
+        """Lower bounds of the distances from scaled queries to annuli."""
+        piv, _, _, _ = sent.value
         _, p, near, far = book.value
         q = np.column_stack([x, np.zeros(len(x))])
         d = np.sqrt(np.maximum((q * q).sum(1)[:, None] - 2 * q @ piv.T + (piv * piv).sum(1), 0))[:, p]
@@ -138,9 +177,9 @@ def top_k(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str =
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each query to its first annuli, until they surely hold k rows besides itself."""
-        rings = book.value[0]
+        rings, scale = book.value[0], sent.value[3]
         for b in batches:
-            x = _matrix(b.column(1)).astype(float) if b.num_rows else np.zeros((0, 1))
+            x = _matrix(b.column(1)) * scale if b.num_rows else np.zeros((0, 1))
             for lo in range(0, len(x), 64):
                 order = np.argsort(bounds(x[lo : lo + 64]), axis=1, kind="stable")[:, :2]
                 part = b.slice(lo, 64)
@@ -160,9 +199,7 @@ def top_k(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str =
                     qid = qs.field(0).to_numpy()
                     q = qs.field(1).flatten().to_numpy().reshape(len(qid), -1)
                     ids = np.frombuffer(b.column(1)[r].as_buffer(), np.int64)
-                    x = np.frombuffer(b.column(2)[r].as_buffer(), np.int64).reshape(len(ids), -1)
-                    exact = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * x.shape[1] < 2**52
-                    s = (q.astype(float) @ x.T.astype(float)).astype(np.int64) if exact else q @ x.T
+                    s = products(q, np.frombuffer(b.column(2)[r].as_buffer(), np.float64).reshape(len(ids), -1))
                     out = []
                     for i, a in enumerate(qid):
                         other = ids != a
@@ -174,27 +211,28 @@ def top_k(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str =
 
     def merge(found: DataFrame) -> DataFrame:
         """The k best of each query, from at most k rows of each annulus; ties to the smaller id."""
-        best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
+        best = F.slice(F.array_sort(F.collect_list(F.struct((-1 - F.col("score")).alias("s"), "vec_id"))), 1, k)
         return found.groupBy("query_id").agg(best.alias("best"))
 
-    start = table(meet(asked.mapInArrow(first, "q long, v array<long>, ring long")), "first")
-    # The k-th score so far, as a distance: |q|^2 + M^2 - 2 score.
-    kth = merge(start).select(F.col("query_id").alias("id"), F.when(F.size("best") >= k, -F.element_at("best", -1)["s"]).alias("kth"))
+    start = table(meet(asked.mapInArrow(first, "q long, v array<double>, ring long")), "first")
+    # The k-th score so far, as a distance: |q|^2 + M^2 - 2 score. A score that stopped at a long's low end bounds nothing.
+    kth = merge(start).select(F.col("query_id").alias("id"), F.when((F.size("best") >= k) & (F.try_element_at("best", F.lit(-1))["s"] < 2**63 - 1), (-1 - F.try_element_at("best", F.lit(-1))["s"]).cast("double")).alias("kth"))
     more = asked.join(kth, "id", "left").select("id", "v", "kth")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The annuli after the first two whose bound is within the k-th distance, nearest first."""
-        _, m2, _, _ = sent.value
+        _, m2, _, scale = sent.value
         rings = book.value[0]
         for b in batches:
-            x = _matrix(b.column(1)).astype(float) if b.num_rows else np.zeros((0, 1))
-            kth = b.column(2).to_numpy(zero_copy_only=False).astype(float)
+            x = _matrix(b.column(1)) * scale if b.num_rows else np.zeros((0, 1))
+            kth = b.column(2).to_numpy(zero_copy_only=False).astype(float) * scale * scale
             for lo in range(0, len(x), 64):
                 q = x[lo : lo + 64]
                 low = bounds(q)
                 order = np.argsort(low, axis=1, kind="stable")
                 far = np.sqrt(np.maximum((q * q).sum(1) + m2 - 2 * kth[lo : lo + 64], 0))
-                far = np.where(np.isnan(far), np.inf, far * (1 + 1e-9) + 1e-6)
+                # Distances of scaled vectors are off by the root of the rounding of their squares, at most.
+                far = np.where(np.isnan(far), np.inf, far * (1 + 1e-9) + 1e-5)
                 sorted_low = np.take_along_axis(low, order, 1)
                 for i in range(len(q)):
                     stop = int(np.searchsorted(sorted_low[i], far[i], side="right"))
@@ -202,9 +240,9 @@ def top_k(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str =
                         take = pa.array(np.full(stop - 2, lo + i))
                         yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(rings[order[i, 2:stop]])], ["q", "v", "ring"])
 
-    rest = meet(more.mapInArrow(expand, "q long, v array<long>, ring long"))
+    rest = meet(more.mapInArrow(expand, "q long, v array<double>, ring long"))
     best = merge(start.union(rest))
-    return best.select("query_id", F.posexplode("best").alias("pos", "b")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "b.vec_id", (-F.col("b.s")).alias("score"))
+    return best.select("query_id", F.posexplode("best").alias("pos", "b")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "b.vec_id", (-1 - F.col("b.s")).alias("score"))
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
