@@ -87,7 +87,7 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
         cut = np.partition(scores, len(scores) - k)[len(scores) - k]
         keep = scores >= cut
         ids, scores = ids[keep], scores[keep]
-    o = np.lexsort((ids, -scores))[:k]
+    o = np.lexsort((ids, ~scores))[:k]  # of longs, -1 - x turns the order around without overflow
     return ids[o], scores[o]
 
 
