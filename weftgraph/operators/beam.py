@@ -18,7 +18,7 @@ from ..functions.text import jaccard, norm_beam, norm_catalog, tokens, type_matc
 from .aggregate import frontier_relations
 from .lookup import metadata
 from .resolve import rerank_expansion
-from .store import GraphStore
+from .store import GraphStore, written
 
 # Relations never followed, and the words that tell relations of mediators.
 BLOCKED = ["type.object.name", "type.object.key", "type.object.guid", "type.object.type"]
@@ -231,7 +231,7 @@ def search(seeds: DataFrame, store: GraphStore, config: BeamConfig | None = None
     last beam.
     """
     config = config or BeamConfig()
-    keep = keep or (lambda d: d.checkpoint() if d.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else d.persist())
+    keep = keep or written
     step = "struct<relation:string,direction:string,role:string>"
     evidence = "array<struct<node:string,relation:string,direction:string,target:string>>"
     states = seeds.select("qid", "query").distinct().select("qid", "query", F.lit("").alias("state_id"), F.array().cast(f"array<{step}>").alias("path"), F.array().cast("array<string>").alias("path_names"), F.lit(1.0).alias("semantic_score"), F.lit(0).alias("protected_until"), F.lit(None).cast("string").alias("last_relation"), F.lit(None).cast("string").alias("last_direction"))

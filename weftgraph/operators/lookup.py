@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_id, jaccard80, norm_catalog, sequence_ratio
-from .store import GraphStore, small
+from .store import GraphStore, small, written
 
 # Scores of the kinds of match, type markers of mediators and types of ordinary things.
 ENTITY_SCORES = {"mid": 100.0, "name_exact": 95.0, "alias_exact": 85.0, "alias_like": 80.0}
@@ -179,13 +181,47 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n)
 
 
-def link_by_embedding(mentions: DataFrame, catalog: DataFrame, top_k: int = 1) -> DataFrame:
+def link_by_embedding(mentions: DataFrame, catalog: DataFrame, top_k: int = 1, block: int = 4096, digits: int = 9) -> DataFrame:
     """The ``top_k`` catalog rows (``item, vector``) closest to each mention (``mention, vector``) by cosine.
 
-    Every mention meets every catalog row in blocks (mentions are the stated query set and are broadcast if small);
-    per mention only the best of each task leave it.
+    Mentions are the stated query set: they go to the tasks in blocks of ``block`` vectors, one pass over the catalog per
+    block, in which a matrix product scores each batch and only the best of a batch leave it. Norms are taken once per
+    vector. Scores are equal if they are equal to ``digits`` places; ties go to the smaller item. Vectors without a
+    norm, and of another length than the block's, are compared with nothing. Items and mentions are integers.
     """
-    q = small(mentions.select("mention", F.col("vector").alias("q")))
-    d = catalog.select("item", "vector").crossJoin(q).select("mention", "item", cosine(F.col("q"), F.col("vector")).alias("score")).where("score IS NOT NULL")
+    spark = mentions.sparkSession
+    n = mentions.count()
+    number = F.pmod(F.xxhash64("mention"), F.lit(max(1, -(-n // block))))
+    q = written(mentions.select("mention", F.col("vector").cast("array<double>").alias("vector"), number.alias("part")))
+    found = spark.createDataFrame([], "mention long, item long, score double")
+    for part in range(max(1, -(-n // block))):
+        rows = q.where(F.col("part") == part).select("mention", "vector").toArrow()
+        by_size: dict[int, tuple[list, list]] = {}
+        for m, v in zip(rows["mention"].to_pylist(), rows["vector"].to_pylist()):
+            if v and None not in v and any(v):
+                at = by_size.setdefault(len(v), ([], []))
+                at[0].append(m)
+                at[1].append(v)
+        sent = spark.sparkContext.broadcast({k: (np.array(m), (x := np.array(v)) / np.linalg.norm(x, axis=1, keepdims=True)) for k, (m, v) in by_size.items()})
+
+        def run(batches, sent=sent):
+            for b in batches:
+                items, got = b.column(0).to_numpy(zero_copy_only=False), []
+                lists = b.column(1).to_pylist()
+                for size, (names, unit) in sent.value.items():
+                    ok = [i for i, v in enumerate(lists) if v is not None and len(v) == size and None not in v and any(v)]
+                    if not ok:
+                        continue
+                    x = np.array([lists[i] for i in ok])
+                    s = np.round(unit @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, digits)
+                    ids = items[ok]
+                    for name, row in zip(names, s):
+                        best = np.flatnonzero(row >= np.partition(row, len(row) - top_k)[len(row) - top_k]) if len(row) > top_k else np.arange(len(row))
+                        best = best[np.lexsort((ids[best], -row[best]))[:top_k]]
+                        got.append((np.full(len(best), name), ids[best], row[best]))
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*got)], ["mention", "item", "score"])
+
+        found = found.union(catalog.select("item", F.col("vector").cast("array<double>")).mapInArrow(run, "mention long, item long, score double"))
     w = Window.partitionBy("mention").orderBy(F.desc("score"), "item")
-    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)

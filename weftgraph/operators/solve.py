@@ -7,6 +7,7 @@ defaults (``operators.beam.default_policy``, the functions here).
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,21 +15,23 @@ from pyspark.sql import functions as F
 from ..functions.text import norm_catalog, norm_ws, overlap_max, tokens, type_names
 from .aggregate import collect_constrained, collect_entities, intersect_sets, rank_numeric
 from .lookup import metadata, pair_check, two_hop_between
-from .store import GraphStore, small
+from .store import GraphStore, small, written
 
-# The words that name an operation, most telling first, and texts that mean "no answer".
-ARGMAX = ["most", "largest", "highest", "biggest", "greatest", "longest", "latest", "newest", "last", "maximum", "max"]
-ARGMIN = ["least", "smallest", "lowest", "fewest", "shortest", "earliest", "oldest", "first", "minimum", "min"]
-INTERSECT = ["both", "common", "intersection", "also", "shared"]
-COUNT = ["many", "count", "number"]
+# The words and phrases that name an operation, in order of precedence, and texts that mean "no answer".
+ARGMAX = ["most", "largest", "highest", "biggest", "longest", "latest"]
+ARGMIN = ["least", "smallest", "lowest", "earliest", "shortest"]
+INTERSECT, INTERSECT_PHRASES = ["intersection", "overlap", "same", "shared", "both", "also"], ["among these"]
+COUNT, COUNT_PHRASES = ["count"], ["how many", "number of"]
 FAILURES = ["insufficient", "not enough", "cannot determine", "can't determine", "no answer", "no evidence", "not found", "unable to", "unknown", "none", "null"]
 
 
 def operation(question: Column) -> Column:
     """argmax, argmin, intersect, count or null, in this order of precedence."""
-    t = tokens(F.regexp_replace(norm_ws(question), r"[^\p{L}\p{N} ]", ""))
+    q = norm_ws(question)
+    t = F.regexp_extract_all(q, F.lit("([a-z0-9]+)"), 1)
     has = lambda ws: F.arrays_overlap(t, F.array(*[F.lit(w) for w in ws]))
-    return F.when(has(ARGMAX), "argmax").when(has(ARGMIN), "argmin").when(has(INTERSECT), "intersect").when(has(COUNT), "count")
+    says = lambda ps: reduce(lambda a, b: a | b, [F.contains(q, F.lit(p)) for p in ps])
+    return F.when(has(ARGMAX), "argmax").when(has(ARGMIN), "argmin").when(says(INTERSECT_PHRASES) | has(INTERSECT), "intersect").when(says(COUNT_PHRASES) | has(COUNT), "count")
 
 
 def route(kind: Column, has_dependencies: Column, has_anchors: Column) -> Column:
@@ -100,8 +103,7 @@ def waves(subquestions: DataFrame, solve: Callable[[DataFrame, DataFrame], DataF
             break
         inputs = ready.select("qid", "sub_id", F.explode("depends_on").alias("dep")).join(got.withColumnRenamed("sub_id", "dep"), ["qid", "dep"]).select("qid", "sub_id", "value").distinct()
         new = solve(ready, inputs).select("qid", "sub_id", "value")
-        # The answers of a wave are few; they are kept in memory with the lineage of at most ``max_loops`` waves.
-        got = got.union(new.persist())
+        got = got.union(written(new))
         open_ = open_.join(ready.select("qid", "sub_id"), ["qid", "sub_id"], "left_anti")
     return got
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_catalog, verbalize_relation
@@ -21,6 +24,56 @@ def small(df: DataFrame, most: int = 64 << 20) -> DataFrame:
     return F.broadcast(df) if size <= most else df
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def _folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where Spark is this machine alone."""
+    sc = spark.sparkContext
+    got = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
+    if not got:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="weftgraph-"))
+        got = sc._jsc.sc().getCheckpointDir().get()
+    return got
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Writes a DataFrame to the shared folder and reads it again: work is done once, lineage ends, and the planner knows
+    the size of what is joined next. The files are deleted when Python ends, or by ``forget``."""
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/weftgraph-{uuid.uuid4().hex}"
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    _WRITTEN.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def forget() -> None:
+    """Deletes what ``written`` has written; nothing unfinished may read it."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  Spark has ended before Python
+            return
+
+
+def with_edge_ids(edges: DataFrame) -> DataFrame:
+    """Adds ``edge_id``: a hash of the edge and of its number among equal edges, the same whenever it is computed."""
+    cols = ["head", "relation", "tail", "tail_kind"]
+    n = F.row_number().over(Window.partitionBy(*cols).orderBy(F.lit(0)))
+    return edges.withColumn("__n", n).withColumn("edge_id", F.xxhash64(*cols, "__n")).drop("__n")
+
+
 def edges_of(triples: DataFrame) -> DataFrame:
     """Triples with a kind: a missing one is ``id``."""
     kind = F.lower(F.trim(F.col("tail_kind"))) if "tail_kind" in triples.columns else F.lit("id")
@@ -92,6 +145,11 @@ class GraphStore:
     def edges(self) -> DataFrame:
         return self._get("edges", lambda: edges_of(self.triples))
 
+    @property
+    def edges_by_tail(self) -> DataFrame:
+        """The same edges; a saved store has them sorted by tail, so that lookups by tail skip files and row groups."""
+        return self._get("edges_by_tail", lambda: self.edges)
+
     @property
     def node_stats(self) -> DataFrame:
         return self._get("node_stats", lambda: node_stats(self.edges, self.entities, self.threshold))
@@ -122,5 +180,5 @@ class GraphStore:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "GraphStore":
         read = lambda n: spark.read.parquet(f"{path}/{n}")
-        made = {n: read(n) for n in ("node_stats", "relation_stats", "relations", "relation_lookup", "alias_index")}
+        made = {n: read(n) for n in ("node_stats", "relation_stats", "relations", "relation_lookup", "alias_index", "edges_by_tail")}
         return cls(read("edges_by_head"), read("entities"), _made=made)

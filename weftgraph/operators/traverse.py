@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_id
 from .lookup import direct_edges  # noqa: F401  (part of this module's surface)
-from .store import small
+from .store import small, written
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -16,34 +18,34 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return f.union(edges.where("tail_kind = 'id'").select(F.col("tail"), "relation", F.col("head"), F.lit(True), F.lit(False)))
 
 
-def _cut(df: DataFrame, hop: int) -> DataFrame:
-    """Cuts lineage every other hop, in the folder all executors share."""
-    return df.checkpoint() if hop % 2 == 0 and df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
-
-
 def reach(sources: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """``source, node, dist``: what each source (column ``node``) reaches within ``depth`` undirected hops, itself first."""
-    step = both_ways(edges).where(~F.col("literal")).select("node", F.col("neighbor").alias("next")).distinct()
-    known = step.select("node").union(step.select(F.col("next"))).distinct()
-    seen = sources.select("node").distinct().join(known, "node", "left_semi").select(F.col("node").alias("source"), "node", F.lit(0).alias("dist"))
-    front = seen
+    """``source, node, dist``: what each source (column ``node``) reaches within ``depth`` undirected hops, itself first.
+
+    Each hop joins the written frontier with the edges as they are and makes the result distinct: the edges are never
+    shuffled for a small frontier. A ``qid`` column of the sources stays.
+    """
+    step = both_ways(edges).where(~F.col("literal")).select("node", F.col("neighbor").alias("next"))
+    keys = [*(["qid"] if "qid" in sources.columns else []), "source", "node"]
+    start = sources.select(*[c for c in keys if c == "qid"], F.col("node").alias("source"), "node").distinct()
+    front = written(start.join(step.select("node"), "node", "left_semi").select(*keys, F.lit(0).alias("dist")))
+    seen = front
     for hop in range(1, depth + 1):
-        new = small(front.select("source", "node")).join(step, "node").select("source", F.col("next").alias("node")).distinct()
-        front = _cut(new.join(seen.select("source", "node"), ["source", "node"], "left_anti").withColumn("dist", F.lit(hop)), hop)
+        new = small(front.select(keys)).join(step, "node").select(*keys[:-1], F.col("next").alias("node")).distinct()
+        front = written(new.join(small(seen.select(keys)), keys, "left_anti").select(*keys, F.lit(hop).alias("dist")))
         seen = seen.union(front)
     return seen
 
 
 def shortest_paths(pairs: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """``source, target, length, nodes``: one shortest undirected path per pair, the least in order of its nodes."""
-    step = both_ways(edges).where(~F.col("literal")).select("node", F.col("neighbor").alias("next")).distinct()
+    step = both_ways(edges).where(~F.col("literal")).select("node", F.col("neighbor").alias("next"))
     p = pairs.select("source", "target").distinct()
-    front = p.select("source").distinct().select("source", F.col("source").alias("node"), F.array("source").alias("nodes"))
+    front = written(p.select("source").distinct().select("source", F.col("source").alias("node"), F.array("source").alias("nodes")))
     best = front
-    for hop in range(1, depth + 1):
+    for _ in range(depth):
         new = small(front).join(step, "node").groupBy("source", "next").agg(F.min("nodes").alias("nodes"))
         new = new.select("source", F.col("next").alias("node"), F.concat("nodes", F.array("next")).alias("nodes"))
-        front = _cut(new.join(best.select("source", "node"), ["source", "node"], "left_anti"), hop)
+        front = written(new.join(small(best.select("source", "node")), ["source", "node"], "left_anti"))
         best = best.unionByName(front)
     return p.join(best.withColumnRenamed("node", "target"), ["source", "target"]).withColumn("length", F.size("nodes") - 1)
 
@@ -83,7 +85,7 @@ def simple_paths(seeds: DataFrame, edges: DataFrame, depth: int, targets: DataFr
     front, found = start_paths(seeds), None
     goal = small(targets.select(F.col("node").alias("terminal")).distinct()) if targets is not None else None
     for hop in range(1, depth + 1):
-        new = _cut(grow(front, adjacency), hop)
+        new = written(grow(front, adjacency))
         hit = new.join(goal, "terminal", "left_semi").select(new.columns) if goal is not None else new
         found = hit if found is None else found.unionByName(hit)
         front = new.join(goal, "terminal", "left_anti").select(new.columns) if goal is not None else new
@@ -95,7 +97,11 @@ def simple_paths(seeds: DataFrame, edges: DataFrame, depth: int, targets: DataFr
 
 
 def bfs_search(seeds: DataFrame, edges: DataFrame, depth: int = 2, max_expansions: int = 200, max_paths: int = 50, neighbor_limit: int = 0, hints: list[str] | None = None, strict: bool = False) -> DataFrame:
-    """Breadth-first search with budgets per question. A path's place is its parent's place, then its edge's rank."""
+    """Breadth-first search with budgets per question. A path's place is its parent's place, then its edge's rank.
+
+    Every edge followed is an expansion and gives one path, so the smaller of both budgets ends the search (0: none).
+    Where a budget is set, no task gets more rows of a question than it allows.
+    """
     adjacency = both_ways(edges)
     if hints and strict:
         adjacency = adjacency.where(F.col("relation").isin(hints))
@@ -111,7 +117,7 @@ def bfs_search(seeds: DataFrame, edges: DataFrame, depth: int = 2, max_expansion
         if neighbor_limit > 0:
             new = new.withColumn("rn", F.row_number().over(Window.partitionBy("qid", "parent_seq").orderBy(*order))).where(F.col("rn") <= neighbor_limit).drop("rn")
         new = new.join(base, "qid").withColumn("seq", F.col("used") + F.row_number().over(Window.partitionBy("qid").orderBy("parent_seq", *order))).where(F.col("seq") <= budget)
-        front = _cut(new.select("qid", "seed", "terminal", "literal", "nodes", "relations", "reversed", "hops", "seq"), hop)
+        front = written(new.select("qid", "seed", "terminal", "literal", "nodes", "relations", "reversed", "hops", "seq"))
         out = front if out is None else out.unionByName(front)
         base = out.groupBy("qid").agg(F.max("seq").alias("used"))
     return out.withColumn("text", text_of(F.col("nodes"), F.col("relations"), F.col("reversed")))
@@ -125,7 +131,7 @@ def beam_search(seeds: DataFrame, edges: DataFrame, score, depth: int = 2, width
     front, out = start_paths(seeds), None
     cols = front.columns
     for hop in range(1, depth + 1):
-        new = _cut(score(grow(front, adjacency)), hop)
+        new = written(score(grow(front, adjacency)))
         out = new if out is None else out.unionByName(new)
         if width > 0:
             w = Window.partitionBy("qid").orderBy(F.desc("path_score"), "hops", "terminal", edge_key())
@@ -146,29 +152,88 @@ def induced_subgraph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def question_subgraph(topics: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    return induced_subgraph(reach(topics, edges, depth), edges)
+    """The edges between all nodes within ``depth`` hops of a question's topics; with ``qid`` in ``topics``, per question."""
+    near = reach(topics, edges, depth)
+    if "qid" not in topics.columns:
+        return induced_subgraph(near, edges)
+    n = written(near.select("qid", "node").distinct())
+    e = edges.where("tail_kind = 'id'").select("head", "relation", "tail")
+    d = small(n.withColumnRenamed("node", "head")).join(e, "head")
+    return d.join(small(n.withColumnRenamed("node", "tail")), ["qid", "tail"], "left_semi").select("qid", "head", "relation", "tail")
 
 
 def prune_by_topics(topics: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """The nodes on one shortest path per pair of topics: ``node``. Callers keep the graph as it is if there are none."""
-    t = topics.select("node").distinct()
-    pairs = t.select(F.col("node").alias("source")).join(t.select(F.col("node").alias("target")), F.col("source") < F.col("target"))
-    return shortest_paths(pairs, edges, depth).select(F.explode("nodes").alias("node")).distinct()
-
-
-def ordered_topic_paths(legs: list[DataFrame], edges: DataFrame, depth: int) -> DataFrame:
-    """Paths through topics in order: simple paths leg by leg (``source, target`` frames), joined where they meet."""
-    whole = None
-    for leg in legs:
-        seeds = leg.select(F.col("source").alias("node"))
-        p = simple_paths(seeds, edges, depth, leg.select(F.col("target").alias("node")))
-        p = p.select(F.col("seed"), F.col("terminal"), "nodes", "relations", "reversed")
-        if whole is None:
-            whole = p
-            continue
-        nxt = p.select(F.col("seed").alias("terminal"), F.col("terminal").alias("end"), F.col("nodes").alias("n2"), F.col("relations").alias("r2"), F.col("reversed").alias("v2"))
-        whole = whole.join(nxt, "terminal").select("seed", F.col("end").alias("terminal"), F.concat("nodes", F.slice("n2", 2, 1_000_000)).alias("nodes"), F.concat("relations", "r2").alias("relations"), F.concat("reversed", "v2").alias("reversed"))
-    return whole.withColumn("text", text_of(F.col("nodes"), F.col("relations"), F.col("reversed")))
+    """Subgraphs (``edges``: ``qid, head, relation, tail``) cut to one shortest path per pair of a question's topics.
+
+    A question keeps its graph as it is if it has fewer than two topics, if no pair is connected, or if the paths add no
+    node to the topics (they are next to each other).
+    """
+    t = topics.select("qid", "node").distinct()
+    e = edges.select("qid", "head", "relation", "tail")
+    pairs = t.select("qid", F.col("node").alias("source")).join(t.select("qid", F.col("node").alias("target")), "qid").where("source < target")
+    # One graph for all questions: a node of a question is the pair of both.
+    name = lambda c: F.concat_ws("\u0001", F.col("qid").cast("string"), c)
+    own = e.select(name("head").alias("head"), "relation", name("tail").alias("tail"), F.lit("id").alias("tail_kind"))
+    best = shortest_paths(pairs.select(name("source").alias("source"), name("target").alias("target")), own, depth)
+    found = best.select(F.explode("nodes").alias("x")).distinct()
+    found = found.select(F.substring_index("x", "\u0001", 1).alias("q"), F.substring_index("x", "\u0001", -1).alias("node"))
+    more = found.join(t.select(F.col("qid").cast("string").alias("q"), "node"), ["q", "node"], "left_anti").select("q").distinct()
+    keep = written(found.join(more, "q", "left_semi"))
+    cut = e.withColumn("q", F.col("qid").cast("string")).join(keep.select("q").distinct(), "q", "left_semi")
+    ends = keep.select("q", F.col("node").alias("head")), keep.select("q", F.col("node").alias("tail"))
+    cut = cut.join(ends[0], ["q", "head"], "left_semi").join(ends[1], ["q", "tail"], "left_semi")
+    same = e.withColumn("q", F.col("qid").cast("string")).join(keep.select("q").distinct(), "q", "left_anti")
+    return cut.select(e.columns).unionByName(same.select(e.columns))
+
+
+def ordered_topic_paths(topics: DataFrame, edges: DataFrame, dpredict: int, dmax: int, per_pair: int = 20) -> DataFrame:
+    """Paths through a question's topics (``qid, ord, node``) in order, joined leg by leg where they meet.
+
+    A question is searched from depth ``min(dpredict, dmax)`` on and stops at the first depth at which each pair of
+    consecutive topics is connected, with at most ``per_pair`` (0: all) paths of a pair, shorter ones first. One topic
+    alone is a path without hops.
+    """
+    w = Window.partitionBy("qid").orderBy("ord")
+    legs = topics.select("qid", "ord", F.col("node").alias("source"), F.lead("node").over(w).alias("target"), F.row_number().over(w).alias("leg"), F.count(F.lit(1)).over(Window.partitionBy("qid")).alias("topics"))
+    single = legs.where("topics = 1").select("qid", F.col("source").alias("seed"), F.col("source").alias("terminal"), F.array("source").alias("nodes"), F.array().cast("array<string>").alias("relations"), F.array().cast("array<boolean>").alias("reversed"))
+    open_, out = written(legs.where("target IS NOT NULL").select("qid", "leg", "topics", "source", "target")), [single]
+    for depth in range(min(dpredict, dmax), dmax + 1):
+        pairs = open_.select("source", "target").distinct()
+        found = simple_paths(pairs.select(F.col("source").alias("node")).distinct(), edges, depth)
+        found = pairs.join(found.withColumnsRenamed({"seed": "source", "terminal": "target"}), ["source", "target"])
+        if per_pair > 0:
+            best = Window.partitionBy("source", "target").orderBy("hops", edge_key())
+            found = found.withColumn("__n", F.row_number().over(best)).where(F.col("__n") <= per_pair)
+        found = written(found.select("source", "target", "nodes", "relations", "reversed"))
+        linked = open_.join(found.select("source", "target").distinct(), ["source", "target"], "left_semi")
+        done = linked.groupBy("qid", "topics").agg(F.count(F.lit(1)).alias("n")).where("n = topics - 1").select("qid", "topics")
+        done = written(done)
+        most = done.agg(F.max("topics")).first()[0] or 0
+        steps = open_.join(done.select("qid"), "qid").join(found, ["source", "target"])
+        whole = steps.where("leg = 1").select("qid", "topics", F.col("source").alias("seed"), F.col("target").alias("terminal"), "nodes", "relations", "reversed")
+        for leg in range(2, most):
+            nxt = steps.where(F.col("leg") == leg).select("qid", F.col("source").alias("terminal"), F.col("target").alias("end"), F.col("nodes").alias("n2"), F.col("relations").alias("r2"), F.col("reversed").alias("v2"))
+            longer = whole.where(F.col("topics") > leg).join(nxt, ["qid", "terminal"]).select("qid", "topics", "seed", F.col("end").alias("terminal"), F.concat("nodes", F.slice("n2", 2, 1_000_000)).alias("nodes"), F.concat("relations", "r2").alias("relations"), F.concat("reversed", "v2").alias("reversed"))
+            whole = longer.unionByName(whole.where(F.col("topics") <= leg))
+        out.append(whole.drop("topics"))
+        open_ = written(open_.join(done.select("qid"), "qid", "left_anti"))
+        if not open_.limit(1).count():
+            break
+    every = reduce(DataFrame.unionByName, out).dropDuplicates(["qid", "nodes", "relations", "reversed"])
+    return every.withColumns({"hops": F.size("relations"), "text": text_of(F.col("nodes"), F.col("relations"), F.col("reversed"))})
+
+
+def supplement_paths(topics: DataFrame, bridges: DataFrame, edges: DataFrame, dmax: int, per_pair: int = 20) -> DataFrame:
+    """Ordered paths that pass a linked entity (``qid, node``) right after the first topic, one search per bridge."""
+    b = bridges.select("qid", F.col("node").alias("bridge")).distinct().join(topics.select("qid", F.col("node").alias("bridge")), ["qid", "bridge"], "left_anti")
+    first = F.min("ord").over(Window.partitionBy("qid"))
+    t = topics.select("qid", "ord", "node", first.alias("least")).join(b, "qid")
+    key = F.concat_ws("\u0001", F.col("qid").cast("string"), "bridge")
+    rows = t.select(key.alias("key"), F.when(F.col("ord") == F.col("least"), 0).otherwise(F.col("ord") - F.col("least") + 1).alias("ord"), "node")
+    rows = rows.unionByName(t.where("ord = least").select(key.alias("key"), F.lit(1).alias("ord"), F.col("bridge").alias("node")))
+    found = ordered_topic_paths(rows.withColumnRenamed("key", "qid"), edges, min(2, dmax), dmax, per_pair)
+    found = found.withColumn("qid", F.substring_index("qid", "\u0001", 1).cast(topics.schema["qid"].dataType))
+    return found.dropDuplicates(["qid", "nodes", "relations", "reversed"])
 
 
 def expand_endpoints(paths: DataFrame, edges: DataFrame, rounds: int = 2) -> DataFrame:
@@ -180,7 +245,7 @@ def expand_endpoints(paths: DataFrame, edges: DataFrame, rounds: int = 2) -> Dat
     for hop in range(1, rounds + 1):
         new = grow(front, adjacency).join(seen, ["qid", "terminal"], "left_anti")
         w = Window.partitionBy("qid", "terminal").orderBy("hops", edge_key())
-        front = _cut(new.withColumn("__n", F.row_number().over(w)).where("__n = 1").select(cols), hop)
+        front = written(new.withColumn("__n", F.row_number().over(w)).where("__n = 1").select(cols))
         seen = seen.union(front.select("qid", "terminal"))
         out = front if out is None else out.unionByName(front)
     return out

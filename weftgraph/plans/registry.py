@@ -11,7 +11,7 @@ from ..functions import text as tx
 from ..operators import aggregate as ag
 from ..operators import beam as bm
 from ..operators import etl, evaluate, lookup, rank, resolve, solve, traverse
-from ..operators.store import GraphStore, node_stats
+from ..operators.store import GraphStore, node_stats, written
 from ..sources import star
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -223,13 +223,15 @@ def kg_candidate_constraint_semi(spark, sf):
 
 
 @query("kg_verify_pairs", """
-WITH p AS (SELECT s.mid AS source, n.mid AS target FROM kg_entities s, kg_entities n WHERE s.mid LIKE 'm.supplier.%' AND n.mid LIKE 'm.region.%'),
-t AS (SELECT p.source, p.target, a.relation || ' -> ' || a.tail || ' -> ' || b.relation AS evidence FROM p JOIN kg_triples a ON a.head = p.source JOIN kg_triples b ON b.head = a.tail AND b.tail = p.target WHERE a.tail_kind = 'id' AND b.tail_kind = 'id')
-SELECT source, target, 2 AS hops, evidence FROM t
+WITH s AS (SELECT head, tail, relation FROM kg_triples WHERE relation = 'geo.supplier.nation'), n AS (SELECT head, tail, relation FROM kg_triples WHERE relation = 'geo.nation.region')
+SELECT s.head AS source, n.tail AS target, 2 AS hops, s.relation || ' -> ' || n.head || ' -> ' || n.relation AS evidence FROM s JOIN n ON n.head = s.tail
+UNION ALL SELECT head, tail, 1, relation FROM s
 """)
 def kg_verify_pairs(spark, sf):
+    """Suppliers with their regions (two hops), with their nations (one), and with themselves (none)."""
     g = graph(spark, sf)
-    p = mids(g, "supplier").withColumnRenamed("node", "source").crossJoin(F.broadcast(mids(g, "region").withColumnRenamed("node", "target")))
+    r = _regions_of_suppliers(g)
+    p = r.select(F.col("supplier").alias("source"), F.explode(F.array("region", "nation", "supplier")).alias("target"))
     return solve.verify(p, g.edges).select("source", "target", "hops", "evidence")
 
 
@@ -353,13 +355,7 @@ def kg_expand_budgeted(spark, sf):
 
 # --- traversal -------------------------------------------------------------------------------------------------------
 
-_GEO = ["geo.nation.region", "geo.supplier.nation"]
-_GEO_SQL = "('geo.nation.region', 'geo.supplier.nation')"
-_BOTH = f"SELECT head AS node, relation, tail AS neighbor, false AS reversed FROM kg_triples WHERE relation IN {_GEO_SQL} UNION ALL SELECT tail, relation, head, true FROM kg_triples WHERE relation IN {_GEO_SQL}"
-
-
-def geo(g: GraphStore) -> DataFrame:
-    return g.edges.where(F.col("relation").isin(_GEO))
+_BOTH = "SELECT head AS node, relation, tail AS neighbor, false AS reversed FROM kg_triples WHERE tail_kind = 'id' UNION ALL SELECT tail, relation, head, true FROM kg_triples WHERE tail_kind = 'id'"
 
 
 @query("kg_reach_k", f"""
@@ -370,7 +366,13 @@ SELECT source, node, CAST(min(d) AS INTEGER) AS dist FROM (SELECT *, 0 AS d FROM
 """)
 def kg_reach_k(spark, sf):
     g = graph(spark, sf)
-    return traverse.reach(mids(g, "region"), geo(g), 3)
+    return traverse.reach(mids(g, "region"), g.edges, 3)
+
+
+def _regions_of_suppliers(g: GraphStore) -> DataFrame:
+    """``supplier, nation, region``, joined along the edges."""
+    s = g.edges.where("relation = 'geo.supplier.nation'").select(F.col("head").alias("supplier"), F.col("tail").alias("nation"))
+    return s.join(g.edges.where("relation = 'geo.nation.region'").select(F.col("head").alias("nation"), F.col("tail").alias("region")), "nation")
 
 
 @query("kg_shortest_path_len", f"""
@@ -380,8 +382,8 @@ SELECT source, node AS target, 2 AS length FROM l2 WHERE node LIKE 'm.supplier.%
 """)
 def kg_shortest_path_len(spark, sf):
     g = graph(spark, sf)
-    p = mids(g, "region").withColumnRenamed("node", "source").crossJoin(F.broadcast(mids(g, "supplier").withColumnRenamed("node", "target")))
-    return traverse.shortest_paths(p, geo(g), 3).select("source", "target", "length")
+    p = _regions_of_suppliers(g).select(F.col("region").alias("source"), F.col("supplier").alias("target"))
+    return traverse.shortest_paths(p, g.edges, 3).select("source", "target", "length")
 
 
 _PATHS = f"""
@@ -393,7 +395,7 @@ p AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2)
 
 
 def _geo_paths(g: GraphStore) -> DataFrame:
-    return traverse.simple_paths(mids(g, "region"), geo(g), 2)
+    return traverse.simple_paths(mids(g, "region"), g.edges, 2)
 
 
 @query("kg_simple_paths", f"WITH {_PATHS.strip()} SELECT text, terminal, CAST(hops AS INTEGER) AS hops FROM p")
@@ -404,13 +406,13 @@ def kg_simple_paths(spark, sf):
 @query("kg_source_target_paths", f"WITH {_PATHS.strip()} SELECT text, terminal, CAST(hops AS INTEGER) AS hops FROM p WHERE terminal LIKE 'm.supplier.%'")
 def kg_source_target_paths(spark, sf):
     g = graph(spark, sf)
-    return traverse.simple_paths(mids(g, "region"), geo(g), 2, mids(g, "supplier")).select("text", "terminal", "hops")
+    return traverse.simple_paths(mids(g, "region"), g.edges, 2, mids(g, "supplier")).select("text", "terminal", "hops")
 
 
 @query("kg_two_hop_extensions", f"WITH {_PATHS.strip()} SELECT text, CAST(hops AS INTEGER) AS hops FROM p")
 def kg_two_hop_extensions(spark, sf):
     g = graph(spark, sf)
-    return traverse.two_hop_extensions(mids(g, "region"), geo(g)).select("text", "hops")
+    return traverse.two_hop_extensions(mids(g, "region"), g.edges).select("text", "hops")
 
 
 @query("kg_bfs_paths", f"""
@@ -421,7 +423,7 @@ SELECT text, CAST(hops AS INTEGER) AS hops, seq FROM (SELECT text, hops, seq FRO
 """)
 def kg_bfs_paths(spark, sf):
     g = graph(spark, sf)
-    return traverse.bfs_search(mids(g, "region"), geo(g), 2, 200, 40).select("text", "hops", "seq")
+    return traverse.bfs_search(mids(g, "region"), g.edges, 2, 200, 40).select("text", "hops", "seq")
 
 
 @query("kg_induced_subgraph", "SELECT head, relation, tail FROM kg_triples WHERE tail_kind = 'id' AND (head LIKE 'm.nation.%' OR head LIKE 'm.supplier.%' OR head LIKE 'm.region.%') AND (tail LIKE 'm.nation.%' OR tail LIKE 'm.supplier.%' OR tail LIKE 'm.region.%')")
@@ -433,8 +435,8 @@ def kg_induced_subgraph(spark, sf):
 # --- ranking ---------------------------------------------------------------------------------------------------------
 
 _SCORED = f"""
-{_PATHS.strip()}, {_DEGREES}, fq AS (SELECT relation, count(*) AS f FROM kg_triples WHERE relation IN {_GEO_SQL} GROUP BY 1),
-sg AS (SELECT mid, sum(n) AS degree FROM (SELECT head AS mid, 1 AS n FROM kg_triples WHERE relation IN {_GEO_SQL} UNION ALL SELECT tail, 1 FROM kg_triples WHERE relation IN {_GEO_SQL}) GROUP BY 1),
+{_PATHS.strip()}, {_DEGREES}, fq AS (SELECT relation, count(*) AS f FROM kg_triples GROUP BY 1),
+sg AS (SELECT mid, sum(n) AS degree FROM (SELECT head AS mid, 1 AS n FROM kg_triples UNION ALL SELECT tail, 1 FROM kg_triples WHERE tail_kind = 'id') GROUP BY 1),
 z AS (SELECT p.text, p.nodes, p.rels, p.terminal, p.hops, list_contains(rels, 'geo.supplier.nation') AS hit, contains(lower(p.terminal || ' id ' || replace(rels[-1], '.', ' ')), 'supplier') AS typ,
   round(CASE WHEN list_contains(rels, 'geo.supplier.nation') THEN 10.0 ELSE 0.0 END + CASE WHEN contains(lower(p.terminal || ' id ' || replace(rels[-1], '.', ' ')), 'supplier') THEN 6.0 ELSE 0.0 END
   + (SELECT sum(least(3.0, 1.0 / log10(fq.f + 10.0))) FROM unnest(p.rels) u(r) JOIN fq ON fq.relation = u.r) - 1.5 * p.hops + CASE WHEN coalesce(sg.degree, 0) >= 500 THEN -2.0 ELSE 0.0 END, 6) AS path_score
@@ -445,7 +447,6 @@ rk AS (SELECT *, row_number() OVER (ORDER BY path_score DESC, CASE WHEN hit THEN
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     g = graph(spark, sf)
-    g = GraphStore(geo(g), g.entities)
     return rank.rerank(rank.score_paths(_geo_paths(g), g, ["geo.supplier.nation"], ["supplier"]))
 
 
@@ -468,7 +469,7 @@ def kg_path_select_diverse(spark, sf):
     return rank.select_diverse(_scored(spark, sf), 30).select("text", "selected_rank")
 
 
-@query("kg_branch_reduce", f"WITH {_SCORED.strip()}, k AS (SELECT *, row_number() OVER (PARTITION BY nodes[1:1] ORDER BY rank) AS f1 FROM rk) SELECT text FROM k WHERE f1 = 1")
+@query("kg_branch_reduce", f"WITH {_SCORED.strip()}, k AS (SELECT *, row_number() OVER (PARTITION BY nodes[1:2] ORDER BY rank) AS f2, count(*) OVER () AS n FROM rk), o AS (SELECT text, row_number() OVER (ORDER BY rank) AS i FROM k WHERE f2 = 1 OR n <= 5) SELECT text FROM o WHERE i <= 5")
 def kg_branch_reduce(spark, sf):
     d = _scored(spark, sf).withColumn("ord", F.col("rank"))
     return rank.branch_reduce(d, 5).select("text")
@@ -482,19 +483,39 @@ def kg_path_dedupe(spark, sf):
     return rank.dedupe(twice).select("text", "ord")
 
 
-@query("kg_hybrid_search")
+@query("kg_hybrid_search", f"""
+WITH {_SCORED.strip()}, d AS (SELECT *, row_number() OVER (PARTITION BY nodes[1:2] ORDER BY rank) AS k, count(*) OVER () AS n FROM rk),
+o AS (SELECT text, hops, path_score, row_number() OVER (ORDER BY CASE WHEN k > 1 AND n > 50 THEN 1 ELSE 0 END, rank) AS selected_rank FROM d)
+SELECT text, CAST(hops AS INTEGER) AS hops, path_score, CAST(selected_rank AS INTEGER) AS selected_rank FROM o WHERE selected_rank <= 50
+""")
 def kg_hybrid_search(spark, sf):
     g = graph(spark, sf)
-    g = GraphStore(geo(g), g.entities)
     return rank.hybrid(mids(g, "region"), g, ["geo.supplier.nation"], ["supplier"]).select("text", "hops", "path_score", "selected_rank")
 
 
-@query("kg_topic_paths")
+@query("kg_topic_paths", """
+SELECT s.head AS qid, n.tail || ' -> geo.nation.region (reverse) -> ' || n.head || ' -> geo.supplier.nation (reverse) -> ' || s.head AS text, s.head AS terminal, CAST(2 AS INTEGER) AS hops
+FROM kg_triples s JOIN kg_triples n ON n.head = s.tail WHERE s.relation = 'geo.supplier.nation' AND n.relation = 'geo.nation.region'
+""")
 def kg_topic_paths(spark, sf):
+    """A question per supplier: its region, its nation, itself."""
     g = graph(spark, sf)
-    one = mids(g, "region").withColumnRenamed("node", "source").crossJoin(mids(g, "nation").withColumnRenamed("node", "target"))
-    two = mids(g, "nation").withColumnRenamed("node", "source").crossJoin(mids(g, "supplier").withColumnRenamed("node", "target"))
-    return traverse.ordered_topic_paths([one, two], geo(g), 1).select("text", "terminal")
+    t = _regions_of_suppliers(g).select(F.col("supplier").alias("qid"), F.posexplode(F.array("region", "nation", "supplier")).alias("ord", "node"))
+    return traverse.ordered_topic_paths(t, g.edges, 1, 2).select("qid", "text", "terminal", "hops")
+
+
+@query("kg_supplement_paths", f"""
+WITH both_ways AS (SELECT DISTINCT node, relation, neighbor, reversed FROM ({_BOTH})), t AS (SELECT head AS qid, tail AS region FROM kg_triples WHERE relation = 'geo.nation.region')
+SELECT t.qid, t.region || ' -> ' || a.relation || ' (reverse) -> ' || a.neighbor || ' -> ' || b.relation || ' (reverse) -> ' || b.neighbor AS text
+FROM t JOIN both_ways a ON a.node = t.region AND a.neighbor = t.qid JOIN both_ways b ON b.node = a.neighbor AND b.neighbor LIKE 'm.supplier.%'
+WHERE b.neighbor IN (SELECT min(head) FROM kg_triples WHERE relation = 'geo.supplier.nation' GROUP BY tail)
+""")
+def kg_supplement_paths(spark, sf):
+    """A question per nation: from its region to its first supplier, with the nation as the linked bridge."""
+    g = graph(spark, sf)
+    d = _regions_of_suppliers(g).groupBy("nation", "region").agg(F.min("supplier").alias("supplier"))
+    t = d.select(F.col("nation").alias("qid"), F.posexplode(F.array("region", "supplier")).alias("ord", "node"))
+    return traverse.supplement_paths(t, d.select(F.col("nation").alias("qid"), F.col("nation").alias("node")), g.edges, 1).select("qid", "text")
 
 
 # --- beam ------------------------------------------------------------------------------------------------------------
@@ -553,24 +574,28 @@ def kg_entity_rerank(spark, sf):
     return resolve.rerank_entities(lookup.resolve_entities(m, g).select("mention", "mid", "score"), g, "country", "nation with suppliers")
 
 
-@query("kg_constrained_solver")
+@query("kg_constrained_solver", f"""
+WITH d AS (SELECT DISTINCT t.head AS source, t.relation, t.tail AS target, e.name, e.types FROM kg_triples t JOIN kg_entities e ON e.mid = t.tail WHERE t.relation = 'geo.nation.region' AND t.head LIKE 'm.nation.%')
+SELECT source, relation, target, name, CAST(CASE WHEN contains({_cat('types')}, 'region') THEN 8.0 WHEN contains({_cat("name || ' ' || types || ' ' || relation")}, 'region') THEN 4.0 ELSE 0.0 END + CASE WHEN contains({_cat("name || ' ' || types || ' ' || relation")}, '1') THEN 3.0 ELSE 0.0 END AS DOUBLE) AS score
+FROM d ORDER BY 5 DESC, relation, target, source LIMIT 30
+""")
 def kg_constrained_solver(spark, sf):
     g = graph(spark, sf)
     return solve.constrained(mids(g, "nation"), g, ["geo.nation.region"], "region", ["1"], 5)
 
 
-@query("kg_node_expansion")
+@query("kg_node_expansion", f"WITH {_PATHS.strip()} SELECT nodes[1] AS seed, terminal, CAST(2 AS INTEGER) AS hops FROM p WHERE hops = 2")
 def kg_node_expansion(spark, sf):
     g = graph(spark, sf)
-    p = traverse.simple_paths(mids(g, "region"), geo(g), 1)
-    return traverse.expand_endpoints(p, geo(g), 1).select("seed", "terminal", "hops")
+    p = traverse.simple_paths(mids(g, "region"), g.edges, 1)
+    return traverse.expand_endpoints(p, g.edges, 1).select("seed", "terminal", "hops")
 
 
 # --- building the graph ----------------------------------------------------------------------------------------------
 
 
 def _cvts(g: GraphStore) -> DataFrame:
-    return etl.detect_cvt(g.edges, g.entities)
+    return written(etl.detect_cvt(g.edges, g.entities))
 
 
 @query("etl_cvt_detect", "SELECT mid, CAST(2 + 1 + 1 + 1 + 1 + 0 + 2 AS INTEGER) AS score FROM kg_entities WHERE is_cvt = 1")
@@ -585,7 +610,7 @@ _FLAT = "flat AS (SELECT DISTINCT i.head, i.relation || '.' || o.relation AS rel
 @query("etl_cvt_flatten", f"WITH {_FLAT} SELECT * FROM flat")
 def etl_cvt_flatten(spark, sf):
     g = graph(spark, sf)
-    return etl.flatten(etl.route(g.edges, _cvts(g))).distinct()
+    return etl.flatten(written(etl.route(g.edges, _cvts(g)))).distinct()
 
 
 @query("etl_triplet_distinct", f"WITH {_FLAT} SELECT * FROM flat UNION SELECT DISTINCT head, relation, tail, tail_kind FROM kg_triples WHERE head NOT LIKE 'g.%' AND NOT (tail_kind = 'id' AND tail LIKE 'g.%')")
@@ -620,13 +645,15 @@ def txt_normalize_beam(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.md5(tx.norm_beam(F.col("text"))).alias("digest"))
 
 
-@query("txt_token_overlap", f"WITH b AS (SELECT min(text) AS t FROM benchmark), x AS (SELECT doc_id, {_tok(_cat('text'))} AS a, {_tok(_cat('b.t'))} AS c FROM documents, b) SELECT doc_id, round({_jac('a', 'c')}, 9) AS jaccard, round(coalesce(len(list_intersect(a, c)) / nullif(len(a), 0)::DOUBLE, 0.0), 9) AS left_share FROM x", graph=False)
+@query("txt_token_overlap", f"WITH x AS (SELECT a.conv_id, a.turn, {_tok(_cat('a.text'))} AS a, {_tok(_cat('b.text'))} AS c FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1) SELECT conv_id, turn, round({_jac('a', 'c')}, 9) AS jaccard, round(coalesce(len(list_intersect(a, c)) / nullif(len(a), 0)::DOUBLE, 0.0), 9) AS left_share FROM x", graph=False)
 def txt_token_overlap(spark, sf):
-    b = spark.read.parquet(f"{sf}/benchmark.parquet").agg(F.min("text").alias("t"))
-    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").crossJoin(F.broadcast(b))
-    d = d.select("doc_id", tx.tokens(tx.norm_catalog(F.col("text"))).alias("a"), tx.tokens(tx.norm_catalog(F.col("t"))).alias("c"))
+    """Each turn of a conversation with the next one."""
+    t = spark.read.parquet(f"{sf}/conversations.parquet")
+    nxt = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("t"))
+    d = t.select("conv_id", "turn", "text").join(nxt, ["conv_id", "turn"])
+    d = d.select("conv_id", "turn", tx.tokens(tx.norm_catalog(F.col("text"))).alias("a"), tx.tokens(tx.norm_catalog(F.col("t"))).alias("c"))
     left = F.when(F.size("a") > 0, F.size(F.array_intersect("a", "c")) / F.size("a")).otherwise(0.0)
-    return d.select("doc_id", F.round(tx.jaccard(F.col("a"), F.col("c")), 9).alias("jaccard"), F.round(left, 9).alias("left_share"))
+    return d.select("conv_id", "turn", F.round(tx.jaccard(F.col("a"), F.col("c")), 9).alias("jaccard"), F.round(left, 9).alias("left_share"))
 
 
 @query("txt_verbalize", "SELECT relation, CASE WHEN len(string_split(relation, '.')) > 2 THEN " + _cat("string_split(relation, '.')[-1]") + " ELSE relation END AS display FROM (SELECT DISTINCT relation FROM kg_triples)")
@@ -646,11 +673,7 @@ def vec_cosine_topk(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("mention"), F.col("embedding").alias("vector"))
     d = e.select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector"))
-    from pyspark.sql import Window
-
-    s = d.crossJoin(lookup.small(q.withColumnRenamed("vector", "q"))).select("mention", "item", lookup.cosine(F.col("q"), F.col("vector")).alias("s"))
-    w = Window.partitionBy("mention").orderBy(F.desc(F.round("s", 9)), "item")
-    return s.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("mention", "item", F.round("s", 6).alias("score"), "rank")
+    return lookup.link_by_embedding(q, d, 3).select("mention", "item", F.round("score", 6).alias("score"), "rank")
 
 
 @query("json_tolerant_parse", "SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events", graph=False)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RDF = "subject string, predicate string, object string, object_type string, object_language string"
@@ -26,8 +26,13 @@ def question_graphs(spark: SparkSession, path: str, limit: int = 0) -> DataFrame
 
     A missing id becomes ``sample-<line>``; blank lines are skipped.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("line", "value"))
-    lines = lines.where(F.trim("value") != "")
+    # The number of a line within its file: lines before its split (counted once per split) and its place in the split.
+    m = F.col("_metadata")
+    raw = spark.read.text(path).select("value", m["file_path"].alias("file"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("place"))
+    counts = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("file", "block", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    lines = raw.join(starts, ["file", "block"]).select((F.col("place") - F.col("first") + F.col("before")).alias("line"), "value").where(F.trim("value") != "")
     if limit > 0:
         lines = lines.where(F.col("line") < limit)
     schema = "id string, question string, answer array<string>, q_entity array<string>, a_entity array<string>, graph array<array<string>>"
@@ -104,8 +109,8 @@ def write_predictions(predictions: DataFrame, path: str, bucket: str | None = No
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """Predictions that parse."""
-    d = spark.read.schema(f"{PREDICTION}, _corrupt_record string").option("mode", "PERMISSIVE").json(path).cache()
-    return d.where("_corrupt_record IS NULL AND id IS NOT NULL").drop("_corrupt_record")
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select(F.from_json("value", PREDICTION, {"mode": "PERMISSIVE"}).alias("x")).select("x.*").where("id IS NOT NULL")
 
 
 def still_to_do(samples: DataFrame, done: DataFrame) -> DataFrame:
