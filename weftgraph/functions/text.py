@@ -165,4 +165,4 @@ def sequence_ratio(a: Column, b: Column) -> Column:
 
 def ordered_distinct(c: Column) -> Column:
     """Trimmed, non-empty elements, each where it first occurs."""
-    return F.array_distinct(F.filter(F.transform(c, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != ""))

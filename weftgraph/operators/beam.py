@@ -19,6 +19,7 @@ from .aggregate import frontier_relations
 from .lookup import metadata
 from .resolve import rerank_expansion
 from .store import GraphStore, written
+from .traverse import text_of
 
 # Relations never followed, and the words that tell relations of mediators.
 BLOCKED = ["type.object.name", "type.object.key", "type.object.guid", "type.object.type"]
@@ -88,6 +89,26 @@ def default_policy(c: DataFrame, config: BeamConfig) -> DataFrame:
     return d.withColumns({"role": role, "confidence": F.least(F.lit(1.0), 0.45 + F.col("support_ratio") * 0.4)})
 
 
+def choose(proposed: DataFrame, ranked: DataFrame, top_k: int, batch: int = 100) -> DataFrame:
+    """Actions from a policy's proposals (``qid, state_id, relation, direction, role, confidence``), which may come from
+    anywhere: only candidates of the state, unknown roles as intermediate, confidences within 0 and 1, the surest proposal
+    of a (relation, direction), answers first; the ``top_k`` best. ``batch`` numbers the candidates that are shown at once."""
+    p = proposed.select("qid", "state_id", "relation", "direction", F.lower(F.trim("role")).alias("role"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("confidence", F.lit(0.0)))).alias("confidence"))
+    p = p.withColumn("role", F.when(F.col("role").isin("answer", "constraint", "intermediate"), F.col("role")).otherwise("intermediate"))
+    keys = ["qid", "state_id", "relation", "direction"]
+    d = ranked.withColumn("batch", F.floor((F.col("candidate_rank") - 1) / batch).cast("int")).join(p, keys)
+    d = d.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("confidence"), "role"))).where("__n = 1")
+    w = Window.partitionBy("qid", "state_id").orderBy((F.col("role") != "answer").cast("int"), F.desc("confidence"), "relation", "direction")
+    return d.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= top_k).drop("__n")
+
+
+def with_fallback(actions: DataFrame, ranked: DataFrame, config: BeamConfig) -> DataFrame:
+    """States for which a policy chose nothing follow their first candidates, as intermediate steps that are protected."""
+    idle = ranked.join(actions.select("qid", "state_id").distinct(), ["qid", "state_id"], "left_anti").where(F.col("candidate_rank") <= config.relations_per_state)
+    idle = idle.withColumns({"role": F.lit("intermediate"), "confidence": F.least(F.lit(1.0), F.greatest(F.lit(0.1), F.col("support_ratio")))})
+    return actions.unionByName(idle.select([F.col(c).cast(actions.schema[c].dataType) for c in actions.columns]))
+
+
 def candidates(states: DataFrame, frontier: DataFrame, store: GraphStore, config: BeamConfig) -> DataFrame:
     """Ranked candidates of each state (``qid, state_id, query, path, last_*, ...``; frontier ``qid, state_id, node, ord``)."""
     keys = ["qid", "state_id"]
@@ -240,6 +261,8 @@ def search(seeds: DataFrame, store: GraphStore, config: BeamConfig | None = None
     for hop in range(1, config.max_hops + 1):
         ranked = keep(candidates(states, frontier.drop("evidence"), store, config))
         acts = keep(policy(ranked, config))
+        if policy is not default_policy:
+            acts = keep(with_fallback(acts, ranked, config))
         used = keep(expand(acts, frontier, store, config, ranked, keep))
         new, front = children(acts, used, states, store, config, hop)
         new = keep(prune(new, hop, config.beam_width)).withColumn("state_id", F.col("signature"))
@@ -266,33 +289,121 @@ def answers(states: DataFrame, frontier: DataFrame) -> DataFrame:
     return d.withColumn("__n", F.row_number().over(w)).where("__n = 1").select("qid", "node", "evidence", "state_score")
 
 
-def cvt_bundles(nodes: DataFrame, store: GraphStore, terms: list[str], expected_type: str | None = None, most: int = 6, scan: int = 64) -> DataFrame:
-    """Per mediator in ``nodes`` (``node``): its telling outgoing edges with score and role, at most ``most``.
+# The relations that matter for each kind of mediator, and words that make a relation worth keeping.
+SCHEMA_RELATIONS: dict[str, list[str]] = {
+    "government.government_position_held": ["office_holder", "basic_title", "office_position_or_title", "jurisdiction_of_office", "district_represented", "governmental_body", "from", "to"],
+    "people.marriage": ["spouse", "from", "to", "date", "location"],
+    "award.award_nomination": ["award", "award_nominee", "award_winner", "year", "category", "ceremony"],
+    "business.employment_tenure": ["person", "company", "title", "role", "from", "to"],
+    "film.performance": ["actor", "character", "film", "special_performance_type"],
+    "sports.sports_team_roster": ["player", "position", "number", "from", "to", "team"],
+}
+CONSTRAINT_WORDS = [
+    "date", "year", "time", "start", "end", "from", "to", "title", "office", "holder", "spouse", "nominee", "winner", "employee",
+    "employment", "role", "team", "performance", "jurisdiction", "district", "governmental body",
+]
+DATE_WORDS = ["from", "to", "date", "year", "time"]
+ROLE_WORDS = ["title", "office", "holder", "spouse", "role", "team", "performance"]
+ANSWER_WORDS = ["title", "office", "holder", "spouse", "award", "role", "position"]
+
 
-    An edge scores 12 per term in its relation, 4 per term in its target, 6 x type match, +3 for dates and roles, +8
-    for a typed answer, -2 for a nested mediator; at most two answers or constraints and one other per relation.
-    Mediators need two edges or an answer.
+def cvt_bundles(nodes: DataFrame, store: GraphStore, terms: list[str], expected_type: str | None = None, most: int = 6, scan: int = 64) -> DataFrame:
+    """Per mediator in ``nodes`` (``node``, and optionally ``entry``: the ids it was reached from): its telling outgoing
+    edges with score and role, at most ``most``.
+
+    ``terms``: the question's words, hints and anchors. An edge scores 12 x the best overlap of a keyword with its
+    relation, 4 x with its target's name, 6 x type match, 8 x the best overlap of the mediator's schema with its relation,
+    +3 for dates and for roles, +8 for a typed answer, -2 for a nested mediator. Up to four answers come first, then
+    four constraints, then the rest; at most two answers or constraints of a relation, or one other edge; nodes it was
+    reached from only as answers. Mediators need two edges or an answer, and an answer or a constraint.
     """
-    m = metadata(nodes, store).where("is_probable_cvt").select("node")
-    e = m.join(store.edges.select(F.col("head").alias("node"), "relation", F.col("tail").alias("target")), "node")
+    n = nodes if "entry" in nodes.columns else nodes.withColumn("entry", F.array().cast("array<string>"))
+    m = metadata(n, store).where("is_probable_cvt").select("node", F.col("types").alias("cvt_types"))
+    e = m.join(n.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("entry"))).alias("entry")), "node").join(store.edges.select(F.col("head").alias("node"), "relation", F.col("tail").alias("target"), "tail_kind"), "node")
     e = e.withColumn("n", F.row_number().over(Window.partitionBy("node").orderBy("relation", "target"))).where(F.col("n") <= scan).drop("n")
     t = metadata(e.select(F.col("target").alias("node")), store).withColumnRenamed("node", "target")
-    e = e.join(t, "target")
-    rel = norm_catalog(F.col("relation"))
-    tgt = norm_catalog(F.concat_ws(" ", "name", F.concat_ws(" ", "types")))
-    words = [" ".join(w.lower().replace("_", " ").split()) for w in terms]
-    n_in = lambda c: sum((F.when(F.contains(c, F.lit(w)), 1).otherwise(0) for w in words), F.lit(0))
+    e = e.join(t, "target").join(store.relations.select("relation", "relation_name"), "relation")
+    rel, tgt = norm_catalog(F.concat_ws(" ", "relation", "relation_name")), norm_catalog(F.col("name"))
+    squeeze = lambda w: " ".join(w.lower().replace("_", " ").replace(".", " ").split())
+    given = list(dict.fromkeys(squeeze(w) for w in [*CONSTRAINT_WORDS, expected_type or "", *terms] if squeeze(w)))
+    every = F.concat_ws(" ", F.concat_ws(" ", "cvt_types"), F.concat_ws(" ", F.collect_set("relation").over(Window.partitionBy("node"))))
+    e = e.withColumn("schema", F.coalesce(*[F.when(F.contains(norm_catalog(every), F.lit(squeeze(k))), F.lit(k)) for k in SCHEMA_RELATIONS]))
+    # Token arrays once per edge; of one word, the similarity is 1 / size or 0.
+    e = e.withColumns({"rel_words": tokens(rel), "tgt_words": tokens(tgt)})
+
+    def best(words: list[str], text: Column) -> Column:
+        one = F.array(*[F.lit(w) for w in words if " " not in w]).cast("array<string>")
+        found = F.when(F.arrays_overlap(text, one), 1.0 / F.size(text)).otherwise(0.0)
+        return reduce(F.greatest, [jaccard(F.array(*[F.lit(x) for x in dict.fromkeys(w.split())]), text) for w in words if " " in w], found)
+
+    rel_words, tgt_words = F.col("rel_words"), F.col("tgt_words")
+    prior = F.lit(0.0)
+    for k, words in SCHEMA_RELATIONS.items():
+        prior = F.when(F.col("schema") == k, best([squeeze(w) for w in words], rel_words)).otherwise(prior)
+    prior_target = F.lit(0.0)
+    for k, words in SCHEMA_RELATIONS.items():
+        prior_target = F.when(F.col("schema") == k, best([squeeze(w) for w in words], tgt_words)).otherwise(prior_target)
+    says = lambda words: reduce(lambda a, b: a | b, [F.contains(rel, F.lit(w)) for w in words])
+    is_id = F.col("tail_kind") == "id"
     tm = type_match(expected_type, F.col("name"), F.col("types")) if expected_type else F.lit(0.0)
-    typed = (tm >= 0.75) & F.lit(bool(type_names(expected_type)))
-    score = 12.0 * n_in(rel) + 4.0 * n_in(tgt) + 6.0 * tm + F.when(rel.rlike("date|year|from|to|role|title"), 3.0).otherwise(0.0) + F.when(typed, 8.0).otherwise(0.0) - F.when(F.col("is_probable_cvt"), 2.0).otherwise(0.0)
-    role = F.when(typed, "answer").when((n_in(rel) > 0) | (n_in(tgt) > 0), "constraint").otherwise("intermediate")
+    date, nested = says(DATE_WORDS), is_id & F.col("is_probable_cvt")
+    typed = F.lit(bool(expected_type)) & is_id & ~nested & (tm >= 0.75) & ~date
+    role = F.when(date, "constraint").when(typed, "answer").when(is_id & F.col("is_literal"), "constraint").when(nested, "intermediate").when(says(ANSWER_WORDS), "answer").otherwise("constraint")
+    score = 12.0 * F.greatest(best(given, rel_words), prior) + 4.0 * F.greatest(best(given, tgt_words), prior_target) + 6.0 * tm + 8.0 * prior
+    score = score + F.when(date | says(ROLE_WORDS), 3.0).otherwise(0.0) + F.when(typed, 8.0).otherwise(0.0) - F.when(nested & ~date, 2.0).otherwise(0.0)
     e = e.withColumns({"edge_score": F.round(score, 6), "role": role})
-    e = e.withColumn("r", F.row_number().over(Window.partitionBy("node", "relation").orderBy(F.desc("edge_score"), "target")))
-    e = e.where(F.col("r") <= F.when(F.col("role") == "intermediate", 1).otherwise(2))
-    e = e.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("edge_score"), "relation", "target"))).where(F.col("k") <= most)
+    order = [F.desc("edge_score"), "relation", "target"]
+    e = e.withColumn("r", F.row_number().over(Window.partitionBy("node", "role").orderBy(*order)))
+    e = e.withColumn("phase", F.when((F.col("r") <= 4) & (F.col("role") == "answer"), 0).when((F.col("r") <= 4) & (F.col("role") == "constraint"), 1).otherwise(2))
+    e = e.where(~F.array_contains("entry", F.col("target")) | (F.col("role") == "answer"))
+    # Of a relation: the first edge, if intermediate, and then one more; else two that are not.
+    plain = F.col("role") == "intermediate"
+    by = Window.partitionBy("node", "relation").orderBy("phase", *order)
+    e = e.withColumn("first", F.first(plain).over(by)).withColumn("at", F.row_number().over(by)).withColumn("others", F.sum((~plain).cast("int")).over(by))
+    e = e.where(F.when(plain, F.col("at") == 1).otherwise(F.col("others") + F.col("first").cast("int") <= 2))
+    e = e.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy("phase", *order))).where(F.col("k") <= most)
     w = Window.partitionBy("node")
-    e = e.withColumn("size", F.count(F.lit(1)).over(w)).withColumn("has_answer", F.max((F.col("role") == "answer").cast("int")).over(w))
-    return e.where("size >= 2 OR has_answer = 1").select("node", "relation", "target", F.col("name").alias("target_name"), "role", "edge_score", F.col("k").alias("edge_rank"))
+    e = e.withColumn("size", F.count(F.lit(1)).over(w)).withColumn("has_answer", F.max((F.col("role") == "answer").cast("int")).over(w)).withColumn("telling", F.max((F.col("role") != "intermediate").cast("int")).over(w))
+    return e.where("(size >= 2 OR has_answer = 1) AND telling = 1").select("node", "relation", "target", F.col("name").alias("target_name"), "role", "edge_score", F.col("k").alias("edge_rank"))
+
+
+def evidence_paths(found: DataFrame) -> DataFrame:
+    """The beam's answers (``qid, node, evidence, state_score``) as plain paths, scored by their state."""
+    seed = F.when(F.size("evidence") > 0, F.get("evidence", F.lit(0))["node"]).otherwise(F.col("node"))
+    d = found.select("qid", seed.alias("seed"), F.col("node").alias("terminal"), (~F.col("node").rlike(r"^[mg]\.")).alias("literal"), F.concat(F.array(seed), F.transform("evidence", lambda x: x["target"])).alias("nodes"), F.transform("evidence", lambda x: x["relation"]).alias("relations"), F.transform("evidence", lambda x: x["direction"] == "reverse").alias("reversed"), F.size("evidence").alias("hops"), F.col("state_score").alias("path_score"))
+    return d.withColumn("text", text_of(F.col("nodes"), F.col("relations"), F.col("reversed")))
+
+
+def bundle_paths(paths: DataFrame, store: GraphStore, terms: list[str], expected_type: str | None = None) -> DataFrame:
+    """Paths that end at a mediator become bundles: its edges are told, its best answer is the new end, the score grows by .05.
+
+    Other paths stay as they are. An answer that the path came from counts .1 less.
+    """
+    ends = paths.select(F.col("terminal").alias("node"), F.col("nodes").alias("entry"))
+    b = written(cvt_bundles(ends, store, terms, expected_type))
+    text = bundle_text(b)
+    d = paths.join(b.where("role = 'answer'").groupBy(F.col("node").alias("terminal")).agg(F.collect_list(F.struct("edge_score", "target")).alias("choices")), "terminal", "left")
+    d = d.join(text.select(F.col("node").alias("terminal"), F.col("text").alias("bundle")), "terminal", "left")
+    ranked = F.array_sort(F.transform(F.coalesce("choices", F.array().cast("array<struct<edge_score:double,target:string>>")), lambda c: F.struct((F.when(F.array_contains("nodes", c["target"]), 0.1).otherwise(0.0) - c["edge_score"]).alias("s"), c["target"].alias("t"))))
+    end = F.coalesce(F.get(ranked, F.lit(0))["t"], F.col("terminal"))
+    told = F.col("bundle").isNotNull()
+    out = d.withColumns({"__end": end, "text": F.when(told, F.concat_ws(" -> ", "text", "bundle")).otherwise(F.col("text")), "path_score": F.col("path_score") + F.when(told, 0.05).otherwise(0.0), "bundled": told})
+    return out.withColumn("terminal", F.col("__end")).select(*paths.columns, "bundled")
+
+
+def dependency_context(dependencies: DataFrame, most: int = 5) -> DataFrame:
+    """What earlier answers say about a question's targets: ``qid, constraint_terms, constraint_targets``.
+
+    ``dependencies``: ``qid, ord, answer, predicted_answers, literals, entity_ids``; the first ``most`` of them, and of
+    each list.
+    """
+    w = Window.partitionBy("qid").orderBy("ord")
+    d = dependencies.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most)
+    few = lambda c: F.slice(F.coalesce(F.col(c), F.array().cast("array<string>")), 1, most)
+    own = F.when(F.trim(F.coalesce("answer", F.lit(""))) != "", F.array("answer")).otherwise(F.array().cast("array<string>"))
+    d = d.select("qid", "__n", F.concat(own, few("predicted_answers"), few("literals")).alias("t"), few("entity_ids").alias("i"))
+    flat = lambda c: F.array_distinct(F.filter(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("__n", c))), lambda s: s[c])), lambda x: F.trim(x) != ""))
+    return d.groupBy("qid").agg(flat("t").alias("constraint_terms"), flat("i").alias("constraint_targets"))
 
 
 def bundle_text(bundles: DataFrame) -> DataFrame:

@@ -27,12 +27,15 @@ def incident(frontier: DataFrame, edges: DataFrame, reverse: bool = True) -> Dat
     return out.unionByName(back)
 
 
-def neighbors(frontier: DataFrame, edges: DataFrame, hints: list[str] | None = None, strict: bool = False, limit: int = 25, reverse: bool = True) -> DataFrame:
+def neighbors(frontier: DataFrame, edges: DataFrame, hints: list[str] | None = None, strict: bool = False, limit: int = 25, reverse: bool = True, literal_sources: bool = True) -> DataFrame:
     """Neighbours of each frontier node: each direction limited, merged, distinct, limited again. ``limit <= 0``: none.
 
-    ``strict``: only hinted relations; otherwise hinted ones come first.
+    ``strict``: only hinted relations; otherwise hinted ones come first. ``literal_sources``: whether edges whose tail is a
+    literal equal to the node count as edges into it, as in a lookup by an index of tails.
     """
     d = incident(frontier.select("node").distinct(), edges, reverse)
+    if not literal_sources:
+        d = d.where(~F.col("reversed")).unionByName(incident(frontier.select("node").distinct(), edges.where("tail_kind = 'id'"), True).where("reversed"))
     hit = F.col("relation").isin(hints) if hints else F.lit(False)
     if strict and hints:
         d = d.where(hit)
@@ -45,6 +48,25 @@ def neighbors(frontier: DataFrame, edges: DataFrame, hints: list[str] | None = N
     return (d.where(F.col("rank") <= limit) if limit > 0 else d).select("node", "relation", "neighbor", "reversed", "rank")
 
 
+def local_neighbors(frontier: DataFrame, edges: DataFrame) -> DataFrame:
+    """Neighbours in a small graph whose edges have a place (``ord``): forward edges, then reverse ones, in that order."""
+    f = frontier.select("node").distinct()
+    out = f.join(edges.select(F.col("head").alias("node"), "relation", F.col("tail").alias("neighbor"), F.lit(False).alias("reversed"), "ord"), "node")
+    back = f.join(edges.select(F.col("tail").alias("node"), "relation", F.col("head").alias("neighbor"), F.lit(True).alias("reversed"), "ord"), "node")
+    w = Window.partitionBy("node").orderBy("reversed", "ord")
+    return out.unionByName(back).withColumn("rank", F.row_number().over(w)).drop("ord")
+
+
+def resolve_relations_index(hints: DataFrame, store: GraphStore, top_k: int = 5, **more) -> DataFrame:
+    """Candidates of hints by an equi-join with the relation lookup (name 95, id 90); hints unknown to it are compared with
+    the catalog (``resolve_relations``)."""
+    h = hints.select("hint").distinct().withColumn("lookup_norm", norm_catalog(F.col("hint"))).where("lookup_norm <> ''")
+    d = h.join(store.relation_lookup, "lookup_norm")
+    d = d.select("hint", "relation", F.concat("lookup_source", F.lit("_exact")).alias("match_type"), F.when(F.col("lookup_source") == "relation_name", 95.0).otherwise(90.0).alias("score"))
+    d = _best(d, "match_type", ["hint"], top_k, "relation").select("hint", "relation", "match_type", "score", "rank")
+    return d.unionByName(resolve_relations(h.join(d.select("hint"), "hint", "left_anti").select("hint"), store, top_k, **more))
+
+
 def node_edges(frontier: DataFrame, edges: DataFrame, literals: bool = True, limit: int = 25, reverse: bool = True) -> DataFrame:
     """Neighbours, literals taken out after the limit if unwanted."""
     d = neighbors(frontier, edges, limit=limit, reverse=reverse)

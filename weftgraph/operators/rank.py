@@ -92,11 +92,57 @@ def fuzzy_top(paths: DataFrame, similarity: Column, width: int) -> DataFrame:
     return paths.withColumn("fuzzy_rank", F.row_number().over(w)).where(F.col("fuzzy_rank") <= width)
 
 
+def bias_order(place: Column) -> list[Column]:
+    """Paths with matched hints first, more of them first, fewer hops first, then by ``place``."""
+    return [(F.size("matched_relations") == 0).cast("int"), F.desc(F.size("matched_relations")), F.col("hops"), place]
+
+
+def stage_order() -> list[Column]:
+    """Paths of a strict expansion (``stage`` = 0) before others, then by matched hints, hops and text."""
+    return [F.col("stage"), *bias_order(F.col("text"))]
+
+
+def compact_text() -> Column:
+    """Beginning, relations and end of a path, for prompts."""
+    one = F.get("nodes", F.lit(0))
+    return F.when(F.size("relations") == 0, one).otherwise(F.concat_ws(" | ", one, F.array_join("relations", " | "), F.element_at("nodes", -1)))
+
+
 def prune(paths: DataFrame, similarity: Column, w1: int, wmax: int) -> DataFrame:
     """Three stages, told by ``pruning_status``; the precise stage's default policy keeps the first ``wmax``."""
-    w = Window.partitionBy("qid").orderBy((F.size("matched_relations") == 0).cast("int"), F.desc(F.size("matched_relations")), F.desc(similarity), "ord")
-    d = paths.withColumn("fuzzy_rank", F.row_number().over(w))
-    return d.withColumn("pruning_status", F.when(F.col("fuzzy_rank") > w1, "fuzzy_pruned").when(F.col("fuzzy_rank") > wmax, "precise_pruned").otherwise("preserved"))
+    return status_prune(paths, similarity, w1, None, wmax)
+
+
+def status_prune(paths: DataFrame, similarity: Column, w1: int, picked: Column | None, wmax: int) -> DataFrame:
+    """Every path with its ``pruning_status``: cut by rank (``fuzzy_pruned``), by choice (``precise_pruned``), by branch
+    (``branch_reduced_pruned``), or ``preserved``.
+
+    ``picked``: the choice as an array of places (from 1, among the ``w1`` paths in order); the first ``wmax`` of it
+    count, those out of range then go, and without any left the first ``wmax`` paths are taken. No choice: all go on.
+    """
+    order = [(F.size("matched_relations") == 0).cast("int"), F.desc(F.size("matched_relations")), F.desc(similarity), "ord"]
+    d = paths.withColumn("fuzzy_rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order)))
+    fuzzy = F.col("fuzzy_rank") <= w1
+    n = F.least(F.count(F.lit(1)).over(Window.partitionBy("qid")), F.lit(w1))
+    if picked is None:
+        precise = fuzzy & (F.col("fuzzy_rank") <= wmax)
+    else:
+        valid = F.filter(F.slice(F.coalesce(picked, F.array().cast("array<int>")), 1, wmax), lambda i: (i >= 1) & (i <= n))
+        precise = fuzzy & F.when(F.size(valid) > 0, F.array_contains(valid, F.col("fuzzy_rank").cast("int"))).otherwise(F.col("fuzzy_rank") <= wmax)
+    d = d.withColumn("__p", precise)
+    first = F.row_number().over(Window.partitionBy("qid", "__p", F.slice("nodes", 1, 2)).orderBy("fuzzy_rank")) == 1
+    many = F.count(F.lit(1)).over(Window.partitionBy("qid", "__p")) > wmax
+    status = F.when(~fuzzy, "fuzzy_pruned").when(~F.col("__p"), "precise_pruned").when(many & ~first, "branch_reduced_pruned").otherwise("preserved")
+    return d.withColumn("pruning_status", status).drop("__p")
+
+
+def prune_for_context(paths: DataFrame, similarity: Column, w1: int, wmax: int, explorer: str) -> DataFrame:
+    """Beam paths of a beam search are consolidated, all others pruned in three stages; both tell ``pruning_status``."""
+    if explorer != "relation_beam":
+        return status_prune(paths, similarity, w1, None, wmax)
+    kept = consolidate(paths, wmax).withColumn("fuzzy_rank", F.col("kept_rank")).withColumn("pruning_status", F.lit("preserved")).drop("kept_rank")
+    rest = paths.join(kept.select("qid", "text", "nodes"), ["qid", "text", "nodes"], "left_anti")
+    return kept.unionByName(rest.withColumns({"fuzzy_rank": F.lit(0), "pruning_status": F.lit("precise_pruned")}).select(kept.columns))
 
 
 def consolidate(paths: DataFrame, most: int) -> DataFrame:

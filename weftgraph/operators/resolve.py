@@ -112,7 +112,8 @@ def name_variants(mentions: DataFrame) -> DataFrame:
 def rerank_entities(candidates: DataFrame, store: GraphStore, expected_type: str | None, context: str, widest: int = 6) -> DataFrame:
     """Adds ``context_score`` and ``context_rank`` to candidates (``mention, mid, score``).
 
-    Type overlap with metadata (25) and relations (10), +30 for a match and -10 for none, context overlap (12, 14), -3 for
+    Type overlap with metadata (25) and relations (10), +30 for a match, -10 for none and -20 more where a candidate's
+    types all lie in another domain than those of the mention's matching candidates, context overlap (12, 14), -3 for
     mediators. If any candidate of a mention has the type, the others go.
     """
     nodes = candidates.select(F.col("mid").alias("node")).distinct()
@@ -128,7 +129,10 @@ def rerank_entities(candidates: DataFrame, store: GraphStore, expected_type: str
     match = _any(names, lambda n: F.contains(norm_catalog(F.concat_ws(" ", "types")), n))
     if names:
         s = s + 25.0 * overlap_left(F.lit(expected_type), meta) + 10.0 * overlap_left(F.lit(expected_type), rel) + F.when(match, 30.0).otherwise(-10.0)
-    d = d.withColumns({"context_score": F.round(s, 6), "type_match": match})
+    d = d.withColumns({"__s": s, "type_match": match, "__d": F.array_distinct(F.transform("types", lambda t: F.substring_index(t, ".", 1)))})
+    home = F.array_distinct(F.flatten(F.collect_list(F.when(F.col("type_match"), F.col("__d"))).over(Window.partitionBy("mention"))))
+    foreign = ~F.col("type_match") & (F.size(home) > 0) & (F.size("__d") > 0) & ~F.arrays_overlap(home, F.col("__d"))
+    d = d.withColumn("context_score", F.round(F.col("__s") - F.when(foreign, 20.0).otherwise(0.0), 6)).drop("__s", "__d")
     some = F.max(F.col("type_match").cast("int")).over(Window.partitionBy("mention"))
     d = d.withColumn("__any", some).where("type_match OR __any = 0")
     rank = F.row_number().over(Window.partitionBy("mention").orderBy(F.desc("context_score"), "mid"))

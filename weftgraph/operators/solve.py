@@ -66,15 +66,25 @@ def plan_relations(candidates: DataFrame, question: str, expected_type: str | No
     num = norm_catalog(name).rlike("number|date|year|amount|price|size|quantity|count|total|balance|acctbal")
     sample = F.exists(F.coalesce("sample_target_names", F.array().cast("array<string>")), lambda s: s.rlike(r"^[-+]?\d"))
     s = 3.0 * F.col("score") + 12.0 * overlap_max(F.lit(question), norm_catalog(name)) + F.when(hit, 10.0).otherwise(0.0) + F.when(F.lit(numeric) & num, 3.0).otherwise(0.0) + F.when(F.lit(numeric) & sample, 2.0).otherwise(0.0)
-    return candidates.withColumn("plan_score", F.round(s, 6)).orderBy(F.desc("plan_score"), "relation").limit(top)
+    # Equal scores follow the candidates' own rank; the direction is the best row's of each relation.
+    if "candidate_rank" in candidates.columns:
+        s = s - 1e-4 * F.col("candidate_rank")
+    d = candidates.withColumn("plan_score", F.round(s, 6)).withColumn("value_mode", F.when(F.lit(numeric) & (num | sample), "literal").otherwise("entity"))
+    if "direction" in candidates.columns:
+        w = Window.partitionBy("relation").orderBy(F.desc("plan_score"), "direction")
+        d = d.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    return d.orderBy(F.desc("plan_score"), "relation").limit(top)
 
 
-def aggregate(op: str, sources: DataFrame, store: GraphStore, relations: list[str], sets: DataFrame | None = None, direction: str = "forward", limit: int = 100) -> DataFrame:
+def aggregate(op: str, sources: DataFrame, store: GraphStore, relations: list[str], sets: DataFrame | None = None, direction: str = "forward", limit: int = 100, expected_type: str | None = None) -> DataFrame:
     """``value``: an intersection, a count, the best sources by a number, or the collected targets."""
     if op == "intersect" and sets is not None:
         return intersect_sets(sets).select(F.col("entity").alias("value"))
     if op == "count":
-        return collect_entities(sources, store.edges, relations, direction).agg(F.countDistinct("target").cast("string").alias("value"))
+        found = collect_entities(sources, store.edges, relations, direction)
+        if expected_type:
+            found = type_filter(found, store, expected_type)
+        return found.agg(F.countDistinct("target").cast("string").alias("value"))
     if op in ("argmax", "argmin"):
         return rank_numeric(sources, store.edges, relations, op == "argmax", 1).select(F.col("node").alias("value"))
     return collect_entities(sources, store.edges, relations, direction, limit).select(F.col("target").alias("value")).distinct()
@@ -114,7 +124,7 @@ def failed_text(c: Column) -> Column:
 
 
 def clean_answers(c: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(c, F.trim), lambda x: ~failed_text(x)))
+    return F.array_distinct(F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: ~failed_text(x)))
 
 
 def ground(facts: DataFrame, answers_col: str = "answer") -> DataFrame:
@@ -122,7 +132,7 @@ def ground(facts: DataFrame, answers_col: str = "answer") -> DataFrame:
 
     Facts: ``qid, head_id, head_label, tail_id, tail_label`` and the answer text. Where no end is named, all stay.
     """
-    ends = F.array(F.struct(F.col("tail_id").alias("id"), F.col("tail_label").alias("label"), F.lit(2.0).alias("w")), F.struct("head_id", "head_label", F.lit(-1.5)))
+    ends = F.array(F.struct(F.col("tail_id").alias("id"), F.col("tail_label").alias("label"), F.lit(2.0).alias("w")), F.struct(F.col("head_id").alias("id"), F.col("head_label").alias("label"), F.lit(-1.5).alias("w")))
     d = facts.select("qid", F.col(answers_col).alias("a"), F.explode(ends).alias("e")).select("qid", "a", "e.id", "e.label", "e.w")
     d = d.withColumn("named", F.contains(norm_ws(F.col("a")), norm_ws(F.col("label"))) & (F.col("label") != ""))
     d = d.withColumn("score", F.col("w") + F.when(F.col("label").rlike(r"^[mg]\."), -1.0).otherwise(1.0))

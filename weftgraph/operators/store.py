@@ -119,8 +119,8 @@ def relation_lookup(catalog: DataFrame) -> DataFrame:
 
 
 def legacy_catalog(triples: DataFrame) -> DataFrame:
-    """Relations of triples that carry names: the greatest non-empty name, else the id."""
-    return triples.groupBy("relation").agg(F.max(F.coalesce(F.nullif("relation_name", F.lit("")), "relation")).alias("relation_name"))
+    """Relations of triples that carry names: the greatest of its non-empty names, else the id."""
+    return triples.groupBy("relation").agg(F.coalesce(F.max(F.nullif("relation_name", F.lit(""))), F.first("relation")).alias("relation_name"))
 
 
 @dataclass

@@ -546,7 +546,18 @@ def kg_beam_full(spark, sf):
     return bm.answers(s, f).select("qid", "node", F.size("evidence").alias("hops"), "state_score")
 
 
-@query("kg_cvt_bundle")
+_LI_WORDS = "['date', 'year', 'time', 'start', 'end', 'from', 'to', 'title', 'office', 'holder', 'spouse', 'nominee', 'winner', 'employee', 'employment', 'role', 'team', 'performance', 'jurisdiction', 'district', 'supplier', 'part', 'quantity']"
+
+
+def _share_of(tok: str) -> str:
+    return f"CASE WHEN len(list_intersect({tok}, {_LI_WORDS})) > 0 THEN 1.0 / len({tok}) ELSE 0.0 END"
+
+
+@query("kg_cvt_bundle", f"""
+WITH e AS (SELECT t.head AS node, t.relation, t.tail AS target, coalesce(nullif(k.name, ''), t.tail) AS target_name, t.relation = 'sales.lineitem.supplier' AS ans, contains(t.relation, 'date') AS dat FROM kg_triples t LEFT JOIN kg_entities k ON k.mid = t.tail WHERE t.relation LIKE 'sales.lineitem.%'),
+z AS (SELECT *, round(CAST(12.0 * {_share_of(_tok(_cat('relation')))} + 4.0 * {_share_of(_tok(_cat('target_name')))} + CASE WHEN ans THEN 14.0 ELSE 0.0 END + CASE WHEN dat THEN 3.0 ELSE 0.0 END AS DOUBLE), 6) AS edge_score FROM e)
+SELECT node, relation, target, target_name, CASE WHEN ans THEN 'answer' ELSE 'constraint' END AS role, edge_score, CAST(row_number() OVER (PARTITION BY node ORDER BY ans DESC, edge_score DESC, relation, target) AS INTEGER) AS edge_rank FROM z
+""")
 def kg_cvt_bundle(spark, sf):
     g = graph(spark, sf)
     li = g.entities.where("is_cvt").select(F.col("mid").alias("node"))
@@ -591,6 +602,64 @@ def kg_node_expansion(spark, sf):
     return traverse.expand_endpoints(p, g.edges, 1).select("seed", "terminal", "hops")
 
 
+# --- questions -------------------------------------------------------------------------------------------------------
+
+
+@query("kg_relation_index", f"""
+WITH l AS (SELECT DISTINCT relation, {_cat('relation')} AS norm FROM kg_triples)
+SELECT h.relation AS hint, l.relation, 'relation_name_exact' AS match_type, 95.0::DOUBLE AS score, CAST(1 AS INTEGER) AS rank FROM l JOIN l h ON h.norm = l.norm
+""")
+def kg_relation_index(spark, sf):
+    g = graph(spark, sf)
+    return lookup.resolve_relations_index(g.relations.select(F.col("relation").alias("hint")), g)
+
+
+@query("kg_question_subgraph", f"""
+WITH b AS ({_BOTH}), n AS (SELECT mid AS qid, mid AS node FROM kg_entities WHERE mid LIKE 'm.region.%' UNION SELECT k.mid, b.neighbor FROM kg_entities k JOIN b ON b.node = k.mid WHERE k.mid LIKE 'm.region.%'
+  UNION SELECT k.mid, c.neighbor FROM kg_entities k JOIN b ON b.node = k.mid JOIN b c ON c.node = b.neighbor WHERE k.mid LIKE 'm.region.%')
+SELECT h.qid, t.head, t.relation, t.tail FROM kg_triples t JOIN n h ON h.node = t.head JOIN n a ON a.qid = h.qid AND a.node = t.tail WHERE t.tail_kind = 'id'
+""")
+def kg_question_subgraph(spark, sf):
+    """A question per region: everything within two hops."""
+    g = graph(spark, sf)
+    return traverse.question_subgraph(mids(g, "region").select(F.col("node").alias("qid"), "node"), g.edges, 2)
+
+
+@query("kg_type_filter", f"SELECT DISTINCT tail AS target FROM kg_triples t JOIN kg_entities e ON e.mid = t.tail WHERE t.tail_kind = 'id' AND (contains({_cat('e.types')}, 'country') OR contains({_cat('e.types')}, 'nation') OR contains({_cat('e.types')}, 'sovereign state'))")
+def kg_type_filter(spark, sf):
+    g = graph(spark, sf)
+    return solve.type_filter(g.edges.where("tail_kind = 'id'").select(F.col("tail").alias("target")).distinct(), g, "country")
+
+
+@query("kg_count_typed", "SELECT CAST(count(DISTINCT head) AS VARCHAR) AS value FROM kg_triples WHERE relation = 'crm.customer.nation'")
+def kg_count_typed(spark, sf):
+    g = graph(spark, sf)
+    return solve.aggregate("count", mids(g, "nation"), g, ["crm.customer.nation", "geo.supplier.nation"], direction="reverse", expected_type="customer")
+
+
+@query("kg_prune_status", f"""
+WITH {_SCORED.strip()}, f AS (SELECT text, row_number() OVER (ORDER BY CASE WHEN hit THEN 0 ELSE 1 END, path_score DESC, rank) AS fuzzy_rank FROM rk)
+SELECT text, CAST(fuzzy_rank AS INTEGER) AS fuzzy_rank, CASE WHEN fuzzy_rank > 30 THEN 'fuzzy_pruned' WHEN fuzzy_rank > 5 THEN 'precise_pruned' ELSE 'preserved' END AS pruning_status FROM f
+""")
+def kg_prune_status(spark, sf):
+    return rank.prune(_scored(spark, sf).withColumn("ord", F.col("rank")), F.col("path_score"), 30, 5).select("text", "fuzzy_rank", "pruning_status")
+
+
+@query("kg_best_attribute", """
+WITH v AS (SELECT t.tail AS qid, a.head AS name, CAST(a.tail AS DOUBLE) AS v FROM kg_triples t JOIN kg_triples a ON a.head = t.head AND a.relation = 'org.supplier.acctbal' WHERE t.relation = 'geo.supplier.nation'),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY v DESC, name) AS n FROM v) SELECT qid, name, v FROM r WHERE n = 1
+""")
+def kg_best_attribute(spark, sf):
+    """Per nation, the supplier with the largest balance."""
+    from pyspark.sql import Window
+
+    g = graph(spark, sf)
+    s = g.edges.where("relation = 'geo.supplier.nation'").select(F.col("tail").alias("qid"), F.col("head").alias("name"))
+    v = g.edges.where("relation = 'org.supplier.acctbal'").select(F.col("head").alias("name"), F.col("tail").cast("double").alias("v"))
+    rows = s.join(v, "name").withColumn("ord", F.row_number().over(Window.partitionBy("qid").orderBy("name")))
+    return ag.best_rows(rows, "v", "ord", keys=["qid"]).select("qid", "name", "v")
+
+
 # --- building the graph ----------------------------------------------------------------------------------------------
 
 
@@ -619,6 +688,12 @@ def etl_triplet_distinct(spark, sf):
     return etl.triplets(g.edges, _cvts(g))[0].select("head", "relation", "tail", "tail_kind")
 
 
+@query("etl_labels", "SELECT t.head, coalesce(h.name, '') AS head_name, t.relation, t.tail, coalesce(e.name, '') AS tail_name, t.tail_kind FROM kg_triples t LEFT JOIN kg_entities h ON h.mid = t.head LEFT JOIN kg_entities e ON e.mid = t.tail AND t.tail_kind = 'id'")
+def etl_labels(spark, sf):
+    g = graph(spark, sf)
+    return etl.with_labels(g.edges, g.entities)
+
+
 @query("etl_entities", f"WITH {_FLAT}, m AS (SELECT * FROM flat UNION SELECT DISTINCT head, relation, tail, tail_kind FROM kg_triples WHERE head NOT LIKE 'g.%' AND NOT (tail_kind = 'id' AND tail LIKE 'g.%')), i AS (SELECT head AS mid FROM m UNION SELECT tail FROM m WHERE tail_kind = 'id') SELECT i.mid, coalesce(e.name, '') AS name, coalesce(e.types, '') AS types FROM i LEFT JOIN kg_entities e ON e.mid = i.mid")
 def etl_entities(spark, sf):
     g = graph(spark, sf)
