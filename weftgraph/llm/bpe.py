@@ -7,7 +7,7 @@ logarithmic time. A piece of n bytes takes O(n log n), however adverse. Short pi
 one tree per row of a matrix; long ones one by one.
 
 Scale: documents are encoded in place, nothing is shuffled. Each Python worker keeps the ids of the chunks (words
-with their leading blank and punctuation) met lately, two generations of at most ``CACHE`` each; the tables of ranks
+with their leading blank and punctuation) met lately, two generations of at most ``CACHE`` each, none longer than ``LONGEST``; the tables of ranks
 are read from the vocabulary file on the worker.
 
 Defined cases: null or empty text: no tokens. Repeated rows and extra columns pass through.
@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import add_columns, read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CACHE = 300_000
+#: Entries of a generation of the cache, and characters of the longest ones that are kept: both bound its bytes.
+CACHE, LONGEST = 300_000, 64
 #: White space as the patterns of public tokenizers mean it: Unicode's White_Space property.
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _INF = 2**31 - 1
@@ -271,6 +272,9 @@ class Encoder:
                 self._learn_chunks(new)
                 now = self.known
                 ids = [[now[c] if y is None else y for c, y in zip(c_, x)] if None in x else x for c_, x in zip(chunks, ids)]
+                for c in new:
+                    if len(c) > LONGEST:
+                        del now[c]
             out += [np.frombuffer(b"".join(x), "<u4") for x in ids]
             lo = hi
         return out
