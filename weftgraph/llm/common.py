@@ -10,6 +10,7 @@ Conventions of every operator in this subpackage:
 
 from __future__ import annotations
 
+import ctypes
 import os
 import shutil
 import tempfile
@@ -61,6 +62,15 @@ def remainder_col(c: str | Column, mod: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % mod, F.lit(-1)).cast("int")
 
 
+def trim() -> None:
+    """Gives memory that a worker has freed back to the system: workers are reused, and their peaks would add up."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def add_columns(df: DataFrame, inputs: Sequence[str], outputs: str, make: Callable[[], Callable], keep: Sequence[str] | None = None) -> DataFrame:
     """Appends columns computed batch by batch in Python.
 
@@ -89,6 +99,7 @@ def add_columns(df: DataFrame, inputs: Sequence[str], outputs: str, make: Callab
                 cols = [c if c.type == to.field(i).type else c.cast(to.field(i).type) for i, c in enumerate(cols)]
                 cols += [x if isinstance(x, pa.Array) else pa.array(x, type=to.field(n_stay + i).type) for i, x in enumerate(got)]
                 yield pa.RecordBatch.from_arrays(cols, schema=to)
+        trim()
 
     return src.mapInArrow(run, schema)
 

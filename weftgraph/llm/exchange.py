@@ -18,7 +18,6 @@ Everything a chunk asks is a function of its rows, which are written; a lost exe
 
 from __future__ import annotations
 
-import ctypes
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -31,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cleaned, remember, shared_dir, ship, table
+from .common import cleaned, remember, shared_dir, ship, table, trim
 
 #: Bytes of text of a chunk, and the least to which small inputs are cut for the sake of parallel tasks.
 CHUNK, LEAST_CHUNK = 6 << 20, 1 << 20
@@ -112,15 +111,6 @@ def dealt(docs: DataFrame, id_col: str, text_col: str, flag: Column | None = Non
     return Dealt(remember(spark.read.table(name), path, name), total)
 
 
-def trim() -> None:
-    """Gives memory that a worker has freed back to the system: workers are reused, and their peaks would add up."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
-
-
 def _squeeze(keys: np.ndarray) -> bytes:
     """Sorted keys as differences: five raw bytes each, the three high ones compressed."""
     d = np.diff(keys).astype("<u8").view(np.uint8).reshape(-1, 8)
