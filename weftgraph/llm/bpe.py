@@ -29,7 +29,7 @@ from .common import add_columns, read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Entries of a generation of the cache, and characters of the longest ones that are kept: both bound its bytes.
-CACHE, LONGEST = 300_000, 64
+CACHE, LONGEST = 100_000, 64
 #: White space as the patterns of public tokenizers mean it: Unicode's White_Space property.
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _INF = 2**31 - 1
