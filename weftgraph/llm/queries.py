@@ -13,6 +13,7 @@ from .importance import op4_importance
 from .interpolation import op1_interpolation
 from .jaccard_join import op3_jaccard
 from .suffix_dedup import op9_suffix_dedup
+from .target_resampling import op12_target_resampling
 from .toxicity import op6_toxicity
 from .url_filter import op8_url_filter
 from .vector_search import ORACLE as TOPK_SQL
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op12_target_resampling": op12_target_resampling,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
