@@ -12,6 +12,8 @@ from .html_text import op2_html
 from .importance import op4_importance
 from .interpolation import op1_interpolation
 from .jaccard_join import op3_jaccard
+from .sequenced_changes import op13_sequenced_changes
+from .simhash import op11_simhash
 from .suffix_dedup import op9_suffix_dedup
 from .target_resampling import op12_target_resampling
 from .toxicity import op6_toxicity
@@ -30,7 +32,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op11_simhash": op11_simhash,
     "op12_target_resampling": op12_target_resampling,
+    "op13_sequenced_changes": op13_sequenced_changes,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
