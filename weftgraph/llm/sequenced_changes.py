@@ -236,14 +236,24 @@ def numbered(changes: DataFrame) -> DataFrame:
     return kept.select("client_id", (F.col("place") + 1).alias("n"), "day", "change_id", "op", "city", cents.alias("cents"), batch.alias("batch"))
 
 
-def _session(spark: SparkSession) -> SparkSession:
-    """A session of its own, so that the caller's settings stay: the state is in RocksDB, with changes as its checkpoint."""
+def _session(spark: SparkSession, slots: int) -> SparkSession:
+    """A session of its own, so that the caller's settings stay: the state is in RocksDB, with changes as its checkpoint.
+
+    Each start of the query opens stores of its own on the executors' disks; those of earlier starts are closed and deleted
+    within seconds, and no space is set aside in advance. A partition of state has two slots at least.
+    """
     s = spark.newSession()
-    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    s.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-    s.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
-    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
-        s.conf.set(key, spark.conf.get(key))
+    settings = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+        "spark.sql.streaming.stateStore.maintenanceInterval": "3s",
+        "spark.sql.streaming.noDataMicroBatches.enabled": "true",
+        "spark.sql.session.timeZone": spark.conf.get("spark.sql.session.timeZone"),
+        "spark.sql.shuffle.partitions": str(max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), slots // 2))),
+    }
+    for key, value in settings.items():
+        s.conf.set(key, value)
     return s
 
 
@@ -254,9 +264,9 @@ def apply_changes(changes: DataFrame) -> DataFrame:
     root = f"{shared_dir(spark)}/weftgraph-changes-{uuid.uuid4().hex}"
     rows = table(numbered(changes), "numbered")
     seen = rows.agg(F.count(F.lit(1)).alias("rows"), F.max("day").alias("last")).first()
-    own = _session(spark)
-    source = own.read.schema(rows.schema).parquet(rows._weftgraph_path)
     slots = max(8, -(-seen["rows"] // SLOT_ROWS))
+    own = _session(spark, slots)
+    source = own.read.schema(rows.schema).parquet(rows._weftgraph_path)
     fed = source.select(F.pmod(F.xxhash64("client_id"), F.lit(slots)).alias("slot"), "client_id", "n", "day", "change_id", "op", "city", "cents", F.timestamp_seconds(F.col("day").cast("long") * 86_400).alias("stamp"), "batch")
 
     def start(batch: int, more: DataFrame) -> None:
