@@ -140,6 +140,14 @@ def type_names(expected: str | None) -> list[str]:
     return sorted({t, *TYPE_ALIASES.get(t, [])}) if t else []
 
 
+def type_names_of(expected: Column) -> Column:
+    """``type_names`` of a column: an array, empty where no type is expected."""
+    t = F.trim(F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(expected, F.lit("")), "[._]", " ")), r"\s+", " "))
+    table = F.create_map(*[x for k, v in TYPE_ALIASES.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in v]))])
+    none = F.array().cast("array<string>")
+    return F.when(t == "", none).otherwise(F.array_sort(F.array_distinct(F.concat(F.array(t), F.coalesce(F.try_element_at(table, t), none)))))
+
+
 def type_match(expected: str | None, name: Column, types: Column) -> Column:
     """1 if an alias of the expected type occurs in name and types, else the best token overlap; 0.5 if none is expected."""
     names = type_names(expected)

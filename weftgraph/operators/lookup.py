@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_id, jaccard80, norm_catalog, sequence_ratio
+from .contain import containing
 from .store import GraphStore, small, written
 
 # Scores of the kinds of match, type markers of mediators and types of ordinary things.
@@ -86,13 +89,18 @@ def probable_cvt(mid: Column, name: Column, types: Column, is_cvt: Column) -> Co
     return F.when(~is_id(mid), False).when(F.coalesce(is_cvt, F.lit(False)), True).when(marked, True).when(named, False).otherwise(~plain)
 
 
-def metadata(nodes: DataFrame, store: GraphStore) -> DataFrame:
-    """``node, name, types, degree, is_literal, is_probable_cvt``; what is no entity is a literal."""
+def described(nodes: DataFrame, store: GraphStore) -> DataFrame:
+    """``node, name, types, is_literal, is_probable_cvt``; what is no entity is a literal."""
     e = store.entities.select(F.col("mid").alias("node"), "name", "types", "is_cvt", F.lit(True).alias("known"))
-    s = store.node_stats.select(F.col("mid").alias("node"), "degree")
-    d = small(nodes.select("node").distinct())
-    d = d.join(e, "node", "left").join(s, "node", "left")
-    return d.select("node", display_name(F.col("node"), F.col("name")).alias("name"), F.coalesce("types", F.array().cast("array<string>")).alias("types"), F.coalesce("degree", F.lit(0)).alias("degree"), F.col("known").isNull().alias("is_literal"), (F.col("known").isNotNull() & probable_cvt(F.col("node"), F.col("name"), F.col("types"), F.col("is_cvt"))).alias("is_probable_cvt"))
+    d = small(nodes.select("node").distinct()).join(e, "node", "left")
+    return d.select("node", display_name(F.col("node"), F.col("name")).alias("name"), F.coalesce("types", F.array().cast("array<string>")).alias("types"), F.col("known").isNull().alias("is_literal"), (F.col("known").isNotNull() & probable_cvt(F.col("node"), F.col("name"), F.col("types"), F.col("is_cvt"))).alias("is_probable_cvt"))
+
+
+def metadata(nodes: DataFrame, store: GraphStore) -> DataFrame:
+    """``described`` with the nodes' degrees."""
+    n = nodes.select("node").distinct()
+    d = described(n, store).join(store.degrees(n).withColumnRenamed("mid", "node"), "node", "left")
+    return d.select("node", "name", "types", F.coalesce("degree", F.lit(0)).alias("degree"), "is_literal", "is_probable_cvt")
 
 
 def direct_edges(sources: DataFrame, targets: DataFrame, edges: DataFrame, relations: list[str] | None = None, limit: int = 0) -> DataFrame:
@@ -150,8 +158,8 @@ def _best(d: DataFrame, by: str, keys: list[str], top_k: int, last: str) -> Data
 def resolve_entities(mentions: DataFrame, store: GraphStore, top_k: int = 5, like: bool = False) -> DataFrame:
     """Candidates of each ``mention``: ``mention, mid, match_type, score, rank``.
 
-    By the index of names and aliases, and by id. ``like``: additionally names or aliases that contain the mention
-    (a join on containment: for few mentions).
+    By the index of names and aliases, and by id. ``like``: additionally names or aliases that contain the mention, found by
+    the rarest trigram of each mention (``contain``).
     """
     m = mentions.select("mention").distinct().withColumn("norm", norm_catalog(F.col("mention"))).where("norm <> ''")
     m = small(m)
@@ -162,7 +170,9 @@ def resolve_entities(mentions: DataFrame, store: GraphStore, top_k: int = 5, lik
     as_id = F.regexp_replace(F.regexp_replace(F.trim("mention"), "^/", ""), "/", ".")
     found = found.union(m.withColumn("mid", as_id).join(store.entities.select("mid"), "mid", "left_semi").select("mention", "mid", F.lit("mid"), F.lit(ENTITY_SCORES["mid"])))
     if like:
-        found = found.union(m.join(a, F.contains(a.alias_norm, m.norm)).select("mention", "mid", F.lit("alias_like"), F.lit(ENTITY_SCORES["alias_like"])))
+        pairs = containing(m.select(F.col("norm").alias("needle")), a.select(F.col("alias_norm").alias("text")))
+        near = m.join(pairs.withColumnRenamed("needle", "norm"), "norm").join(a, F.col("text") == F.col("alias_norm"))
+        found = found.union(near.select("mention", "mid", F.lit("alias_like"), F.lit(ENTITY_SCORES["alias_like"])))
     return _best(found, "match_type", ["mention"], top_k, "mid").select("mention", "mid", "match_type", "score", "rank")
 
 
@@ -172,28 +182,37 @@ def resolve_relations(hints: DataFrame, store: GraphStore, top_k: int = 5, fuzzy
     ``fuzzy``: hints with too few matches are compared with every relation by token overlap, and with ``sequence``
     by matching blocks, too.
     """
-    h = hints.select("hint").distinct().withColumn("norm", norm_catalog(F.col("hint"))).where("norm <> ''")
-    r = small(store.relations.withColumn("id_norm", norm_catalog(F.col("relation"))).withColumn("name_norm", norm_catalog(F.col("relation_name"))))
-    every = h.crossJoin(r)
-    kinds = [
-        ("relation_exact", F.col("relation") == F.trim("hint")),
-        ("relation_norm_exact", F.col("id_norm") == F.col("norm")),
-        ("relation_name_exact", F.col("name_norm") == F.col("norm")),
-        ("relation_name_like", F.contains("name_norm", "norm")),
-        ("relation_id_like", F.contains("id_norm", "norm")),
-    ]
-    kind, score = F.lit(None).cast("string"), F.lit(None).cast("double")
-    for name, test in reversed(kinds):
-        kind, score = F.when(test, name).otherwise(kind), F.when(test, RELATION_SCORES[name]).otherwise(score)
-    d = every.withColumns({"match_type": kind, "score": score})
-    exact = d.where("score IS NOT NULL")
+    h = written(hints.select("hint").distinct().withColumn("norm", norm_catalog(F.col("hint"))).where("norm <> ''"))
+    r = store.relations.select("relation", "relation_name", norm_catalog(F.col("relation")).alias("id_norm"), norm_catalog(F.col("relation_name")).alias("name_norm"))
+    r = written(r)
+    names = h.join(small(r.withColumn("norm", F.col("name_norm"))), "norm")
+    ids = h.join(small(r.withColumn("norm", F.col("id_norm"))), "norm")
+    whole = h.withColumn("relation", F.trim("hint")).join(small(r), "relation")
+
+    def held(text: str) -> DataFrame:
+        pairs = containing(h.select(F.col("norm").alias("needle")), r.select(F.col(text).alias("text")))
+        return h.join(small(pairs.withColumnRenamed("needle", "norm")), "norm").join(small(r), F.col("text") == F.col(text))
+
+    ways = [("relation_exact", whole), ("relation_norm_exact", ids), ("relation_name_exact", names), ("relation_name_like", held("name_norm")), ("relation_id_like", held("id_norm"))]
+    tries = [d.select("hint", "norm", "relation", "name_norm", F.lit(k).alias("place"), F.lit(kind).alias("match_type"), F.lit(RELATION_SCORES[kind]).alias("score")) for k, (kind, d) in enumerate(ways)]
+    every = reduce(DataFrame.unionByName, tries)
+    # The first way that matches names the kind.
+    first = every.groupBy("hint", "norm", "relation", "name_norm").agg(F.min_by(F.struct("match_type", "score"), "place").alias("x"))
+    exact = written(first.select("hint", "norm", "relation", "name_norm", "x.match_type", "x.score"))
     if fuzzy:
-        near = jaccard80(F.col("norm"), F.col("name_norm"))
-        if sequence:
-            near = F.greatest(near, 70.0 * sequence_ratio(F.col("norm"), F.col("name_norm")))
         enough = exact.groupBy("hint").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= top_k).select("hint")
-        rest = d.where("score IS NULL").join(enough, "hint", "left_anti").withColumns({"match_type": F.lit("fuzzy"), "score": near}).where("score > 0")
-        exact = exact.unionByName(rest)
+        open_ = h.join(enough, "hint", "left_anti")
+        if sequence:
+            # Matching blocks need no common word: hints with too few matches meet the whole catalog of relations.
+            pairs = open_.crossJoin(small(r))
+            near = F.greatest(jaccard80(F.col("norm"), F.col("name_norm")), 70.0 * sequence_ratio(F.col("norm"), F.col("name_norm")))
+        else:
+            word = lambda c: F.explode(F.array_distinct(F.split(c, " "))).alias("word")
+            pairs = open_.select("hint", "norm", word("norm")).join(small(r.select("relation", "name_norm", word("name_norm"))), "word").select("hint", "norm", "relation", "name_norm").distinct()
+            near = jaccard80(F.col("norm"), F.col("name_norm"))
+        rest = pairs.join(exact.select("hint", "relation"), ["hint", "relation"], "left_anti")
+        rest = rest.withColumns({"match_type": F.lit("fuzzy"), "score": near}).where("score > 0")
+        exact = exact.unionByName(rest.select(exact.columns))
     return _best(exact, "match_type", ["hint"], top_k, "relation").select("hint", "relation", "match_type", "score", "rank")
 
 

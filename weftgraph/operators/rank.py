@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_id, norm_relation, overlap_left, tokens
-from .store import GraphStore, small
-from .traverse import beam_search, bfs_search, edge_key, two_hop_extensions
+from .order import group_places, top
+from .store import GraphStore, written
+from .traverse import beam_search, bfs_search, edge_key, meeting_paths, two_hop_extensions
 
 
 def annotate_hints(paths: DataFrame, hints: list[str]) -> DataFrame:
@@ -17,6 +18,8 @@ def annotate_hints(paths: DataFrame, hints: list[str]) -> DataFrame:
 
 def score_paths(paths: DataFrame, store: GraphStore, hints: list[str], type_hints: list[str], prefer_short: bool = True, reward_literals: bool = False, threshold: int = 500) -> DataFrame:
     """Adds ``path_score`` and its parts: hints, types, rarity of relations, literal ends, hops, degree of the end."""
+    if not store.saved:
+        paths = written(paths)  # read twice: for the ends' degrees, and to be scored
     d = annotate_hints(paths, hints)
     last = F.get("relations", F.size("relations") - 1)
     end = F.lower(F.concat_ws(" ", "terminal", F.when(F.col("literal"), "literal").otherwise("id"), F.array_join(F.split(last, r"\."), " ")))
@@ -26,7 +29,7 @@ def score_paths(paths: DataFrame, store: GraphStore, hints: list[str], type_hint
     freq = store.relation_stats.agg(F.map_from_entries(F.collect_list(F.struct("relation", "frequency"))).alias("freq"))
     d = d.crossJoin(F.broadcast(freq))
     rarity = F.aggregate("relations", F.lit(0.0), lambda s, r: s + F.coalesce(F.least(F.lit(3.0), 1.0 / F.log10(F.try_element_at("freq", r) + 10.0)), F.lit(0.0)))
-    deg = store.node_stats.select(F.col("mid").alias("terminal"), "degree")
+    deg = store.degrees(paths.select(F.col("terminal").alias("node"))).withColumnRenamed("mid", "terminal")
     d = d.withColumn("rarity_bonus", rarity).drop("freq").join(deg, "terminal", "left")
     parts = {
         "relation_hits": F.size("matched_relations") * 10.0,
@@ -46,17 +49,32 @@ def rank_order() -> list[Column]:
 
 
 def rerank(paths: DataFrame) -> DataFrame:
-    return paths.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*rank_order())))
+    """Adds ``rank`` (from 1) within the question: places in a range-sorted table, so a question may have any number of paths."""
+    return group_places(paths, ["qid"], *rank_order(), name="rank").withColumn("rank", (F.col("rank") + 1).cast("int"))
+
+
+def _firsts(paths: DataFrame, by: str) -> DataFrame:
+    """The first path per question and beginning of two nodes: a partial minimum per task, then of those."""
+    rows = F.min(F.struct(by, *[c for c in paths.columns if c != by]))
+    return paths.groupBy("qid", F.slice("nodes", 1, 2).alias("__b")).agg(rows.alias("x")).select(*[F.col(f"x.{c}").alias(c) for c in paths.columns])
 
 
 def select_diverse(paths: DataFrame, max_paths: int) -> DataFrame:
-    """At most ``max_paths`` (0: all) of the ranked paths: the first per two-node beginning, then the rest by rank."""
+    """At most ``max_paths`` (0: all) of the ranked paths: the first per two-node beginning, then the rest by rank.
+
+    Questions with no more paths than that keep their order by rank. Firsts are minima, the rest is cut before it is
+    ranked (``order.top``): what a task sees of a question is bounded by ``max_paths``.
+    """
     if max_paths <= 0:
         return paths
-    n = F.count(F.lit(1)).over(Window.partitionBy("qid"))
-    d = paths.withColumn("__all", n).withColumn("__p", F.row_number().over(Window.partitionBy("qid", F.slice("nodes", 1, 2)).orderBy("rank")))
-    d = d.withColumn("__o", F.row_number().over(Window.partitionBy("qid").orderBy(((F.col("__p") > 1) & (F.col("__all") > max_paths)).cast("int"), "rank")))
-    return d.where(F.col("__o") <= max_paths).drop("__all", "__p").withColumnRenamed("__o", "selected_rank")
+    paths = written(paths)
+    n = paths.groupBy("qid").agg((F.count(F.lit(1)) > max_paths).alias("__many"))
+    lead = top(_firsts(paths, "rank"), ["qid"], max_paths, "rank", name="__o").drop("__o").withColumn("__t", F.lit(0))
+    rest = top(paths, ["qid"], max_paths, "rank", name="__o").drop("__o").join(lead.select("qid", "rank"), ["qid", "rank"], "left_anti").select(paths.columns).withColumn("__t", F.lit(1))
+    d = lead.unionByName(rest).join(n, "qid").withColumn("__t", F.when(F.col("__many"), F.col("__t")).otherwise(0))
+    # At most twice ``max_paths`` rows of a question are left.
+    w = Window.partitionBy("qid").orderBy("__t", "rank")
+    return d.withColumn("selected_rank", F.row_number().over(w)).where(F.col("selected_rank") <= max_paths).select(*paths.columns, "selected_rank")
 
 
 def dedupe(paths: DataFrame, order: str = "ord") -> DataFrame:
@@ -80,16 +98,16 @@ def branch_reduce(paths: DataFrame, most: int, order: str = "ord") -> DataFrame:
 
     Longer beginnings change nothing: paths that differ in their first two nodes differ in longer beginnings, too.
     """
-    q = Window.partitionBy("qid")
-    d = paths.withColumn("__n", F.count(F.lit(1)).over(q)).withColumn("__f", F.row_number().over(Window.partitionBy("qid", F.slice("nodes", 1, 2)).orderBy(order)))
-    d = d.where((F.col("__n") <= most) | (F.col("__f") == 1))
-    return d.withColumn("__o", F.row_number().over(q.orderBy(order))).where(F.col("__o") <= most).select(paths.columns)
+    paths = written(paths)
+    many = paths.groupBy("qid").agg((F.count(F.lit(1)) > most).alias("__many"))
+    few = paths.join(many.where("NOT __many").select("qid"), "qid", "left_semi").select(paths.columns)
+    lead = _firsts(paths.join(many.where("__many").select("qid"), "qid", "left_semi").select(paths.columns), order)
+    return few.unionByName(top(lead, ["qid"], most, order, name="__o").drop("__o"))
 
 
 def fuzzy_top(paths: DataFrame, similarity: Column, width: int) -> DataFrame:
     """The ``width`` best paths: with matched hints first, more of them first, then by similarity, then in order."""
-    w = Window.partitionBy("qid").orderBy((F.size("matched_relations") == 0).cast("int"), F.desc(F.size("matched_relations")), F.desc(similarity), "ord")
-    return paths.withColumn("fuzzy_rank", F.row_number().over(w)).where(F.col("fuzzy_rank") <= width)
+    return top(paths, ["qid"], width, (F.size("matched_relations") == 0).cast("int"), F.desc(F.size("matched_relations")), F.desc(similarity), "ord", name="fuzzy_rank")
 
 
 def bias_order(place: Column) -> list[Column]:
@@ -121,19 +139,21 @@ def status_prune(paths: DataFrame, similarity: Column, w1: int, picked: Column |
     count, those out of range then go, and without any left the first ``wmax`` paths are taken. No choice: all go on.
     """
     order = [(F.size("matched_relations") == 0).cast("int"), F.desc(F.size("matched_relations")), F.desc(similarity), "ord"]
-    d = paths.withColumn("fuzzy_rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order)))
-    fuzzy = F.col("fuzzy_rank") <= w1
-    n = F.least(F.count(F.lit(1)).over(Window.partitionBy("qid")), F.lit(w1))
+    placed = written(group_places(paths, ["qid"], *order, name="fuzzy_rank").withColumn("fuzzy_rank", (F.col("fuzzy_rank") + 1).cast("int")))
+    far = placed.where(F.col("fuzzy_rank") > w1).withColumn("pruning_status", F.lit("fuzzy_pruned"))
+    # From here on a question has at most ``w1`` paths.
+    d = placed.where(F.col("fuzzy_rank") <= w1)
+    n = F.count(F.lit(1)).over(Window.partitionBy("qid"))
     if picked is None:
-        precise = fuzzy & (F.col("fuzzy_rank") <= wmax)
+        precise = F.col("fuzzy_rank") <= wmax
     else:
         valid = F.filter(F.slice(F.coalesce(picked, F.array().cast("array<int>")), 1, wmax), lambda i: (i >= 1) & (i <= n))
-        precise = fuzzy & F.when(F.size(valid) > 0, F.array_contains(valid, F.col("fuzzy_rank").cast("int"))).otherwise(F.col("fuzzy_rank") <= wmax)
+        precise = F.when(F.size(valid) > 0, F.array_contains(valid, F.col("fuzzy_rank").cast("int"))).otherwise(F.col("fuzzy_rank") <= wmax)
     d = d.withColumn("__p", precise)
     first = F.row_number().over(Window.partitionBy("qid", "__p", F.slice("nodes", 1, 2)).orderBy("fuzzy_rank")) == 1
     many = F.count(F.lit(1)).over(Window.partitionBy("qid", "__p")) > wmax
-    status = F.when(~fuzzy, "fuzzy_pruned").when(~F.col("__p"), "precise_pruned").when(many & ~first, "branch_reduced_pruned").otherwise("preserved")
-    return d.withColumn("pruning_status", status).drop("__p")
+    status = F.when(~F.col("__p"), "precise_pruned").when(many & ~first, "branch_reduced_pruned").otherwise("preserved")
+    return d.withColumn("pruning_status", status).drop("__p").unionByName(far)
 
 
 def prune_for_context(paths: DataFrame, similarity: Column, w1: int, wmax: int, explorer: str) -> DataFrame:
@@ -182,6 +202,6 @@ def hybrid(seeds: DataFrame, store: GraphStore, hints: list[str], type_hints: li
     return select_diverse(rerank(score_paths(every, store, hints, type_hints)), max_paths)
 
 
-def source_target(seeds: DataFrame, targets: DataFrame, edges: DataFrame, depth: int = 2, max_expansions: int = 200, max_paths: int = 50) -> DataFrame:
-    """Breadth-first paths that end at a target."""
-    return bfs_search(seeds, edges, depth, max_expansions, max_paths).join(small(targets.select(F.col("node").alias("terminal")).distinct()), "terminal", "left_semi")
+def source_target(seeds: DataFrame, targets: DataFrame, edges: DataFrame, depth: int = 2, max_paths: int = 50, relations: list[str] | None = None) -> DataFrame:
+    """The first ``max_paths`` (0: all) paths per question from seeds to targets, searched from both ends."""
+    return meeting_paths(seeds, targets, edges, depth, max_paths, relations)

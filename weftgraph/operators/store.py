@@ -93,6 +93,18 @@ def node_stats(edges: DataFrame, entities: DataFrame | None = None, threshold: i
     return d.withColumn("high_degree", F.col("degree") >= threshold)
 
 
+def degrees_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``mid, degree`` of the given nodes (``node``) that have edges: only their edges are counted.
+
+    The edges are filtered by the nodes before anything is grouped, so a frontier costs a scan of the edges and a shuffle
+    of its own counts, not one of the whole graph's.
+    """
+    n = small(nodes.select(F.col("node").alias("mid")).distinct())
+    out = edges.select(F.col("head").alias("mid")).join(n, "mid", "left_semi")
+    back = edges.where("tail_kind = 'id'").select(F.col("tail").alias("mid")).join(n, "mid", "left_semi")
+    return out.unionAll(back).groupBy("mid").agg(F.count(F.lit(1)).alias("degree"))
+
+
 def relation_stats(edges: DataFrame) -> DataFrame:
     return edges.groupBy("relation").agg(F.count(F.lit(1)).alias("frequency"))
 
@@ -125,11 +137,12 @@ def legacy_catalog(triples: DataFrame) -> DataFrame:
 
 @dataclass
 class GraphStore:
-    """Triples and entities; derived tables are lazy and computed once per store."""
+    """Triples and entities. Derived tables are lazy plans; those of a saved store are read (``saved``)."""
 
     triples: DataFrame
     entities: DataFrame
     threshold: int = HIGH_DEGREE
+    saved: bool = False
     _made: dict = field(default_factory=dict)
 
     def _get(self, name: str, make) -> DataFrame:
@@ -154,6 +167,12 @@ class GraphStore:
     def node_stats(self) -> DataFrame:
         return self._get("node_stats", lambda: node_stats(self.edges, self.entities, self.threshold))
 
+    def degrees(self, nodes: DataFrame) -> DataFrame:
+        """``mid, degree`` of these nodes (``node``): from the written statistics of a saved store, else from their edges."""
+        if self.saved:
+            return self.node_stats.select("mid", "degree")
+        return degrees_of(nodes, self.edges)
+
     @property
     def relation_stats(self) -> DataFrame:
         return self._get("relation_stats", lambda: relation_stats(self.edges))
@@ -181,4 +200,4 @@ class GraphStore:
     def load(cls, spark: SparkSession, path: str) -> "GraphStore":
         read = lambda n: spark.read.parquet(f"{path}/{n}")
         made = {n: read(n) for n in ("node_stats", "relation_stats", "relations", "relation_lookup", "alias_index", "edges_by_tail")}
-        return cls(read("edges_by_head"), read("entities"), _made=made)
+        return cls(read("edges_by_head"), read("entities"), saved=True, _made=made)

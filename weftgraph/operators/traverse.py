@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_id
 from .lookup import direct_edges  # noqa: F401  (part of this module's surface)
+from .order import group_places, top
 from .store import small, written
 
 
@@ -37,17 +38,54 @@ def reach(sources: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
 
 
 def shortest_paths(pairs: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """``source, target, length, nodes``: one shortest undirected path per pair, the least in order of its nodes."""
-    step = both_ways(edges).where(~F.col("literal")).select("node", F.col("neighbor").alias("next"))
-    p = pairs.select("source", "target").distinct()
-    front = written(p.select("source").distinct().select("source", F.col("source").alias("node"), F.array("source").alias("nodes")))
-    best = front
-    for _ in range(depth):
-        new = small(front).join(step, "node").groupBy("source", "next").agg(F.min("nodes").alias("nodes"))
-        new = new.select("source", F.col("next").alias("node"), F.concat("nodes", F.array("next")).alias("nodes"))
-        front = written(new.join(small(best.select("source", "node")), ["source", "node"], "left_anti"))
-        best = best.unionByName(front)
-    return p.join(best.withColumnRenamed("node", "target"), ["source", "target"]).withColumn("length", F.size("nodes") - 1)
+    """``source, target, length, nodes``: one shortest undirected path per pair, the least in order of its nodes.
+
+    Both ends search at once, to half the depth each: a level per step, of the least path to each node at that distance.
+    A shortest path of length h passes a node at distance h/2 (rounded up) from its source and the rest from its target, so
+    the levels are joined where they meet, and pairs that have met leave the later joins.
+    """
+    step = both_ways(edges).where(~F.col("literal")).select("node", F.col("neighbor").alias("next")).distinct()
+    open_ = written(pairs.select("source", "target").distinct())
+    ahead = _level(open_.select(F.col("source").alias("root")).distinct())
+    back = _level(open_.select(F.col("target").alias("root")).distinct())
+    seen = [ahead.select("root", "node"), back.select("root", "node")]
+    out = _met(open_, ahead, back)
+    for h in range(1, depth + 1):
+        met = written(out.select("source", "target"))
+        open_ = written(open_.join(small(met), ["source", "target"], "left_anti"))
+        if not open_.limit(1).count():
+            break
+        # Only roots of open pairs go on.
+        if h % 2:
+            ahead = _next_level(ahead, step, seen[0], open_.select(F.col("source").alias("root")), forward=True)
+            seen[0] = seen[0].union(ahead.select("root", "node"))
+        else:
+            back = _next_level(back, step, seen[1], open_.select(F.col("target").alias("root")), forward=False)
+            seen[1] = seen[1].union(back.select("root", "node"))
+        out = out.unionByName(_met(open_, ahead, back))
+    return out.withColumn("length", F.size("nodes") - 1).select("source", "target", "nodes", "length")
+
+
+def _level(roots: DataFrame) -> DataFrame:
+    return written(roots.select("root", F.col("root").alias("node"), F.array("root").alias("nodes")))
+
+
+def _next_level(level: DataFrame, step: DataFrame, seen: DataFrame, roots: DataFrame, forward: bool) -> DataFrame:
+    """The nodes one step further from their roots than any before, with the least path (from the root, or back to it)."""
+    own = level.join(small(roots.distinct()), "root", "left_semi")
+    new = small(own).join(step, "node").groupBy("root", "next").agg(F.min("nodes").alias("nodes"))
+    path = F.concat("nodes", F.array("next")) if forward else F.concat(F.array("next"), "nodes")
+    new = new.select("root", F.col("next").alias("node"), path.alias("nodes"))
+    return written(new.join(small(seen), ["root", "node"], "left_anti"))
+
+
+def _met(pairs: DataFrame, ahead: DataFrame, back: DataFrame) -> DataFrame:
+    """Where the levels of a pair meet, the least path: the shorter side is joined with the pairs first."""
+    b = back.select(F.col("root").alias("target"), "node", F.col("nodes").alias("rest"))
+    a = ahead.select(F.col("root").alias("source"), "node", "nodes")
+    d = small(pairs).join(b, "target").join(a, ["source", "node"])
+    d = d.groupBy("source", "target").agg(F.min(F.concat("nodes", F.slice("rest", 2, 1_000_000))).alias("nodes"))
+    return written(d)
 
 
 def start_paths(seeds: DataFrame) -> DataFrame:
@@ -90,37 +128,113 @@ def simple_paths(seeds: DataFrame, edges: DataFrame, depth: int, targets: DataFr
         found = hit if found is None else found.unionByName(hit)
         front = new.join(goal, "terminal", "left_anti").select(new.columns) if goal is not None else new
     found = found.withColumn("text", text_of(F.col("nodes"), F.col("relations"), F.col("reversed")))
-    if max_paths > 0:
-        w = Window.partitionBy("qid").orderBy("hops", edge_key())
-        found = found.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= max_paths).drop("__n")
-    return found
+    return top(found, ["qid"], max_paths, "hops", edge_key(), name="__n").drop("__n") if max_paths > 0 else found
 
 
 def bfs_search(seeds: DataFrame, edges: DataFrame, depth: int = 2, max_expansions: int = 200, max_paths: int = 50, neighbor_limit: int = 0, hints: list[str] | None = None, strict: bool = False) -> DataFrame:
-    """Breadth-first search with budgets per question. A path's place is its parent's place, then its edge's rank.
+    """Breadth-first search with budgets per question. A path's place (``seq``, from 1) is its parent's place, then its edge's rank.
 
     Every edge followed is an expansion and gives one path, so the smaller of both budgets ends the search (0: none).
-    Where a budget is set, no task gets more rows of a question than it allows.
+    """
+    return expand_paths(seeds, edges, depth, hints, strict, neighbor_limit, min((x for x in (max_expansions, max_paths) if x > 0), default=0))
+
+
+def expand_paths(seeds: DataFrame, edges: DataFrame, depth: int = 3, hints: list[str] | None = None, strict: bool = False, neighbor_limit: int = 0, max_paths: int = 0, max_nodes: int = 0) -> DataFrame:
+    """Simple paths in breadth-first order, with a budget of paths and one of discovered entities per question (0: none).
+
+    ``seq`` (from 1) is a path's place: by its parent's, then by its edge (hinted first, relation, neighbour, direction).
+    ``max_nodes``: once a question has discovered so many entities, its seeds included, edges to further ones are passed
+    over (edges to literals and to known entities are not). A node's discovery is the first place that reaches it, so each
+    hop ranks its *new* nodes by that place and admits as many as the question has left: a loop over a queue would admit
+    the same ones.
+
+    Places are counted over range-sorted slices and budgets cut from partial first rows (``order``): no task holds a
+    question. The discovered nodes (``qid, node``) are written and joined.
     """
     adjacency = both_ways(edges)
     if hints and strict:
         adjacency = adjacency.where(F.col("relation").isin(hints))
-    hinted = F.col("relations")[F.size("relations") - 1].isin(hints) if hints else F.lit(False)
-    front = start_paths(seeds).withColumn("seq", F.row_number().over(Window.partitionBy("qid").orderBy("seed")).cast("long"))
-    budget = min(x for x in (max_expansions, max_paths, 1 << 60) if x > 0)
-    out, base = None, front.groupBy("qid").agg(F.lit(0).cast("long").alias("used"))
-    for hop in range(1, depth + 1):
-        new = grow(front, adjacency)
-        parent = front.select("qid", F.col("nodes").alias("pn"), F.col("relations").alias("pr"), F.col("reversed").alias("pv"), F.col("seq").alias("parent_seq"))
-        new = new.withColumns({"pn": F.slice("nodes", 1, hop), "pr": F.slice("relations", 1, hop - 1), "pv": F.slice("reversed", 1, hop - 1)}).join(parent, ["qid", "pn", "pr", "pv"])
-        order = [F.desc(hinted.cast("int")), F.get("relations", F.lit(hop - 1)), "terminal", F.get("reversed", F.lit(hop - 1))]
+    hit = F.col("relation").isin(hints) if hints else F.lit(False)
+    adjacency = adjacency.withColumn("hint", (~hit).cast("int")).select(F.col("node").alias("terminal"), "relation", "neighbor", F.col("reversed").alias("back"), F.col("literal").alias("to_literal"), "hint")
+    front = group_places(start_paths(seeds), ["qid"], "seed", name="seq")
+    known = written(front.select("qid", F.col("seed").alias("node")).distinct())
+    used, out = None, []
+    cols = ["qid", "seed", "terminal", "literal", "nodes", "relations", "reversed", "hops"]
+    for _ in range(depth):
+        p = front.where(~F.col("literal"))
+        d = small(p).join(adjacency, "terminal").where(~F.array_contains("nodes", F.col("neighbor")))
+        d = d.select("qid", "seed", F.col("neighbor").alias("terminal"), F.col("to_literal").alias("literal"), F.concat("nodes", F.array("neighbor")).alias("nodes"), F.concat("relations", F.array("relation")).alias("relations"), F.concat("reversed", F.array("back")).alias("reversed"), (F.col("hops") + 1).alias("hops"), F.col("seq").alias("parent"), "hint", "relation", "back")
+        order = ["parent", "hint", "relation", "terminal", "back"]
         if neighbor_limit > 0:
-            new = new.withColumn("rn", F.row_number().over(Window.partitionBy("qid", "parent_seq").orderBy(*order))).where(F.col("rn") <= neighbor_limit).drop("rn")
-        new = new.join(base, "qid").withColumn("seq", F.col("used") + F.row_number().over(Window.partitionBy("qid").orderBy("parent_seq", *order))).where(F.col("seq") <= budget)
-        front = written(new.select("qid", "seed", "terminal", "literal", "nodes", "relations", "reversed", "hops", "seq"))
-        out = front if out is None else out.unionByName(front)
-        base = out.groupBy("qid").agg(F.max("seq").alias("used"))
-    return out.withColumn("text", text_of(F.col("nodes"), F.col("relations"), F.col("reversed")))
+            d = top(d, ["qid", "parent"], neighbor_limit, *order, name="__r").drop("__r")
+        if max_nodes > 0:
+            d, known = _admitted(d, known, order, max_nodes)
+        left = None
+        if max_paths > 0:
+            d = top(d, ["qid"], max_paths, *order, name="seq")
+            left = F.lit(max_paths)
+        else:
+            d = group_places(d, ["qid"], *order, name="seq").withColumn("seq", F.col("seq") + 1)
+        if used is not None:
+            d = d.join(small(used), "qid", "left").withColumn("seq", F.col("seq") + F.coalesce("used", F.lit(0))).drop("used")
+        front = written((d.where(F.col("seq") <= left) if left is not None else d).select(*cols, F.col("seq").cast("long").alias("seq")))
+        out.append(front)
+        used = written(reduce(DataFrame.unionByName, out).groupBy("qid").agg(F.max("seq").alias("used")))
+    if not out:
+        return front.where("false").select(*cols, F.col("seq").cast("long").alias("seq"), F.lit("").alias("text"))
+    return reduce(DataFrame.unionByName, out).withColumn("text", text_of(F.col("nodes"), F.col("relations"), F.col("reversed")))
+
+
+def _admitted(found: DataFrame, known: DataFrame, order: list[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """The rows that a budget of discovered entities lets pass, and what is known then."""
+    placed = written(group_places(found, ["qid"], *order, name="__at"))
+    new = placed.where(~F.col("literal")).select("qid", F.col("terminal").alias("node"), "__at").join(known, ["qid", "node"], "left_anti")
+    new = new.groupBy("qid", "node").agg(F.min("__at").alias("__at"))
+    have = known.groupBy("qid").agg(F.count(F.lit(1)).alias("have"))
+    ranked = top(new, ["qid"], most, "__at", name="rank")  # more than ``most`` are never admitted
+    admitted = ranked.join(small(have), "qid").where(F.col("have") + F.col("rank") <= most).select("qid", "node")
+    known = written(known.union(admitted))
+    free = placed.where("literal").drop("__at")
+    return free.unionByName(placed.where(~F.col("literal")).drop("__at").join(known.withColumnRenamed("node", "terminal"), ["qid", "terminal"], "left_semi").select(free.columns)), known
+
+
+def meeting_paths(seeds: DataFrame, targets: DataFrame, edges: DataFrame, depth: int, max_paths: int = 0, relations: list[str] | None = None) -> DataFrame:
+    """The simple undirected paths of 1 to ``depth`` hops from seeds to targets, searched from both ends.
+
+    A path stops at the first target it meets, as in ``simple_paths``. Seeds (``qid, node``) grow half the depth, rounded up,
+    targets (``node``, optionally ``qid``) the rest; halves are joined at the node where they meet, and kept if they share no
+    other. With b edges per node, that is two frontiers of b^(d/2) rows in place of one of b^d. A backward half that ends
+    beyond everything the forward halves reach finds no partner and costs its own growth only.
+    """
+    adjacency = both_ways(edges).where(~F.col("literal"))
+    if relations:
+        adjacency = adjacency.where(F.col("relation").isin(relations))
+    on = ["qid"] if "qid" in targets.columns else []
+    goal = written(targets.select(*on, F.col("node").alias("terminal")).distinct())
+    inner = lambda d: d.join(small(goal), [*on, "terminal"], "left_anti").select(d.columns)
+    ahead, back, out = start_paths(seeds), start_paths(targets), []
+    for h in range(1, depth + 1):
+        if h % 2:
+            new = written(grow(ahead, adjacency))
+            if h == 1:
+                out.append(new.join(small(goal), [*on, "terminal"], "left_semi").select(new.columns))
+                ahead = written(inner(new))
+                continue
+            ahead = written(inner(new))
+        else:
+            back = written(inner(grow(back, adjacency)))
+        out.append(_joined(ahead, back, on))
+    d = reduce(DataFrame.unionByName, out)
+    d = d.withColumn("text", text_of(F.col("nodes"), F.col("relations"), F.col("reversed")))
+    return top(d, ["qid"], max_paths, "hops", edge_key(), name="__n").drop("__n") if max_paths > 0 else d
+
+
+def _joined(ahead: DataFrame, back: DataFrame, on: list[str]) -> DataFrame:
+    """Forward halves with the backward halves that end where they do, the latter's steps turned around."""
+    b = back.select(*on, "terminal", F.col("seed").alias("end"), F.reverse("nodes").alias("n2"), F.reverse("relations").alias("r2"), F.reverse(F.transform("reversed", lambda x: ~x)).alias("v2"))
+    d = ahead.join(b, [*on, "terminal"]).where(F.size(F.array_intersect("nodes", "n2")) == 1)
+    rest = F.slice("n2", 2, 1_000_000)
+    return d.select("qid", "seed", F.col("end").alias("terminal"), F.lit(False).alias("literal"), F.concat("nodes", rest).alias("nodes"), F.concat("relations", "r2").alias("relations"), F.concat("reversed", "v2").alias("reversed"), F.size(F.concat("relations", "r2")).alias("hops"))
 
 
 def beam_search(seeds: DataFrame, edges: DataFrame, score, depth: int = 2, width: int = 10, hints: list[str] | None = None, strict: bool = False) -> DataFrame:
@@ -134,8 +248,7 @@ def beam_search(seeds: DataFrame, edges: DataFrame, score, depth: int = 2, width
         new = written(score(grow(front, adjacency)))
         out = new if out is None else out.unionByName(new)
         if width > 0:
-            w = Window.partitionBy("qid").orderBy(F.desc("path_score"), "hops", "terminal", edge_key())
-            new = new.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= width)
+            new = top(new, ["qid"], width, F.desc("path_score"), "hops", "terminal", edge_key(), name="__n")
         front = new.select(cols)
     return out.withColumn("text", text_of(F.col("nodes"), F.col("relations"), F.col("reversed")))
 

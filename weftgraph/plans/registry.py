@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import aggregate as ag
 from ..operators import beam as bm
-from ..operators import etl, evaluate, lookup, rank, resolve, solve, traverse
+from ..operators import etl, evaluate, lookup, loop, rank, resolve, solve, traverse
 from ..operators.store import GraphStore, node_stats, written
 from ..sources import star
 
@@ -376,14 +376,19 @@ def _regions_of_suppliers(g: GraphStore) -> DataFrame:
 
 
 @query("kg_shortest_path_len", f"""
-WITH b AS ({_BOTH}), l1 AS (SELECT DISTINCT e.mid AS source, b.neighbor AS node FROM kg_entities e JOIN b ON b.node = e.mid WHERE e.mid LIKE 'm.region.%'),
-l2 AS (SELECT DISTINCT l1.source, b.neighbor AS node FROM l1 JOIN b ON b.node = l1.node)
-SELECT source, node AS target, 2 AS length FROM l2 WHERE node LIKE 'm.supplier.%'
+WITH b AS (SELECT DISTINCT node, neighbor FROM ({_BOTH})), n AS (SELECT head AS nation, tail AS region FROM kg_triples WHERE relation = 'geo.nation.region'),
+p AS (SELECT s.head AS source, m.nation AS target FROM kg_triples s JOIN n ON n.nation = s.tail JOIN n m ON m.region = n.region WHERE s.relation = 'geo.supplier.nation'),
+l0 AS (SELECT DISTINCT source, source AS node FROM p), l1 AS (SELECT DISTINCT l.source, b.neighbor AS node FROM l0 l JOIN b ON b.node = l.node),
+l2 AS (SELECT DISTINCT l.source, b.neighbor AS node FROM l1 l JOIN b ON b.node = l.node), l3 AS (SELECT DISTINCT l.source, b.neighbor AS node FROM l2 l JOIN b ON b.node = l.node),
+d AS (SELECT *, 1 AS h FROM l1 UNION ALL SELECT *, 2 FROM l2 UNION ALL SELECT *, 3 FROM l3)
+SELECT p.source, p.target, CAST(min(d.h) AS INTEGER) AS length FROM (SELECT DISTINCT source, target FROM p) p JOIN d ON d.source = p.source AND d.node = p.target GROUP BY 1, 2
 """)
 def kg_shortest_path_len(spark, sf):
+    """Suppliers and the nations of their region: their own is one hop away, the others are three."""
     g = graph(spark, sf)
-    p = _regions_of_suppliers(g).select(F.col("region").alias("source"), F.col("supplier").alias("target"))
-    return traverse.shortest_paths(p, g.edges, 3).select("source", "target", "length")
+    n = g.edges.where("relation = 'geo.nation.region'").select(F.col("head").alias("target"), F.col("tail").alias("region"))
+    s = _regions_of_suppliers(g).select(F.col("supplier").alias("source"), "region")
+    return traverse.shortest_paths(s.join(n, "region"), g.edges, 3).select("source", "target", "length")
 
 
 _PATHS = f"""
@@ -406,7 +411,7 @@ def kg_simple_paths(spark, sf):
 @query("kg_source_target_paths", f"WITH {_PATHS.strip()} SELECT text, terminal, CAST(hops AS INTEGER) AS hops FROM p WHERE terminal LIKE 'm.supplier.%'")
 def kg_source_target_paths(spark, sf):
     g = graph(spark, sf)
-    return traverse.simple_paths(mids(g, "region"), g.edges, 2, mids(g, "supplier")).select("text", "terminal", "hops")
+    return rank.source_target(mids(g, "region"), mids(g, "supplier"), g.edges, 2, 0).select("text", "terminal", "hops")
 
 
 @query("kg_two_hop_extensions", f"WITH {_PATHS.strip()} SELECT text, CAST(hops AS INTEGER) AS hops FROM p")
@@ -426,6 +431,24 @@ def kg_bfs_paths(spark, sf):
     return traverse.bfs_search(mids(g, "region"), g.edges, 2, 200, 40).select("text", "hops", "seq")
 
 
+_EXPAND = """
+k0 AS (SELECT mid AS node, row_number() OVER (ORDER BY mid) AS z FROM kg_entities WHERE mid LIKE 'm.region.%'),
+o1 AS (SELECT p.*, row_number() OVER (ORDER BY k0.z, rels[1], terminal) AS seq FROM p JOIN k0 ON k0.node = nodes[1] WHERE hops = 1),
+a1 AS (SELECT terminal AS node FROM (SELECT terminal, min(seq) AS f FROM o1 WHERE terminal NOT IN (SELECT node FROM k0) GROUP BY 1) ORDER BY f LIMIT 60 - (SELECT count(*) FROM k0)),
+k1 AS (SELECT node FROM k0 UNION SELECT node FROM a1), q1 AS (SELECT *, row_number() OVER (ORDER BY seq) AS place FROM o1 WHERE terminal IN (SELECT node FROM k1)),
+o2 AS (SELECT p.*, row_number() OVER (ORDER BY q1.place, p.rels[2], p.terminal) AS seq FROM p JOIN q1 ON q1.nodes = p.nodes[1:2] WHERE p.hops = 2),
+a2 AS (SELECT terminal AS node FROM (SELECT terminal, min(seq) AS f FROM o2 WHERE terminal NOT IN (SELECT node FROM k1) GROUP BY 1) ORDER BY f LIMIT greatest(0, 60 - (SELECT count(*) FROM k1))),
+q2 AS (SELECT *, (SELECT count(*) FROM q1) + row_number() OVER (ORDER BY seq) AS place FROM o2 WHERE terminal IN (SELECT node FROM k1 UNION SELECT node FROM a2))
+"""
+
+
+@query("kg_expand_paths", f"WITH {_PATHS.strip()}, {_EXPAND.strip()} SELECT text, CAST(hops AS INTEGER) AS hops, place AS seq FROM (SELECT text, hops, place FROM q1 UNION ALL SELECT text, hops, place FROM q2)")
+def kg_expand_paths(spark, sf):
+    """Paths of two hops around the regions until 60 entities are discovered."""
+    g = graph(spark, sf)
+    return traverse.expand_paths(mids(g, "region"), g.edges, 2, max_nodes=60).select("text", "hops", "seq")
+
+
 @query("kg_induced_subgraph", "SELECT head, relation, tail FROM kg_triples WHERE tail_kind = 'id' AND (head LIKE 'm.nation.%' OR head LIKE 'm.supplier.%' OR head LIKE 'm.region.%') AND (tail LIKE 'm.nation.%' OR tail LIKE 'm.supplier.%' OR tail LIKE 'm.region.%')")
 def kg_induced_subgraph(spark, sf):
     g = graph(spark, sf)
@@ -578,6 +601,44 @@ def kg_expansion_rerank(spark, sf):
     return resolve.rerank_expansion(t, g, ["country"], ["geo.supplier.nation"], ["1"], [], ["qid"])
 
 
+_BALANCE = "CAST(b.tail AS DOUBLE)"
+
+
+@query("kg_question_loop", f"""
+WITH nation AS (SELECT mid, name FROM kg_entities WHERE mid LIKE 'm.nation.%'), region AS (SELECT mid, name FROM kg_entities WHERE mid LIKE 'm.region.%'),
+s AS (SELECT t.tail AS nation, e.name, row_number() OVER (PARTITION BY t.tail ORDER BY {_BALANCE} DESC, t.head DESC) AS n FROM kg_triples t JOIN kg_triples b ON b.head = t.head AND b.relation = 'org.supplier.acctbal' JOIN kg_entities e ON e.mid = t.head WHERE t.relation = 'geo.supplier.nation'),
+c AS (SELECT DISTINCT t.tail AS nation, t.head, e.name FROM kg_triples t JOIN kg_entities e ON e.mid = t.head WHERE t.relation = 'crm.customer.nation'),
+f AS (SELECT nation, name, row_number() OVER (PARTITION BY nation ORDER BY name, head) AS n FROM c),
+b AS (SELECT r.tail AS region, count(DISTINCT c.head) AS n FROM kg_triples r JOIN c ON c.nation = r.head WHERE r.relation = 'geo.nation.region' GROUP BY 1)
+SELECT 'best ' || n.mid AS qid, s.name AS predicted, true AS sufficient, CAST(2 AS BIGINT) AS attempts FROM nation n JOIN s ON s.nation = n.mid AND s.n = 1
+UNION ALL SELECT 'best ' || n.mid, '', false, 3 FROM nation n WHERE n.mid NOT IN (SELECT nation FROM s)
+UNION ALL SELECT 'count ' || r.mid, CAST(b.n AS VARCHAR), true, 2 FROM region r JOIN b ON b.region = r.mid
+UNION ALL SELECT 'retry ' || n.mid, string_agg(f.name, '|' ORDER BY f.n), true, 2 FROM nation n JOIN f ON f.nation = n.mid AND f.n <= 10 GROUP BY n.mid
+UNION ALL SELECT 'fail ' || n.mid, '', false, 3 FROM nation n
+""")
+def kg_question_loop(spark, sf):
+    """Four kinds of questions in one batch, each with hints of its own: the nation's supplier with the largest balance and
+    the number of a region's customers (each in two steps), a nation's customers (by a hint that is wrong at first), and
+    something that no nation has."""
+    g = graph(spark, sf)
+    spec = "sub_id string, ord int, question string, depends_on array<string>, topic boolean, selected array<string>, relations array<string>, expected_type string, solver_type string, hops int"
+    kinds = {
+        "best": [("a", 0, "its suppliers", [], True, ["geo.supplier.nation"], [], "supplier", "explore", 1), ("b", 1, "the largest balance", ["a"], False, ["org.supplier.acctbal"], [], "", "aggregate", 1)],
+        "count": [("a", 0, "its nations", [], True, ["geo.nation.region"], [], "country", "explore", 1), ("b", 1, "how many customers", ["a"], False, ["crm.customer.nation"], [], "customer", "aggregate", 1)],
+        "retry": [("a", 0, "its customers", [], True, ["geo.nation.region"], ["crm.customer.nation"], "customer", "explore", 1)],
+        "fail": [("a", 0, "its planets", [], True, ["no.such.relation"], [], "planet", "explore", 1)],
+    }
+    specs = None
+    for kind, subs in kinds.items():
+        seeds = g.entities.where(F.col("mid").startswith("m.region." if kind == "count" else "m.nation.")).select(F.concat(F.lit(f"{kind} "), "mid").alias("qid"), "name")
+        d = seeds.crossJoin(F.broadcast(spark.createDataFrame(subs, spec))).withColumn("topics", F.when(F.col("topic"), F.array("name")).otherwise(F.array().cast("array<string>"))).drop("topic", "name")
+        specs = d if specs is None else specs.unionByName(d)
+    specs = written(specs)
+    q = specs.groupBy("qid").agg(F.min_by("question", "ord").alias("question"))
+    got, _ = loop.run(q, specs, g, per_node=0, max_paths=0, max_answers=0)
+    return got.select("qid", F.array_join("predicted", "|").alias("predicted"), "sufficient", "attempts")
+
+
 @query("kg_entity_rerank")
 def kg_entity_rerank(spark, sf):
     g = graph(spark, sf)
