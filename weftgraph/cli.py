@@ -1,12 +1,14 @@
-"""Command line: build a store from CSV files, inspect entities and relations, search paths."""
+"""Command line: RDF to tables, build (or go on building) a store, inspect entities and relations, search paths."""
 
 from __future__ import annotations
 
 import argparse
+import json
 
 from pyspark.sql import SparkSession
 
-from .operators import lookup, rank, traverse
+from .operators import etl, lookup, rank, traverse
+from .operators.build import build
 from .operators.store import GraphStore
 from .sources import files
 
@@ -16,7 +18,10 @@ def main(argv: list[str] | None = None) -> None:
     sub = p.add_subparsers(dest="command", required=True)
     b = sub.add_parser("build")
     b.add_argument("entities"), b.add_argument("triples"), b.add_argument("store")
-    b.add_argument("--no-validation", action="store_true")
+    b.add_argument("--no-validation", action="store_true"), b.add_argument("--fresh", action="store_true"), b.add_argument("--parts", type=int, default=8)
+    r = sub.add_parser("etl")
+    r.add_argument("rdf"), r.add_argument("out"), r.add_argument("--main-view", choices=["flattened", "raw"], default="flattened")
+    r.add_argument("--no-flatten", action="store_true"), r.add_argument("--drop-base", action="store_true"), r.add_argument("--hint", action="append", default=[])
     i = sub.add_parser("inspect")
     i.add_argument("store"), i.add_argument("--entity"), i.add_argument("--relation"), i.add_argument("--top", type=int, default=10)
     s = sub.add_parser("search")
@@ -28,7 +33,13 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("weftgraph").getOrCreate()
     if a.command == "build":
         check = not a.no_validation
-        GraphStore(files.triplets_csv(spark, a.triples, check), files.entities_csv(spark, a.entities, check)).save(a.store)
+        done = lambda name, got: print(name, got["rows"], flush=True)
+        got = build(files.triplets_csv(spark, a.triples, check), files.entities_csv(spark, a.entities, check), a.store, a.parts, a.fresh, progress=done)
+        print(json.dumps({k: got[k] for k in ("edges", "skipped", "features")}))
+        return
+    if a.command == "etl":
+        config = etl.EtlConfig(main_view=a.main_view, flatten=not a.no_flatten, drop_base=a.drop_base, mediator_hints=tuple(a.hint or etl.MEDIATOR_HINTS))
+        print(json.dumps(etl.write(files.rdf_parquet(spark, a.rdf), a.out, config)))
         return
     g = GraphStore.load(spark, a.store)
     one = lambda c, xs: spark.createDataFrame([(x,) for x in xs], f"{c} string")

@@ -189,15 +189,21 @@ class GraphStore:
     def alias_index(self) -> DataFrame:
         return self._get("alias_index", lambda: alias_index(self.entities))
 
-    def save(self, path: str) -> None:
-        """Writes the store: edges twice, clustered by head and by tail for pruned lookups, and all derived tables."""
-        self.edges.repartitionByRange("head").sortWithinPartitions("head", "relation", "tail").write.mode("overwrite").parquet(f"{path}/edges_by_head")
-        self.edges.repartitionByRange("tail").sortWithinPartitions("tail", "relation", "head").write.mode("overwrite").parquet(f"{path}/edges_by_tail")
-        for name in ("entities", "node_stats", "relation_stats", "relations", "relation_lookup", "alias_index"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    def save(self, path: str, **more) -> dict:
+        """Writes the store: edges twice, clustered by head and by tail for pruned lookups, and all derived tables; staged
+        and resumable (see ``build``). Returns its manifest."""
+        from .build import build
+
+        return build(self.triples, self.entities, path, **more)
+
+    @classmethod
+    def over(cls, edges: DataFrame, entities: DataFrame) -> "GraphStore":
+        """A store over edges that have their kinds."""
+        return cls(edges, entities, _made={"edges": edges})
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "GraphStore":
         read = lambda n: spark.read.parquet(f"{path}/{n}")
-        made = {n: read(n) for n in ("node_stats", "relation_stats", "relations", "relation_lookup", "alias_index", "edges_by_tail")}
-        return cls(read("edges_by_head"), read("entities"), saved=True, _made=made)
+        made = {n: read(n) for n in ("node_stats", "relation_stats", "relations", "relation_lookup", "alias_index")}
+        made["edges_by_tail"] = read("edges_by_tail").drop("part")
+        return cls(read("edges_by_head").drop("part"), read("entities"), saved=True, _made=made)
