@@ -240,14 +240,16 @@ def _session(spark: SparkSession, slots: int) -> SparkSession:
     """A session of its own, so that the caller's settings stay: the state is in RocksDB, with changes as its checkpoint.
 
     Each start of the query opens stores of its own on the executors' disks; those of earlier starts are closed and deleted
-    within seconds, and no space is set aside in advance. A partition of state has two slots at least.
+    within seconds, and no space is set aside in advance. Neither row counts nor checksum files, which nothing reads here, are kept. A partition of state has two slots at least.
     """
     s = spark.newSession()
     settings = {
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
-        "spark.sql.streaming.stateStore.maintenanceInterval": "3s",
+        "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+        "spark.sql.streaming.stateStore.maintenanceInterval": "15s",
+        "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false",
         "spark.sql.streaming.noDataMicroBatches.enabled": "true",
         "spark.sql.session.timeZone": spark.conf.get("spark.sql.session.timeZone"),
         "spark.sql.shuffle.partitions": str(max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), slots // 2))),
