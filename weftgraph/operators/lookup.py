@@ -222,47 +222,57 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n)
 
 
+def _packed(df: DataFrame, name: str, block: int) -> DataFrame:
+    """``part, size, names, units``: up to ``block`` unit vectors of one length per row, as they come; nothing is shuffled."""
+
+    def run(batches):
+        held: dict[int, list] = {}
+
+        def row(size):
+            names, rows = zip(*held.pop(size))
+            x = np.array(rows)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            cols = [[size], [np.array(names, np.int64).tobytes()], [x.tobytes()]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.binary()))], ["size", "names", "units"])
+
+        for b in batches:
+            for m, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if m is not None and v and None not in v and any(v):
+                    held.setdefault(len(v), []).append((m, v))
+                    if len(held[len(v)]) == block:
+                        yield row(len(v))
+        for size in list(held):
+            yield row(size)
+
+    d = df.select(F.col(name).cast("long").alias("name"), F.col("vector").cast("array<double>").alias("vector"))
+    return written(d.mapInArrow(run, "size int, names binary, units binary").withColumn("part", F.monotonically_increasing_id()))
+
+
 def link_by_embedding(mentions: DataFrame, catalog: DataFrame, top_k: int = 1, block: int = 4096, digits: int = 9) -> DataFrame:
     """The ``top_k`` catalog rows (``item, vector``) closest to each mention (``mention, vector``) by cosine.
 
-    Mentions are the stated query set: they go to the tasks in blocks of ``block`` vectors, one pass over the catalog per
-    block, in which a matrix product scores each batch and only the best of a batch leave it. Norms are taken once per
-    vector. Scores are equal if they are equal to ``digits`` places; ties go to the smaller item. Vectors without a
-    norm, and of another length than the block's, are compared with nothing. Items and mentions are integers.
+    Mentions are the stated query set. Both sides are packed into blocks of ``block`` unit vectors, and each block of mentions
+    meets each block of the catalog in a group of its own: two rows, a matrix product, and the best of it go on. Nothing
+    passes the driver; what is shuffled is each block once per block of the other side. Scores are equal if they are equal to
+    ``digits`` places; ties go to the smaller item. Vectors without a norm, and of unequal length, are compared with nothing.
+    Items and mentions are integers; null ones take no part.
     """
-    spark = mentions.sparkSession
-    n = mentions.count()
-    number = F.pmod(F.xxhash64("mention"), F.lit(max(1, -(-n // block))))
-    q = written(mentions.select("mention", F.col("vector").cast("array<double>").alias("vector"), number.alias("part")))
-    found = spark.createDataFrame([], "mention long, item long, score double")
-    for part in range(max(1, -(-n // block))):
-        rows = q.where(F.col("part") == part).select("mention", "vector").toArrow()
-        by_size: dict[int, tuple[list, list]] = {}
-        for m, v in zip(rows["mention"].to_pylist(), rows["vector"].to_pylist()):
-            if v and None not in v and any(v):
-                at = by_size.setdefault(len(v), ([], []))
-                at[0].append(m)
-                at[1].append(v)
-        sent = spark.sparkContext.broadcast({k: (np.array(m), (x := np.array(v)) / np.linalg.norm(x, axis=1, keepdims=True)) for k, (m, v) in by_size.items()})
-
-        def run(batches, sent=sent):
-            for b in batches:
-                items, got = b.column(0).to_numpy(zero_copy_only=False), []
-                lists = b.column(1).to_pylist()
-                for size, (names, unit) in sent.value.items():
-                    ok = [i for i, v in enumerate(lists) if v is not None and len(v) == size and None not in v and any(v)]
-                    if not ok:
-                        continue
-                    x = np.array([lists[i] for i in ok])
-                    s = np.round(unit @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, digits)
-                    ids = items[ok]
-                    for name, row in zip(names, s):
-                        best = np.flatnonzero(row >= np.partition(row, len(row) - top_k)[len(row) - top_k]) if len(row) > top_k else np.arange(len(row))
-                        best = best[np.lexsort((ids[best], -row[best]))[:top_k]]
-                        got.append((np.full(len(best), name), ids[best], row[best]))
-                if got:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*got)], ["mention", "item", "score"])
-
-        found = found.union(catalog.select("item", F.col("vector").cast("array<double>")).mapInArrow(run, "mention long, item long, score double"))
+    q, c = _packed(mentions, "mention", block), _packed(catalog, "item", block)
+    pairs = q.select("size", F.col("part").alias("p")).join(c.select("size", F.col("part").alias("s")), "size").select("p", "s")
+    pairs = written(pairs)  # of ids
+    side = lambda d, key, n: small(pairs).join(d.select(F.col("part").alias(key), "names", "units"), key).select("p", "s", F.lit(n).alias("side"), "names", "units")
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("side")
+        (names, ids), (unit, x) = ([np.frombuffer(v.as_buffer(), kind) for v in t[col]] for col, kind in (("names", np.int64), ("units", np.float64)))
+        scores = np.round(unit.reshape(len(names), -1) @ x.reshape(len(ids), -1).T, digits)
+        got = []
+        for name, row in zip(names, scores):
+            best = np.flatnonzero(row >= np.partition(row, len(row) - top_k)[len(row) - top_k]) if len(row) > top_k else np.arange(len(row))
+            best = best[np.lexsort((ids[best], -row[best]))[:top_k]]
+            got.append((np.full(len(best), name), ids[best], row[best]))
+        return pa.table(dict(zip(("mention", "item", "score"), map(np.concatenate, zip(*got)))))
+
+    found = side(q, "p", 0).unionByName(side(c, "s", 1)).groupBy("p", "s").applyInArrow(run, "mention long, item long, score double")
     w = Window.partitionBy("mention").orderBy(F.desc("score"), "item")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)

@@ -13,7 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import norm_catalog, norm_relation, tolerant_json, tokens, type_names
+from ..functions.embed import best_similarity
+from ..functions.text import norm_catalog, norm_relation, tolerant_json, tokens, type_names, type_names_of
 from . import beam as bm
 from .evaluate import average_metrics, score_prediction
 from .lookup import metadata, neighbors, resolve_entities
@@ -267,6 +268,11 @@ def relation_soft_score(expected_type: str | None, relation_texts: Column) -> Co
     return score
 
 
+def embedding_soft_score(expected_type: Column, texts: Column) -> Column:
+    """How close the best of some texts (an array) is to any name of the expected type, by their vectors; 0 without either."""
+    return best_similarity(type_names_of(expected_type), texts)
+
+
 def seed_ids(entity_ids: Column, primary: Column, fact_ids: list[Column], resolved: Column, legacy: Column) -> Column:
     """The seeds that an earlier answer gives: its grounded ids, the primary first; else the ids of its facts; else what its
     texts resolve to; else the ids as they were given."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.embed import similarity
 from ..functions.text import is_id, norm_relation, overlap_left, tokens
 from .order import group_places, top
 from .store import GraphStore, written
@@ -105,9 +106,17 @@ def branch_reduce(paths: DataFrame, most: int, order: str = "ord") -> DataFrame:
     return few.unionByName(top(lead, ["qid"], most, order, name="__o").drop("__o"))
 
 
-def fuzzy_top(paths: DataFrame, similarity: Column, width: int) -> DataFrame:
+def fuzzy_top(paths: DataFrame, likeness: Column, width: int) -> DataFrame:
     """The ``width`` best paths: with matched hints first, more of them first, then by similarity, then in order."""
-    return top(paths, ["qid"], width, (F.size("matched_relations") == 0).cast("int"), F.desc(F.size("matched_relations")), F.desc(similarity), "ord", name="fuzzy_rank")
+    return top(paths, ["qid"], width, (F.size("matched_relations") == 0).cast("int"), F.desc(F.size("matched_relations")), F.desc(likeness), "ord", name="fuzzy_rank")
+
+
+def fuzzy_prune(paths: DataFrame, questions: DataFrame, width: int) -> DataFrame:
+    """The ``width`` paths of each question (``qid, question``) that speak to it most: matched hints, then the similarity of
+    their texts' vectors (``similarity``, six places), then order. The best are kept per part of a question first (``top``)."""
+    d = paths.join(questions.select("qid", "question"), "qid")
+    d = d.withColumn("similarity", F.round(similarity(F.col("question"), F.col("text")), 6)).drop("question")
+    return fuzzy_top(written(d), F.col("similarity"), width)
 
 
 def bias_order(place: Column) -> list[Column]:

@@ -11,6 +11,7 @@ from ..functions import text as tx
 from ..operators import aggregate as ag
 from ..operators import beam as bm
 from ..operators import etl, evaluate, lookup, loop, rank, resolve, solve, traverse
+from ..operators.order import places
 from ..operators.store import GraphStore, node_stats, written
 from ..sources import star
 
@@ -506,6 +507,28 @@ def kg_path_dedupe(spark, sf):
     return rank.dedupe(twice).select("text", "ord")
 
 
+_ASKED = "which suppliers does a nation of this region have"
+_VECTOR = """
+{t}w AS (SELECT {k}, unnest(regexp_extract_all(lower({x}), '[a-z0-9]+')) AS w FROM {s}),
+{t}f AS (SELECT {k}, unnest(list_prepend(w, [('^' || w || '$')[i:i + 2] FOR i IN range(1, len(w) + 1)])) AS f FROM {t}w),
+{t}b AS (SELECT {k}, list_reduce(list_prepend(CAST(7 AS BIGINT), [CAST(ord(c) AS BIGINT) FOR c IN string_split(f, '')]), lambda h, c: (h * 31 + c) % 2147483647) % 256 AS b, count(*) AS n FROM {t}f GROUP BY ALL),
+{t}v AS (SELECT *, n / sqrt(sum(n * n) OVER (PARTITION BY {k})) AS x FROM {t}b)"""
+
+
+@query("kg_fuzzy_prune", f"""
+WITH {_PATHS.strip()}, o AS (SELECT *, list_contains(rels, 'geo.supplier.nation') AS hit, row_number() OVER (ORDER BY text) AS ord FROM p), asked AS (SELECT 0 AS q, '{_ASKED}' AS question),
+{_VECTOR.format(t="d", k="ord", x="text", s="o").strip()}, {_VECTOR.format(t="q", k="q", x="question", s="asked").strip()},
+sim AS (SELECT ord, sum(dv.x * qv.x) AS s FROM dv JOIN qv ON qv.b = dv.b GROUP BY ord)
+SELECT text, similarity, CAST(fuzzy_rank AS INTEGER) AS fuzzy_rank FROM (SELECT text, round(coalesce(s, 0), 6) AS similarity, row_number() OVER (ORDER BY NOT hit, round(coalesce(s, 0), 6) DESC, o.ord) AS fuzzy_rank FROM o LEFT JOIN sim ON sim.ord = o.ord) WHERE fuzzy_rank <= 30
+""")
+def kg_fuzzy_prune(spark, sf):
+    """The thirty paths around the regions that are closest to a question by hashed n-grams."""
+    g = graph(spark, sf)
+    p = places(rank.annotate_hints(_geo_paths(g), ["geo.supplier.nation"]), "text", name="ord").withColumn("ord", F.col("ord") + 1)
+    q = spark.createDataFrame([(0, _ASKED)], "qid int, question string")
+    return rank.fuzzy_prune(p, q, 30).select("text", "similarity", "fuzzy_rank")
+
+
 @query("kg_hybrid_search", f"""
 WITH {_SCORED.strip()}, d AS (SELECT *, row_number() OVER (PARTITION BY nodes[1:2] ORDER BY rank) AS k, count(*) OVER () AS n FROM rk),
 o AS (SELECT text, hops, path_score, row_number() OVER (ORDER BY CASE WHEN k > 1 AND n > 50 THEN 1 ELSE 0 END, rank) AS selected_rank FROM d)
@@ -676,9 +699,11 @@ def kg_relation_index(spark, sf):
 
 
 @query("kg_question_subgraph", f"""
-WITH b AS ({_BOTH}), n AS (SELECT mid AS qid, mid AS node FROM kg_entities WHERE mid LIKE 'm.region.%' UNION SELECT k.mid, b.neighbor FROM kg_entities k JOIN b ON b.node = k.mid WHERE k.mid LIKE 'm.region.%'
-  UNION SELECT k.mid, c.neighbor FROM kg_entities k JOIN b ON b.node = k.mid JOIN b c ON c.node = b.neighbor WHERE k.mid LIKE 'm.region.%')
-SELECT h.qid, t.head, t.relation, t.tail FROM kg_triples t JOIN n h ON h.node = t.head JOIN n a ON a.qid = h.qid AND a.node = t.tail WHERE t.tail_kind = 'id'
+WITH b AS MATERIALIZED (SELECT DISTINCT node, neighbor FROM ({_BOTH})), q AS (SELECT mid FROM kg_entities WHERE mid LIKE 'm.region.%'),
+one AS MATERIALIZED (SELECT DISTINCT q.mid AS qid, b.neighbor AS node FROM q JOIN b ON b.node = q.mid), two AS MATERIALIZED (SELECT DISTINCT one.qid, b.neighbor AS node FROM one JOIN b ON b.node = one.node),
+n AS MATERIALIZED (SELECT mid AS qid, mid AS node FROM q UNION SELECT * FROM one UNION SELECT * FROM two),
+h AS MATERIALIZED (SELECT n.qid, t.head, t.relation, t.tail FROM kg_triples t JOIN n ON n.node = t.head WHERE t.tail_kind = 'id')
+SELECT qid, head, relation, tail FROM h WHERE EXISTS (SELECT 1 FROM n WHERE n.qid = h.qid AND n.node = h.tail)
 """)
 def kg_question_subgraph(spark, sf):
     """A question per region: everything within two hops."""
