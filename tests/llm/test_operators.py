@@ -363,6 +363,20 @@ def test_top_k(spark, block):
     assert vector_search.top_k(d.limit(0), F.col("id") == 0).count() == 0
 
 
+def test_top_k_of_several_lengths(spark):
+    """Vectors of each length are candidates of each other, however rare the length is."""
+    r = np.random.default_rng(4)
+    rows = [(i, r.normal(size=2).round(2).tolist()) for i in range(10)] + [(i, r.normal(size=3).round(2).tolist()) for i in (100, 101, 102, 103)] + [(150, [1.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(x.query_id, x["rank"]): (x.vec_id, x.score) for x in vector_search.top_k(d, F.col("id") % 50 == 0).collect()}
+    w = {i: np.floor(256 * np.array(x)).astype(int) for i, x in rows}
+    want = {}
+    for q in (0, 100, 150):
+        near = sorted((-int(w[q] @ w[i]), i) for i in w if i != q and len(w[i]) == len(w[q]))[:5]
+        want |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(near)}
+    assert got == want
+
+
 def test_top_k_of_huge_components(spark):
     big = [[1e30, 1.0], [-1e30, 2.0], [1.5e38, 0.0], [3.0, 4.0], [-2.0, 1.0], [1e17, -1e17], [0.0, 0.0], [5e8, 7e8]]
     d = spark.createDataFrame(list(enumerate(big)), "vec_id long, embedding array<double>")

@@ -12,6 +12,7 @@ from .html_text import op2_html
 from .importance import op4_importance
 from .interpolation import op1_interpolation
 from .jaccard_join import op3_jaccard
+from .sequenced_changes import ORACLE as CHANGES_SQL
 from .sequenced_changes import op13_sequenced_changes
 from .simhash import op11_simhash
 from .suffix_dedup import op9_suffix_dedup
@@ -67,4 +68,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_jaccard": JACCARD_SQL,
     "op7_topk": TOPK_SQL,
     "op10_decontaminate": DECONTAMINATE_SQL,
+    "op13_sequenced_changes": CHANGES_SQL,
 }

@@ -305,6 +305,32 @@ def op13_sequenced_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_changes(read(spark, sf_dir, "client_changes"))
 
 
+#: The same result without a stream. CRC-32 goes byte by byte through a table. Of the rows with one client and number only the
+#: first by day and id can be applied; it is rejected if a larger number of its client was due when it came. ``nx``: the next
+#: number after each batch, beyond what was due at its start and whatever follows without a gap.
+ORACLE = f"""
+WITH RECURSIVE bits(k, v, i) AS (SELECT range, range, 0 FROM range(256) UNION ALL SELECT k, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, i + 1 FROM bits WHERE i < 8),
+crc(change_id, s, i, c) AS (SELECT DISTINCT change_id, CAST(change_id AS VARCHAR), 0, CAST(4294967295 AS BIGINT) FROM client_changes WHERE change_id IS NOT NULL
+  UNION ALL SELECT w.change_id, w.s, w.i + 1, xor(b.v, w.c >> 8) FROM crc w JOIN bits b ON b.i = 8 AND b.k = xor(w.c, ord(w.s[w.i + 1])) & 255 WHERE w.i < length(w.s)),
+ranked AS (SELECT *, dense_rank() OVER (PARTITION BY client_id ORDER BY seq NULLS FIRST) AS n FROM (SELECT DISTINCT * FROM client_changes)),
+hashed AS (SELECT r.*, xor(c.c, 4294967295) AS h FROM ranked r JOIN crc c ON c.change_id = r.change_id AND c.i = length(c.s)),
+dated AS (SELECT change_id, client_id, n, op, city, CAST(floor(100 * balance + 0.5) AS BIGINT) AS cents, date_diff('day', DATE '1970-01-01', CAST(valid_at AS DATE)) + {LATE_DAYS} * (h % {LATE_SHARE}) AS day FROM hashed WHERE valid_at IS NOT NULL AND h % {SKIP} <> 0),
+rows AS (SELECT *, greatest(1, least({BATCHES}, 1 + CAST(floor((day - {FIRST}) * {BATCHES} / {DAYS}.0) AS INTEGER))) AS batch, row_number() OVER (PARTITION BY client_id, n ORDER BY day, change_id, op NULLS FIRST, city NULLS FIRST, cents NULLS FIRST) AS nth FROM dated),
+due AS (SELECT b, max(day) - {WAIT} AS upto FROM range(2, {BATCHES + 1}) t(b) JOIN rows ON batch < b GROUP BY b),
+jump AS (SELECT client_id, b, max(n) AS m FROM rows JOIN due ON day <= upto GROUP BY client_id, b),
+island AS (SELECT client_id, b, min(n) AS lo, max(n) AS hi FROM (SELECT client_id, b, n, n - row_number() OVER (PARTITION BY client_id, b ORDER BY n) AS g FROM rows JOIN range(1, {BATCHES + 1}) t(b) ON batch <= b WHERE nth = 1) GROUP BY client_id, b, g),
+nx(client_id, b, next) AS (SELECT DISTINCT client_id, CAST(0 AS BIGINT), CAST(1 AS BIGINT) FROM rows
+  UNION ALL SELECT x.client_id, x.b + 1, coalesce(i.hi + 1, greatest(x.next, coalesce(j.m + 1, 1))) FROM nx x LEFT JOIN jump j ON j.client_id IS NOT DISTINCT FROM x.client_id AND j.b = x.b + 1
+  LEFT JOIN island i ON i.client_id IS NOT DISTINCT FROM x.client_id AND i.b = x.b + 1 AND greatest(x.next, coalesce(j.m + 1, 1)) BETWEEN i.lo AND i.hi WHERE x.b < {BATCHES}),
+judged AS (SELECT r.*, r.nth = 1 AND coalesce(j.m, 0) < r.n AS ok FROM rows r LEFT JOIN jump j ON j.client_id IS NOT DISTINCT FROM r.client_id AND j.b = r.batch),
+applied AS (SELECT r.change_id, r.client_id, r.n, r.op, r.city, r.cents, coalesce(min(x.b), {BATCHES + 1}) AS batch FROM judged r LEFT JOIN nx x ON x.client_id IS NOT DISTINCT FROM r.client_id AND x.b >= r.batch AND x.next > r.n WHERE r.ok GROUP BY ALL),
+steps AS (SELECT *, n - 1 - coalesce(lag(n) OVER w, 0) AS missed, n = max(n) OVER (PARTITION BY client_id) AND op IS DISTINCT FROM 'D' AS current,
+  sum(CASE WHEN op IN ('I', 'D') OR op = 'U' AND city IS NOT NULL THEN 1 ELSE 0 END) OVER w AS gc, sum(CASE WHEN op IN ('I', 'D') OR op = 'U' AND cents IS NOT NULL THEN 1 ELSE 0 END) OVER w AS gb FROM applied WINDOW w AS (PARTITION BY client_id ORDER BY n))
+SELECT change_id, client_id, 'applied' AS status, CAST(batch AS INTEGER) AS batch, CAST(missed AS BIGINT) AS missed, max(CASE WHEN op IN ('I', 'U') AND gc > 0 THEN city END) OVER (PARTITION BY client_id, gc) AS city, max(CASE WHEN op IN ('I', 'U') AND gb > 0 THEN cents END) OVER (PARTITION BY client_id, gb) AS cents, current FROM steps
+UNION ALL SELECT change_id, client_id, 'rejected', batch, 0, NULL, NULL, false FROM judged WHERE NOT ok
+"""
+
+
 def brute(rows: list[tuple], batches: int = BATCHES) -> list[tuple]:
     """Plain reference for tests: the rules over ``(client_id, n, day, change_id, op, city, cents, batch)``, row by row."""
     out, state, most = [], {}, None

@@ -18,8 +18,9 @@ queries that still need it. The directory of annuli (pivot, near, far) is the on
 about ``DIRECTORY_ROWS`` short rows at most: where there are more vectors than that many annuli of ``BLOCK`` rows, an
 entry stands for several neighbouring annuli of a pivot, each still a row of the table and a step of its own.
 
-Defined cases: vectors that are null, empty, or hold null or non-finite components take no part; nor do those whose
-length differs from the most frequent one's (between unequal lengths there is no inner product). Scores beyond a
+Defined cases: vectors that are null, empty, or hold null or non-finite components take no part. Between unequal lengths
+there is no inner product: vectors of each length have an index of their own, one after the other (few lengths are expected;
+each costs a build). Scores beyond a
 long's range stop at its ends. Rows without an id take no part. Repeated ids are separate candidates,
 and none of them is a candidate of a query of the same id. Fewer candidates than k: all are returned.
 """
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,7 @@ from .common import read, table
 
 _MOST = 1.7976931348623157e308
 K, PIVOTS, SAMPLE, BLOCK, DIRECTORY_ROWS = 5, 48, 2048, 1024, 200_000
+RESULT = "query_id long, rank int, vec_id long, score long"
 
 
 def quantized(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -93,17 +96,19 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 
 def top_k(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k best rows for each row where ``queries`` (a condition on ``id``) holds."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
     v = quantized(df, id_col, vec_col)
-    dims = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    result = "query_id long, rank int, vec_id long, score long"
-    if dims is None:
-        return spark.createDataFrame([], result)
-    v = v.where(F.size("v") == dims["d"])
+    lengths = [r.d for r in v.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]
+    found = [_top_k(v.where(F.size("v") == d), queries, k, pivots, block) for d in lengths]
+    return reduce(DataFrame.unionByName, found) if found else df.sparkSession.createDataFrame([], RESULT)
+
+
+def _top_k(v: DataFrame, queries: Column, k: int, pivots: int, block: int) -> DataFrame:
+    """``top_k`` among vectors (``id, v``) of one length."""
+    spark = v.sparkSession
+    sc = spark.sparkContext
     stats = v.agg(F.max(F.array_max(F.transform("v", F.abs))).alias("m"), F.count(F.lit(1)).alias("n"), F.sum(queries.cast("long")).alias("q")).first()
     if not stats["q"]:
-        return spark.createDataFrame([], result)
+        return spark.createDataFrame([], RESULT)
     n, scale = stats["n"], 2.0 ** -max(0, math.frexp(stats["m"])[1])
     m2 = float(v.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, e: a + (e * scale) * (e * scale)))).first()[0]) * (1 + 1e-12)
     per = max(1, -(-n // (block * DIRECTORY_ROWS)))  # annuli of a directory entry
