@@ -644,6 +644,7 @@ def kg_question_loop(spark, sf):
     the number of a region's customers (each in two steps), a nation's customers (by a hint that is wrong at first), and
     something that no nation has."""
     g = graph(spark, sf)
+    g = GraphStore(written(g.edges), written(g.entities))  # each round reads the edges several times
     spec = "sub_id string, ord int, question string, depends_on array<string>, topic boolean, selected array<string>, relations array<string>, expected_type string, solver_type string, hops int"
     kinds = {
         "best": [("a", 0, "its suppliers", [], True, ["geo.supplier.nation"], [], "supplier", "explore", 1), ("b", 1, "the largest balance", ["a"], False, ["org.supplier.acctbal"], [], "", "aggregate", 1)],
