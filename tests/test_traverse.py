@@ -136,3 +136,16 @@ def test_selection_without_a_task_per_question(spark):
             want |= {(q, k): i + 1 for i, (_, k) in enumerate(sorted(flagged)[:most])}
             want_less |= {(q, k) for f, k in (flagged if len(own) <= most else [x for x in flagged if not x[0]][:most])}
         assert got == want and less == want_less
+
+
+def test_shortest_paths_between_hubs_keep_small_levels(spark, monkeypatch):
+    """Sources that share a hub with many neighbours do not each take all of them along."""
+    rows = [("m.r", "r", f"m.h{h}", "id") for h in range(2)]
+    rows += [(f"m.h{h}", "r", f"m.s{h}.{i}", "id") for h in range(2) for i in range(40)]
+    pairs = [(f"m.s0.{i}", "m.h1") for i in range(40)]
+    kept = []
+    keep = traverse.written
+    monkeypatch.setattr(traverse, "written", lambda d: (kept.append((d.columns, got := keep(d))), got)[1])
+    got = traverse.shortest_paths(spark.createDataFrame(pairs, "source string, target string"), spark.createDataFrame(rows, EDGE), 3).collect()
+    assert {(r.source, r.target, tuple(r.nodes)) for r in got} == {(s, t, (s, "m.h0", "m.r", t)) for s, t in pairs}
+    assert max(d.count() for columns, d in kept if "nodes" in columns) <= 2 * len(rows)  # 40 sources x 40 neighbours before
