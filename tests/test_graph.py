@@ -123,6 +123,16 @@ def test_beam_reaches_through_the_mediator(spark, store):
     assert beam.bundle_text(beam.cvt_bundles(nodes(spark, "g.wed"), store, ["spouse"])).first().text.startswith("[CVT:.wed] {people.marriage.spouse: Bob Ray")
 
 
+def test_bundles_count_no_degrees(spark, store, monkeypatch):
+    """Bundles tell nothing of degrees, so no edges are counted for them; an entry stays out of the constraints."""
+    monkeypatch.setattr(type(store), "degrees", lambda *a: pytest.fail("degrees of all targets"))
+    want = {("m.bob", "1961-08-04"): None, ("1961-08-04",): ["m.bob"]}
+    for targets, entry in want.items():
+        n = nodes(spark, "g.wed") if entry is None else spark.createDataFrame([("g.wed", entry)], "node string, entry array<string>")
+        got = {r.target: r.role for r in beam.cvt_bundles(n, store, ["spouse"]).collect()}
+        assert set(targets) == set(got) - {x for x in entry or [] if got.get(x) == "answer"}
+
+
 def test_hybrid_search(spark, store):
     p = rank.hybrid(nodes(spark, "m.ann"), store, ["people.marriage.spouse"], ["person"], depth=2, max_paths=3).collect()
     assert 0 < len(p) <= 3 and p[0].path_score >= min(r.path_score for r in p)

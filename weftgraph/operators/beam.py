@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, norm_beam, norm_catalog, tokens, type_match, type_names
 from .aggregate import frontier_relations
-from .lookup import metadata
+from .lookup import described, display_name, metadata, probable_cvt
 from .resolve import rerank_expansion
-from .store import GraphStore, written
+from .store import GraphStore, small, written
 from .traverse import text_of
 
 # Relations never followed, and the words that tell relations of mediators.
@@ -317,45 +317,56 @@ def cvt_bundles(nodes: DataFrame, store: GraphStore, terms: list[str], expected_
     four constraints, then the rest; at most two answers or constraints of a relation, or one other edge; nodes it was
     reached from only as answers. Mediators need two edges or an answer, and an answer or a constraint.
     """
-    n = nodes if "entry" in nodes.columns else nodes.withColumn("entry", F.array().cast("array<string>"))
-    m = metadata(n, store).where("is_probable_cvt").select("node", F.col("types").alias("cvt_types"))
-    e = m.join(n.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("entry"))).alias("entry")), "node").join(store.edges.select(F.col("head").alias("node"), "relation", F.col("tail").alias("target"), "tail_kind"), "node")
+    m = described(nodes, store).where("is_probable_cvt").select("node", F.col("types").alias("cvt_types"))
+    if "entry" in nodes.columns:
+        m = m.join(nodes.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("entry"))).alias("entry")), "node")
+    e = m.join(store.edges.select(F.col("head").alias("node"), "relation", F.col("tail").alias("target"), "tail_kind"), "node")
     e = e.withColumn("n", F.row_number().over(Window.partitionBy("node").orderBy("relation", "target"))).where(F.col("n") <= scan).drop("n")
-    t = metadata(e.select(F.col("target").alias("node")), store).withColumnRenamed("node", "target")
-    e = e.join(t, "target").join(store.relations.select("relation", "relation_name"), "relation")
-    rel, tgt = norm_catalog(F.concat_ws(" ", "relation", "relation_name")), norm_catalog(F.col("name"))
     squeeze = lambda w: " ".join(w.lower().replace("_", " ").replace(".", " ").split())
     given = list(dict.fromkeys(squeeze(w) for w in [*CONSTRAINT_WORDS, expected_type or "", *terms] if squeeze(w)))
-    every = F.concat_ws(" ", F.concat_ws(" ", "cvt_types"), F.concat_ws(" ", F.collect_set("relation").over(Window.partitionBy("node"))))
-    e = e.withColumn("schema", F.coalesce(*[F.when(F.contains(norm_catalog(every), F.lit(squeeze(k))), F.lit(k)) for k in SCHEMA_RELATIONS]))
-    # Token arrays once per edge; of one word, the similarity is 1 / size or 0.
-    e = e.withColumns({"rel_words": tokens(rel), "tgt_words": tokens(tgt)})
+    every = norm_catalog(F.concat_ws(" ", F.concat_ws(" ", "cvt_types"), F.concat_ws(" ", F.collect_set("relation").over(Window.partitionBy("node")))))
+    e = e.withColumn("every", every)
+    # The schema's number, from 1 (0: none), while the node's edges are together; its types go no further.
+    e = e.withColumn("schema", F.coalesce(*[F.when(F.contains("every", F.lit(squeeze(k))), F.lit(i)) for i, k in enumerate(SCHEMA_RELATIONS, 1)], F.lit(0))).drop("every", "cvt_types")
 
     def best(words: list[str], text: Column) -> Column:
         one = F.array(*[F.lit(w) for w in words if " " not in w]).cast("array<string>")
         found = F.when(F.arrays_overlap(text, one), 1.0 / F.size(text)).otherwise(0.0)
         return reduce(F.greatest, [jaccard(F.array(*[F.lit(x) for x in dict.fromkeys(w.split())]), text) for w in words if " " in w], found)
 
-    rel_words, tgt_words = F.col("rel_words"), F.col("tgt_words")
-    prior = F.lit(0.0)
-    for k, words in SCHEMA_RELATIONS.items():
-        prior = F.when(F.col("schema") == k, best([squeeze(w) for w in words], rel_words)).otherwise(prior)
-    prior_target = F.lit(0.0)
-    for k, words in SCHEMA_RELATIONS.items():
-        prior_target = F.when(F.col("schema") == k, best([squeeze(w) for w in words], tgt_words)).otherwise(prior_target)
+    # What a relation's name alone tells is told once per relation, and joined.
+    rel = F.col("rel")
     says = lambda words: reduce(lambda a, b: a | b, [F.contains(rel, F.lit(w)) for w in words])
+    facts = store.relations.select("relation", norm_catalog(F.concat_ws(" ", "relation", "relation_name")).alias("rel")).withColumn("rel_words", tokens(rel))
+    priors = F.array(F.lit(0.0), *[best([squeeze(w) for w in words], F.col("rel_words")) for words in SCHEMA_RELATIONS.values()])
+    facts = facts.select("relation", best(given, F.col("rel_words")).alias("rel_best"), priors.alias("priors"), says(DATE_WORDS).alias("date"), (says(DATE_WORDS) | says(ROLE_WORDS)).alias("dated"), says(ANSWER_WORDS).alias("answering"))
+    e = e.join(small(written(facts)), "relation").withColumn("prior", F.get("priors", F.col("schema"))).drop("priors")
+    t = store.entities.select(F.col("mid").alias("target"), F.col("name").alias("__name"), F.col("types").alias("__types"), "is_cvt", F.lit(True).alias("known"))
+    e = e.join(t, "target", "left")
+    e = e.withColumns({
+        "name": display_name(F.col("target"), F.col("__name")),
+        "types": F.coalesce("__types", F.array().cast("array<string>")),
+        "is_literal": F.col("known").isNull(),
+        "nested": (F.col("tail_kind") == "id") & F.col("known").isNotNull() & probable_cvt(F.col("target"), F.col("__name"), F.col("__types"), F.col("is_cvt")),
+    }).withColumn("tgt_words", tokens(norm_catalog(F.col("name"))))
+    tgt_words = F.col("tgt_words")
+    prior_target = F.lit(0.0)
+    for i, words in enumerate(SCHEMA_RELATIONS.values(), 1):
+        prior_target = F.when(F.col("schema") == i, best([squeeze(w) for w in words], tgt_words)).otherwise(prior_target)
     is_id = F.col("tail_kind") == "id"
     tm = type_match(expected_type, F.col("name"), F.col("types")) if expected_type else F.lit(0.0)
-    date, nested = says(DATE_WORDS), is_id & F.col("is_probable_cvt")
+    date, nested = F.col("date"), F.col("nested")
     typed = F.lit(bool(expected_type)) & is_id & ~nested & (tm >= 0.75) & ~date
-    role = F.when(date, "constraint").when(typed, "answer").when(is_id & F.col("is_literal"), "constraint").when(nested, "intermediate").when(says(ANSWER_WORDS), "answer").otherwise("constraint")
-    score = 12.0 * F.greatest(best(given, rel_words), prior) + 4.0 * F.greatest(best(given, tgt_words), prior_target) + 6.0 * tm + 8.0 * prior
-    score = score + F.when(date | says(ROLE_WORDS), 3.0).otherwise(0.0) + F.when(typed, 8.0).otherwise(0.0) - F.when(nested & ~date, 2.0).otherwise(0.0)
+    role = F.when(date, "constraint").when(typed, "answer").when(is_id & F.col("is_literal"), "constraint").when(nested, "intermediate").when(F.col("answering"), "answer").otherwise("constraint")
+    score = 12.0 * F.greatest("rel_best", "prior") + 4.0 * F.greatest(best(given, tgt_words), prior_target) + 6.0 * tm + 8.0 * F.col("prior")
+    score = score + F.when(F.col("dated"), 3.0).otherwise(0.0) + F.when(typed, 8.0).otherwise(0.0) - F.when(nested & ~date, 2.0).otherwise(0.0)
     e = e.withColumns({"edge_score": F.round(score, 6), "role": role})
+    e = e.select("node", "relation", "target", "name", "role", "edge_score", *[c for c in ("entry",) if c in e.columns])
     order = [F.desc("edge_score"), "relation", "target"]
     e = e.withColumn("r", F.row_number().over(Window.partitionBy("node", "role").orderBy(*order)))
     e = e.withColumn("phase", F.when((F.col("r") <= 4) & (F.col("role") == "answer"), 0).when((F.col("r") <= 4) & (F.col("role") == "constraint"), 1).otherwise(2))
-    e = e.where(~F.array_contains("entry", F.col("target")) | (F.col("role") == "answer"))
+    if "entry" in e.columns:
+        e = e.where(~F.array_contains("entry", F.col("target")) | (F.col("role") == "answer"))
     # Of a relation: the first edge, if intermediate, and then one more; else two that are not.
     plain = F.col("role") == "intermediate"
     by = Window.partitionBy("node", "relation").orderBy("phase", *order)
