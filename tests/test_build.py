@@ -2,6 +2,7 @@
 
 import collections
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from weftgraph import cli
 from weftgraph.operators import etl
 from weftgraph.operators.build import build
 from weftgraph.operators.store import GraphStore
+from weftgraph.sources import star
 
 EDGES = [(f"m.{i % 17}", f"r.{i % 3}", f"m.{i % 23}" if i % 4 else f"value {i}", "id" if i % 4 else "literal") for i in range(200)]
 ENTS = [(f"m.{i}", f"name {i}" if i % 5 else "", [f"alias {i}"], ["t.x"], i % 7 == 0) for i in range(25)]
@@ -79,6 +81,39 @@ def test_hub_mediator_in_blocks(spark):
         assert collections.Counter(tuple(r) for r in etl.flatten(routed, block).collect()) == want
 
 
+def test_whole_tables_give_the_same_edges(spark):
+    """Each table read once: the same edges as the SQL of 21 parts, and as many scans as tables with edges."""
+    sf = "/root/testdata/sf0.001"
+    one, parts = star.triples(spark, sf, whole=True), star.triples(spark, sf)
+    assert one.columns == parts.columns and one.exceptAll(parts).isEmpty() and parts.exceptAll(one).isEmpty()
+    assert len(one.inputFiles()) == 6
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 6
+
+
+def test_profile_hashes_its_counts(spark):
+    """Domains in and out are told apart exactly, with null relations, and nothing is sorted for it."""
+    r = random.Random(5)
+    doms = ["a.x", "b.x", "c.x", None]
+    rows = [(f"m.{r.randrange(12)}", r.choice(doms), f"m.{r.randrange(12)}", r.choice(["id", "id", "literal"])) for _ in range(60)]
+    d = etl.node_profile(spark.createDataFrame(rows, "head string, relation string, tail string, tail_kind string"))
+    assert "Object" not in (plan := d._jdf.queryExecution().executedPlan().toString()) and "Sort" not in plan
+    got = {x.mid: (x.in_count, x.out_count, x.literal_count, x.mixed) for x in d.collect()}
+    want = {}
+    for n in {x[0] for x in rows} | {x[2] for x in rows if x[3] == "id"}:
+        out, into = [x for x in rows if x[0] == n], [x for x in rows if x[2] == n and x[3] == "id"]
+        di, do = ({x[1].split(".")[0] for x in part if x[1]} for part in (into, out))
+        want[n] = (len(into), len(out), sum(x[3] != "id" for x in out), bool(di) and bool(do) and di != do)
+    assert got == want
+
+
+def test_products_join_by_the_mediator_alone(spark):
+    """Edges dealt by mediator stay where they are; only hubs get block numbers."""
+    e = spark.createDataFrame([("m.a", "in.r", "g.1", "id"), ("g.1", "out.r", "m.b", "id"), ("g.1", "out.v", "7", "literal"), ("m.a", "p.q", "m.b", "id")], "head string, relation string, tail string, tail_kind string")
+    d = etl.products(*etl.ends_of(e, spark.createDataFrame([("g.1",)], "mid string")))
+    assert sorted(map(tuple, d.collect())) == [("m.a", "in.r.out.r", "m.b", "id"), ("m.a", "in.r.out.v", "7", "literal")]
+    assert "explode" not in d._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_counters_of_a_run(spark, tmp_path, capsys):
     ns = etl.NAMESPACE
     uri = lambda s, p, o: (ns + s, ns + p, ns + o, "uri", None)
