@@ -114,6 +114,15 @@ def test_products_join_by_the_mediator_alone(spark):
     assert "explode" not in d._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_labels_deal_only_id_tails_by_tail(spark):
+    e = spark.createDataFrame([("m.a", "r", "m.b", "id"), ("m.a", "r", "m.b", "literal"), ("m.b", "r", "x", None), ("g.1", "r", "g.1", "id")], "head string, relation string, tail string, tail_kind string")
+    n = spark.createDataFrame([("m.a", "A"), ("m.b", "B"), ("g.1", "")], "mid string, name string")
+    d = etl.with_labels(e, n)
+    want = {("m.a", "A", "r", "m.b", "B", "id"), ("m.a", "A", "r", "m.b", "", "literal"), ("m.b", "B", "r", "x", "", None), ("g.1", "", "r", "g.1", "", "id")}
+    assert {tuple(r) for r in d.collect()} == want
+    assert "(tail_kind" in (plan := d._jdf.queryExecution().optimizedPlan().toString()) and "Union" in plan
+
+
 def test_counters_of_a_run(spark, tmp_path, capsys):
     ns = etl.NAMESPACE
     uri = lambda s, p, o: (ns + s, ns + p, ns + o, "uri", None)
