@@ -120,7 +120,8 @@ def two_hop_between(sources: DataFrame, targets: DataFrame, edges: DataFrame, re
         e = e.where(F.col("relation").isin(relations))
     one = e.select(F.col("head").alias("source"), F.col("relation").alias("r1"), F.col("tail").alias("mid")).join(small(sources.select(F.col("node").alias("source")).distinct()), "source", "left_semi")
     two = e.select(F.col("head").alias("mid"), F.col("relation").alias("r2"), F.col("tail").alias("target")).join(small(targets.select(F.col("node").alias("target")).distinct()), "target", "left_semi")
-    d = one.join(two, "mid").select("source", "r1", "mid", "r2", "target")
+    # The first hop is written: if it is small, the second hop's edges are scanned, not shuffled.
+    d = small(written(one)).join(two, "mid").select("source", "r1", "mid", "r2", "target")
     return d.orderBy("source", "mid", "target", "r1", "r2").limit(limit) if limit > 0 else d
 
 

@@ -41,11 +41,18 @@ def route(kind: Column, has_dependencies: Column, has_anchors: Column) -> Column
 
 
 def verify(pairs: DataFrame, edges: DataFrame, relations: list[str] | None = None, limit: int = 50, two_hop_limit: int = 48) -> DataFrame:
-    """For (source, target) pairs: direct edges either way; for pairs without, two-hop connections."""
+    """For (source, target) pairs: direct edges either way; for pairs without, two-hop connections.
+
+    The pairs and what is found of them are written, so that the joins know their size: as long as they are small, edges
+    are scanned and never shuffled.
+    """
+    pairs = written(pairs.select("source", "target").distinct())
     direct = pair_check(pairs, edges, relations).select("source", "target", F.lit(1).alias("hops"), F.concat_ws(" ", "relation", F.when(F.col("reversed"), "(reverse)")).alias("evidence"))
-    rest = pairs.select("source", "target").distinct().join(direct.select("source", "target").distinct(), ["source", "target"], "left_anti")
+    direct = written(direct)
+    rest = pairs.join(direct.select("source", "target").distinct(), ["source", "target"], "left_anti")
+    rest = written(rest)
     two = two_hop_between(rest.select(F.col("source").alias("node")), rest.select(F.col("target").alias("node")), edges, relations)
-    two = two.join(rest, ["source", "target"]).select("source", "target", F.lit(2).alias("hops"), F.concat_ws(" -> ", "r1", "mid", "r2").alias("evidence"))
+    two = two.join(small(rest), ["source", "target"]).select("source", "target", F.lit(2).alias("hops"), F.concat_ws(" -> ", "r1", "mid", "r2").alias("evidence"))
     w = Window.partitionBy("source", "target", "hops").orderBy("evidence")
     d = direct.unionByName(two).withColumn("n", F.row_number().over(w))
     return d.where((F.col("n") <= limit) & ((F.col("hops") == 1) | (F.col("n") <= two_hop_limit)))
