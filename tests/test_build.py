@@ -121,6 +121,8 @@ def test_labels_deal_only_id_tails_by_tail(spark):
     want = {("m.a", "A", "r", "m.b", "B", "id"), ("m.a", "A", "r", "m.b", "", "literal"), ("m.b", "B", "r", "x", "", None), ("g.1", "", "r", "g.1", "", "id")}
     assert {tuple(r) for r in d.collect()} == want
     assert "(tail_kind" in (plan := d._jdf.queryExecution().optimizedPlan().toString()) and "Union" in plan
+    twice = etl.with_labels(e, n.unionByName(spark.createDataFrame([("g.1", "")], "mid string, name string")))
+    assert sum(r.head == "g.1" for r in twice.collect()) == 4  # two entities at each end, as in SQL
 
 
 def test_counters_of_a_run(spark, tmp_path, capsys):
