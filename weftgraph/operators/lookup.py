@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_id, jaccard80, norm_catalog, sequence_ratio
 from .contain import containing
-from .store import GraphStore, small, written
+from .store import GraphStore, around, entities_of, kinds_among, node_table, small, written
 
 # Scores of the kinds of match, type markers of mediators and types of ordinary things.
 ENTITY_SCORES = {"mid": 100.0, "name_exact": 95.0, "alias_exact": 85.0, "alias_like": 80.0}
@@ -22,11 +22,11 @@ ORDINARY_PREFIXES = ["location.", "people.", "organization.", "film.", "music.",
 
 def incident(frontier: DataFrame, edges: DataFrame, reverse: bool = True) -> DataFrame:
     """``frontier`` (with ``node``) joined with its edges: adds relation, neighbor, reversed, neighbor_kind."""
-    f = small(frontier)
-    out = f.join(edges.select(F.col("head").alias("node"), "relation", F.col("tail").alias("neighbor"), F.lit(False).alias("reversed"), F.col("tail_kind").alias("neighbor_kind")), "node")
+    f, (ahead, behind) = small(frontier), around(edges, frontier)
+    out = f.join(ahead.select(F.col("head").alias("node"), "relation", F.col("tail").alias("neighbor"), F.lit(False).alias("reversed"), F.col("tail_kind").alias("neighbor_kind")), "node")
     if not reverse:
         return out
-    back = f.join(edges.select(F.col("tail").alias("node"), "relation", F.col("head").alias("neighbor"), F.lit(True).alias("reversed"), F.lit("id").alias("neighbor_kind")), "node")
+    back = f.join(behind.select(F.col("tail").alias("node"), "relation", F.col("head").alias("neighbor"), F.lit(True).alias("reversed"), F.lit("id").alias("neighbor_kind")), "node")
     return out.unionByName(back)
 
 
@@ -91,14 +91,16 @@ def probable_cvt(mid: Column, name: Column, types: Column, is_cvt: Column) -> Co
 
 def described(nodes: DataFrame, store: GraphStore) -> DataFrame:
     """``node, name, types, is_literal, is_probable_cvt``; what is no entity is a literal."""
-    e = store.entities.select(F.col("mid").alias("node"), "name", "types", "is_cvt", F.lit(True).alias("known"))
-    d = small(nodes.select("node").distinct()).join(e, "node", "left")
+    n = node_table(nodes, store.entities, "mid")
+    e = entities_of(store.entities, kinds_among(n, store.entities, "mid"))
+    e = e.select(F.col("mid").alias("node"), "name", "types", "is_cvt", F.lit(True).alias("known"))
+    d = small(n).join(e, "node", "left")
     return d.select("node", display_name(F.col("node"), F.col("name")).alias("name"), F.coalesce("types", F.array().cast("array<string>")).alias("types"), F.col("known").isNull().alias("is_literal"), (F.col("known").isNotNull() & probable_cvt(F.col("node"), F.col("name"), F.col("types"), F.col("is_cvt"))).alias("is_probable_cvt"))
 
 
 def metadata(nodes: DataFrame, store: GraphStore) -> DataFrame:
     """``described`` with the nodes' degrees."""
-    n = nodes.select("node").distinct()
+    n = node_table(nodes, store.edges, "head", "tail")
     d = described(n, store).join(store.degrees(n).withColumnRenamed("mid", "node"), "node", "left")
     return d.select("node", "name", "types", F.coalesce("degree", F.lit(0)).alias("degree"), "is_literal", "is_probable_cvt")
 
@@ -163,13 +165,15 @@ def resolve_entities(mentions: DataFrame, store: GraphStore, top_k: int = 5, lik
     the rarest trigram of each mention (``contain``).
     """
     m = mentions.select("mention").distinct().withColumn("norm", norm_catalog(F.col("mention"))).where("norm <> ''")
-    m = small(m)
+    m = small(written(m))
     a = store.alias_index
     kind = F.when(F.col("alias_source") == "name", "name_exact").otherwise("alias_exact")
     points = F.when(F.col("alias_source") == "name", ENTITY_SCORES["name_exact"]).otherwise(ENTITY_SCORES["alias_exact"])
     found = m.join(a, m.norm == a.alias_norm).select("mention", "mid", kind.alias("match_type"), points.alias("score"))
     as_id = F.regexp_replace(F.regexp_replace(F.trim("mention"), "^/", ""), "/", ".")
-    found = found.union(m.withColumn("mid", as_id).join(store.entities.select("mid"), "mid", "left_semi").select("mention", "mid", F.lit("mid"), F.lit(ENTITY_SCORES["mid"])))
+    ids = m.withColumn("mid", as_id)
+    known = entities_of(store.entities, kinds_among(ids.withColumnRenamed("mid", "node"), store.entities, "mid"))
+    found = found.union(ids.join(known.select("mid"), "mid", "left_semi").select("mention", "mid", F.lit("mid"), F.lit(ENTITY_SCORES["mid"])))
     if like:
         pairs = containing(m.select(F.col("norm").alias("needle")), a.select(F.col("alias_norm").alias("text")))
         near = m.join(pairs.withColumnRenamed("needle", "norm"), "norm").join(a, F.col("text") == F.col("alias_norm"))

@@ -32,7 +32,7 @@ from .evaluate import average_metrics, score_prediction
 from .lookup import described, resolve_entities
 from .order import top
 from .solve import operation
-from .store import GraphStore, small, written
+from .store import GraphStore, around, small, written
 from .traverse import both_ways
 
 # The number of paths and of seeds from which on a failure counts as branching, and the failures' names.
@@ -95,13 +95,12 @@ def explore(step: DataFrame, seeds: DataFrame, store: GraphStore, per_node: int,
     Where a step is strict, only its hinted relations are followed; else they come first. ``per_node`` and ``most``: edges
     at the end of a path and paths of a question that are kept, in order of hints, relation and end (0: all).
     """
-    adjacency = both_ways(store.edges)
     wants = step.select(*_KEY, "hints", "strict", F.col("hops").alias("depth"))
     start = seeds.join(wants, _KEY).select(*_KEY, F.col("node").alias("terminal"), F.array("node").alias("nodes"), _none().alias("relations"), F.lit(False).alias("literal"), "hints", "strict", "depth")
     front, out = written(start), []
     for hop in range(1, depth + 1):
         p = front.where(~F.col("literal") & (F.col("depth") >= hop)).withColumnRenamed("terminal", "node").drop("literal")
-        d = small(p).join(adjacency, "node").where(~F.array_contains("nodes", F.col("neighbor")))
+        d = small(p).join(both_ways(store.edges, p), "node").where(~F.array_contains("nodes", F.col("neighbor")))
         hinted = F.array_contains("hints", F.col("relation"))
         d = d.where(~F.col("strict") | (F.size("hints") == 0) | hinted).withColumn("__h", hinted.cast("int"))
         if per_node > 0:
@@ -118,18 +117,19 @@ def explore(step: DataFrame, seeds: DataFrame, store: GraphStore, per_node: int,
 
 def collect(step: DataFrame, seeds: DataFrame, store: GraphStore) -> DataFrame:
     """All targets of the seeds by the hinted relations (any, without hints), either way, as paths of one hop."""
-    d = small(seeds.join(step.select(*_KEY, "hints"), _KEY)).join(both_ways(store.edges), "node")
+    s = written(seeds.join(step.select(*_KEY, "hints"), _KEY))
+    d = small(s).join(both_ways(store.edges, s), "node")
     d = d.where((F.size("hints") == 0) | F.array_contains("hints", F.col("relation")))
     return d.select(*_KEY, F.col("neighbor").alias("terminal"), "literal", F.array("relation").alias("relations"), F.lit(1).alias("hops"), F.lit(1).alias("matched")).distinct()
 
 
 def confirm(step: DataFrame, seeds: DataFrame, targets: DataFrame, store: GraphStore) -> DataFrame:
     """The seeds that are connected with a target of their step, directly or over one node, either way."""
-    adjacency = both_ways(store.edges).where(~F.col("literal"))
+    adjacency = lambda d: both_ways(store.edges, d).where(~F.col("literal"))
     goal = targets.join(step.select(_KEY), _KEY, "left_semi").select(*_KEY, F.col("node").alias("goal")).distinct()
     p = seeds.join(goal.select(_KEY).distinct(), _KEY, "left_semi").select(*_KEY, F.col("node").alias("terminal"), "node")
-    one = written(small(p).join(adjacency, "node").select(*_KEY, "terminal", F.col("neighbor").alias("node"), F.array("relation").alias("relations")))
-    two = small(one).join(adjacency.select("node", F.col("neighbor").alias("next"), "relation"), "node")
+    one = written(small(p).join(adjacency(p), "node").select(*_KEY, "terminal", F.col("neighbor").alias("node"), F.array("relation").alias("relations")))
+    two = small(one).join(adjacency(one).select("node", F.col("neighbor").alias("next"), "relation"), "node")
     two = two.select(*_KEY, "terminal", F.col("next").alias("node"), F.concat("relations", F.array("relation")).alias("relations"))
     hit = lambda d, hops: d.join(goal.withColumnRenamed("goal", "node"), [*_KEY, "node"], "left_semi").select(*_KEY, "terminal", F.lit(False).alias("literal"), "relations", F.lit(hops).alias("hops"), F.lit(hops).alias("matched"))
     return hit(one, 1).unionByName(hit(two, 2)).distinct()
@@ -154,8 +154,9 @@ def compute(step: DataFrame, seeds: DataFrame, sets: DataFrame | None, store: Gr
     typed = every.join(kind, "node").join(s.select(*_KEY, "names"), _KEY).where((F.size("names") == 0) | F.exists("names", lambda n: F.contains("hay", n)))
     n = counted.join(typed.groupBy(*_KEY).agg(F.count_distinct("node").alias("n")), _KEY, "left")
     out = one(n.where("n > 0"), F.col("n").cast("string"), True, F.array(F.lit("count")))
-    facts = store.edges.where("tail_kind <> 'id'").select(F.col("head").alias("node"), "relation", F.col("tail").alias("value"))
-    ranked = small(seeds.join(s.where("op IN ('argmax', 'argmin')"), _KEY)).join(facts, "node").where((F.size("hints") == 0) | F.array_contains("hints", F.col("relation")))
+    asking = written(seeds.join(s.where("op IN ('argmax', 'argmin')"), _KEY))
+    facts = around(store.edges, asking)[0].where("tail_kind <> 'id'").select(F.col("head").alias("node"), "relation", F.col("tail").alias("value"))
+    ranked = small(asking).join(facts, "node").where((F.size("hints") == 0) | F.array_contains("hints", F.col("relation")))
     ranked = ranked.withColumn("number", sqlite_number(F.col("value"))).where("number IS NOT NULL")
     best = ranked.groupBy(*_KEY, "op").agg(F.max(F.struct("number", "node", "relation")).alias("most"), F.min(F.struct("number", "node", "relation")).alias("least"))
     pick = F.when(F.col("op") == "argmax", F.col("most")).otherwise(F.col("least"))

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_catalog, verbalize_relation
@@ -15,13 +15,66 @@ from ..functions.text import norm_catalog, verbalize_relation
 HIGH_DEGREE = 500
 
 
-def small(df: DataFrame, most: int = 64 << 20) -> DataFrame:
-    """Marks a side for broadcast only if the planner's own estimate of it is below ``most`` bytes."""
+def fits(df: DataFrame, most: int = 64 << 20) -> bool:
+    """Whether the planner's own estimate of a table is below ``most`` bytes."""
     try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most
     except ValueError:  # an estimate of thousands of digits, from joins of joins
-        return df
-    return F.broadcast(df) if size <= most else df
+        return False
+
+
+def small(df: DataFrame, most: int = 64 << 20) -> DataFrame:
+    """Marks a side for broadcast only if it ``fits``."""
+    return F.broadcast(df) if fits(df, most) else df
+
+
+# --- kinds of ids: what a source may declare about its id columns, so that a lookup scans only what can have its nodes ---
+
+
+def declared(column: str, kinds: dict[str, str]) -> Column:
+    """An id column that says of which kind (its first two parts, as in ``m.film.12``) its ids are, by the rows' relation
+    (edges) or types (entities, joined by ``|``). Relations and types that are not named may have any ids.
+
+    It is metadata of the column: selections keep it, an expression over the ids loses it.
+    """
+    return F.col(column).alias(column, metadata={"kinds": kinds})
+
+
+def _declared(df: DataFrame, *columns: str) -> dict[str, str]:
+    return {k: v for c in columns for k, v in df.schema[c].metadata.get("kinds", {}).items()}
+
+
+def kinds_among(nodes: DataFrame, df: DataFrame, *columns: str) -> set[str] | None:
+    """The declared kinds (of ``df``'s id columns) that occur among ``nodes`` (``node``); None if nothing is declared."""
+    known = sorted({k for c in columns for k in _declared(df, c).values()})
+    if not known:
+        return None
+    kind = F.substring_index("node", ".", 2).alias("kind")
+    return {r.kind for r in nodes.select(kind).where(F.col("kind").isin(known)).distinct().collect()}  # no more than are declared
+
+
+def of_kinds(df: DataFrame, column: str, by: Column, kinds: set[str] | None) -> DataFrame:
+    """Without the rows whose ids in ``column`` are declared to be of other kinds: a filter on constants, so that the planner
+    drops whole tables."""
+    other = sorted(v for v, k in _declared(df, column).items() if kinds is not None and k not in kinds)
+    return df.where(F.coalesce(~by.isin(other), F.lit(True))) if other else df
+
+
+def entities_of(entities: DataFrame, kinds: set[str] | None) -> DataFrame:
+    """The entities that may be of these kinds (None: all)."""
+    return of_kinds(entities, "mid", F.array_join("types", "|"), kinds)
+
+
+def around(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges whose head, and those whose tail may be among ``nodes`` (``node``)."""
+    kinds = kinds_among(nodes, edges, "head", "tail")
+    return tuple(of_kinds(edges, end, F.col("relation"), kinds) for end in ("head", "tail"))
+
+
+def node_table(nodes: DataFrame, df: DataFrame, *columns: str) -> DataFrame:
+    """The different nodes (``node``), written if ``df`` declares kinds, since they are then read for their kinds, too."""
+    n = nodes.select("node").distinct()
+    return written(n) if _declared(df, *columns) else n
 
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
@@ -96,13 +149,17 @@ def node_stats(edges: DataFrame, entities: DataFrame | None = None, threshold: i
 def degrees_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``mid, degree`` of the given nodes (``node``) that have edges: only their edges are counted.
 
-    The edges are filtered by the nodes before anything is grouped, so a frontier costs a scan of the edges and a shuffle
-    of its own counts, not one of the whole graph's.
+    A small frontier filters the edges before anything is grouped, so it costs a scan of them and a shuffle of its own
+    counts, not one of the whole graph's. A large one meets partially summed counts instead of edges.
     """
-    n = small(nodes.select(F.col("node").alias("mid")).distinct())
-    out = edges.select(F.col("head").alias("mid")).join(n, "mid", "left_semi")
-    back = edges.where("tail_kind = 'id'").select(F.col("tail").alias("mid")).join(n, "mid", "left_semi")
-    return out.unionAll(back).groupBy("mid").agg(F.count(F.lit(1)).alias("degree"))
+    n = nodes.select(F.col("node").alias("mid")).distinct()
+    out, back = around(edges, nodes)
+    ends = out.select(F.col("head").alias("mid")).unionAll(back.where("tail_kind = 'id'").select(F.col("tail").alias("mid")))
+    few = fits(n)
+    if few:
+        ends = ends.join(F.broadcast(n), "mid", "left_semi")
+    counts = ends.groupBy("mid").agg(F.count(F.lit(1)).alias("degree"))
+    return counts if few else counts.join(n, "mid", "left_semi")
 
 
 def relation_stats(edges: DataFrame) -> DataFrame:
@@ -175,11 +232,12 @@ class GraphStore:
 
     @property
     def relation_stats(self) -> DataFrame:
-        return self._get("relation_stats", lambda: relation_stats(self.edges))
+        """Written once: relations are few, and many steps ask for their frequencies."""
+        return self._get("relation_stats", lambda: written(relation_stats(self.edges)))
 
     @property
     def relations(self) -> DataFrame:
-        return self._get("relations", lambda: relation_catalog(self.edges))
+        return self._get("relations", lambda: relation_catalog(self.relation_stats))
 
     @property
     def relation_lookup(self) -> DataFrame:

@@ -10,13 +10,25 @@ from pyspark.sql import functions as F
 from ..functions.text import is_id
 from .lookup import direct_edges  # noqa: F401  (part of this module's surface)
 from .order import group_places, top
-from .store import small, written
+from .store import around, kinds_among, of_kinds, small, written
 
 
-def both_ways(edges: DataFrame) -> DataFrame:
-    """``node, relation, neighbor, reversed`` over id edges in both directions, and literals forward."""
-    f = edges.select(F.col("head").alias("node"), "relation", F.col("tail").alias("neighbor"), F.lit(False).alias("reversed"), (F.col("tail_kind") != "id").alias("literal"))
-    return f.union(edges.where("tail_kind = 'id'").select(F.col("tail"), "relation", F.col("head"), F.lit(True), F.lit(False)))
+def both_ways(edges: DataFrame, near: DataFrame | None = None, toward: DataFrame | None = None) -> DataFrame:
+    """``node, relation, neighbor, reversed, literal`` over id edges in both directions, and literals forward.
+
+    ``near``, ``toward``: the nodes (``node``) for which edges are looked up and those that they have to reach, to leave out
+    edges that are declared to have none of them at that end (``store.declared``).
+    """
+    ahead, back = around(edges, near) if near is not None else (edges, edges)
+    if toward is not None:
+        kinds = kinds_among(toward, edges, "head", "tail")
+        ahead, back = of_kinds(ahead, "tail", F.col("relation"), kinds), of_kinds(back, "head", F.col("relation"), kinds)
+    f = ahead.select(F.col("head").alias("node"), "relation", F.col("tail").alias("neighbor"), F.lit(False).alias("reversed"), (F.col("tail_kind") != "id").alias("literal"))
+    return f.union(back.where("tail_kind = 'id'").select(F.col("tail"), "relation", F.col("head"), F.lit(True), F.lit(False)))
+
+
+def _ends(paths: DataFrame) -> DataFrame:
+    return paths.select(F.col("terminal").alias("node"))
 
 
 def reach(sources: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
@@ -25,13 +37,13 @@ def reach(sources: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     Each hop joins the written frontier with the edges as they are and makes the result distinct: the edges are never
     shuffled for a small frontier. A ``qid`` column of the sources stays.
     """
-    step = both_ways(edges).where(~F.col("literal")).select("node", F.col("neighbor").alias("next"))
+    step = lambda near: both_ways(edges, near).where(~F.col("literal")).select("node", F.col("neighbor").alias("next"))
     keys = [*(["qid"] if "qid" in sources.columns else []), "source", "node"]
     start = sources.select(*[c for c in keys if c == "qid"], F.col("node").alias("source"), "node").distinct()
-    front = written(start.join(step.select("node"), "node", "left_semi").select(*keys, F.lit(0).alias("dist")))
+    front = written(start.join(step(start).select("node"), "node", "left_semi").select(*keys, F.lit(0).alias("dist")))
     seen = front
     for hop in range(1, depth + 1):
-        new = small(front.select(keys)).join(step, "node").select(*keys[:-1], F.col("next").alias("node")).distinct()
+        new = small(front.select(keys)).join(step(front), "node").select(*keys[:-1], F.col("next").alias("node")).distinct()
         front = written(new.join(small(seen.select(keys)), keys, "left_anti").select(*keys, F.lit(hop).alias("dist")))
         seen = seen.union(front)
     return seen
@@ -45,7 +57,7 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     distance a from its source, wherever the sides meet, so the levels are joined there, and pairs that have met leave the
     later joins. The last step is not kept as a level: what it reaches goes straight to the join with the other side.
     """
-    step = both_ways(edges).where(~F.col("literal")).select("node", F.col("neighbor").alias("next"))  # parallel edges are one in the minima
+    step = lambda near: both_ways(edges, near).where(~F.col("literal")).select("node", F.col("neighbor").alias("next"))  # noqa: E731  parallel edges are one in the minima
     open_ = written(pairs.select("source", "target").distinct())
     ahead = _level(open_.select(F.col("source").alias("root")).distinct())
     back = _level(open_.select(F.col("target").alias("root")).distinct())
@@ -61,7 +73,7 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
         back = _open_roots(back, open_.select(F.col("target").alias("root")))
         forward = ahead.count() <= back.count()
         level, own = (ahead, 0) if forward else (back, 1)
-        new = _grown(level, step, forward)
+        new = _grown(level, step(level), forward)
         if h < depth:
             new = new.groupBy("root", "node").agg(F.min("nodes").alias("nodes"))
             new = written(new.join(small(seen[own]), ["root", "node"], "left_anti"))
@@ -138,15 +150,17 @@ def edge_key() -> Column:
 
 def simple_paths(seeds: DataFrame, edges: DataFrame, depth: int, targets: DataFrame | None = None, max_paths: int = 0, relations: list[str] | None = None, literals: bool = False) -> DataFrame:
     """All simple undirected paths of 1 to ``depth`` hops; with targets, a path stops at one and only those count."""
-    adjacency = both_ways(edges)
-    if not literals:
-        adjacency = adjacency.where(~F.col("literal"))
-    if relations:
-        adjacency = adjacency.where(F.col("relation").isin(relations))
+
+    def adjacency(front: DataFrame) -> DataFrame:
+        a = both_ways(edges, _ends(front))
+        if not literals:
+            a = a.where(~F.col("literal"))
+        return a.where(F.col("relation").isin(relations)) if relations else a
+
     front, found = start_paths(seeds), None
     goal = small(targets.select(F.col("node").alias("terminal")).distinct()) if targets is not None else None
     for hop in range(1, depth + 1):
-        new = written(grow(front, adjacency))
+        new = written(grow(front, adjacency(front)))
         hit = new.join(goal, "terminal", "left_semi").select(new.columns) if goal is not None else new
         found = hit if found is None else found.unionByName(hit)
         front = new.join(goal, "terminal", "left_anti").select(new.columns) if goal is not None else new
@@ -174,18 +188,20 @@ def expand_paths(seeds: DataFrame, edges: DataFrame, depth: int = 3, hints: list
     Places are counted over range-sorted slices and budgets cut from partial first rows (``order``): no task holds a
     question. The discovered nodes (``qid, node``) are written and joined.
     """
-    adjacency = both_ways(edges)
-    if hints and strict:
-        adjacency = adjacency.where(F.col("relation").isin(hints))
     hit = F.col("relation").isin(hints) if hints else F.lit(False)
-    adjacency = adjacency.withColumn("hint", (~hit).cast("int")).select(F.col("node").alias("terminal"), "relation", "neighbor", F.col("reversed").alias("back"), F.col("literal").alias("to_literal"), "hint")
-    front = group_places(start_paths(seeds), ["qid"], "seed", name="seq")
+
+    def adjacency(front: DataFrame) -> DataFrame:
+        a = both_ways(edges, _ends(front))
+        a = a.where(hit) if hints and strict else a
+        return a.withColumn("hint", (~hit).cast("int")).select(F.col("node").alias("terminal"), "relation", "neighbor", F.col("reversed").alias("back"), F.col("literal").alias("to_literal"), "hint")
+
+    front = written(group_places(start_paths(seeds), ["qid"], "seed", name="seq"))
     known = written(front.select("qid", F.col("seed").alias("node")).distinct())
     used, out = None, []
     cols = ["qid", "seed", "terminal", "literal", "nodes", "relations", "reversed", "hops"]
     for _ in range(depth):
         p = front.where(~F.col("literal"))
-        d = small(p).join(adjacency, "terminal").where(~F.array_contains("nodes", F.col("neighbor")))
+        d = small(p).join(adjacency(p), "terminal").where(~F.array_contains("nodes", F.col("neighbor")))
         d = d.select("qid", "seed", F.col("neighbor").alias("terminal"), F.col("to_literal").alias("literal"), F.concat("nodes", F.array("neighbor")).alias("nodes"), F.concat("relations", F.array("relation")).alias("relations"), F.concat("reversed", F.array("back")).alias("reversed"), (F.col("hops") + 1).alias("hops"), F.col("seq").alias("parent"), "hint", "relation", "back")
         order = ["parent", "hint", "relation", "terminal", "back"]
         if neighbor_limit > 0:
@@ -293,8 +309,8 @@ def question_subgraph(topics: DataFrame, edges: DataFrame, depth: int) -> DataFr
     if "qid" not in topics.columns:
         return induced_subgraph(near, edges)
     n = written(near.select("qid", "node").distinct())
-    e = edges.where("tail_kind = 'id'").select("head", "relation", "tail")
-    d = small(n.withColumnRenamed("node", "head")).join(e, "head")
+    e, _ = around(edges, n)
+    d = small(n.withColumnRenamed("node", "head")).join(e.where("tail_kind = 'id'").select("head", "relation", "tail"), "head")
     return d.join(small(n.withColumnRenamed("node", "tail")), ["qid", "tail"], "left_semi").select("qid", "head", "relation", "tail")
 
 
@@ -374,12 +390,11 @@ def supplement_paths(topics: DataFrame, bridges: DataFrame, edges: DataFrame, dm
 
 def expand_endpoints(paths: DataFrame, edges: DataFrame, rounds: int = 2) -> DataFrame:
     """Longer paths from the ends of paths, each node visited once per question, in the order of (path, relation, node)."""
-    adjacency = both_ways(edges).where(~F.col("literal"))
     seen = paths.select("qid", F.explode("nodes").alias("terminal")).distinct()
     cols = ["qid", "seed", "terminal", "literal", "nodes", "relations", "reversed", "hops"]
     front, out = paths.select(cols), None
     for hop in range(1, rounds + 1):
-        new = grow(front, adjacency).join(seen, ["qid", "terminal"], "left_anti")
+        new = grow(front, both_ways(edges, _ends(front)).where(~F.col("literal"))).join(seen, ["qid", "terminal"], "left_anti")
         w = Window.partitionBy("qid", "terminal").orderBy("hops", edge_key())
         front = written(new.withColumn("__n", F.row_number().over(w)).where("__n = 1").select(cols))
         seen = seen.union(front.select("qid", "terminal"))

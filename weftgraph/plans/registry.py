@@ -12,7 +12,7 @@ from ..operators import aggregate as ag
 from ..operators import beam as bm
 from ..operators import etl, evaluate, lookup, loop, rank, resolve, solve, traverse
 from ..operators.order import places
-from ..operators.store import GraphStore, node_stats, written
+from ..operators.store import GraphStore, entities_of, node_stats, written
 from ..sources import star
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,8 +38,13 @@ def graph(spark: SparkSession, sf: str, whole: bool = False) -> GraphStore:
     return GraphStore(star.triples(spark, sf, whole), star.entities(spark, sf))
 
 
+def named(store: GraphStore, kind: str) -> DataFrame:
+    """The entities whose ids begin with ``m.`` and the kind."""
+    return entities_of(store.entities, {f"m.{kind}"}).where(F.col("mid").startswith(f"m.{kind}."))
+
+
 def mids(store: GraphStore, kind: str) -> DataFrame:
-    return store.entities.where(F.col("mid").startswith(f"m.{kind}.")).select(F.col("mid").alias("node"))
+    return named(store, kind).select(F.col("mid").alias("node"))
 
 
 def values(spark: SparkSession, column: str, items: list[str]) -> DataFrame:
@@ -568,7 +573,7 @@ def kg_supplement_paths(spark, sf):
 
 
 def _beam_seeds(g: GraphStore) -> DataFrame:
-    r = g.entities.where("mid LIKE 'm.region.%'")
+    r = named(g, "region")
     return r.select(F.regexp_extract("mid", r"(\d+)$", 1).cast("long").alias("qid"), F.lit("which supplier is in a nation of this region").alias("query"), F.col("mid").alias("node"))
 
 
@@ -644,7 +649,6 @@ def kg_question_loop(spark, sf):
     the number of a region's customers (each in two steps), a nation's customers (by a hint that is wrong at first), and
     something that no nation has."""
     g = graph(spark, sf)
-    g = GraphStore(written(g.edges), written(g.entities))  # each round reads the edges several times
     spec = "sub_id string, ord int, question string, depends_on array<string>, topic boolean, selected array<string>, relations array<string>, expected_type string, solver_type string, hops int"
     kinds = {
         "best": [("a", 0, "its suppliers", [], True, ["geo.supplier.nation"], [], "supplier", "explore", 1), ("b", 1, "the largest balance", ["a"], False, ["org.supplier.acctbal"], [], "", "aggregate", 1)],
@@ -654,7 +658,7 @@ def kg_question_loop(spark, sf):
     }
     specs = None
     for kind, subs in kinds.items():
-        seeds = g.entities.where(F.col("mid").startswith("m.region." if kind == "count" else "m.nation.")).select(F.concat(F.lit(f"{kind} "), "mid").alias("qid"), "name")
+        seeds = named(g, "region" if kind == "count" else "nation").select(F.concat(F.lit(f"{kind} "), "mid").alias("qid"), "name")
         d = seeds.crossJoin(F.broadcast(spark.createDataFrame(subs, spec))).withColumn("topics", F.when(F.col("topic"), F.array("name")).otherwise(F.array().cast("array<string>"))).drop("topic", "name")
         specs = d if specs is None else specs.unionByName(d)
     specs = written(specs)
@@ -666,7 +670,7 @@ def kg_question_loop(spark, sf):
 @query("kg_entity_rerank")
 def kg_entity_rerank(spark, sf):
     g = graph(spark, sf)
-    m = g.entities.where("mid LIKE 'm.nation.%'").select(F.col("name").alias("mention"))
+    m = named(g, "nation").select(F.col("name").alias("mention"))
     return resolve.rerank_entities(lookup.resolve_entities(m, g).select("mention", "mid", "score"), g, "country", "nation with suppliers")
 
 

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.store import declared
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 _LI = "'g.li.' || l_orderkey || '.' || l_linenumber || '.' || l_partkey || '.' || l_suppkey"
 _MONEY = "CAST(CAST({0} AS DECIMAL(18,2)) AS STRING)"
@@ -26,6 +28,12 @@ UNION ALL SELECT 'm.order.' || o_orderkey, 'Order#' || o_orderkey, 'sales.order'
 UNION ALL SELECT {_LI}, '', 'sales.lineitem', 1 FROM {{lineitem}}
 """
 
+#: The kind of the ids of each type, as ENTITIES_SQL makes them; _EDGES tells those of the edges' ends.
+_KINDS = {
+    "geo.region": "m.region", "geo.nation|location.country": "m.nation", "crm.customer|people.person": "m.customer", "org.supplier": "m.supplier",
+    "product.part": "m.part", "sales.order": "m.order", "sales.lineitem": "g.li",
+}
+
 _EDGES = [
     ("'m.nation.' || n_nationkey", "geo.nation.region", "'m.region.' || n_regionkey", "id", "nation"),
     ("'m.customer.' || c_custkey", "crm.customer.nation", "'m.nation.' || c_nationkey", "id", "customer"),
@@ -62,7 +70,7 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``mid, name, types (array), is_cvt (boolean)``."""
     d = spark.sql(ENTITIES_SQL, **tables(spark, sf_dir))
-    return d.select("mid", "name", F.split("types", r"\|").alias("types"), (F.col("is_cvt") == 1).alias("is_cvt"))
+    return d.select(declared("mid", _KINDS), "name", F.split("types", r"\|").alias("types"), (F.col("is_cvt") == 1).alias("is_cvt"))
 
 
 def triples(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
@@ -72,7 +80,10 @@ def triples(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     edges of a record stay together and partial sums and compression see them so.
     """
     if not whole:
-        return spark.sql(TRIPLES_SQL, **tables(spark, sf_dir))
+        kind = lambda x: x.split("'")[1].rstrip(".")  # noqa: E731  of 'm.nation.' || n_nationkey
+        head = declared("head", {r: kind(h) for h, r, _, _, _ in _EDGES})
+        tail = declared("tail", {r: kind(t) for _, r, t, k, _ in _EDGES if k == "id"})
+        return spark.sql(TRIPLES_SQL, **tables(spark, sf_dir)).select(head, "relation", tail, "tail_kind")
     found = tables(spark, sf_dir)
 
     def rows(src: str) -> DataFrame:
