@@ -206,6 +206,7 @@ def expand_paths(seeds: DataFrame, edges: DataFrame, depth: int = 3, hints: list
         order = ["parent", "hint", "relation", "terminal", "back"]
         if neighbor_limit > 0:
             d = top(d, ["qid", "parent"], neighbor_limit, *order, name="__r").drop("__r")
+        d = written(d)  # sorting by range reads it twice, and so does a budget of nodes
         if max_nodes > 0:
             d, known = _admitted(d, known, order, max_nodes)
         left = None
@@ -225,16 +226,18 @@ def expand_paths(seeds: DataFrame, edges: DataFrame, depth: int = 3, hints: list
 
 
 def _admitted(found: DataFrame, known: DataFrame, order: list[str], most: int) -> tuple[DataFrame, DataFrame]:
-    """The rows that a budget of discovered entities lets pass, and what is known then."""
-    placed = written(group_places(found, ["qid"], *order, name="__at"))
-    new = placed.where(~F.col("literal")).select("qid", F.col("terminal").alias("node"), "__at").join(known, ["qid", "node"], "left_anti")
+    """The rows that a budget of discovered entities lets pass, and what is known then.
+
+    A new node's first place is the least of its rows' order, a partial minimum per task; no row is placed before it passes.
+    """
+    new = found.where(~F.col("literal")).select("qid", F.col("terminal").alias("node"), F.struct(*order).alias("__at")).join(small(known), ["qid", "node"], "left_anti")
     new = new.groupBy("qid", "node").agg(F.min("__at").alias("__at"))
     have = known.groupBy("qid").agg(F.count(F.lit(1)).alias("have"))
     ranked = top(new, ["qid"], most, "__at", name="rank")  # more than ``most`` are never admitted
     admitted = ranked.join(small(have), "qid").where(F.col("have") + F.col("rank") <= most).select("qid", "node")
     known = written(known.union(admitted))
-    free = placed.where("literal").drop("__at")
-    return free.unionByName(placed.where(~F.col("literal")).drop("__at").join(known.withColumnRenamed("node", "terminal"), ["qid", "terminal"], "left_semi").select(free.columns)), known
+    passed = found.where(~F.col("literal")).join(small(known.withColumnRenamed("node", "terminal")), ["qid", "terminal"], "left_semi").select(found.columns)
+    return written(found.where("literal").unionByName(passed)), known
 
 
 def meeting_paths(seeds: DataFrame, targets: DataFrame, edges: DataFrame, depth: int, max_paths: int = 0, relations: list[str] | None = None) -> DataFrame:
