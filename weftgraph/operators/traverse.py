@@ -245,26 +245,32 @@ def meeting_paths(seeds: DataFrame, targets: DataFrame, edges: DataFrame, depth:
 
     A path stops at the first target it meets, as in ``simple_paths``. Seeds (``qid, node``) grow half the depth, rounded up,
     targets (``node``, optionally ``qid``) the rest; halves are joined at the node where they meet, and kept if they share no
-    other. With b edges per node, that is two frontiers of b^(d/2) rows in place of one of b^d. A backward half that ends
-    beyond everything the forward halves reach finds no partner and costs its own growth only.
+    other. With b edges per node, that is two frontiers of b^(d/2) rows in place of one of b^d. The last step follows only
+    edges to where the other side's halves end: all else that it could reach (a hub's records, say) finds no partner.
     """
-    adjacency = both_ways(edges).where(~F.col("literal"))
-    if relations:
-        adjacency = adjacency.where(F.col("relation").isin(relations))
+
+    def adjacency(front: DataFrame, partners: DataFrame | None = None) -> DataFrame:
+        ends = _ends(partners).distinct() if partners is not None else None
+        a = both_ways(edges, _ends(front), ends).where(~F.col("literal"))
+        if relations:
+            a = a.where(F.col("relation").isin(relations))
+        return a.join(small(ends.withColumnRenamed("node", "neighbor")), "neighbor", "left_semi") if ends is not None else a
+
     on = ["qid"] if "qid" in targets.columns else []
     goal = written(targets.select(*on, F.col("node").alias("terminal")).distinct())
     inner = lambda d: d.join(small(goal), [*on, "terminal"], "left_anti").select(d.columns)
-    ahead, back, out = start_paths(seeds), start_paths(targets), []
+    ahead, back, out = written(start_paths(seeds)), written(start_paths(targets)), []
     for h in range(1, depth + 1):
+        last = h == depth
         if h % 2:
-            new = written(grow(ahead, adjacency))
+            new = written(grow(ahead, adjacency(ahead, (goal if h == 1 else back) if last else None)))
             if h == 1:
                 out.append(new.join(small(goal), [*on, "terminal"], "left_semi").select(new.columns))
                 ahead = written(inner(new))
                 continue
             ahead = written(inner(new))
         else:
-            back = written(inner(grow(back, adjacency)))
+            back = written(inner(grow(back, adjacency(back, ahead if last else None))))
         out.append(_joined(ahead, back, on))
     d = reduce(DataFrame.unionByName, out)
     d = d.withColumn("text", text_of(F.col("nodes"), F.col("relations"), F.col("reversed")))
