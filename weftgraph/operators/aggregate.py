@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import norm_catalog, number_or_year, type_names
 from .lookup import incident, metadata
-from .store import GraphStore, small
+from .order import top
+from .store import GraphStore, small, written
 
 
 def frontier_relations(frontier: DataFrame, store: GraphStore, keys: list[str] | None = None, literals: bool = True, reverse: bool = True, samples: int = 3) -> DataFrame:
@@ -68,13 +69,15 @@ def frontier_summary(frontier: DataFrame, store: GraphStore, keys: list[str]) ->
 
 
 def top_per_source(frontier: DataFrame, edges: DataFrame, relation: str, limit: int, reverse: bool = False) -> DataFrame:
-    """The first ``limit`` neighbours of each source by one relation, and the number there are."""
+    """The first ``limit`` neighbours of each source by one relation, and the number there are.
+
+    A source's neighbours are cut per part before they meet (``order.top``), so no task sorts all of a hub's.
+    """
     e = edges.where(F.col("relation") == relation)
     e = e.select(F.col("tail").alias("node"), F.col("head").alias("neighbor")) if reverse else e.select(F.col("head").alias("node"), F.col("tail").alias("neighbor"))
-    d = small(frontier.select("node").distinct()).join(e, "node").distinct()
+    d = written(small(frontier.select("node").distinct()).join(e, "node").distinct())
     total = d.groupBy("node").agg(F.count(F.lit(1)).alias("source_total"))
-    w = Window.partitionBy("node").orderBy("neighbor")
-    return d.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit).join(total, "node")
+    return top(d, ["node"], limit, "neighbor", name="rn").join(total, "node")
 
 
 def expand_budgeted(frontier: DataFrame, edges: DataFrame, relation: str, per_source: int, total: int, keys: list[str], reverse: bool = False) -> DataFrame:
