@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import norm_catalog, number_or_year, type_names
 from .lookup import incident, metadata
 from .order import top
-from .store import GraphStore, small, written
+from .store import GraphStore, around, entities_of, kinds_among, small, written
 
 
 def frontier_relations(frontier: DataFrame, store: GraphStore, keys: list[str] | None = None, literals: bool = True, reverse: bool = True, samples: int = 3) -> DataFrame:
@@ -17,14 +17,15 @@ def frontier_relations(frontier: DataFrame, store: GraphStore, keys: list[str] |
     Reverse edges count id tails only. Samples are the first names and types in order.
     """
     keys = keys or []
-    f = frontier.select(*keys, "node").distinct()
+    f = written(frontier.select(*keys, "node").distinct())
     size = f.groupBy(*keys).agg(F.count(F.lit(1)).alias("frontier_size"))
     e = store.edges if literals else store.edges.where("tail_kind = 'id'")
     d = incident(f, e, reverse=False)
     if reverse:
-        back = store.edges.where("tail_kind = 'id'")
+        back = around(store.edges, f)[1].where("tail_kind = 'id'")
         d = d.unionByName(small(f).join(back.select(F.col("tail").alias("node"), "relation", F.col("head").alias("neighbor"), F.lit(True).alias("reversed"), F.lit("id").alias("neighbor_kind")), "node"))
     d = d.withColumn("direction", F.when(F.col("reversed"), "reverse").otherwise("forward"))
+    d = written(d.select(*keys, "node", "relation", "direction", "neighbor"))  # counted, and read for samples
     by = [*keys, "relation", "direction"]
     counts = d.groupBy(*by).agg(F.countDistinct("node").alias("supporting_node_count"), F.count(F.lit(1)).alias("total_neighbor_count"), F.sort_array(F.collect_set("neighbor")).alias("reached") if samples < 0 else F.min("neighbor").alias("first_neighbor"))
     counts = counts.join(size, keys) if keys else counts.crossJoin(size)
@@ -34,7 +35,8 @@ def frontier_relations(frontier: DataFrame, store: GraphStore, keys: list[str] |
         # The first few names and types per group, found with bounded per-group state.
         w = Window.partitionBy(*by).orderBy("neighbor")
         few = d.select(*by, "neighbor").distinct().withColumn("n", F.row_number().over(w)).where(F.col("n") <= samples)
-        named = few.join(store.entities.select(F.col("mid").alias("neighbor"), "name", "types"), "neighbor", "left")
+        few = written(few)
+        named = few.join(entities_of(store.entities, kinds_among(few.select(F.col("neighbor").alias("node")), store.entities, "mid")).select(F.col("mid").alias("neighbor"), "name", "types"), "neighbor", "left")
         named = named.groupBy(*by).agg(F.array_sort(F.collect_set(F.coalesce(F.nullif("name", F.lit("")), "neighbor"))).alias("sample_target_names"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("types", F.array().cast("array<string>")))))), 1, samples).alias("sample_target_types"))
         out = out.join(named, by, "left")
     return out.withColumnRenamed("frequency", "global_frequency").drop("first_neighbor")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import norm_catalog, overlap_left, tokens, type_names
 from .aggregate import frontier_relations
 from .lookup import having_relation, metadata, touching
-from .store import GraphStore, small
+from .store import GraphStore, around, node_table, small, written
 
 # Words put before and after a name to find entities of a type, and the ends of a place's qualifier.
 TYPE_WORDS: dict[str, list[str]] = {
@@ -48,12 +48,13 @@ def rerank_expansion(targets: DataFrame, store: GraphStore, expected_types: list
     ``relations``: the hinted ones, for all targets or as rows (``keys, hint``).
     """
     names = sorted({n for t in expected_types for n in type_names(t)})
-    m = metadata(targets.select("node"), store)
+    ids = node_table(targets, store.edges, "head", "tail")
+    m = metadata(ids, store)
     d = targets.join(m, "node", "left")
-    ids = targets.select("node").distinct()
     hinted = isinstance(relations, DataFrame) or bool(relations)
     if isinstance(relations, DataFrame):
-        ends = store.edges.select(F.col("head").alias("node"), F.col("relation").alias("hint")).union(store.edges.where("tail_kind = 'id'").select(F.col("tail").alias("node"), F.col("relation").alias("hint")))
+        ahead, back = around(store.edges, ids)
+        ends = ahead.select(F.col("head").alias("node"), F.col("relation").alias("hint")).union(back.where("tail_kind = 'id'").select(F.col("tail").alias("node"), F.col("relation").alias("hint")))
         ends = ends.join(small(ids), "node", "left_semi").distinct()
         hit = targets.select(*keys, "node").join(ends, "node").join(small(relations), [*keys, "hint"], "left_semi").select(*keys, "node").distinct()
         d = d.join(hit.withColumn("__r", F.lit(True)), [*keys, "node"], "left")
@@ -116,6 +117,7 @@ def rerank_entities(candidates: DataFrame, store: GraphStore, expected_type: str
     types all lie in another domain than those of the mention's matching candidates, context overlap (12, 14), -3 for
     mediators. If any candidate of a mention has the type, the others go.
     """
+    candidates = written(candidates)  # found once: what follows reads them again and again
     nodes = candidates.select(F.col("mid").alias("node")).distinct()
     m = metadata(nodes, store)
     r = frontier_relations(nodes.withColumn("mid", F.col("node")), store, ["mid"], literals=False)
