@@ -287,17 +287,19 @@ def _joined(ahead: DataFrame, back: DataFrame, on: list[str]) -> DataFrame:
 
 def beam_search(seeds: DataFrame, edges: DataFrame, score, depth: int = 2, width: int = 10, hints: list[str] | None = None, strict: bool = False) -> DataFrame:
     """Heuristic beam: every generated path is a result, the ``width`` best (0: all) go on. ``score``: paths to paths with ``path_score``."""
-    adjacency = both_ways(edges)
-    if hints and strict:
-        adjacency = adjacency.where(F.col("relation").isin(hints))
     front, out = start_paths(seeds), None
     cols = front.columns
     for hop in range(1, depth + 1):
+        adjacency = both_ways(edges, _ends(front))
+        if hints and strict:
+            adjacency = adjacency.where(F.col("relation").isin(hints))
         new = written(score(grow(front, adjacency)))
         out = new if out is None else out.unionByName(new)
+        if hop == depth:
+            break
         if width > 0:
             new = top(new, ["qid"], width, F.desc("path_score"), "hops", "terminal", edge_key(), name="__n")
-        front = new.select(cols)
+        front = written(new.select(cols))
     return out.withColumn("text", text_of(F.col("nodes"), F.col("relations"), F.col("reversed")))
 
 
