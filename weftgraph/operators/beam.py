@@ -18,7 +18,8 @@ from ..functions.text import jaccard, norm_beam, norm_catalog, tokens, type_matc
 from .aggregate import frontier_relations
 from .lookup import described, display_name, metadata, probable_cvt
 from .resolve import rerank_expansion
-from .store import GraphStore, small, written
+from .order import top
+from .store import GraphStore, around, small, written
 from .traverse import text_of
 
 # Relations never followed, and the words that tell relations of mediators.
@@ -129,11 +130,11 @@ def rerank_hints(actions: DataFrame, ranked: DataFrame, store: GraphStore, confi
     (12 names, three relations each) stand for.
     """
     keys = ["qid", "state_id", "relation", "direction"]
-    top = ranked.where("candidate_rank <= 12").select("qid", "state_id", F.col("relation").alias("hint"), "relation_name", "candidate_rank")
+    shown = ranked.where("candidate_rank <= 12").select("qid", "state_id", F.col("relation").alias("hint"), "relation_name", "candidate_rank")
     a = actions.select(*keys)
-    other = a.join(top, ["qid", "state_id"]).where("hint <> relation").select(*keys, "hint")
+    other = a.join(shown, ["qid", "state_id"]).where("hint <> relation").select(*keys, "hint")
     given = config.hint_names or ((config.hint_text,) if config.hint_text else ())
-    names = top.groupBy("qid", "state_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("candidate_rank", "relation_name"))), lambda x: x["relation_name"]).alias("names"))
+    names = shown.groupBy("qid", "state_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("candidate_rank", "relation_name"))), lambda x: x["relation_name"]).alias("names"))
     names = names.select("qid", "state_id", F.filter(F.concat(F.array(*[F.lit(g) for g in given]).cast("array<string>"), "names"), lambda x: norm_catalog(x) != "").alias("names"))
     names = names.select("qid", "state_id", F.explode(F.slice(F.array_distinct("names"), 1, 12)).alias("name")).withColumn("lookup_norm", norm_catalog(F.col("name")))
     w = Window.partitionBy("lookup_norm").orderBy("relation", "lookup_source")
@@ -149,15 +150,20 @@ def expand(actions: DataFrame, frontier: DataFrame, store: GraphStore, config: B
     ``max_nodes`` of them are kept: those with ``place <= max_nodes``.
     """
     keys = ["qid", "state_id", "relation", "direction"]
-    a = actions.select(*keys).join(frontier, ["qid", "state_id"])
-    fwd = store.edges.select(F.col("head").alias("node"), "relation", F.col("tail").alias("target"), F.lit("forward").alias("direction"))
-    back = store.edges.where("tail_kind = 'id'").select(F.col("tail").alias("node"), "relation", F.col("head").alias("target"), F.lit("reverse").alias("direction"))
-    d = a.join(fwd.unionByName(back).distinct(), ["node", "relation", "direction"])
+    a = keep(actions.select(*keys).join(frontier.select("qid", "state_id", "node", "ord"), ["qid", "state_id"]))
+    ahead, behind = around(store.edges, a)
+    fwd = ahead.select(F.col("head").alias("node"), "relation", F.col("tail").alias("target"), F.lit("forward").alias("direction"))
+    back = behind.where("tail_kind = 'id'").select(F.col("tail").alias("node"), "relation", F.col("head").alias("target"), F.lit("reverse").alias("direction"))
+    # Repeated edges count once: told among what the frontiers meet, not among all edges.
+    d = keep(small(a).join(fwd.unionByName(back), ["node", "relation", "direction"]).select(*keys, "node", "ord", "target").distinct())
     signal = config.rerank and (ranked is not None or bool(type_names(config.expected_type) or config.hint_names or config.constraint_terms or config.constraint_targets))
     cap = max(config.max_nodes, config.max_overfetch)
     wider = lambda n: min(max(n * config.overfetch_factor, n), cap) if signal else n
-    per, every = Window.partitionBy(*keys, "node"), Window.partitionBy(*keys)
-    d = d.withColumn("rn", F.row_number().over(per.orderBy("target"))).withColumn("total", F.count(F.lit(1)).over(per)).where(F.col("rn") <= max(wider(config.per_source), config.per_source))
+    every = Window.partitionBy(*keys)
+    # A node's targets are counted, and cut per part of them before they meet: no task holds a hub's.
+    totals = d.groupBy(*keys, "node").agg(F.count(F.lit(1)).alias("total"))
+    d = top(d, [*keys, "node"], max(wider(config.per_source), config.per_source), "target", "ord", name="rn").join(totals, [*keys, "node"])
+    d = d.join(frontier, ["qid", "state_id", "node", "ord"])
     total = F.sum(F.when(F.col("rn") == 1, F.col("total"))).over(every)
     risk = (total > config.max_nodes) | (F.max("total").over(every) > config.per_source)
     d = d.withColumn("wide", F.lit(bool(signal)) & risk & (total >= max(1, config.min_candidates)))
