@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from weftgraph.config import load_config
 from weftgraph.functions import text as tx
 from weftgraph.operators import aggregate, beam, etl, evaluate, lookup, rank, solve, traverse
-from weftgraph.operators.store import GraphStore
+from weftgraph.operators.store import GraphStore, fits
 from weftgraph.plans import registry
 from weftgraph.sources import files, star
 from weftgraph.streaming import ingest
@@ -106,6 +107,19 @@ def test_numeric_ranking(spark, store):
     assert d == ["m.italy", "m.rome"]
 
 
+@pytest.fixture(scope="module")
+def many(spark, tmp_path_factory):
+    """100,000 ids whose file, at 8 bytes an id and compressed, is much smaller than their texts."""
+    path = str(tmp_path_factory.mktemp("many") / "ids")
+    spark.range(100_000).write.parquet(path)
+    return spark.read.parquet(path).select(F.concat(F.lit("m.order.number."), "id").alias("node"))
+
+
+def test_what_is_broadcast_fits_as_rows_not_as_files(many):
+    assert fits(many.limit(100), 3 << 20) and fits(many, 8 << 20)
+    assert not fits(many, 3 << 20)  # 4 MB of rows
+
+
 def test_paths_are_simple_and_literals_end(spark, store):
     p = traverse.simple_paths(nodes(spark, "m.ann"), store.edges, 4, literals=True).collect()
     assert {r.hops for r in p} == {1, 2, 3, 4}
