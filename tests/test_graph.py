@@ -120,6 +120,13 @@ def test_what_is_broadcast_fits_as_rows_not_as_files(many):
     assert not fits(many, 3 << 20)  # 4 MB of rows
 
 
+def test_sources_are_not_grouped_before_they_filter(spark, many):
+    e = many.select(F.col("node").alias("head"), F.lit("a.b.year").alias("relation"), F.concat(F.lit("19"), F.right("node", F.lit(2)), F.lit("-01-01")).alias("tail"), F.lit("literal").alias("tail_kind"))
+    d = aggregate.rank_numeric(many.unionByName(many), e, ["a.b.year"], limit=3)
+    assert [(r.node, r.numeric_value) for r in d.collect()] == [(f"m.order.number.{n}", 1999.0) for n in (99999, 9999, 999)]
+    assert len(re.findall(r"HashAggregate\(keys=\[node#\d+\],", d._jdf.queryExecution().executedPlan().toString())) == 0
+
+
 def test_paths_are_simple_and_literals_end(spark, store):
     p = traverse.simple_paths(nodes(spark, "m.ann"), store.edges, 4, literals=True).collect()
     assert {r.hops for r in p} == {1, 2, 3, 4}

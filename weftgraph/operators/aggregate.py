@@ -121,7 +121,7 @@ def sqlite_number(c: Column) -> Column:
 def rank_numeric(sources: DataFrame, edges: DataFrame, relations: list[str], largest: bool = True, limit: int = 10) -> DataFrame:
     """Sources by a numeric (or date, by its year) attribute, over all of them; ties follow the order of the values."""
     e = edges.where(F.col("relation").isin(relations) & (F.col("tail_kind") != "id"))
-    d = e.select(F.col("head").alias("node"), "relation", F.col("tail").alias("value")).join(small(sources.select("node").distinct()), "node", "left_semi")
+    d = e.select(F.col("head").alias("node"), "relation", F.col("tail").alias("value")).join(small(sources.select("node")), "node", "left_semi")
     d = d.withColumn("numeric_value", F.coalesce(sqlite_number(F.col("value")), number_or_year(F.col("value")))).where("numeric_value IS NOT NULL")
     d = d.dropDuplicates(["node", "relation", "value"])
     order = [F.desc("numeric_value"), F.desc("node"), "value"] if largest else ["numeric_value", "node", "value"]
@@ -143,13 +143,13 @@ def collect_entities(sources: DataFrame, edges: DataFrame, relations: list[str],
     """Id neighbours by these relations: ``source, relation, target``; the limit comes before any later filter."""
     e = edges.where(F.col("relation").isin(relations) & (F.col("tail_kind") == "id"))
     e = e.select(F.col("head").alias("source"), "relation", F.col("tail").alias("target")) if direction == "forward" else e.select(F.col("tail").alias("source"), "relation", F.col("head").alias("target"))
-    d = e.join(small(sources.select(F.col("node").alias("source")).distinct()), "source", "left_semi").distinct()
+    d = e.join(small(sources.select(F.col("node").alias("source"))), "source", "left_semi").distinct()
     return d.orderBy("source", "relation", "target").limit(limit) if limit > 0 else d
 
 
 def collect_literals(sources: DataFrame, edges: DataFrame, relations: list[str]) -> DataFrame:
     e = edges.where(F.col("relation").isin(relations) & (F.col("tail_kind") != "id"))
-    return e.select(F.col("head").alias("source"), "relation", F.col("tail").alias("value")).join(small(sources.select(F.col("node").alias("source")).distinct()), "source", "left_semi").distinct()
+    return e.select(F.col("head").alias("source"), "relation", F.col("tail").alias("value")).join(small(sources.select(F.col("node").alias("source"))), "source", "left_semi").distinct()
 
 
 def collect_constrained(sources: DataFrame, store: GraphStore, relations: list[str], expected_type: str | None, terms: list[str], limit: int = 40, weights: tuple[float, float, float] = (8.0, 4.0, 3.0), direction: str = "forward") -> DataFrame:
