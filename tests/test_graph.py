@@ -290,3 +290,25 @@ def test_config(tmp_path):
     (tmp_path / "c.json").write_text(json.dumps({"graphapi": {"db_path": "x/y.db"}, "search": {"dmax": 3}}))
     c = load_config(str(tmp_path / "c.json"), {"search.dmax": 2})
     assert c["graphapi"]["db_path"] == str(tmp_path / "x/y.db") and c["search"]["dmax"] == 2
+
+
+def test_bundles_deal_edges_once_by_mediator(spark, monkeypatch):
+    """Not once per role and once per relation, too; with frequent targets, rare ones and ones without an entity, and null."""
+    r = random.Random(5)
+    ids = [f"g.{i}" for i in range(40)]
+    e = [(i, [], ["people.marriage"], True) for i in ids] + [(f"m.{i}", [], [f"t.person{i}"], False) for i in range(60)]
+    t = [(i, rel, r.choice(["m.1", "m.2", f"m.{r.randrange(90)}", None]), "id") for i in ids for rel in ("people.marriage.spouse", "a.b.date", "a.b.part")]
+    t += [(i, "a.b.size", str(r.randrange(3)), "literal") for i in ids] + [(f"m.{i}", "a.b.spouse", ids[i % 40], "id") for i in range(60)]
+    s = GraphStore(spark.createDataFrame(t, TRIPLE), spark.createDataFrame([(m, f"Name {m}" if m[0] == "m" else "", *x) for m, *x in e], ENTITY))
+    n = nodes(spark, *ids)
+    want = sorted((tuple(x) for x in beam.cvt_bundles(n, s, ["spouse", "person"], "person").collect()), key=str)
+    assert len(want) == 160
+    names = {m: f"Name {m}" for m, *_ in e if m[0] == "m"}
+    assert all(x[3] == names.get(x[2], x[2]) for x in want)
+    monkeypatch.setattr(beam, "fits", lambda d: False)
+    monkeypatch.setattr(beam, "FREQUENT", 2)
+    monkeypatch.setattr(beam, "TASK_ROWS", 20)
+    d = beam.cvt_bundles(n, s, ["spouse", "person"], "person")
+    assert sorted((tuple(x) for x in d.collect()), key=str) == want
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", d._jdf.queryExecution().executedPlan().toString())
+    assert dealt and not [x for x in dealt if "role" in x or "relation" in x]

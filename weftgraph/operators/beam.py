@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, norm_beam, norm_catalog, tokens, type_match, type_names
 from .aggregate import frontier_relations
-from .lookup import described, display_name, metadata, probable_cvt
+from .lookup import described_nodes, display_name, metadata, probable_cvt
 from .resolve import rerank_expansion
 from .order import top
-from .store import GraphStore, around, small, written
+from .store import GraphStore, around, entities_of, fits, kinds_among, small, written
 from .traverse import text_of
 
 # Relations never followed, and the words that tell relations of mediators.
@@ -313,6 +313,32 @@ ROLE_WORDS = ["title", "office", "holder", "spouse", "role", "team", "performanc
 ANSWER_WORDS = ["title", "office", "holder", "spouse", "award", "role", "position"]
 
 
+#: Targets whose facts go to the tasks: so many at most, the most frequent ones.
+FREQUENT = 1 << 17
+#: Edges that a task sorts.
+TASK_ROWS = 300_000
+
+
+def _with_facts(e: DataFrame, facts: DataFrame) -> DataFrame:
+    """Edges with the facts of their targets (``target, uses`` and more).
+
+    Edges are dealt by target only if theirs are many and their own target is rare, so that a value of very many edges is in
+    no task's hands, and common ones are joined where the edges are read.
+    """
+    if fits(facts):
+        d = e.join(F.broadcast(facts), "target", "left")
+    else:
+        steps = [4**i for i in range(2, 16)]
+        n = facts.agg(*[F.count_if(F.col("uses") >= s) for s in steps]).first()
+        least = next((s for s, x in zip(steps, n) if x <= FREQUENT), 4**16)
+        often = F.broadcast(facts.where(F.col("uses") >= least))
+        rare = e.join(F.broadcast(often.select("target")), "target", "left_anti").join(facts.where(F.col("uses") < least), "target", "left")
+        d = e.join(often, "target").unionByName(rare)
+    # An edge without a target has no facts.
+    without = {"tgt_best": 0.0, "tm": 0.0, "is_literal": True, "tgt_cvt": False}
+    return d.drop("uses").withColumns({c: F.coalesce(c, F.lit(x)) for c, x in without.items()})
+
+
 def cvt_bundles(nodes: DataFrame, store: GraphStore, terms: list[str], expected_type: str | None = None, most: int = 6, scan: int = 64) -> DataFrame:
     """Per mediator in ``nodes`` (``node``, and optionally ``entry``: the ids it was reached from): its telling outgoing
     edges with score and role, at most ``most``.
@@ -323,48 +349,63 @@ def cvt_bundles(nodes: DataFrame, store: GraphStore, terms: list[str], expected_
     four constraints, then the rest; at most two answers or constraints of a relation, or one other edge; nodes it was
     reached from only as answers. Mediators need two edges or an answer, and an answer or a constraint.
     """
-    m = described(nodes, store).where("is_probable_cvt").select("node", F.col("types").alias("cvt_types"))
-    if "entry" in nodes.columns:
-        m = m.join(nodes.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("entry"))).alias("entry")), "node")
-    e = m.join(store.edges.select(F.col("head").alias("node"), "relation", F.col("tail").alias("target"), "tail_kind"), "node")
-    e = e.withColumn("n", F.row_number().over(Window.partitionBy("node").orderBy("relation", "target"))).where(F.col("n") <= scan).drop("n")
+    n = written(nodes.select("node").distinct())
+    e = around(store.edges, n)[0].select(F.col("head").alias("node"), "relation", F.col("tail").alias("target"), "tail_kind")
+    if fits(n):
+        e = written(e.join(F.broadcast(n), "node", "left_semi"))
     squeeze = lambda w: " ".join(w.lower().replace("_", " ").replace(".", " ").split())
     given = list(dict.fromkeys(squeeze(w) for w in [*CONSTRAINT_WORDS, expected_type or "", *terms] if squeeze(w)))
-    every = norm_catalog(F.concat_ws(" ", F.concat_ws(" ", "cvt_types"), F.concat_ws(" ", F.collect_set("relation").over(Window.partitionBy("node")))))
-    e = e.withColumn("every", every)
-    # The schema's number, from 1 (0: none), while the node's edges are together; its types go no further.
-    e = e.withColumn("schema", F.coalesce(*[F.when(F.contains("every", F.lit(squeeze(k))), F.lit(i)) for i, k in enumerate(SCHEMA_RELATIONS, 1)], F.lit(0))).drop("every", "cvt_types")
 
     def best(words: list[str], text: Column) -> Column:
         one = F.array(*[F.lit(w) for w in words if " " not in w]).cast("array<string>")
         found = F.when(F.arrays_overlap(text, one), 1.0 / F.size(text)).otherwise(0.0)
         return reduce(F.greatest, [jaccard(F.array(*[F.lit(x) for x in dict.fromkeys(w.split())]), text) for w in words if " " in w], found)
 
+    # What a target's name and types tell, once per target, before its edges meet by mediator: these meet once and stay together.
+    t = written(e.groupBy("target").agg(F.count(F.lit(1)).alias("uses")))
+    known = entities_of(store.entities, kinds_among(t.select(F.col("target").alias("node")), store.entities, "mid"))
+    known = known.select(F.col("mid").alias("target"), F.col("name").alias("__name"), F.col("types").alias("__types"), "is_cvt", F.lit(True).alias("known"))
+    if fits(t):
+        known = known.join(F.broadcast(t.select("target")), "target", "left_semi")
+    told = t.join(known, "target", "left").withColumns({"name": display_name(F.col("target"), F.col("__name")), "types": F.coalesce("__types", F.array().cast("array<string>"))})
+    told = told.withColumn("tgt_words", tokens(norm_catalog(F.col("name"))))
+    # By the number of the schema; null if nothing fits any.
+    by_schema = F.array(F.lit(0.0), *[best([squeeze(w) for w in words], F.col("tgt_words")) for words in SCHEMA_RELATIONS.values()])
+    facts = written(told.select(
+        "target", "uses", "name", best(given, F.col("tgt_words")).alias("tgt_best"), F.when(F.array_max(by_schema) > 0, by_schema).alias("tgt_priors"),
+        (type_match(expected_type, F.col("name"), F.col("types")) if expected_type else F.lit(0.0)).alias("tm"),
+        F.col("known").isNull().alias("is_literal"),
+        (F.col("known").isNotNull() & probable_cvt(F.col("target"), F.col("__name"), F.col("__types"), F.col("is_cvt"))).alias("tgt_cvt"),
+    ))
+    # A task sorts some TASK_ROWS edges.
+    tasks = -(-(t.agg(F.sum("uses")).first()[0] or 0) // TASK_ROWS)
+    dealt = lambda d: d.repartition(tasks, "node") if tasks > int(store.spark.conf.get("spark.sql.shuffle.partitions")) else d
+    w = Window.partitionBy("node")
+    e = dealt(_with_facts(e, facts)).withColumn("n", F.row_number().over(w.orderBy("relation", "target")))
+    # The limit stands behind the second window, as Spark would else sort for it before the edges are dealt, too.
+    e = e.withColumn("relations", F.collect_set(F.when(F.col("n") <= scan, F.col("relation"))).over(w)).where(F.col("n") <= scan)
+    m = described_nodes(dealt(n), store).where("is_probable_cvt").select("node", F.col("types").alias("cvt_types"))
+    if "entry" in nodes.columns:
+        m = m.join(nodes.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("entry"))).alias("entry")), "node")
+    e = e.join(m, "node")
+    # The schema's number, from 1 (0: none), found at a mediator's first edge.
+    every = norm_catalog(F.concat_ws(" ", F.concat_ws(" ", "cvt_types"), F.concat_ws(" ", "relations")))
+    schema = F.coalesce(*[F.when(F.contains(every, F.lit(squeeze(k))), F.lit(i)) for i, k in enumerate(SCHEMA_RELATIONS, 1)], F.lit(0))
+    e = e.withColumn("schema", F.max(F.when(F.col("n") == 1, schema)).over(w)).drop("n", "relations", "cvt_types")
+
     # What a relation's name alone tells is told once per relation, and joined.
     rel = F.col("rel")
     says = lambda words: reduce(lambda a, b: a | b, [F.contains(rel, F.lit(w)) for w in words])
-    facts = store.relations.select("relation", norm_catalog(F.concat_ws(" ", "relation", "relation_name")).alias("rel")).withColumn("rel_words", tokens(rel))
+    says_rel = store.relations.select("relation", norm_catalog(F.concat_ws(" ", "relation", "relation_name")).alias("rel")).withColumn("rel_words", tokens(rel))
     priors = F.array(F.lit(0.0), *[best([squeeze(w) for w in words], F.col("rel_words")) for words in SCHEMA_RELATIONS.values()])
-    facts = facts.select("relation", best(given, F.col("rel_words")).alias("rel_best"), priors.alias("priors"), says(DATE_WORDS).alias("date"), (says(DATE_WORDS) | says(ROLE_WORDS)).alias("dated"), says(ANSWER_WORDS).alias("answering"))
-    e = e.join(small(written(facts)), "relation").withColumn("prior", F.get("priors", F.col("schema"))).drop("priors")
-    t = store.entities.select(F.col("mid").alias("target"), F.col("name").alias("__name"), F.col("types").alias("__types"), "is_cvt", F.lit(True).alias("known"))
-    e = e.join(t, "target", "left")
-    e = e.withColumns({
-        "name": display_name(F.col("target"), F.col("__name")),
-        "types": F.coalesce("__types", F.array().cast("array<string>")),
-        "is_literal": F.col("known").isNull(),
-        "nested": (F.col("tail_kind") == "id") & F.col("known").isNotNull() & probable_cvt(F.col("target"), F.col("__name"), F.col("__types"), F.col("is_cvt")),
-    }).withColumn("tgt_words", tokens(norm_catalog(F.col("name"))))
-    tgt_words = F.col("tgt_words")
-    prior_target = F.lit(0.0)
-    for i, words in enumerate(SCHEMA_RELATIONS.values(), 1):
-        prior_target = F.when(F.col("schema") == i, best([squeeze(w) for w in words], tgt_words)).otherwise(prior_target)
+    says_rel = says_rel.select("relation", best(given, F.col("rel_words")).alias("rel_best"), priors.alias("priors"), says(DATE_WORDS).alias("date"), (says(DATE_WORDS) | says(ROLE_WORDS)).alias("dated"), says(ANSWER_WORDS).alias("answering"))
+    e = e.join(small(written(says_rel)), "relation").withColumn("prior", F.get("priors", F.col("schema"))).drop("priors")
     is_id = F.col("tail_kind") == "id"
-    tm = type_match(expected_type, F.col("name"), F.col("types")) if expected_type else F.lit(0.0)
-    date, nested = F.col("date"), F.col("nested")
+    e = e.withColumn("nested", is_id & F.col("tgt_cvt"))
+    tm, date, nested = F.col("tm"), F.col("date"), F.col("nested")
     typed = F.lit(bool(expected_type)) & is_id & ~nested & (tm >= 0.75) & ~date
     role = F.when(date, "constraint").when(typed, "answer").when(is_id & F.col("is_literal"), "constraint").when(nested, "intermediate").when(F.col("answering"), "answer").otherwise("constraint")
-    score = 12.0 * F.greatest("rel_best", "prior") + 4.0 * F.greatest(best(given, tgt_words), prior_target) + 6.0 * tm + 8.0 * F.col("prior")
+    score = 12.0 * F.greatest("rel_best", "prior") + 4.0 * F.greatest("tgt_best", F.coalesce(F.get("tgt_priors", F.col("schema")), F.lit(0.0))) + 6.0 * tm + 8.0 * F.col("prior")
     score = score + F.when(F.col("dated"), 3.0).otherwise(0.0) + F.when(typed, 8.0).otherwise(0.0) - F.when(nested & ~date, 2.0).otherwise(0.0)
     e = e.withColumns({"edge_score": F.round(score, 6), "role": role})
     e = e.select("node", "relation", "target", "name", "role", "edge_score", *[c for c in ("entry",) if c in e.columns])

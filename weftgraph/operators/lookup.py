@@ -91,7 +91,11 @@ def probable_cvt(mid: Column, name: Column, types: Column, is_cvt: Column) -> Co
 
 def described(nodes: DataFrame, store: GraphStore) -> DataFrame:
     """``node, name, types, is_literal, is_probable_cvt``; what is no entity is a literal."""
-    n = node_table(nodes, store.entities, "mid")
+    return described_nodes(node_table(nodes, store.entities, "mid"), store)
+
+
+def described_nodes(n: DataFrame, store: GraphStore) -> DataFrame:
+    """``described`` of nodes (``node``) that are different and, if read elsewhere, too, written."""
     e = entities_of(store.entities, kinds_among(n, store.entities, "mid"))
     e = e.select(F.col("mid").alias("node"), "name", "types", "is_cvt", F.lit(True).alias("known"))
     d = small(n).join(e, "node", "left")

@@ -79,10 +79,10 @@ def triples(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     ``whole``: for work on all edges, each table is read once and a row gives its edges one after the other, so that the
     edges of a record stay together and partial sums and compression see them so.
     """
+    kind = lambda x: x.split("'")[1].rstrip(".")  # noqa: E731  of 'm.nation.' || n_nationkey
+    head = declared("head", {r: kind(h) for h, r, _, _, _ in _EDGES})
+    tail = declared("tail", {r: kind(t) for _, r, t, k, _ in _EDGES if k == "id"})
     if not whole:
-        kind = lambda x: x.split("'")[1].rstrip(".")  # noqa: E731  of 'm.nation.' || n_nationkey
-        head = declared("head", {r: kind(h) for h, r, _, _, _ in _EDGES})
-        tail = declared("tail", {r: kind(t) for _, r, t, k, _ in _EDGES if k == "id"})
         return spark.sql(TRIPLES_SQL, **tables(spark, sf_dir)).select(head, "relation", tail, "tail_kind")
     found = tables(spark, sf_dir)
 
@@ -91,4 +91,4 @@ def triples(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
         one = ", ".join(f"named_struct('head', {h}, 'relation', '{r}', 'tail', {t}, 'tail_kind', '{k}')" for h, r, t, k, _ in mine)
         return found[src].selectExpr(f"inline(array({one}))")
 
-    return reduce(DataFrame.unionAll, [rows(src) for src in dict.fromkeys(x[4] for x in _EDGES)])
+    return reduce(DataFrame.unionAll, [rows(src) for src in dict.fromkeys(x[4] for x in _EDGES)]).select(head, "relation", tail, "tail_kind")
