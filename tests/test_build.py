@@ -139,3 +139,46 @@ def test_counters_of_a_run(spark, tmp_path, capsys):
     assert got["entities"] == {"rows": e.count(), "unnamed": 1, "mediators": 0} and got["cvt"] == {"rows": 0}
     cli.main(["etl", f"{tmp_path}/rdf", f"{tmp_path}/out2", "--main-view", "raw", "--drop-base"])
     assert '"kept": 6' in capsys.readouterr().out
+
+
+def random_edges(seed=7):
+    """Some 150 edges among mediators g.0 to g.4 and others, with nulls, loops, repeated edges and kinds of all sorts."""
+    r = random.Random(seed)
+    node = lambda: r.choice([*[f"g.{i}" for i in range(5)], *[f"m.{i}" for i in range(12)], None])
+    rows = [(node(), r.choice(["a.r", "b.r"]), node(), r.choice(["id", "id", "id", "literal", None])) for _ in range(150)]
+    rows += [("m.x", "a.r", "g.5", "id"), ("g.5", "a.r", "m.x", "id"), ("m.y", "a.r", "g.6", "id"), ("g.6", "b.r", "m.y", "id"), ("g.6", "b.r", "7", "literal"), ("m.z", "a.r", "g.7", "id")]
+    return rows, [f"g.{i}" for i in range(8)]
+
+
+EDGES = "head string, relation string, tail string, tail_kind string"
+
+
+def flat_rows(rows, cvts):
+    ends = [(a, b) for a in rows if a[3] == "id" and a[2] in cvts for b in rows if b[0] == a[2]]
+    same = lambda a, b: None if a is None or b is None else a == b
+    kept = lambda kind, eq: (kind is not None and kind != "id") or eq is False  # noqa: E731  NOT (kind = 'id' AND eq), with nulls
+    return {(a[0], f"{a[1]}.{b[1]}", b[2], b[3]) for a, b in ends if kept(b[3], same(a[0], b[2]))}
+
+
+@pytest.mark.parametrize("view, flat", [("flattened", True), ("flattened", False), ("raw", True)])
+def test_ids_of_the_main_view_without_its_rows(spark, view, flat):
+    for seed in (7, 8):
+        rows, cvts = random_edges(seed)
+        e, c, config = spark.createDataFrame(rows, EDGES), spark.createDataFrame([(x,) for x in cvts], "mid string"), etl.EtlConfig(main_view=view, flatten=flat)
+        main = {tuple(x) for x in etl.triplets(e, c, config)[0].collect()}
+        d = etl.main_ids(e, c, config)
+        assert sorted((x.mid for x in d.collect()), key=str) == sorted({x[0] for x in main} | {x[2] for x in main if x[3] == "id"}, key=str)
+        assert "concat_ws" not in d._jdf.queryExecution().optimizedPlan().toString()  # no products
+        if view == "flattened" and flat:
+            assert {x for x in main if x[1].count(".") > 1} == flat_rows(rows, cvts)
+
+
+def test_ends_meet_mediators_that_are_counted_already(spark):
+    rows, cvts = random_edges(9)
+    rows += [(f"m.h{i}", "a.r", "g.1", "id") for i in range(40)]
+    e = spark.createDataFrame(rows, EDGES)
+    n = [(x, sum(r[2] == x and r[3] == "id" for r in rows), sum(r[0] == x for r in rows)) for x in cvts]
+    for block in (3, 16, 4096):
+        d = etl.flattened(e, spark.createDataFrame(n, "mid string, in_count long, out_count long"), block)
+        assert {tuple(x) for x in d.collect()} == flat_rows(rows, cvts)
+        assert "count(1)" not in d._jdf.queryExecution().optimizedPlan().toString()
