@@ -182,3 +182,19 @@ def test_ends_meet_mediators_that_are_counted_already(spark):
         d = etl.flattened(e, spark.createDataFrame(n, "mid string, in_count long, out_count long"), block)
         assert {tuple(x) for x in d.collect()} == flat_rows(rows, cvts)
         assert "count(1)" not in d._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_triplets_deal_edges_by_head_once(spark):
+    rows, cvts = random_edges(10)
+    e = spark.createDataFrame(rows, EDGES)
+    n = [(x, sum(r[2] == x and r[3] == "id" for r in rows), sum(r[0] == x for r in rows)) for x in cvts]
+    main, raw = etl.triplets(e, spark.createDataFrame(n, "mid string, in_count long, out_count long"))
+    touched = lambda x: x[0] in cvts or (x[3] == "id" and x[2] in cvts)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted((tuple(x) for x in main.collect()), key=str) == sorted({x for x in rows if not touched(x)} | flat_rows(rows, cvts), key=str)
+        assert "ReusedExchange" in main._jdf.queryExecution().executedPlan().toString()
+        assert sorted((tuple(x) for x in raw.collect()), key=str) == sorted({x for x in rows if touched(x)}, key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
