@@ -150,7 +150,7 @@ def random_edges(seed=7):
     return rows, [f"g.{i}" for i in range(8)]
 
 
-EDGES = "head string, relation string, tail string, tail_kind string"
+EDGE_COLUMNS = "head string, relation string, tail string, tail_kind string"
 
 
 def flat_rows(rows, cvts):
@@ -164,7 +164,7 @@ def flat_rows(rows, cvts):
 def test_ids_of_the_main_view_without_its_rows(spark, view, flat):
     for seed in (7, 8):
         rows, cvts = random_edges(seed)
-        e, c, config = spark.createDataFrame(rows, EDGES), spark.createDataFrame([(x,) for x in cvts], "mid string"), etl.EtlConfig(main_view=view, flatten=flat)
+        e, c, config = spark.createDataFrame(rows, EDGE_COLUMNS), spark.createDataFrame([(x,) for x in cvts], "mid string"), etl.EtlConfig(main_view=view, flatten=flat)
         main = {tuple(x) for x in etl.triplets(e, c, config)[0].collect()}
         d = etl.main_ids(e, c, config)
         assert sorted((x.mid for x in d.collect()), key=str) == sorted({x[0] for x in main} | {x[2] for x in main if x[3] == "id"}, key=str)
@@ -176,7 +176,7 @@ def test_ids_of_the_main_view_without_its_rows(spark, view, flat):
 def test_ends_meet_mediators_that_are_counted_already(spark):
     rows, cvts = random_edges(9)
     rows += [(f"m.h{i}", "a.r", "g.1", "id") for i in range(40)]
-    e = spark.createDataFrame(rows, EDGES)
+    e = spark.createDataFrame(rows, EDGE_COLUMNS)
     n = [(x, sum(r[2] == x and r[3] == "id" for r in rows), sum(r[0] == x for r in rows)) for x in cvts]
     for block in (3, 16, 4096):
         d = etl.flattened(e, spark.createDataFrame(n, "mid string, in_count long, out_count long"), block)
@@ -186,7 +186,7 @@ def test_ends_meet_mediators_that_are_counted_already(spark):
 
 def test_triplets_deal_edges_by_head_once(spark):
     rows, cvts = random_edges(10)
-    e = spark.createDataFrame(rows, EDGES)
+    e = spark.createDataFrame(rows, EDGE_COLUMNS)
     n = [(x, sum(r[2] == x and r[3] == "id" for r in rows), sum(r[0] == x for r in rows)) for x in cvts]
     main, raw = etl.triplets(e, spark.createDataFrame(n, "mid string, in_count long, out_count long"))
     touched = lambda x: x[0] in cvts or (x[3] == "id" and x[2] in cvts)
